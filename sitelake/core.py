@@ -110,13 +110,15 @@ def with_halo(
     pos: str,
     reach: int,
     build: Callable[[DataFrame, Window], DataFrame],
-    block: int = 8192,
+    block: int = 3968,
 ) -> DataFrame:
     """Evaluate window expressions that look at most ``reach`` rows away.
 
     ``pos`` must count 0,1,2,... within ``by``. Rows are cut into blocks of
     ``block`` positions; the ``reach`` rows on either side of a block are copied
-    into it, so a long sequence never needs one task and every frame is whole.
+    into it, so a long sequence never needs one task and every frame is whole. A
+    block with its halo stays below 4096 rows, the size up to which Spark keeps a
+    window group in plain memory.
     """
     home = F.floor(F.col(pos) / block)
     homes = F.array_distinct(
@@ -133,6 +135,16 @@ def frame_sum(prefix: str, total: str, radius: int, window: Window) -> Column:
     return upper - F.coalesce(F.lag(prefix, radius + 1).over(window), F.lit(0))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one task per core before it is expanded.
+
+    A few small files make few tasks however long the texts in them are. Scans
+    that already have enough tasks, as any large table has, are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rounded(c: Column | str, digits: int = 6) -> Column:
     """Round and turn ``-0.0`` into ``0.0``."""
     c = F.col(c) if isinstance(c, str) else c

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelake.core import durable, running_totals
+from sitelake.core import durable, running_totals, spread
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
@@ -139,7 +139,7 @@ def residue_text(text="text"):
 
 def chains(spark: SparkSession, sf: str) -> DataFrame:
     """One row per document: its text read as a sequence over the twenty letters and X."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("chain"), F.col("source").alias("complex"), residue_text().alias("seq")
     )
 
@@ -224,3 +224,58 @@ dedup AS (
          sha1(regexp_replace(text, '\s+', '', 'g')) AS seq_hash,
          length(regexp_replace(text, '\s+', '', 'g')) AS n
   FROM documents)"""
+
+
+def ordered_residues(spark: SparkSession, sf: str) -> DataFrame:
+    """Residues with their 0-based place ``ord`` in the complex (chains in id order) and chain length."""
+
+    def build():
+        lengths = chains(spark, sf).select("complex", "chain", F.length("seq").alias("n"))
+        return running_totals(lengths, by=["complex"], order=["chain"], sums={"stop": "n"})
+
+    placed = kept(spark, sf, "chain_offsets", build)
+    seqs = chains(spark, sf).join(placed, ["complex", "chain"])
+    return seqs.select("complex", "chain", F.col("n").alias("chain_len"), (F.col("stop") - F.col("n")).alias("start"),
+                       F.posexplode(F.split("seq", "")).alias("pos", "aa")).withColumn("ord", F.col("start") + F.col("pos")).drop("start")
+
+
+ORDERED_SQL = RESIDUES_SQL + """,
+ordered AS (SELECT *, row_number() OVER (PARTITION BY complex ORDER BY chain, pos) - 1 AS ord,
+  count(*) OVER (PARTITION BY chain) AS chain_len FROM residues)"""
+
+
+def placed_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Points with their place in the complex, read as one chain per complex."""
+    return points(spark, sf).withColumn("pos", F.col("pid") - F.col("complex") * 100)
+
+
+PLACED_SQL = POINTS_SQL + """,
+placed AS (SELECT *, pid - complex * 100 AS pos FROM points)"""
+
+ATOM_NAMES = ("N", "CA", "C", "O", "CB", "OG")
+
+
+def atoms(spark: SparkSession, sf: str) -> DataFrame:
+    """Six atoms per residue taken from consecutive triples of the vector; glycine has no CB, only serine-like letters OG."""
+    e = F.col("embedding")
+    rows = [
+        F.struct(F.lit(i).alias("ordinal"), F.lit(a).alias("atom"),
+                 *[(e[3 * i + k].cast("double") * 20).alias(c) for k, c in enumerate("xyz")])
+        for i, a in enumerate(ATOM_NAMES)
+    ]
+    letter = F.substring(F.lit(LETTERS), (F.pmod(F.col("vec_id") + F.col("label"), F.lit(20)) + 1).cast("int"), F.lit(1))
+    flat = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("pid"), F.floor(F.col("vec_id") / 100).alias("complex"), F.col("label").alias("chain"), letter.alias("aa"),
+        F.inline(F.array(*rows)))
+    return flat.withColumn("pos", F.col("pid") - F.col("complex") * 100).where(
+        ~((F.col("atom") == "CB") & (F.col("aa") == "G")) & ~((F.col("atom") == "OG") & ~F.col("aa").isin("S", "T", "C", "Y")))
+
+
+ATOMS_SQL = f"""
+atoms AS (SELECT * FROM (
+  SELECT vec_id AS pid, CAST(floor(vec_id / 100) AS BIGINT) AS complex, label AS chain,
+    substr('{LETTERS}', CAST((vec_id + label) % 20 + 1 AS INTEGER), 1) AS aa, i AS ordinal,
+    (['N', 'CA', 'C', 'O', 'CB', 'OG'])[i + 1] AS atom, 20 * CAST(embedding[3 * i + 1] AS DOUBLE) AS x,
+    20 * CAST(embedding[3 * i + 2] AS DOUBLE) AS y, 20 * CAST(embedding[3 * i + 3] AS DOUBLE) AS z,
+    vec_id - CAST(floor(vec_id / 100) AS BIGINT) * 100 AS pos
+  FROM embeddings, range(0, 6) r(i)) WHERE NOT (atom = 'CB' AND aa = 'G') AND NOT (atom = 'OG' AND aa NOT IN ('S', 'T', 'C', 'Y')))"""

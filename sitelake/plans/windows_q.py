@@ -1 +1,344 @@
+"""Ordered-window and residue-feature queries.
 
+Features are computed for every residue of every text; the result is reduced
+per chain (or per letter) so the comparison stays small.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from sitelake.core import rounded as R
+from sitelake.functions import residue as P
+from sitelake.operators import windows as W
+from sitelake.plans import fixtures as fx
+from sitelake.plans.metrics_q import round_all
+from sitelake.plans.registry import query
+
+TABLE_SQL = "tab(" + ", ".join(P.FIELDS) + ") AS (VALUES " + ", ".join(
+    "(" + ", ".join("NULL" if v is None else repr(v) if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v) for v in r) + ")" for r in P.RESIDUES) + ")"
+
+
+def in_sql(col, letters):
+    return f"{col} IN ({', '.join(repr(a) for a in letters)})"
+
+
+def digest(df, by, cols, digits=6):
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *[R(F.avg(c), digits).alias(c) for c in cols])
+
+
+def digest_sql(by, cols, src, digits=6):
+    return f"SELECT {by}, count(*) AS n, " + ", ".join(f"round(avg({c}), {digits}) + 0.0 AS {c}" for c in cols) + f" FROM {src} GROUP BY {by}"
+
+
+STATIC = ["mass", "hydropathy", "volume", "charge", "pi", "pka", "has_pka", *[f"group_{g}" for g in P.GROUPS]]
+ONEHOT = [f"oh{i}" for i in range(20)]
+
+
+@query("f13_residue_static", f"""
+WITH {fx.RESIDUES_SQL}, {TABLE_SQL},
+s AS (SELECT r.aa, (coalesce(mass, 75) - 75) / 130 AS mass, (coalesce(hydropathy, 0) + 4.5) / 9 AS hydropathy,
+  (coalesce(volume, 60) - 60) / 168 AS volume, (coalesce(charge, 0) + 1) / 2 AS charge, coalesce(pi, 6.0) / 14 AS pi,
+  coalesce(pka, 0) / 14 AS pka, (pka IS NOT NULL)::DOUBLE AS has_pka,
+  {', '.join(f"({in_sql('r.aa', m)})::DOUBLE AS group_{g}" for g, m in P.GROUPS.items())},
+  {', '.join(f"(r.aa = '{a}')::DOUBLE AS oh{i}" for i, a in enumerate(P.LETTERS))}
+  FROM residues r LEFT JOIN tab t ON r.aa = t.aa)
+SELECT aa, count(*) AS n, {', '.join(f'round(avg({c}), 6) + 0.0 AS {c}' for c in [*STATIC, *ONEHOT])} FROM s GROUP BY aa""")
+def _(spark, sf):
+    feats = P.residue_static(fx.residues(spark, sf).select("aa"))
+    return digest(feats.withColumns({c: F.col("onehot")[i] for i, c in enumerate(ONEHOT)}), ["aa"], [*STATIC, *ONEHOT])
+
+
+PHYS_SQL = ["hydropathy / 4.5", "weight / 204.2", "volume / 227.8", "polarity / 3.0::DOUBLE", "donors / 4.0::DOUBLE", "acceptors / 2.0::DOUBLE", "aromatic::DOUBLE", "charge",
+            *[f"(polarity = {i})::DOUBLE" for i in range(4)], "(pka IS NOT NULL)::DOUBLE", "pka / 14", "(pka < 7)::DOUBLE", "(pka > 7)::DOUBLE",
+            "(hydropathy > 2)::DOUBLE", "(hydropathy > 0 AND hydropathy <= 2)::DOUBLE", "(hydropathy >= -2 AND hydropathy <= 0)::DOUBLE", "(hydropathy < -2)::DOUBLE"]
+
+
+@query("f14_physchem20", f"""
+WITH {fx.RESIDUES_SQL}, {TABLE_SQL}
+SELECT r.aa, count(*) AS n, {', '.join(f'round(avg(coalesce({c}, 0)), 6) + 0.0 AS p{i}' for i, c in enumerate(PHYS_SQL))}
+FROM residues r LEFT JOIN tab t ON r.aa = t.aa GROUP BY r.aa""")
+def _(spark, sf):
+    feats = P.physchem20(fx.residues(spark, sf).select("aa"))
+    return feats.groupBy("aa").agg(F.count("*").alias("n"), *[R(F.avg(F.col("physchem")[i])).alias(f"p{i}") for i in range(20)])
+
+
+FACTOR_SQL = "fac(aa, f1, f2, f3, f4, f5) AS (VALUES " + ", ".join(f"('{a}', {', '.join(f'{x!r}::DOUBLE' for x in v)})" for a, v in P.FACTORS.items()) + ")"
+
+
+@query("f15_subst_features", f"""
+WITH {fx.RESIDUES_SQL}, {TABLE_SQL}, {FACTOR_SQL},
+m AS (SELECT a.aa, {', '.join(f"max(CASE WHEN b.aa = '{l}' THEN 11.0::DOUBLE - abs(a.hydropathy - b.hydropathy) END) AS s{i}" for i, l in enumerate(P.LETTERS))}
+  FROM tab a, tab b GROUP BY a.aa)
+SELECT r.aa, count(*) AS n, {', '.join(f'round(avg(coalesce(s{i}, 0) / 11), 6) + 0.0 AS s{i}' for i in range(20))},
+  {', '.join(f'round(avg(coalesce(f{i}, 0) / 5), 6) + 0.0 AS f{i}' for i in range(1, 6))}
+FROM residues r LEFT JOIN m ON r.aa = m.aa LEFT JOIN fac ON r.aa = fac.aa GROUP BY r.aa""")
+def _(spark, sf):
+    rows = [(a, [11.0 - abs(P.field("hydropathy")[a] - P.field("hydropathy")[b]) for b in P.LETTERS]) for a in P.LETTERS]
+    matrix = spark.createDataFrame(rows, "aa string, row array<double>")
+    feats = P.subst_features(fx.residues(spark, sf).select("aa"), matrix)
+    return feats.groupBy("aa").agg(
+        F.count("*").alias("n"), *[R(F.avg(F.col("substitution")[i])).alias(f"s{i}") for i in range(20)],
+        *[R(F.avg(F.col("factors")[i])).alias(f"f{i + 1}") for i in range(5)])
+
+
+ENC = [f"{s}_pos_{t}{f}" for s in ("protein", "chain") for f in (1, 2, 4, 8) for t in ("sin", "cos")]
+
+
+def enc_sql():
+    out = []
+    for s, r in (("protein", "ord / greatest(1, total - 1)::DOUBLE"), ("chain", "pos / greatest(1, chain_len - 1)::DOUBLE")):
+        for f in (1, 2, 4, 8):
+            for t in ("sin", "cos"):
+                out.append(f"{t}({2.0 * math.pi * f!r}::DOUBLE * ({r})) AS {s}_pos_{t}{f}")
+    return ", ".join(out)
+
+
+@query("f16_pos_encoding", f"""
+WITH {fx.ORDERED_SQL}, t AS (SELECT complex, count(*) AS total FROM residues GROUP BY complex),
+e AS (SELECT chain, {enc_sql()} FROM ordered JOIN t USING (complex)) {digest_sql('chain', ENC, 'e')}""")
+def _(spark, sf):
+    rows = fx.ordered_residues(spark, sf)
+    total = rows.groupBy("complex").agg(F.count("*").alias("total"))
+    rel = {"protein": W.relative(F.col("ord"), F.col("total")), "chain": W.relative(F.col("pos"), F.col("chain_len"))}
+    return digest(W.pos_encoding(rows.join(total, "complex"), rel), ["chain"], ENC)
+
+
+ENDS = ["dist_n", "dist_c", "dist_end", "is_n_term10", "is_c_term10", "is_n_term20", "is_c_term20", "chain_len_log"]
+
+
+@query("f17_pos_features", f"""
+WITH {fx.RESIDUES_SQL}, s AS (SELECT *, count(*) OVER (PARTITION BY chain) AS n FROM residues),
+e AS (SELECT chain, pos / n::DOUBLE AS dist_n, (n - 1 - pos) / n::DOUBLE AS dist_c, least(pos, n - 1 - pos) / n::DOUBLE AS dist_end,
+  (pos < 10)::DOUBLE AS is_n_term10, (pos >= n - 10)::DOUBLE AS is_c_term10, (pos < 20)::DOUBLE AS is_n_term20,
+  (pos >= n - 20)::DOUBLE AS is_c_term20, ln(1 + n) / ln(4097) AS chain_len_log FROM s) {digest_sql('chain', ENDS, 'e')}""")
+def _(spark, sf):
+    return digest(W.pos_features(fx.ordered_residues(spark, sf)), ["chain"], ENDS)
+
+
+@query("w01_local_position", f"""
+WITH {fx.SCORED_BASE_SQL},
+p AS (SELECT chain, l_shipdate, row_number() OVER w - 1 AS local_pos, count(*) OVER (PARTITION BY chain) AS chain_len FROM scored_base
+  WINDOW w AS (PARTITION BY chain ORDER BY {', '.join(fx.LINE_COLUMNS)}))
+SELECT chain, local_pos, chain_len, round(local_pos / greatest(1, chain_len - 1)::DOUBLE, 9) AS rel_pos FROM p""")
+def _(spark, sf):
+    out = W.local_position(fx.scored_base(spark, sf), ["chain"], fx.LINE_COLUMNS)
+    return out.select("chain", "local_pos", "chain_len", R("rel_pos", 9).alias("rel_pos"))
+
+
+@query("w02_ordinal_encode", """
+WITH f AS (SELECT user_id, event_type, min(event_id) AS first_row FROM events GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first_row) - 1 AS ordinal, count(*) OVER (PARTITION BY user_id) AS n_values FROM f)
+SELECT user_id, event_type, first_row, n_values, ordinal, round(ordinal / greatest(1, n_values - 1)::DOUBLE, 9) AS ordinal_norm FROM o""")
+def _(spark, sf):
+    return round_all(W.ordinal_encode(fx.table(spark, sf, "events"), "event_type", ["user_id"], "event_id"), 9)
+
+
+PROPS = {"hydropathy": (4.5, 9.0), "charge": (1.0, 2.0), "mass": (-75.0, 130.0), "volume": (-60.0, 168.0)}
+ROLL = [f"win{w}_{p}_{s}" for w in (7, 15, 31) for p in PROPS for s in ("mean", "std")]
+
+
+def roll_sql():
+    cols = []
+    for w in (7, 15, 31):
+        for p, (shift, scale) in PROPS.items():
+            cols.append(f"(avg({p}) OVER w{w} + {shift}) / {scale} AS win{w}_{p}_mean, stddev_pop({p}) OVER w{w} / {scale} AS win{w}_{p}_std")
+    wins = ", ".join(f"w{w} AS (PARTITION BY complex ORDER BY ord ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING)" for w in (7, 15, 31))
+    props = ", ".join(f"coalesce({p}, 0) AS {p}" for p in PROPS)
+    return f"""v AS (SELECT o.complex, o.chain, o.ord, {props} FROM ordered o LEFT JOIN tab t ON o.aa = t.aa),
+    e AS (SELECT chain, {', '.join(cols)} FROM v WINDOW {wins})"""
+
+
+@query("w03_rolling_stats", f"WITH {fx.ORDERED_SQL}, {TABLE_SQL}, {roll_sql()} {digest_sql('chain', ROLL, 'e')}")
+def _(spark, sf):
+    return digest(W.rolling_stats(fx.ordered_residues(spark, sf)), ["chain"], ROLL)
+
+
+@query("w04_rolling_mean_strict", f"""
+WITH {fx.RESIDUES_SQL}, {TABLE_SQL}, v AS (SELECT r.chain, r.pos, coalesce(pi, 6.0) AS pi FROM residues r LEFT JOIN tab t ON r.aa = t.aa),
+e AS (SELECT chain, {', '.join(f'CASE WHEN count(*) OVER w{w} = {w} THEN avg(pi) OVER w{w} ELSE 0.11111111 END AS wm{w}' for w in (3, 5, 7, 9))} FROM v
+  WINDOW {', '.join(f'w{w} AS (PARTITION BY chain ORDER BY pos ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING)' for w in (3, 5, 7, 9))})
+{digest_sql('chain', ['wm3', 'wm5', 'wm7', 'wm9'], 'e')}""")
+def _(spark, sf):
+    rows = fx.residues(spark, sf).withColumn("pi", P.lookup("aa", P.field("pi"), 6.0))
+    out = W.rolling_mean_strict(rows, ["pi"])
+    return digest(out.select("chain", *[F.col(f"{w}_wm_pi").alias(f"wm{w}") for w in (3, 5, 7, 9)]), ["chain"], ["wm3", "wm5", "wm7", "wm9"])
+
+
+def letter_counts_sql(sizes):
+    cols = ", ".join(f"sum((aa = '{a}')::INT) OVER w{w} AS c{w}_{a}" for w in sizes for a in P.LETTERS)
+    wins = ", ".join(f"w{w} AS (PARTITION BY complex ORDER BY ord ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING)" for w in sizes)
+    return f"lc AS (SELECT chain, {cols} FROM ordered WINDOW {wins})"
+
+
+def entropy_sql(w):
+    n = "(" + " + ".join(f"c{w}_{a}" for a in P.LETTERS) + ")::DOUBLE"
+    terms = " + ".join(f"CASE WHEN c{w}_{a} > 0 THEN c{w}_{a} / {n} * ln(c{w}_{a} / {n} + 1e-12) ELSE 0 END" for a in P.LETTERS)
+    return f"CASE WHEN {n} = 0 THEN 0 ELSE -({terms}) / ln(20) END"
+
+
+@query("w05_rolling_entropy", f"""
+WITH {fx.ORDERED_SQL}, {letter_counts_sql((7, 15, 31))},
+e AS (SELECT chain, {', '.join(f'{entropy_sql(w)} AS win{w}_entropy' for w in (7, 15, 31))} FROM lc)
+{digest_sql('chain', [f'win{w}_entropy' for w in (7, 15, 31)], 'e')}""")
+def _(spark, sf):
+    return digest(W.rolling_entropy(fx.ordered_residues(spark, sf)), ["chain"], [f"win{w}_entropy" for w in (7, 15, 31)])
+
+
+SHARES = [f"win{w}_{c}" for w in (5, 9, 17, 33) for c in [*[f"frac_{g}" for g in P.GROUPS], "max_aa_frac"]]
+
+
+def share_sql(w):
+    n = "greatest(1, " + " + ".join(f"c{w}_{a}" for a in P.LETTERS) + ")::DOUBLE"
+    cols = [f"({' + '.join(f'c{w}_{a}' for a in m)}) / {n} AS win{w}_frac_{g}" for g, m in P.GROUPS.items()]
+    return ", ".join([*cols, f"greatest({', '.join(f'c{w}_{a}' for a in P.LETTERS)}) / {n} AS win{w}_max_aa_frac"])
+
+
+@query("w06_rolling_class_share", f"""
+WITH {fx.ORDERED_SQL}, {letter_counts_sql((5, 9, 17, 33))}, e AS (SELECT chain, {', '.join(share_sql(w) for w in (5, 9, 17, 33))} FROM lc)
+{digest_sql('chain', SHARES, 'e')}""")
+def _(spark, sf):
+    return digest(W.rolling_class_share(fx.ordered_residues(spark, sf)), ["chain"], SHARES)
+
+
+MOMENTS = [f"win{w}_moment_{d}" for w in (9, 17, 33) for d in (100, 160)]
+
+
+def moment_sql():
+    xs = ", ".join(f"coalesce(hydropathy, 0) * cos(radians(({d} * ord)::DOUBLE)) AS x{d}, coalesce(hydropathy, 0) * sin(radians(({d} * ord)::DOUBLE)) AS y{d}" for d in (100, 160))
+    wins = ", ".join(f"w{w} AS (PARTITION BY complex ORDER BY ord ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING)" for w in (9, 17, 33))
+    ms = ", ".join(
+        f"""least(1, coalesce(sqrt(power(sum(x{d}) OVER w{w}, 2) + power(sum(y{d}) OVER w{w}, 2)) / nullif(4.5::DOUBLE * sum(ok) OVER w{w}, 0), 0)) AS win{w}_moment_{d}"""
+        for w in (9, 17, 33) for d in (100, 160))
+    return f"""v AS (SELECT o.complex, o.chain, o.ord, (o.aa <> 'X')::INT AS ok, {xs} FROM ordered o LEFT JOIN tab t ON o.aa = t.aa),
+    e AS (SELECT chain, {ms} FROM v WINDOW {wins})"""
+
+
+@query("w07_rolling_moment", f"WITH {fx.ORDERED_SQL}, {TABLE_SQL}, {moment_sql()} {digest_sql('chain', MOMENTS, 'e')}")
+def _(spark, sf):
+    return digest(W.rolling_moment(fx.ordered_residues(spark, sf)), ["chain"], MOMENTS)
+
+
+@query("w08_neighbor_letters", f"""
+WITH {fx.ORDERED_SQL}, v AS (SELECT aa, coalesce(lag(aa) OVER w, 'X') AS prev_aa, coalesce(lead(aa) OVER w, 'X') AS next_aa FROM ordered
+  WINDOW w AS (PARTITION BY complex ORDER BY ord)) SELECT prev_aa, aa, next_aa, count(*) AS n FROM v GROUP BY ALL""")
+def _(spark, sf):
+    return W.neighbor_letters(fx.ordered_residues(spark, sf)).groupBy("prev_aa", "aa", "next_aa").agg(F.count("*").alias("n"))
+
+
+@query("w09_segments", f"""
+WITH {fx.ORDERED_SQL}, v AS (SELECT *, (aa = 'X') AS gap FROM ordered),
+c AS (SELECT *, CASE WHEN lag(gap) OVER w IS DISTINCT FROM gap THEN 1 ELSE 0 END AS ch FROM v WINDOW w AS (PARTITION BY complex ORDER BY ord)),
+s AS (SELECT *, sum(ch) OVER (PARTITION BY complex ORDER BY ord) - 1 AS segment FROM c),
+g AS (SELECT complex, segment, gap, min(ord) AS start, max(ord) + 1 AS stop FROM s GROUP BY ALL)
+SELECT complex, gap, count(*) AS n, max(stop - start) AS longest, sum(segment)::BIGINT AS segment_sum, sum(start)::BIGINT AS start_sum FROM g GROUP BY ALL""")
+def _(spark, sf):
+    rows = fx.ordered_residues(spark, sf).withColumn("gap", F.col("aa") == "X")
+    segs = W.segments(rows, "gap", ["complex"], "ord")
+    return segs.groupBy("complex", "gap").agg(
+        F.count("*").alias("n"), F.max(F.col("stop") - F.col("start")).alias("longest"), F.sum("segment").alias("segment_sum"), F.sum("start").alias("start_sum"))
+
+
+@query("w09_chain_segments", f"""
+WITH {fx.CHAINS_SQL}, c AS (SELECT complex, chain, length(seq) AS n FROM chains WHERE length(seq) > 0)
+SELECT complex, chain, row_number() OVER w - 1 AS segment, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+  (sum(n) OVER w)::BIGINT AS stop FROM c WINDOW w AS (PARTITION BY complex ORDER BY chain)""")
+def _(spark, sf):
+    segs = W.segments(fx.ordered_residues(spark, sf), "chain", ["complex"], "ord")
+    return W.require_contiguous_values(segs, "chain", ["complex"])
+
+
+@query("w10_check_contiguous", """
+WITH s AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS n_distinct, min(l_linenumber) AS first, max(l_linenumber) AS last FROM lineitem GROUP BY 1)
+SELECT *, CASE WHEN n <> n_distinct THEN 'duplicate' WHEN first <> 1 THEN 'start' WHEN last <> n THEN 'gap' END AS problem FROM s
+WHERE n <> n_distinct OR first <> 1 OR last <> n""")
+def _(spark, sf):
+    return W.check_contiguous(fx.table(spark, sf, "lineitem"), ["l_orderkey"], "l_linenumber")
+
+
+@query("w11_offsets", """
+SELECT doc_id, n_chars, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM documents""")
+def _(spark, sf):
+    return W.offsets(fx.table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", ["doc_id"])
+
+
+@query("w12_best_epoch", f"""
+WITH {fx.RUNS_SQL}
+SELECT run, arg_max(epoch, metric * 1e7 - epoch) AS best_epoch, max(metric) AS best_value, max(epoch) AS last_epoch, bool_or(event = 'done') AS done FROM runs GROUP BY run""".replace(
+    "arg_max(epoch, metric * 1e7 - epoch)", "min(epoch) FILTER (metric = top)").replace("FROM runs GROUP BY", "FROM (SELECT *, max(metric) OVER (PARTITION BY run) AS top FROM runs) GROUP BY"))
+def _(spark, sf):
+    return W.best_epoch(fx.runs(spark, sf), "metric", event="event")
+
+
+FRENET = ["tx", "ty", "tz", "nx", "ny", "nz", "bx", "by", "bz", "curvature", "torsion"]
+FRENET_SQL = f"""
+p AS (SELECT complex, pos, x, y, z, count(*) OVER (PARTITION BY complex) AS n FROM placed QUALIFY n >= 4),
+d AS (SELECT *, {', '.join(f"CASE WHEN pos = 0 THEN lead({c}) OVER w - {c} WHEN pos = n - 1 THEN {c} - lag({c}) OVER w ELSE lead({c}) OVER w - lag({c}) OVER w END AS d{c}" for c in 'xyz')}
+  FROM p WINDOW w AS (PARTITION BY complex ORDER BY pos)),
+t AS (SELECT *, {', '.join(f"d{c} / sqrt(dx * dx + dy * dy + dz * dz) AS t{c}" for c in 'xyz')} FROM d),
+u AS (SELECT *, {', '.join(f"lead(t{c}) OVER w - lag(t{c}) OVER w AS u{c}" for c in 'xyz')} FROM t WINDOW w AS (PARTITION BY complex ORDER BY pos)),
+nn AS (SELECT *, {', '.join(f"CASE WHEN pos BETWEEN 1 AND n - 2 THEN u{c} / sqrt(ux * ux + uy * uy + uz * uz) ELSE 0 END AS n{c}" for c in 'xyz')},
+  CASE WHEN pos BETWEEN 1 AND n - 2 THEN sqrt(ux * ux + uy * uy + uz * uz) ELSE 0 END AS curvature FROM u),
+bb AS (SELECT *, ty * nz - tz * ny AS bx, tz * nx - tx * nz AS b_y, tx * ny - ty * nx AS bz FROM nn),
+ff AS (SELECT *, CASE WHEN pos BETWEEN 1 AND n - 2 THEN -((lead(bx) OVER w - lag(bx) OVER w) * nx + (lead(b_y) OVER w - lag(b_y) OVER w) * ny
+  + (lead(bz) OVER w - lag(bz) OVER w) * nz) ELSE 0 END AS torsion FROM bb WINDOW w AS (PARTITION BY complex ORDER BY pos))"""
+
+
+@query("w13_frenet", f"WITH {fx.PLACED_SQL}, {FRENET_SQL} SELECT complex, pos, {', '.join(f'round({"b_y" if c == "by" else c}, 6) + 0.0 AS "{c}"' for c in FRENET)} FROM ff")
+def _(spark, sf):
+    out = W.frenet(fx.placed_points(spark, sf).select("complex", "pos", "x", "y", "z"), by=["complex"])
+    return out.select("complex", "pos", *[R(c).alias(c) for c in FRENET])
+
+
+TORSION = [f"{a}_{n}" for a in ("phi", "psi", "omega") for n in ("sin", "cos")]
+
+
+def dihedral_sql(p0, p1, p2, p3, name):
+    def v(a, c):
+        return f"{a}_{c}"
+
+    b = {k: {c: f"({v(q, c)} - {v(p, c)})" for c in "xyz"} for k, (p, q) in {"b0": (p0, p1), "b1": (p1, p2), "b2": (p2, p3)}.items()}
+    dot = lambda m, n: "(" + " + ".join(f"{m[c]} * {n[c]}" for c in "xyz") + ")"
+    norm = f"sqrt({dot(b['b1'], b['b1'])})"
+    # The first bond keeps its direction, which turns the textbook angle by pi: both terms change sign.
+    cr = lambda m, n: {"x": f"({m['y']} * {n['z']} - {m['z']} * {n['y']})", "y": f"({m['z']} * {n['x']} - {m['x']} * {n['z']})", "z": f"({m['x']} * {n['y']} - {m['y']} * {n['x']})"}
+    num = f"{norm} * {dot(b['b0'], cr(b['b1'], b['b2']))}"
+    den = f"{dot(cr(b['b0'], b['b1']), cr(b['b1'], b['b2']))}"
+    return f"atan2(-({num}), -({den})) AS {name}"
+
+
+@query("w14_torsions", f"""
+WITH {fx.ATOMS_SQL},
+r AS (SELECT complex, pos, {', '.join(f"max(CASE WHEN atom = '{a}' THEN {c} END) AS {a}_{c}" for a in ('N', 'CA', 'C') for c in 'xyz')} FROM atoms GROUP BY complex, pos),
+q AS (SELECT *, {', '.join(f"lag(CA_{c}) OVER w AS pca_{c}, lag(C_{c}) OVER w AS pc_{c}, lead(N_{c}) OVER w AS nn_{c}" for c in 'xyz')} FROM r
+  WINDOW w AS (PARTITION BY complex ORDER BY pos)),
+a AS (SELECT complex, pos, {dihedral_sql('pc', 'N', 'CA', 'C', 'phi')}, {dihedral_sql('N', 'CA', 'C', 'nn', 'psi')}, {dihedral_sql('pca', 'pc', 'N', 'CA', 'omega')} FROM q)
+SELECT complex, pos, {', '.join(f'round(coalesce({n}({a}), 0), 6) + 0.0 AS {a}_{n}' for a in ('phi', 'psi', 'omega') for n in ('sin', 'cos'))} FROM a""")
+def _(spark, sf):
+    rows = W.backbone(fx.atoms(spark, sf), ["complex", "pos"])
+    return round_all(W.torsions(rows, by=["complex"]))
+
+
+@query("w15_curvature_roughness", f"""
+WITH {fx.PLACED_SQL},
+l AS (SELECT complex, pos, x, y, z, {', '.join(f'{c} - lag({c}) OVER w AS d1{c}, lead({c}) OVER w - {c} AS d2{c}' for c in 'xyz')},
+  count(*) OVER f AS k, sum(x + y + z) OVER f AS s, sum(x * x + y * y + z * z) OVER f AS q FROM placed
+  WINDOW w AS (PARTITION BY complex ORDER BY pos), f AS (PARTITION BY complex ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+m AS (SELECT complex, pos, coalesce(sqrt(power(d2x - d1x, 2) + power(d2y - d1y, 2) + power(d2z - d1z, 2)) / (sqrt(d1x * d1x + d1y * d1y + d1z * d1z) + 1e-6), 0) AS c,
+  CASE WHEN k > 1 THEN sqrt(q / (3 * k) - power(s / (3 * k), 2)) ELSE 0 END AS r FROM l)
+SELECT complex, pos, round(c / (max(c) OVER (PARTITION BY complex) + 1e-6), 6) AS curvature, round(r / max(r) OVER (PARTITION BY complex), 6) AS roughness FROM m""")
+def _(spark, sf):
+    pts = fx.placed_points(spark, sf).select("complex", "pos", "x", "y", "z")
+    return round_all(W.curvature_roughness(pts))
+
+
+@query("w16_helix_flag", f"""
+WITH {fx.PLACED_SQL}, s AS (SELECT complex, pos, x / 3 AS x, y / 3 AS y, z / 3 AS z FROM placed),
+d AS (SELECT *, coalesce(pos >= 1 AND sqrt(power(lead(x, 3) OVER w - x, 2) + power(lead(y, 3) OVER w - y, 2) + power(lead(z, 3) OVER w - z, 2)) BETWEEN 4.5 AND 6.5, false) AS turn
+  FROM s WINDOW w AS (PARTITION BY complex ORDER BY pos))
+SELECT complex, pos, turn OR coalesce(lag(turn) OVER (PARTITION BY complex ORDER BY pos), false) AS helix FROM d""")
+def _(spark, sf):
+    pts = fx.placed_points(spark, sf).select("complex", "pos", *[(F.col(c) / 3).alias(c) for c in "xyz"])
+    return W.helix_flag(pts).select("complex", "pos", "helix")
