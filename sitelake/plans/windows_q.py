@@ -315,10 +315,10 @@ r AS (SELECT complex, pos, {', '.join(f"max(CASE WHEN atom = '{a}' THEN {c} END)
 q AS (SELECT *, {', '.join(f"lag(CA_{c}) OVER w AS pca_{c}, lag(C_{c}) OVER w AS pc_{c}, lead(N_{c}) OVER w AS nn_{c}" for c in 'xyz')} FROM r
   WINDOW w AS (PARTITION BY complex ORDER BY pos)),
 a AS (SELECT complex, pos, {dihedral_sql('pc', 'N', 'CA', 'C', 'phi')}, {dihedral_sql('N', 'CA', 'C', 'nn', 'psi')}, {dihedral_sql('pca', 'pc', 'N', 'CA', 'omega')} FROM q)
-SELECT complex, pos, {', '.join(f'round(coalesce({n}({a}), 0), 6) + 0.0 AS {a}_{n}' for a in ('phi', 'psi', 'omega') for n in ('sin', 'cos'))} FROM a""")
+SELECT complex, pos, {', '.join(f'round(coalesce({n}({a}), 0), 4) + 0.0 AS {a}_{n}' for a in ('phi', 'psi', 'omega') for n in ('sin', 'cos'))} FROM a""")
 def _(spark, sf):
     rows = W.backbone(fx.atoms(spark, sf), ["complex", "pos"])
-    return round_all(W.torsions(rows, by=["complex"]))
+    return round_all(W.torsions(rows, by=["complex"]), 4)
 
 
 @query("w15_curvature_roughness", f"""
@@ -331,7 +331,7 @@ m AS (SELECT complex, pos, coalesce(sqrt(power(d2x - d1x, 2) + power(d2y - d1y,
 SELECT complex, pos, round(c / (max(c) OVER (PARTITION BY complex) + 1e-6), 6) AS curvature, round(r / max(r) OVER (PARTITION BY complex), 6) AS roughness FROM m""")
 def _(spark, sf):
     pts = fx.placed_points(spark, sf).select("complex", "pos", "x", "y", "z")
-    return round_all(W.curvature_roughness(pts))
+    return round_all(W.curvature_roughness(pts)).select("complex", "pos", "curvature", "roughness")
 
 
 @query("w16_helix_flag", f"""
