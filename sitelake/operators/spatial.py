@@ -457,8 +457,11 @@ def frame_vectors(atoms: DataFrame, by: Sequence[str], letter: str = "aa") -> Da
         *[pick(a, c).alias(f"{a}_{c}") for a in ("N", "CA", "C", "O", "CB") for c in XYZ],
         *[F.avg(F.when(side, F.col(c))).alias(f"S_{c}") for c in XYZ])
     ca, n, c, o, cb, s = (vec(f"{a}_") for a in ("CA", "N", "C", "O", "CB", "S"))
-    bis = v_unit(tuple(p + q for p, q in zip(v_unit(v_sub(ca, n)), v_unit(v_sub(ca, c)))))
-    s1 = g.withColumns(v_named(v_unit(v_sub(cb, ca)), "__r") | v_named(v_unit(v_scale(bis, F.lit(-1.5))), "__v"))
+    # One normalisation per projection: nesting them would repeat the inner norms in every component.
+    g = g.withColumns(v_named(v_unit(v_sub(ca, n)), "__a") | v_named(v_unit(v_sub(ca, c)), "__b"))
+    g = g.withColumns(v_named(tuple(p + q for p, q in zip(vec("__a"), vec("__b"))), "__w"))
+    g = g.withColumns(v_named(v_unit(vec("__w")), "__u"))
+    s1 = g.withColumns(v_named(v_unit(v_sub(cb, ca)), "__r") | v_named(v_unit(v_scale(vec("__u"), F.lit(-1.5))), "__v"))
     real = (F.col(letter) != "G") & F.col("CB_x").isNotNull()
     virtual = F.col("N_x").isNotNull() & F.col("C_x").isNotNull()
     base = {f"base_{c}": F.when(real, F.col(f"__r{c}")).when(virtual, F.col(f"__v{c}")).otherwise(0.0) for c in XYZ}

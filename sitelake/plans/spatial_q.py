@@ -50,7 +50,7 @@ def _(spark, sf):
     return X.contact_labels(fx.points(spark, sf), 5.5, ["complex", "chain", "pid"])
 
 
-@query("j11_radius_neighbors", agg_sql({f"n_{r}": f"sum((d > 0 AND d < {r})::INT)" for r in (5, 10, 15)}, "d < 15"))
+@query("j11_radius_neighbors", agg_sql({f"n_{r}": f"sum((d > 0 AND d < {r})::DOUBLE)" for r in (5, 10, 15)}, "d < 15"))
 def _(spark, sf):
     return per_point(spark, sf, X.radius_neighbors(fx.points(spark, sf), [5.0, 10.0, 15.0]), ["n_5", "n_10", "n_15"])
 

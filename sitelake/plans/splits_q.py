@@ -1 +1,210 @@
+"""Splitting, packing, tiling and audit queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sitelake.core import running_totals
+from sitelake.operators import splits as D
+from sitelake.plans import fixtures as fx
+from sitelake.plans.graph_q import component_table
+from sitelake.plans.joins_q import HITS_SQL, hit_tables, letter
+from sitelake.plans.metrics_q import round_all
+from sitelake.plans.registry import query
+from sitelake.plans.select_q import RANK_SQL, split_rank
+from sitelake.plans.windows_q import digest, digest_sql
+
+
+@query("d01_cluster_disjoint_split")
+def _(spark, sf):
+    return D.cluster_disjoint_split(fx.kept(spark, sf, "component_table", lambda: component_table(spark, sf)))
+
+
+@query("d02_balanced_split")
+def _(spark, sf):
+    return D.balanced_split(fx.kept(spark, sf, "component_table", lambda: component_table(spark, sf)))
+
+
+@query("d03_random_split", """
+WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY sha1(concat(o_orderkey, ':42')), o_orderkey) AS rn, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, CASE WHEN rn <= floor(n * 0.8) THEN 'train' WHEN rn <= floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM o""")
+def _(spark, sf):
+    return D.random_split(fx.table(spark, sf, "orders"), "o_orderkey")
+
+
+def nonredundant(spark, sf):
+    return D.nonredundant(fx.dedup(spark, sf).select("seq_hash", "id", "source", "split", "n"), "seq_hash", [split_rank(), F.col("source")])
+
+
+@query("d04_nonredundant_removed", f"""
+WITH {fx.DEDUP_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY seq_hash ORDER BY {RANK_SQL}, source, id) AS rn FROM dedup)
+SELECT split, count(*) AS n_in, count(*) FILTER (rn = 1) AS n_kept, count(*) FILTER (rn > 1) AS n_removed FROM r GROUP BY split""")
+def _(spark, sf):
+    return nonredundant(spark, sf)["removed"]
+
+
+@query("d04_nonredundant_crossing", f"""
+WITH {fx.DEDUP_SQL} SELECT seq_hash, count(*) AS n FROM dedup GROUP BY seq_hash HAVING count(DISTINCT split) > 1 OR count(*) < 0""".replace("HAVING count(DISTINCT split) > 1 OR count(*) < 0", "HAVING count(DISTINCT source) > 1"))
+def _(spark, sf):
+    # documents copied across sources stand for sequences that occur in several splits
+    d = fx.dedup(spark, sf).select("seq_hash", "id", F.col("source").alias("split"), "n")
+    return D.nonredundant(d, "seq_hash", [F.col("split")])["crossing"]
+
+
+@query("d05_audit_split", """
+WITH m AS (SELECT o_orderkey AS id, o_orderstatus AS split, o_custkey, o_orderpriority FROM orders),
+man AS (SELECT l_orderkey AS id, min(l_linestatus) AS stated FROM lineitem GROUP BY 1),
+bad AS (
+  SELECT 'overlap_o_custkey' AS "check", CAST(o_custkey AS VARCHAR) AS k FROM m GROUP BY o_custkey HAVING min(split) <> max(split)
+  UNION ALL SELECT 'overlap_o_orderpriority', o_orderpriority FROM m GROUP BY 2 HAVING min(split) <> max(split)
+  UNION ALL SELECT 'missing_in_manifest', CAST(id AS VARCHAR) FROM m WHERE id NOT IN (SELECT id FROM man)
+  UNION ALL SELECT 'split_disagreement', CAST(id AS VARCHAR) FROM m JOIN man USING (id) WHERE stated <> split),
+c AS (SELECT "check", count(*) AS n, array_to_string(list_sort(list(k) FILTER (rn <= 20)), ';') AS examples
+  FROM (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY k) AS rn FROM bad) GROUP BY "check")
+SELECT d."check", coalesce(n, 0) AS n, examples, CASE WHEN coalesce(n, 0) = 0 THEN 'PASS' ELSE 'FAIL' END AS status
+FROM (VALUES ('duplicate_ids'), ('overlap_o_custkey'), ('overlap_o_orderpriority'), ('missing_in_manifest'), ('split_disagreement')) d("check") LEFT JOIN c USING ("check")""")
+def _(spark, sf):
+    m = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("split"), "o_custkey", "o_orderpriority")
+    man = fx.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_linestatus").alias("split"))
+    return D.audit_split(m, ["o_custkey", "o_orderpriority"], man).withColumn("examples", F.array_join("examples", ";"))
+
+
+@query("d06_audit_pairs", f"""
+WITH {HITS_SQL}, t AS (SELECT hits.*, q.split AS qs, t.split AS ts FROM hits LEFT JOIN member q ON query = q.id LEFT JOIN member t ON target = t.id WHERE pident >= 0.3),
+o AS (SELECT CASE WHEN qs IS NULL OR ts IS NULL THEN 'missing' WHEN qs = ts THEN 'same' ELSE concat(least(qs, ts), '__', greatest(qs, ts)) END AS outcome, pident FROM t)
+SELECT outcome, count(*) AS n_hits, round(max(pident), 6) AS max_pident, CASE WHEN outcome IN ('same', 'missing') THEN 'PASS' ELSE 'FAIL' END AS status FROM o GROUP BY outcome""")
+def _(spark, sf):
+    return round_all(D.audit_pairs(*hit_tables(spark, sf)))
+
+
+@query("d07_pack_batches")
+def _(spark, sf):
+    return D.pack_batches(fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("n")), 32, 65536)
+
+
+@query("d07_pack_batches_shuffled")
+def _(spark, sf):
+    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("n"))
+    return D.pack_batches_shuffled(docs, 32, 65536, bucket=256, seed=42)
+
+
+PICK = "sha1(concat(chain, ':', position - 1, ':42'))"
+
+
+@query("d08_crop", f"""
+WITH {fx.SCORED_SQL}, g AS (SELECT chain, count(*) AS n, arg_min(position - 1, {PICK}) AS a, arg_min(position - 1, {PICK}) FILTER (label = 1) AS p,
+  CAST(concat('0x', substr(sha1(concat(chain, ':42')), 1, 8)) AS BIGINT) / 4294967296.0 AS coin FROM scored GROUP BY chain),
+c AS (SELECT chain, n, CASE WHEN n <= 128 THEN 0 ELSE greatest(0, least(CASE WHEN coin < 0.5 AND p IS NOT NULL THEN p ELSE a END - 64, n - 128)) END AS start FROM g)
+SELECT chain, n, CAST(start AS BIGINT) AS start, CAST(least(n, start + 128) AS BIGINT) AS stop FROM c""")
+def _(spark, sf):
+    rows = fx.scored(spark, sf).select("chain", (F.col("position") - 1).alias("pos"), "label")
+    return D.crop(rows, 128, "positive", 42, positive_prob=0.5)
+
+
+TILE_SQL = """
+t AS (SELECT doc_id AS chain, n_chars AS n, unnest(CASE WHEN n_chars <= 1024 THEN [0::BIGINT] ELSE list_concat(range(0, n_chars - 1024, 960), [n_chars - 1024]) END) AS tile_start FROM documents),
+tiles AS (SELECT *, least(n, tile_start + 1024) AS tile_stop FROM t)"""
+
+
+def tile_table(spark, sf):
+    return D.tiles(fx.table(spark, sf, "documents").select(F.col("doc_id").alias("chain"), F.col("n_chars").alias("n")), 1024, 64)
+
+
+@query("d09_tiles", f"WITH {TILE_SQL} SELECT * FROM tiles")
+def _(spark, sf):
+    return tile_table(spark, sf)
+
+
+@query("d10_merge_tiles", f"""
+WITH {TILE_SQL}, v AS (SELECT chain, unnest(range(tile_start, tile_stop)) AS pos, tile_start FROM tiles),
+m AS (SELECT chain, pos, avg(pos * 0.001::DOUBLE + tile_start * 0.0005::DOUBLE) AS value, count(*) AS n_tiles FROM v GROUP BY ALL)
+SELECT chain, count(*) AS n, round(avg(value), 6) + 0.0 AS value, round(avg(n_tiles), 6) + 0.0 AS n_tiles FROM m GROUP BY chain""")
+def _(spark, sf):
+    t = tile_table(spark, sf)
+    values = t.where("n > 0").select("chain", "tile_start", F.explode(F.sequence("tile_start", F.col("tile_stop") - 1)).alias("pos")).withColumn(
+        "value", F.col("pos") * 0.001 + F.col("tile_start") * 0.0005)
+    return digest(D.merge_tiles(values, t.where("n > 0").select("chain", "n").distinct()), ["chain"], ["value", "n_tiles"])
+
+
+@query("d11_slices", f"""
+WITH {fx.RESIDUES_SQL}, v AS (SELECT chain, pos, (aa <> 'X')::DOUBLE AS value FROM residues), n AS (SELECT chain, count(*) AS n FROM v GROUP BY chain),
+a AS (SELECT chain, CAST(floor(pos / 512) AS BIGINT) AS slice, value, false AS is_pad FROM v
+  UNION ALL SELECT chain, CAST(floor(n / 512) AS BIGINT), -1, true FROM (SELECT chain, n, unnest(range(n % 512, 512)) FROM n WHERE n % 512 <> 0))
+SELECT chain, slice, count(*) AS n, sum(value) AS total, sum(is_pad::INT)::BIGINT AS n_pad FROM a GROUP BY ALL""")
+def _(spark, sf):
+    rows = fx.residues(spark, sf).select("chain", "pos", (F.col("aa") != "X").cast("double").alias("value"))
+    return D.slices(rows, 512, "value", -1.0).groupBy("chain", "slice").agg(
+        F.count("*").alias("n"), F.sum("value").alias("total"), F.sum(F.col("is_pad").cast("long")).alias("n_pad"))
+
+
+@query("d11_unslice", f"WITH {fx.RESIDUES_SQL}, v AS (SELECT chain, pos, (aa <> 'X')::DOUBLE * pos AS value, pos AS p FROM residues) {digest_sql('chain', ['p', 'value'], 'v')}")
+def _(spark, sf):
+    rows = fx.residues(spark, sf).select("chain", "pos", ((F.col("aa") != "X").cast("double") * F.col("pos")).alias("value"))
+    back = D.unslice(D.slices(rows, 512, "value", -1.0), 512, "value")
+    return digest(back.withColumnRenamed("pos", "p"), ["chain"], ["p", "value"])
+
+
+def subset(spark, sf):
+    docs = fx.table(spark, sf, "documents")
+    chains = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("seq"), "source")
+    labels = fx.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    known = fx.table(spark, sf, "benchmark").select(F.sha2("text", 256).alias("seq_sha256"), F.col("item_id").alias("known_id"))
+    return D.benchmark_subset(chains, docs.where("lang <> 'de'").select(F.col("doc_id").alias("id")), labels, known)
+
+
+@query("d12_benchmark_unique", """
+WITH k AS (SELECT doc_id, text, sha256(text) AS h FROM documents WHERE lang <> 'de' AND doc_id IN (SELECT doc_id FROM labels)),
+b AS (SELECT sha256(text) AS h, min(item_id) AS known_id FROM benchmark GROUP BY 1)
+SELECT k.h AS seq_sha256, min(length(text)) AS n, count(*) AS n_members, min(doc_id) AS first_member, any_value(known_id) AS known_id FROM k LEFT JOIN b ON b.h = k.h GROUP BY k.h""")
+def _(spark, sf):
+    return subset(spark, sf)["unique"]
+
+
+@query("d12_benchmark_dropped", "SELECT doc_id AS id, source FROM documents WHERE lang = 'de'")
+def _(spark, sf):
+    return subset(spark, sf)["dropped"].select("id", "source")
+
+
+@query("d13_run_list", "SELECT l_partkey, count(*) AS n_dependants, min(l_orderkey) AS first_dependant FROM lineitem GROUP BY l_partkey")
+def _(spark, sf):
+    return D.run_list(fx.table(spark, sf, "lineitem"), "l_partkey", "l_orderkey")[0]
+
+
+def work(spark, sf):
+    done = fx.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return D.pending(fx.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), done, ["o_orderkey"])
+
+
+@query("d14_pending", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def _(spark, sf):
+    return work(spark, sf)[0]
+
+
+@query("d14_skipped", "SELECT o_orderkey, o_orderstatus, 'SKIP' AS status FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def _(spark, sf):
+    return work(spark, sf)[1]
+
+
+@query("d15_import_predictions", f"""
+WITH m AS (SELECT o_custkey AS seq_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position, o_orderkey FROM orders),
+man AS (SELECT seq_id, position, substr('{fx.LETTERS}', CAST(o_orderkey % 20 + 1 AS INTEGER), 1) AS residue FROM m),
+p AS (SELECT seq_id, CASE WHEN position = 9 THEN 8 ELSE position END AS position, substr('{fx.LETTERS}', CAST((o_orderkey + (position = 5)::INT) % 20 + 1 AS INTEGER), 1) AS residue
+  FROM m JOIN customer ON c_custkey = seq_id WHERE c_acctbal > 0 AND position <> 13),
+o AS (SELECT seq_id, position, count(*) AS k, max(residue) AS r FROM p GROUP BY ALL),
+s AS (SELECT seq_id, sum(k)::BIGINT AS observed, count(*) FILTER (k > 1) AS n_ambiguous FROM o GROUP BY seq_id),
+w AS (SELECT man.seq_id, count(*) AS n_mismatch FROM man JOIN o USING (seq_id, position) WHERE residue <> r GROUP BY ALL),
+e AS (SELECT seq_id, count(*) AS expected FROM man GROUP BY seq_id)
+SELECT seq_id, expected, coalesce(observed, 0) AS observed, coalesce(n_ambiguous, 0) AS n_ambiguous, coalesce(n_mismatch, 0) AS n_mismatch,
+  CASE WHEN observed IS NULL THEN 'missing' WHEN n_ambiguous > 0 THEN 'ambiguous' WHEN observed <> expected THEN 'length' WHEN n_mismatch > 0 THEN 'residue' ELSE 'OK' END AS status
+FROM e LEFT JOIN s USING (seq_id) LEFT JOIN w USING (seq_id)""")
+def _(spark, sf):
+    m = fx.kept(spark, sf, "order_positions", lambda: running_totals(
+        fx.table(spark, sf, "orders").select(F.col("o_custkey").alias("seq_id"), "o_orderkey"), by=["seq_id"], order=["o_orderkey"], rank="position"))
+    manifest = m.select("seq_id", "position", letter(F.col("o_orderkey")).alias("residue"))
+    open_ = fx.table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("seq_id"))
+    pred = m.join(open_, "seq_id", "left_semi").where("position <> 13").select(
+        "seq_id", F.when(F.col("position") == 9, 8).otherwise(F.col("position")).alias("position"),
+        letter(F.col("o_orderkey") + (F.col("position") == 5).cast("int")).alias("residue"))
+    return D.import_predictions(manifest, pred)
+
 
