@@ -1 +1,329 @@
+"""Scalar-function queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sitelake.core import rounded as R
+from sitelake.functions import numeric as N
+from sitelake.functions import residue as P
+from sitelake.functions import text as T
+from sitelake.plans import fixtures as fx
+from sitelake.plans.metrics_q import COVERAGE_SQL, complex_labels, round_all
+from sitelake.plans.registry import query
+from sitelake.plans.windows_q import TABLE_SQL
+
+
+@query("f01_norm_text", r"""
+SELECT doc_id, length(trim(lower(concat('  ', source, ' ')))) AS n_id, trim(lower(concat('  ', source, ' '))) AS id, sha1(regexp_replace(text, '\s+', '', 'g')) AS squeezed FROM documents""")
+def _(spark, sf):
+    d = fx.table(spark, sf, "documents")
+    padded = F.concat(F.lit("  "), F.col("source"), F.lit(" "))
+    return d.select("doc_id", F.length(T.norm_id(padded)).alias("n_id"), T.norm_id(padded).alias("id"), F.sha1(F.regexp_replace("text", r"\s+", "")).alias("squeezed"))
+
+
+@query("f01_norm_seq", r"SELECT p_partkey, upper(regexp_replace(p_name, '\s+', '', 'g')) AS seq FROM part")
+def _(spark, sf):
+    return fx.table(spark, sf, "part").select("p_partkey", T.norm_seq("p_name").alias("seq"))
+
+
+CODES = [r[1] for r in P.RESIDUES] + ["SEC", "MSE", "UNK"]
+
+
+@query("f02_map_code", f"""
+WITH {TABLE_SQL}, c AS (SELECT l_orderkey, (['{"', '".join(CODES)}'])[CAST((l_partkey + l_linenumber) % {len(CODES)} + 1 AS INTEGER)] AS code FROM lineitem)
+SELECT code3, letter, letter_pred, count(*) AS n FROM (SELECT c.code AS code3, CASE c.code WHEN 'SEC' THEN 'U' ELSE coalesce(tab.aa, 'X') END AS letter,
+  CASE c.code WHEN 'SEC' THEN 'C' WHEN 'MSE' THEN 'M' ELSE coalesce(tab.aa, 'X') END AS letter_pred FROM c LEFT JOIN tab ON tab.code = c.code) GROUP BY ALL""")
+def _(spark, sf):
+    names = F.array(*[F.lit(c) for c in CODES])
+    code = F.get(names, ((F.col("l_partkey") + F.col("l_linenumber")) % len(CODES)).cast("int"))
+    rows = fx.table(spark, sf, "lineitem").select(code.alias("code3"))
+    return rows.select("code3", P.map_code("code3", P.EXTRA_CODES["sequence"]).alias("letter"), P.map_code("code3", P.EXTRA_CODES["structure"]).alias("letter_pred")).groupBy(
+        "code3", "letter", "letter_pred").agg(F.count("*").alias("n"))
+
+
+@query("f03_safe_token", """
+SELECT page_id, array_to_string(list_transform(string_split(url, ''), lambda c: CASE WHEN regexp_matches(c, '^[A-Za-z0-9_.\\-]$') THEN c ELSE concat('_', lower(hex(ord(c)))) END), '') AS token FROM pages""".replace(
+    "lower(hex(ord(c)))", "printf('%x', ord(c))"))
+def _(spark, sf):
+    return fx.table(spark, sf, "pages").select("page_id", T.safe_token("url").alias("token"))
+
+
+@query("f03_dedupe_ids", """
+WITH t AS (SELECT o_custkey, o_orderkey, o_orderstatus AS token, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS rn FROM orders)
+SELECT o_custkey, o_orderkey, token, CASE WHEN rn > 1 THEN concat(token, '_', rn) ELSE token END AS seq_id FROM t""")
+def _(spark, sf):
+    rows = fx.table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("token"))
+    return T.dedupe_ids(rows, "token", ["o_custkey"], "o_orderkey")
+
+
+@query("f04_tolerant_casts", """
+WITH w AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '' WHEN page_id % 5 = 1 THEN concat(' ', page_id, '.75 ') WHEN page_id % 5 = 2 THEN substr(url, 1, 8) ELSE CAST(page_id AS VARCHAR) END AS cell FROM pages)
+SELECT page_id, coalesce(CAST(trunc(try_cast(trim(cell) AS DOUBLE)) AS BIGINT), 0) AS as_int, coalesce(try_cast(trim(cell) AS DOUBLE), 0) AS as_float FROM w""")
+def _(spark, sf):
+    m = F.col("page_id") % 5
+    cell = F.when(m == 0, "").when(m == 1, F.concat(F.lit(" "), F.col("page_id").cast("string"), F.lit(".75 "))).when(m == 2, F.substring("url", 1, 8)).otherwise(F.col("page_id").cast("string"))
+    return fx.table(spark, sf, "pages").select("page_id", N.to_int(cell).alias("as_int"), N.to_float(cell).alias("as_float"))
+
+
+QC_VIEW = """
+q AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal / 1500 END AS rez, c_nationkey % 5 AS mthm,
+  CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'x-ray diffraction' ELSE 'solution nmr' END AS met, n AS nchain, length(c_name) + c_nationkey AS len_seq
+  FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey)"""
+
+
+@query("f05_qc_filter", f"WITH {QC_VIEW} SELECT c_custkey, round(rez, 6) AS rez FROM q WHERE rez < 3.5 AND mthm >= 2 AND met = 'x-ray diffraction' AND nchain >= 2 AND len_seq < 38")
+def _(spark, sf):
+    n = fx.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("nchain"))
+    q = fx.table(spark, sf, "customer").join(n, "c_custkey", "left").select(
+        "c_custkey", F.when(F.col("c_acctbal") < 0, float("nan")).otherwise(F.col("c_acctbal") / 1500).alias("rez"), (F.col("c_nationkey") % 5).alias("mthm"),
+        F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "x-ray diffraction").otherwise("solution nmr").alias("met"), "nchain",
+        (F.length("c_name") + F.col("c_nationkey")).alias("len_seq"))
+    return T.qc_filter(q, 38).select("c_custkey", R("rez").alias("rez"))
+
+
+@query("f06_eligible", f"""
+WITH {COVERAGE_SQL}, m AS (SELECT complex, n_positive, CASE WHEN coverage = 0 THEN 'ERROR' WHEN coverage < 0.5 THEN 'SKIP' ELSE 'OK' END AS status FROM cov)
+SELECT complex, status, n_positive::BIGINT AS n_positive FROM m WHERE status IN ('OK', 'SKIP') AND n_positive > 0""")
+def _(spark, sf):
+    status = F.when(F.col("coverage") == 0, "ERROR").when(F.col("coverage") < 0.5, "SKIP").otherwise("OK")
+    return T.eligible(complex_labels(spark, sf).select("complex", status.alias("status"), "n_positive"))
+
+
+@query("f07_heavy_atoms", f"""
+WITH {fx.ATOMS_SQL} SELECT complex, chain, count(*) AS n, round(sum(x), 4) + 0.0 AS x FROM atoms
+WHERE atom <> 'OG' AND NOT (atom = 'CB' AND pid % 3 = 0) AND NOT (atom = 'N' AND pid % 4 = 0) GROUP BY complex, chain""")
+def _(spark, sf):
+    a = fx.atoms(spark, sf)
+    named = F.when(F.col("atom") == "OG", " hg1 ").when((F.col("atom") == "CB") & (F.col("pid") % 3 == 0), "  ").otherwise(F.col("atom"))
+    odd = a.withColumns({"atom": named, "x": F.when((F.col("atom") == "N") & (F.col("pid") % 4 == 0), float("inf")).otherwise(F.col("x"))})
+    return T.heavy_atoms(odd).groupBy("complex", "chain").agg(F.count("*").alias("n"), R(F.sum("x"), 4).alias("x"))
+
+
+@query("f08_chain_filter", f"""
+WITH {fx.CHAINS_SQL} SELECT chain, length(seq) AS n, round((length(seq) - length(replace(seq, 'X', '')))::DOUBLE / length(seq), 6) AS unknown FROM chains
+WHERE length(seq) >= 400 AND (length(seq) - length(replace(seq, 'X', '')))::DOUBLE / length(seq) <= 0.35""")
+def _(spark, sf):
+    kept = T.chain_filter(fx.chains(spark, sf), 400, 0.35)
+    return kept.select("chain", F.length("seq").alias("n"), R(T.unknown_fraction("seq")).alias("unknown"))
+
+
+@query("f09_minmax_clip", """
+SELECT doc_id, round((n_chars - 100) / 1900.0::DOUBLE, 9) + 0.0 AS scaled, round(least(n_chars / 2050.0::DOUBLE, 1), 9) AS length_norm, round(greatest(0, least(1, n_chars / 233.0::DOUBLE)), 9) AS clipped FROM documents""")
+def _(spark, sf):
+    n = F.col("n_chars")
+    return fx.table(spark, sf, "documents").select(
+        "doc_id", R(N.minmax(n, 100.0, 2000.0), 9).alias("scaled"), R(F.least(n / 2050.0, F.lit(1.0)), 9).alias("length_norm"), R(N.clip(n / 233.0, 0.0, 1.0), 9).alias("clipped"))
+
+
+@query("f10_logit_sigmoid", f"""
+WITH {fx.SCORED_BASE_SQL}, l AS (SELECT chain, ln(greatest(1e-7, least(1 - 1e-7, s2))) - ln(1 - greatest(1e-7, least(1 - 1e-7, s2))) AS l FROM scored_base)
+SELECT chain, round(avg(l), 6) + 0.0 AS mean_logit, round(avg(1 / (1 + exp(-l))), 6) AS mean_back FROM l GROUP BY chain""")
+def _(spark, sf):
+    rows = fx.scored_base(spark, sf).select("chain", N.logit("s2").alias("l"))
+    return rows.groupBy("chain").agg(R(F.avg("l")).alias("mean_logit"), R(F.avg(N.sigmoid("l"))).alias("mean_back"))
+
+
+@query("f11_score_from_dist", """
+WITH d AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice / 40000 END AS d0 FROM orders), e AS (SELECT o_orderkey, coalesce(d0, 8) AS d FROM d)
+SELECT o_orderkey, round(greatest(1e-6, exp(-d / 8)), 12) AS s_exp, round(greatest(1e-6, greatest(0, least(1, (8 - d) / 8))), 12) AS s_linear, round(greatest(1e-6, 1 / (1 + d)), 12) AS s_inverse FROM e""")
+def _(spark, sf):
+    d = F.when(F.col("o_orderstatus") == "P", float("nan")).otherwise(F.col("o_totalprice") / 40000)
+    return fx.table(spark, sf, "orders").select("o_orderkey", *[R(N.score_from_dist(d, 8.0, m), 12).alias(f"s_{m}") for m in ("exp", "linear", "inverse")])
+
+
+@query("f12_seq_key", """
+SELECT doc_id, substr(sha1(text), 1, 16) AS key, sha256(text) AS sha256, concat('L', lpad(CAST(length(text) AS VARCHAR), 5, '0'), '_', substr(sha256(text), 1, 16)) AS structure FROM documents""")
+def _(spark, sf):
+    return fx.table(spark, sf, "documents").select("doc_id", T.seq_key("text").alias("key"), F.sha2("text", 256).alias("sha256"), T.structure_id("text").alias("structure"))
+
+
+@query("f18_parse_range", r"""
+WITH c AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat(page_id, '-', page_id + 9) WHEN 1 THEN concat(page_id, ' : ', page_id * 2) ELSE url END AS cell FROM pages)
+SELECT page_id, coalesce(try_cast(regexp_extract(cell, '^\s*(\d+)\s*[-:]\s*(\d+)\s*$', 1) AS INTEGER), 1) AS beg, coalesce(try_cast(regexp_extract(cell, '^\s*(\d+)\s*[-:]\s*(\d+)\s*$', 2) AS INTEGER), 0) AS "end" FROM c""")
+def _(spark, sf):
+    p = F.col("page_id")
+    m = p % 3
+    cell = F.when(m == 0, F.concat(p.cast("string"), F.lit("-"), (p + 9).cast("string"))).when(m == 1, F.concat(p.cast("string"), F.lit(" : "), (p * 2).cast("string"))).otherwise(F.col("url"))
+    return fx.table(spark, sf, "pages").select("page_id", T.parse_range(cell).alias("r")).select("page_id", "r.beg", "r.end")
+
+
+def op_text():
+    """Text read as alignment operations: lower case matches, blanks are insertions, other characters deletions."""
+    letters = F.regexp_replace("text", "[a-z]", "M")
+    return F.regexp_replace(F.regexp_replace(letters, "[ \n]", "I"), "[^MI]", "D")
+
+
+OPS_SQL = r"""
+optext AS (SELECT doc_id AS chain, regexp_replace(regexp_replace(regexp_replace(text, '[a-z]', 'M', 'g'), '[ \n]', 'I', 'g'), '[^MI]', 'D', 'g') AS t FROM documents),
+runs AS (SELECT chain, t, regexp_extract_all(t, 'M+|I+|D+') AS r FROM optext),
+cig AS (SELECT chain, t, array_to_string(list_transform(r, lambda x: concat(length(x), x[1])), '') AS cigar,
+  list_transform(r, lambda x: {'n': length(x), 'op': x[1]}) AS ops FROM runs)"""
+
+
+def cigars(spark, sf):
+    docs = fx.spread(fx.table(spark, sf, "documents")).select(F.col("doc_id").alias("chain"), op_text().alias("t"))
+    return docs.withColumn("cigar", T.collapse_ops("t")).withColumn("ops", T.parse_cigar("cigar"))
+
+
+@query("f19_cigar", f"WITH {OPS_SQL} SELECT chain, sha1(cigar) AS cigar_sha1, len(ops) AS n_ops, list_sum(list_transform(ops, lambda o: o.n))::BIGINT AS n_total FROM cig WHERE len(ops) > 0")
+def _(spark, sf):
+    c = cigars(spark, sf).where(F.col("ops").isNotNull() & (F.size("ops") > 0))
+    total = F.aggregate("ops", F.lit(0).cast("long"), lambda a, o: a + o["n"])
+    return c.select("chain", F.sha1("cigar").alias("cigar_sha1"), F.size("ops").alias("n_ops"), total.alias("n_total"))
+
+
+@query("f20_map_positions", f"""
+WITH {OPS_SQL}, ch AS (SELECT chain, unnest(range(0, length(t))) AS i, unnest(string_split(t, '')) AS op FROM cig WHERE length(t) > 0),
+p AS (SELECT chain, op, sum((op IN ('M', 'D'))::INT) OVER w - 1 AS q, sum((op IN ('M', 'I'))::INT) OVER w - 1 AS tp FROM ch WINDOW w AS (PARTITION BY chain ORDER BY i))
+SELECT chain, count(*) AS n, sum(q)::BIGINT AS q_sum, count(*) FILTER (op = 'M') AS n_mapped, sum(CASE WHEN op = 'M' THEN tp * (q % 7 + 1) END)::BIGINT AS t_sum FROM p WHERE op <> 'I' GROUP BY chain""")
+def _(spark, sf):
+    rows = T.map_positions(cigars(spark, sf).where("ops is not null"))
+    return rows.groupBy("chain").agg(
+        F.count("*").alias("n"), F.sum("query_pos").alias("q_sum"), F.count("target_pos").alias("n_mapped"),
+        F.sum(F.col("target_pos") * (F.col("query_pos") % 7 + 1)).alias("t_sum"))
+
+
+@query("f21_alignment_stats", f"""
+WITH {OPS_SQL}, o AS (SELECT chain, t, unnest(ops) AS o FROM cig),
+g AS (SELECT chain, length(t) AS query_len, sum(CASE WHEN o.op = 'M' THEN o.n ELSE 0 END)::BIGINT AS n_equal, sum(CASE WHEN o.op = 'I' THEN o.n ELSE 0 END)::BIGINT AS n_insert,
+  sum(CASE WHEN o.op = 'D' THEN o.n ELSE 0 END)::BIGINT AS n_delete, max(CASE WHEN o.op <> 'M' THEN o.n ELSE 0 END) AS max_indel_run FROM o GROUP BY chain, t)
+SELECT chain, query_len, n_equal, 0 AS n_mismatch, n_insert, n_delete, max_indel_run, round(n_equal::DOUBLE / (n_equal + n_insert + n_delete), 6) AS identity,
+  round(least(1, (n_equal + n_delete)::DOUBLE / query_len), 6) AS coverage,
+  n_equal::DOUBLE / (n_equal + n_insert + n_delete) >= 0.99 AND least(1, (n_equal + n_delete)::DOUBLE / query_len) >= 0.95 AND max_indel_run <= 10 AS strict_pass FROM g""")
+def _(spark, sf):
+    return round_all(T.alignment_stats(cigars(spark, sf).where("ops is not null").withColumn("query_len", F.length("t"))))
+
+
+def placements(spark, sf):
+    """Query: the middle word of a text, reversed in every third source; target: the whole text."""
+    words = F.filter(F.split(F.translate("text", "\n", " "), " "), lambda w: w != "")
+    word = F.element_at(words, (F.floor(F.size(words) / 2) + 1).cast("int"))
+    docs = fx.spread(fx.table(spark, sf, "documents")).where(F.length(F.trim(F.translate("text", "\n", " "))) > 0)
+    return docs.select("doc_id", F.when(F.col("source").isin("src0", "src3", "src6", "src9"), F.reverse(word)).otherwise(word).alias("query"),
+                       F.translate("text", "\n", " ").alias("target"), F.floor(F.col("n_chars") / 3).cast("int").alias("beg"), F.floor(F.col("n_chars") / 2).cast("int").alias("end"))
+
+
+PLACE_SQL = r"""
+words AS (SELECT doc_id, source, translate(text, E'\n', ' ') AS target, n_chars, list_filter(string_split(translate(text, E'\n', ' '), ' '), lambda w: w <> '') AS w FROM documents),
+pq AS (SELECT doc_id, CASE WHEN source IN ('src0', 'src3', 'src6', 'src9') THEN reverse(w[CAST(floor(len(w) / 2) AS INTEGER) + 1]) ELSE w[CAST(floor(len(w) / 2) AS INTEGER) + 1] END AS query,
+  target, CAST(floor(n_chars / 3) AS INTEGER) AS beg, CAST(floor(n_chars / 2) AS INTEGER) AS stop FROM words WHERE len(w) > 0)"""
+
+
+@query("f22_place_query", f"""
+WITH {PLACE_SQL}, o AS (SELECT doc_id, query, beg, stop, length(target) AS n, list_filter(range(1, length(target) - length(query) + 2), lambda i: substr(target, i, length(query)) = query) AS s FROM pq),
+b AS (SELECT *, list_min(list_transform(s, lambda i: abs(i - 1 - greatest(0, beg - 1)) * 1000000 + i)) % 1000000 AS near FROM o)
+SELECT doc_id, CASE WHEN len(s) > 0 THEN 'exact_substring' WHEN beg > 0 AND stop >= beg THEN 'stated_range' ELSE 'full' END AS method,
+  CASE WHEN len(s) > 0 THEN near WHEN beg > 0 AND stop >= beg THEN beg ELSE 1 END AS target_start,
+  CASE WHEN len(s) > 0 THEN near + length(query) - 1 WHEN beg > 0 AND stop >= beg THEN stop ELSE n END AS target_end FROM b""")
+def _(spark, sf):
+    return T.place_query(placements(spark, sf)).select("doc_id", "method", "target_start", "target_end")
+
+
+@query("f22_best_window", f"""
+WITH {PLACE_SQL}, o AS (SELECT doc_id, length(query) AS m, string_split(query, '') AS q, string_split(target, '') AS t, length(target) AS n FROM pq),
+i AS (SELECT doc_id, m, q, t, unnest(range(0, n - m + 1)) AS start FROM o WHERE n >= m),
+c AS (SELECT doc_id, start, list_sum(list_transform(list_zip(q, t[start + 1:start + m]), lambda p: (p[1] = p[2])::INT)) AS k FROM i),
+x AS (SELECT doc_id, max(k) AS k FROM c GROUP BY doc_id)
+SELECT doc_id, min(start) AS window_start, any_value(c.k)::BIGINT AS window_matches FROM c JOIN x USING (doc_id) WHERE c.k = x.k GROUP BY doc_id
+UNION ALL SELECT doc_id, -1, -1 FROM o WHERE n < m""")
+def _(spark, sf):
+    return T.best_window(placements(spark, sf)).select("doc_id", "window_start", "window_matches")
+
+
+@query("f23_extract_number", r"""
+SELECT event_id, try_cast(regexp_extract(props, '(-?\d+(?:\.\d+)?)', 1) AS DOUBLE) AS k, try_cast(regexp_extract(concat(value, ' MiB'), '(-?\d+(?:\.\d+)?)', 1) AS DOUBLE) AS mib FROM events""")
+def _(spark, sf):
+    return fx.table(spark, sf, "events").select("event_id", T.extract_number("props").alias("k"), T.extract_number(F.concat(F.format_string("%.2f", "value"), F.lit(" MiB"))).alias("mib"))
+
+
+@query("f24_coverage_bucket", f"WITH {COVERAGE_SQL} SELECT complex, CASE WHEN coverage <= 0 THEN 'eq0' WHEN coverage < 0.5 THEN 'lt0.5' ELSE 'ge0.5' END AS bucket FROM cov")
+def _(spark, sf):
+    return complex_labels(spark, sf).select("complex", N.coverage_bucket("coverage").alias("bucket"))
+
+
+@query("f25_json_path", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def _(spark, sf):
+    return fx.table(spark, sf, "events").select("event_id", T.json_path("props", "$.k").alias("k"))
+
+
+@query("f26_list_cells", """
+WITH w AS (SELECT p_partkey, list_filter(list_transform(string_split(concat(replace(p_name, ' ', ';'), ';; ', p_brand), ';'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM part)
+SELECT p_partkey, len(parts) AS n, array_to_string(list_sort(list_distinct(parts)), ';') AS joined FROM w""")
+def _(spark, sf):
+    cell = F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit(";")), F.lit(";; "), F.col("p_brand"))
+    rows = fx.table(spark, sf, "part").select("p_partkey", T.split_list(cell).alias("parts"))
+    return rows.select("p_partkey", F.size("parts").alias("n"), T.join_list("parts").alias("joined"))
+
+
+@query("f27_float_grid", f"""
+WITH {fx.SCORED_BASE_SQL}, g AS (SELECT round(0.05 * i, 10) AS t FROM range(1, 20) r(i)), h AS (SELECT s1, count(*) AS c FROM scored_base GROUP BY s1)
+SELECT t AS threshold, sum(CASE WHEN s1 >= t THEN c ELSE 0 END)::BIGINT AS n FROM g, h GROUP BY t""")
+def _(spark, sf):
+    grid = N.float_grid("0.05:0.95:0.05")
+    counts = fx.scored_base(spark, sf).agg(*[F.sum((F.col("s1") >= t).cast("long")).alias(f"t{i}") for i, t in enumerate(grid)])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"t{i}").alias("n")) for i, t in enumerate(grid)])))
+
+
+@query("f28_infer_method", """
+SELECT doc_id, CASE WHEN lang <> 'en' THEN lang WHEN contains(lower(text), 'ent') THEN 'solution nmr' WHEN contains(lower(text), 'cryo-em') THEN 'electron microscopy' ELSE '' END AS method FROM documents""".replace(
+    "contains(lower(text), 'ent')", "contains(replace(lower(text), 'ing', 'nmr'), 'nmr')"))
+def _(spark, sf):
+    docs = fx.table(spark, sf, "documents")
+    title = F.replace(F.lower("text"), F.lit("ing"), F.lit("nmr"))
+    return docs.select("doc_id", T.infer_method(F.when(F.col("lang") == "en", "").otherwise(F.col("lang")), F.lit(""), title).alias("method"))
+
+
+@query("f29_rbf", f"""
+WITH e AS (SELECT event_id, value / 20 AS v FROM events) SELECT event_id, {', '.join(f'round(exp(-power((v - {2.0 * i / 7!r}::DOUBLE) / 0.3, 2)), 6) AS r{i}' for i in range(8))} FROM e""")
+def _(spark, sf):
+    rows = fx.table(spark, sf, "events").select("event_id", N.rbf(F.col("value") / 20, 0.0, 2.0).alias("r"))
+    return rows.select("event_id", *[R(F.col("r")[i]).alias(f"r{i}") for i in range(8)])
+
+
+LABEL_SQL = """
+c AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'run_mlc_a' WHEN '2-HIGH' THEN 'run_nostrongreg' ELSE 'run_b' END AS run_name,
+  CASE WHEN o_orderstatus = 'F' THEN 3200 ELSE 1280 END AS d_esm, CASE o_custkey % 3 WHEN 0 THEN 'esm_contact' WHEN 1 THEN 'esm_mlc' ELSE 'esm' END AS esm_root,
+  CASE o_custkey % 4 WHEN 0 THEN 'x/pred_struct_sequence_scalar' WHEN 1 THEN 'None' WHEN 2 THEN 'seq_v1' ELSE NULL END AS scalar_root,
+  o_custkey % 5 <> 0 AS use_scalar, o_orderkey % 2 = 0 AS use_context, o_orderkey % 3 = 0 AS use_contact, (o_custkey % 7) / 100.0 AS wd FROM orders),
+l AS (SELECT o_orderkey, concat(CASE WHEN d_esm >= 3000 OR contains(esm_root, 'mlc') OR contains(run_name, '_mlc_') THEN 'MLC ESM' ELSE 'Final ESM' END, ' | ',
+  CASE WHEN NOT use_scalar THEN 'No scalar' WHEN contains(coalesce(scalar_root, ''), 'pred_struct_sequence_scalar') THEN 'PredStruct scalar'
+    WHEN coalesce(scalar_root, '') <> '' AND lower(scalar_root) NOT IN ('none', 'null') THEN 'Seq scalar' ELSE 'AA scalar' END, ' | ',
+  CASE WHEN use_context THEN '+context' ELSE 'no-context' END, CASE WHEN use_contact AND esm_root = 'esm' THEN ' empty-graph' WHEN use_contact THEN ' +contact' ELSE ' no-contact' END,
+  CASE WHEN contains(run_name, 'nostrongreg') OR (wd <> 0 AND wd < 0.05) THEN ' weak-reg' ELSE '' END) AS label FROM c)"""
+SHORT_SQL = "CASE label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.SHORT_LABELS.items()) + " ELSE label END"
+
+
+@query("f30_run_label", f"WITH {LABEL_SQL} SELECT o_orderkey, label, {SHORT_SQL} AS short_label FROM l")
+def _(spark, sf):
+    k, p = F.col("o_custkey"), F.col("o_orderpriority")
+    cfg = fx.table(spark, sf, "orders").select(
+        "o_orderkey", F.when(p == "1-URGENT", "run_mlc_a").when(p == "2-HIGH", "run_nostrongreg").otherwise("run_b").alias("run_name"),
+        F.when(F.col("o_orderstatus") == "F", 3200).otherwise(1280).alias("d_esm"),
+        F.when(k % 3 == 0, "esm_contact").when(k % 3 == 1, "esm_mlc").otherwise("esm").alias("esm_root"),
+        F.when(k % 4 == 0, "x/pred_struct_sequence_scalar").when(k % 4 == 1, "None").when(k % 4 == 2, "seq_v1").alias("scalar_root"),
+        (k % 5 != 0).alias("use_scalar"), (F.col("o_orderkey") % 2 == 0).alias("use_context"), (F.col("o_orderkey") % 3 == 0).alias("use_contact"),
+        ((k % 7) / 100.0).alias("weight_decay"), F.lit(0.03).alias("label_smoothing"))
+    return T.run_label(cfg).select("o_orderkey", "label", "short_label")
+
+
+@query("f31_collapse_ss3", """
+WITH s AS (SELECT vec_id, [greatest(0, CAST(embedding[i] AS DOUBLE) - 0.1) FOR i IN range(1, 9)] AS v FROM embeddings), g AS (SELECT vec_id, v[1] + v[4] + v[5] AS h, v[2] + v[3] AS e, v[6] + v[7] + v[8] AS c FROM s)
+SELECT vec_id, CASE WHEN h + e + c > 0 AND h >= e AND h >= c THEN 'H' WHEN h + e + c > 0 AND e >= c THEN 'E' ELSE 'C' END AS ss3 FROM g""")
+def _(spark, sf):
+    e = F.col("embedding")
+    scores = [F.greatest(F.lit(0.0), e[i].cast("double") - 0.1) for i in range(8)]
+    rows = fx.table(spark, sf, "embeddings").select("vec_id", N.collapse_ss3(scores).alias("o"))
+    return rows.select("vec_id", F.when(F.col("o")[0] == 1, "H").when(F.col("o")[1] == 1, "E").otherwise("C").alias("ss3"))
+
+
+@query("f32_combine_layers", """
+WITH l AS (SELECT vec_id, embedding[1:32] AS a, embedding[33:64] AS b FROM embeddings)
+SELECT vec_id, len(list_concat(a, b)) AS n_concat, round(list_sum(list_transform(list_zip(a, b), lambda p: (p[1]::DOUBLE + p[2]::DOUBLE) / 2)), 6) + 0.0 AS mean_sum,
+  round(list_sum(list_transform(b, lambda x: x::DOUBLE)), 6) + 0.0 AS last_sum FROM l""")
+def _(spark, sf):
+    e = F.transform("embedding", lambda v: v.cast("double"))
+    rows = fx.table(spark, sf, "embeddings").select("vec_id", F.slice(e, 1, 32).alias("a"), F.slice(e, 33, 32).alias("b"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    return rows.select("vec_id", F.size(N.combine_layers(["a", "b"], "concat")).alias("n_concat"),
+                       R(total(N.combine_layers(["a", "b"], "mean"))).alias("mean_sum"), R(total(N.combine_layers(["a", "b"], "last"))).alias("last_sum"))
