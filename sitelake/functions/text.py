@@ -101,10 +101,10 @@ def parse_cigar(c: Column | str, ops: str = "MIDX=") -> Column:
     return F.when((whole == s) & (F.length(s) > 0), typed)
 
 
-def collapse_ops(ops: Column | str) -> Column:
+def collapse_ops(ops: Column | str, letters: str = "MIDX=") -> Column:
     """Run lengths of a string of operations: ``MMMDI`` is ``3M1D1I``; empty is ``0M``."""
     s = _col(ops)
-    runs = F.regexp_extract_all(s, F.lit(r"((.)\2*)"), F.lit(1))
+    runs = F.regexp_extract_all(s, F.lit("|".join(f"{o}+" for o in letters)), F.lit(0))
     text = F.array_join(F.transform(runs, lambda r: F.concat(F.length(r).cast("string"), F.substring(r, 1, 1))), "")
     return F.when(F.length(s) == 0, "0M").otherwise(text)
 
@@ -112,20 +112,16 @@ def collapse_ops(ops: Column | str) -> Column:
 def map_positions(df: DataFrame, cigar: str = "ops", key: str = "chain") -> DataFrame:
     """One row per query position with its target position (0-based); a deletion gives NULL.
 
-    ``M``, ``=`` and ``X`` advance both, ``D`` the query, ``I`` the target.
-    Starts are running sums inside the operations array of one alignment, so a
-    row never needs another row.
+    ``M``, ``=`` and ``X`` advance both, ``D`` the query, ``I`` the target; the
+    starts are running sums over the operations of an alignment.
     """
-    step = lambda p, ops: F.when(p["op"].isin(*ops), p["n"]).otherwise(0)
-    zero = F.struct(F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("t"), F.expr(
-        "CAST(array() AS array<struct<n:bigint,op:string,q:bigint,t:bigint>>)").alias("out"))
-    placed = F.aggregate(
-        cigar, zero,
-        lambda acc, p: F.struct(
-            (acc["q"] + step(p, "M=XD")).alias("q"), (acc["t"] + step(p, "M=XI")).alias("t"),
-            F.concat(acc["out"], F.array(F.struct(p["n"].alias("n"), p["op"].alias("op"), acc["q"].alias("q"), acc["t"].alias("t")))).alias("out")),
-        lambda acc: acc["out"])
-    return place_rows(df.select(key, F.inline(placed)), key)
+    ops = df.select(key, F.posexplode(cigar).alias("__i", "o")).select(
+        key, "__i", F.col("o.n").alias("n"), F.col("o.op").alias("op"),
+        F.when(F.col("o.op").isin("M", "=", "X", "D"), F.col("o.n")).otherwise(0).alias("__dq"),
+        F.when(F.col("o.op").isin("M", "=", "X", "I"), F.col("o.n")).otherwise(0).alias("__dt"))
+    summed = running_totals(ops, by=[key], order=["__i"], sums={"__q": "__dq", "__t": "__dt"})
+    placed = summed.select(key, "n", "op", (F.col("__q") - F.col("__dq")).alias("q"), (F.col("__t") - F.col("__dt")).alias("t"))
+    return place_rows(placed, key)
 
 
 def place_rows(ops: DataFrame, key: str) -> DataFrame:
@@ -153,12 +149,15 @@ def alignment_stats(df: DataFrame, cigar: str = "ops", key: str = "chain", query
 def occurrences(text: Column | str, query: Column | str) -> Column:
     """1-based starts of all, also overlapping, exact occurrences.
 
-    Each step finds the next one with ``locate``; nothing but the matches is
-    looked at again.
+    The text is cut in front of every occurrence in one scan; the starts are the
+    running lengths of the pieces.
     """
     t, q = _col(text), _col(query)
-    upper = F.greatest(F.lit(0), F.length(t) - F.length(q) + 1)
-    return F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), upper)), lambda i: (i <= upper) & (F.substr(t, i, F.length(q)) == q))
+    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(q, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    pieces = F.split(t, quoted, -1)
+    ends = F.aggregate(
+        pieces, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
+    return F.filter(F.transform(ends, lambda e: e + 1), lambda s: F.substr(t, s, F.length(q)) == q)
 
 
 def place_query(df: DataFrame, query: str = "query", target: str = "target", beg: str = "beg", end: str = "end") -> DataFrame:

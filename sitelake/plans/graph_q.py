@@ -153,15 +153,15 @@ def _(spark, sf):
 
 
 @query("g08_node_stats", f"""
-WITH {EDGE_SQL}, c AS (SELECT graph, src, dst, least(0.08, score) AS score FROM ce),
+WITH {EDGE_SQL}, c AS (SELECT graph, src, dst, least(0.08, 1 / (1 + d)) AS score FROM ce),
 o AS (SELECT graph, src AS node, sum(score) AS s, avg(score) AS m, max(score) AS x, count(*) AS k FROM c GROUP BY ALL),
 i AS (SELECT graph, dst AS node, sum(score) AS s, avg(score) AS m, max(score) AS x, count(*) AS k FROM c GROUP BY ALL)
 SELECT graph, node, round(coalesce(o.s, 0), 6) AS out_sum, round(coalesce(o.m, 0), 6) AS out_mean, round(coalesce(o.x, 0), 6) AS out_max, round(coalesce(o.k, 0) / sqrt(n), 6) AS out_n,
   round(coalesce(i.s, 0), 6) AS in_sum, round(coalesce(i.m, 0), 6) AS in_mean, round(coalesce(i.x, 0), 6) AS in_max, round(coalesce(i.k, 0) / sqrt(n), 6) AS in_n
 FROM o FULL JOIN i USING (graph, node) JOIN sizes USING (graph)""")
 def _(spark, sf):
-    return round_all(G.node_stats(contact_edges(spark, sf).select("graph", "src", "dst", "score"), graph_sizes(spark, sf), clip=0.08)).select(
-        "graph", "node", *[f"{t}_{m}" for t in ("out", "in") for m in ("sum", "mean", "max", "n")])
+    e = contact_edges(spark, sf).select("graph", "src", "dst", (1 / (1 + F.col("d"))).alias("score"))
+    return round_all(G.node_stats(e, graph_sizes(spark, sf), clip=0.08))
 
 
 TYPES_SQL = ", ".join(f"(edge_type = {i})::DOUBLE AS type_{t}" for t, i in G.EDGE_TYPES.items())

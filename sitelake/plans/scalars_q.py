@@ -162,8 +162,13 @@ cig AS (SELECT chain, t, array_to_string(list_transform(r, lambda x: concat(leng
 
 
 def cigars(spark, sf):
-    docs = fx.spread(fx.table(spark, sf, "documents")).select(F.col("doc_id").alias("chain"), op_text().alias("t"))
-    return docs.withColumn("cigar", T.collapse_ops("t")).withColumn("ops", T.parse_cigar("cigar"))
+    """Texts as alignment strings, written once: the parsers read each several times."""
+
+    def build():
+        docs = fx.spread(fx.table(spark, sf, "documents")).select(F.col("doc_id").alias("chain"), op_text().alias("t"))
+        return docs.withColumn("cigar", T.collapse_ops("t"))
+
+    return fx.kept(spark, sf, "cigars", build).withColumn("ops", T.parse_cigar("cigar"))
 
 
 @query("f19_cigar", f"WITH {OPS_SQL} SELECT chain, sha1(cigar) AS cigar_sha1, len(ops) AS n_ops, list_sum(list_transform(ops, lambda o: o.n))::BIGINT AS n_total FROM cig WHERE len(ops) > 0")
@@ -221,12 +226,12 @@ def _(spark, sf):
 
 
 @query("f22_best_window", f"""
-WITH {PLACE_SQL}, o AS (SELECT doc_id, length(query) AS m, string_split(query, '') AS q, string_split(target, '') AS t, length(target) AS n FROM pq),
-i AS (SELECT doc_id, m, q, t, unnest(range(0, n - m + 1)) AS start FROM o WHERE n >= m),
-c AS (SELECT doc_id, start, list_sum(list_transform(list_zip(q, t[start + 1:start + m]), lambda p: (p[1] = p[2])::INT)) AS k FROM i),
-x AS (SELECT doc_id, max(k) AS k FROM c GROUP BY doc_id)
-SELECT doc_id, min(start) AS window_start, any_value(c.k)::BIGINT AS window_matches FROM c JOIN x USING (doc_id) WHERE c.k = x.k GROUP BY doc_id
-UNION ALL SELECT doc_id, -1, -1 FROM o WHERE n < m""")
+WITH {PLACE_SQL}, ql AS (SELECT doc_id, length(query) AS m, length(target) AS n, unnest(range(0, length(query))) AS i, unnest(string_split(query, '')) AS c FROM pq),
+tl AS (SELECT doc_id, unnest(range(0, length(target))) AS j, unnest(string_split(target, '')) AS c FROM pq),
+h AS (SELECT doc_id, j - i AS start, count(*) AS k FROM ql JOIN tl USING (doc_id, c) WHERE j - i >= 0 AND j - i + m <= n GROUP BY ALL),
+b AS (SELECT doc_id, max(k) AS k FROM h GROUP BY doc_id), f AS (SELECT doc_id, min(start) AS s, any_value(h.k) AS k FROM h JOIN b USING (doc_id) WHERE h.k = b.k GROUP BY doc_id)
+SELECT doc_id, CASE WHEN length(target) < length(query) THEN -1 ELSE coalesce(s, 0) END AS window_start, CASE WHEN length(target) < length(query) THEN -1 ELSE coalesce(k, 0) END AS window_matches
+FROM pq LEFT JOIN f USING (doc_id)""")
 def _(spark, sf):
     return T.best_window(placements(spark, sf)).select("doc_id", "window_start", "window_matches")
 
@@ -257,7 +262,7 @@ def _(spark, sf):
 
 
 @query("f27_float_grid", f"""
-WITH {fx.SCORED_BASE_SQL}, g AS (SELECT round(0.05 * i, 10) AS t FROM range(1, 20) r(i)), h AS (SELECT s1, count(*) AS c FROM scored_base GROUP BY s1)
+WITH {fx.SCORED_BASE_SQL}, g AS (SELECT round(0.05::DOUBLE * i, 10) AS t FROM range(1, 20) r(i)), h AS (SELECT s1, count(*) AS c FROM scored_base GROUP BY s1)
 SELECT t AS threshold, sum(CASE WHEN s1 >= t THEN c ELSE 0 END)::BIGINT AS n FROM g, h GROUP BY t""")
 def _(spark, sf):
     grid = N.float_grid("0.05:0.95:0.05")

@@ -1 +1,285 @@
+"""Source and sink queries.
+
+The text, JSON and XML files are written by Spark from the given tables, in full,
+and read back by the source under test.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from sitelake.core import rounded as R
+from sitelake.core import shared_dir
+from sitelake.functions.residue import field
+from sitelake.operators.metrics import status_summary
+from sitelake.plans import fixtures as fx
+from sitelake.plans.joins_q import QC_SQL, qc_table
+from sitelake.plans.metrics_q import COVERAGE_SQL, complex_labels
+from sitelake.plans.registry import query
+from sitelake.plans.windows_q import TABLE_SQL
+from sitelake.sources import readers as S
+from sitelake.sources import writers as K
+
+
+def folder(spark, name):
+    return f"{shared_dir(spark)}/sitelake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def text_files(df, name):
+    path = folder(df.sparkSession, name)
+    df.write.text(path)
+    return path
+
+
+@query("s01_read_residues", f"WITH {fx.SCORED_SQL} SELECT CAST(chain AS VARCHAR) AS seq_id, count(*) AS n, sum(position)::BIGINT AS positions, round(sum(s2), 4) AS total FROM scored GROUP BY 1")
+def _(spark, sf):
+    path = folder(spark, "residues")
+    rows = fx.scored(spark, sf).select(F.col("chain").alias("seq_id"), "position", F.lit("A").alias("residue"), F.col("s2").alias("score"), F.lit("m").alias("method"))
+    rows.write.option("header", True).option("sep", "\t").csv(path)
+    back = S.read_residues(spark, path)
+    return back.groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("position").alias("positions"), R(F.sum("score"), 4).alias("total"))
+
+
+@query("s02_read_ids", "SELECT DISTINCT lower(c_mktsegment) AS id FROM customer")
+def _(spark, sf):
+    lines = fx.table(spark, sf, "customer").select(F.concat(F.lit("  "), F.when(F.col("c_acctbal") < 0, F.concat(F.lit("# "), "c_name")).otherwise(F.col("c_mktsegment")), F.lit(" ")).alias("value"))
+    return S.read_ids(spark, text_files(lines.unionByName(lines.limit(1).select(F.lit("   ").alias("value"))), "ids"))
+
+
+@query("s03_s04_fasta_round_trip", f"WITH {fx.CHAINS_SQL} SELECT concat('doc', chain) AS seq_id, length(seq) AS n, sha1(seq) AS seq_sha1 FROM chains")
+def _(spark, sf):
+    path = folder(spark, "fasta")
+    K.write_fasta(fx.chains(spark, sf).select(F.concat(F.lit("doc"), "chain").alias("seq_id"), "seq"), path)
+    return S.read_fasta(spark, path).select("seq_id", F.length("seq").alias("n"), F.sha1("seq").alias("seq_sha1"))
+
+
+@query("s04_fasta_lines", f"WITH {fx.CHAINS_SQL} SELECT chain, greatest(1, ceil(length(seq) / 80.0::DOUBLE))::BIGINT AS n_lines, least(80, length(seq)) AS first_line FROM chains")
+def _(spark, sf):
+    rows = fx.chains(spark, sf)
+    lines = K.fasta_lines(rows, seq_id="chain").select(F.split("value", "\n").alias("l"))
+    return lines.select(F.substring(F.col("l")[0], 2, 20).cast("long").alias("chain"), (F.size("l") - 1).cast("long").alias("n_lines"), F.length(F.col("l")[1]).alias("first_line"))
+
+
+def atom_line(alt, serial):
+    pad = lambda c, n: F.lpad(c.cast("string"), n, " ")
+    num = lambda c: F.lpad(F.format_string("%.3f", c), 8, " ")
+    return F.concat(
+        F.lit("ATOM  "), pad(serial, 5), F.lit(" "), F.rpad("atom", 4, " "), alt, F.lit("ALA"), F.lit(" "), F.substring(F.lit("ABCDEFGHIJ"), F.col("chain") + 1, F.lit(1)),
+        pad(F.col("pos"), 4), F.lit("    "), num(F.col("x")), num(F.col("y")), num(F.col("z")), F.lit("  1.00"), F.lpad(F.format_string("%.2f", F.abs("x")), 6, " ")).alias("value")
+
+
+@query("s05_read_atoms", f"""
+WITH {fx.ATOMS_SQL} SELECT substr('ABCDEFGHIJ', CAST(chain + 1 AS INTEGER), 1) AS chain, CAST(pos AS INTEGER) AS resseq, count(*) AS n, round(sum(round(x, 3)), 2) + 0.0 AS x FROM atoms WHERE atom = 'CA' GROUP BY ALL""")
+def _(spark, sf):
+    atoms = fx.atoms(spark, sf)
+    serial = F.col("ordinal") * 10
+    # per complex a folder: a second CA with a later serial and one at location B must both be ignored
+    lines = atoms.select("complex", atom_line(F.lit(" "), serial)).unionByName(
+        atoms.where("atom = 'CA'").select("complex", atom_line(F.lit("A"), serial + 500))).unionByName(
+        atoms.where("atom = 'CA'").select("complex", atom_line(F.lit("B"), F.lit(1)))).unionByName(
+        atoms.select("complex", F.lit("HETATM    1  CA  HOH A   1").alias("value")))
+    path = folder(spark, "atoms")
+    # one file per complex: the file is part of a residue's key
+    lines.repartition("complex").write.partitionBy("complex").text(path)
+    ca = S.read_atoms(spark, f"{path}/complex=*", "CA")
+    return ca.groupBy("chain", "resseq").agg(F.count("*").alias("n"), R(F.sum("x"), 2).alias("x"))
+
+
+def header_files(spark, sf):
+    c = fx.table(spark, sf, "customer")
+    kind = F.when(F.col("c_nationkey") < 8, "X-RAY DIFFRACTION").when(F.col("c_nationkey") < 16, "").otherwise("SOLUTION NMR")
+    title = F.when(F.col("c_nationkey") < 12, "CRYO-EM STUDY").otherwise("CRYSTAL   STUDY")
+    text = F.concat(
+        F.rpad(F.concat(F.lit("HEADER    "), "c_mktsegment"), 50, " "), F.lit("01-JAN-00\n"), F.lit("TITLE     "), title, F.lit("\nTITLE    2 OF "), "c_name",
+        F.lit("\nCOMPND    MOL_ID: 1;\nCOMPND   2 MOLECULE: KINASE;\nCOMPND   3 CHAIN: A, B;\nCOMPND   4 MOL_ID: 2;\nCOMPND   5 MOLECULE: PART "), F.col("c_nationkey").cast("string"),
+        F.lit(";\nCOMPND   6 CHAIN: C\nEXPDTA    "), kind, F.lit("\nREMARK   2 RESOLUTION.    "), F.format_string("%.2f", F.col("c_nationkey") / 5 + 1), F.lit(" ANGSTROMS.\n"))
+    path = folder(spark, "headers")
+    # one file per nation: headers of many structures, each file one record
+    one = c.groupBy("c_nationkey").agg(F.min("c_mktsegment").alias("c_mktsegment"), F.min("c_name").alias("c_name"))
+    one.select("c_nationkey", text.alias("value")).repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    return S.read_structure_headers(spark, f"{path}/*")
+
+
+@query("s06_structure_headers", """
+WITH o AS (SELECT c_nationkey, min(c_mktsegment) AS seg, min(c_name) AS name FROM customer GROUP BY 1)
+SELECT lower(seg) AS head, concat(CASE WHEN c_nationkey < 12 THEN 'cryo-em study' ELSE 'crystal study' END, ' of ', lower(name)) AS "desc",
+  CASE WHEN c_nationkey < 8 THEN 'x-ray diffraction' WHEN c_nationkey >= 16 THEN 'solution nmr' WHEN c_nationkey < 12 THEN 'electron microscopy' ELSE '' END AS met, c_nationkey / 5 + 1 AS rez FROM o""")
+def _(spark, sf):
+    return header_files(spark, sf)[0].select("head", "desc", "met", R("rez", 2).alias("rez"))
+
+
+@query("s06_structure_molecules", """
+SELECT chain, CASE WHEN chain = 'C' THEN concat('part ', c_nationkey) ELSE 'kinase' END AS molecule, count(*) AS n
+FROM (SELECT DISTINCT c_nationkey FROM customer), (VALUES ('A'), ('B'), ('C')) v(chain) GROUP BY ALL""")
+def _(spark, sf):
+    return header_files(spark, sf)[1].groupBy("chain", "molecule").agg(F.count("*").alias("n"))
+
+
+@query("s07_xml_chains", f"WITH {fx.CHAINS_SQL} SELECT concat('C', chain) AS chain, chain % 9 AS num_tm, complex AS type, length(seq) AS n, sha1(seq) AS seq_sha1 FROM chains")
+def _(spark, sf):
+    c = fx.chains(spark, sf)
+    text = F.concat(F.lit('<p:PDBTM xmlns:p="http://x.org"><p:CHAIN CHAINID="C'), F.col("chain").cast("string"), F.lit('" NUM_TM="'), (F.col("chain") % 9).cast("string"), F.lit('" TYPE="'), "complex",
+                    F.lit('"><p:SEQ> '), F.regexp_replace("seq", "(.{60})", "$1 "), F.lit("</p:SEQ></p:CHAIN></p:PDBTM>"))
+    plain = F.replace(text, F.lit("p:CHAIN"), F.lit("CHAIN"))
+    rows = S.read_xml_chains(spark, text_files(c.select(plain.alias("value")), "xml"))
+    return rows.select("chain", F.col("num_tm").cast("long").alias("num_tm"), "type", F.length("seq").alias("n"), F.sha1("seq").alias("seq_sha1"))
+
+
+def cluster_files(spark, sf):
+    part = fx.table(spark, sf, "part")
+    lines = part.where("p_size > 10").select(F.concat(F.col("p_brand"), F.lit(" \t"), F.concat(F.lit("P"), F.col("p_partkey").cast("string"))).alias("value"))
+    known = part.where("p_size < 40").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("seq_id"))
+    return S.read_clusters(spark, text_files(lines, "clusters"), known)
+
+
+@query("s08_read_clusters", "SELECT concat('P', p_partkey) AS seq_id, CASE WHEN p_size > 10 THEN p_brand ELSE concat('P', p_partkey) END AS cluster FROM part WHERE p_size < 40")
+def _(spark, sf):
+    return cluster_files(spark, sf)[0]
+
+
+@query("s08_unknown_members", "SELECT count(*) AS n_unknown FROM part WHERE p_size > 10 AND NOT p_size < 40")
+def _(spark, sf):
+    return cluster_files(spark, sf)[1]
+
+
+@query("s09_read_pair_hits", """
+SELECT CAST(l_partkey AS VARCHAR) AS query, CAST(l_suppkey AS VARCHAR) AS target, round(CASE WHEN l_quantity > 1 THEN l_quantity / 100 ELSE l_quantity END, 6) AS pident, l_linenumber AS alnlen, count(*) AS n
+FROM lineitem WHERE l_returnflag <> 'A' AND l_linestatus <> 'O' GROUP BY ALL""")
+def _(spark, sf):
+    line = fx.table(spark, sf, "lineitem")
+    bad = F.when(F.col("l_linestatus") == "O", "n/a").otherwise("0.5")
+    text = F.concat_ws("\t", "l_partkey", "l_suppkey", "l_quantity", "l_linenumber", F.lit("0.9"), bad)
+    lines = line.select(F.when(F.col("l_returnflag") == "A", F.concat_ws("\t", "l_partkey", "l_suppkey")).otherwise(text).alias("value"))
+    return S.read_pair_hits(spark, text_files(lines, "hits")).groupBy("query", "target", R("pident").alias("pident"), "alnlen").agg(F.count("*").alias("n"))
+
+
+@query("s10_profile_blocks", """
+WITH v AS (SELECT vec_id, unnest(range(0, 3)) AS r, embedding AS e FROM embeddings)
+SELECT concat('V', vec_id) AS seq_id, CAST(r + 1 AS INTEGER) AS position, round(1 / (1 + exp(-CAST(floor(CAST(e[r * 20 + 1] AS DOUBLE) * 10) AS DOUBLE))), 6) AS first_value,
+  round(1 / (1 + exp(-CAST(floor(CAST(e[r * 20 + 20] AS DOUBLE) * 10) AS DOUBLE))), 6) AS last_value FROM v""")
+def _(spark, sf):
+    vec = fx.table(spark, sf, "embeddings")
+    ints = F.transform("embedding", lambda v: F.floor(v.cast("double") * 10).cast("string"))
+    line = lambda r: F.concat(F.lit(f"{r + 1} A "), F.array_join(F.slice(ints, r * 20 + 1, 20), " "))
+    block = F.concat(F.lit(S.PROFILE_MARK + " x\n  A C D\n"), line(0), F.lit("\n"), line(1), F.lit("\n"), line(2), F.lit("\n"))
+    # one file per hundred vectors; a file's blocks follow its ids
+    grouped = vec.select(F.floor(F.col("vec_id") / 100).alias("g"), "vec_id", block.alias("b"))
+    out = None
+    for (g,) in grouped.select("g").distinct().orderBy("g").toLocalIterator():
+        mine = grouped.where(F.col("g") == g)
+        path = text_files(mine.orderBy("vec_id").coalesce(1).select(F.col("b").alias("value")), "profiles")
+        ids = mine.select(F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("seq_id"), (F.col("vec_id") - g * 100 + 1).alias("ordinal"))
+        rows = S.read_profile_blocks(spark, path, ids)
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("seq_id", "position", F.col("profile")[0].alias("first_value"), F.col("profile")[19].alias("last_value"))
+
+
+@query("s11_aliases", f"""
+WITH {fx.RESIDUES_SQL}, {TABLE_SQL}, v AS (SELECT r.aa, greatest(0, least(1, pos / 1000.0::DOUBLE - 0.1)) * coalesce(max_area, 200) AS asa FROM residues r LEFT JOIN tab t ON t.aa = r.aa)
+SELECT aa, count(*) AS n, round(avg(asa), 6) AS asa FROM v GROUP BY aa""")
+def _(spark, sf):
+    raw = fx.residues(spark, sf).select(F.col("aa").alias("Residue"), (F.col("pos") / 1000 - 0.1).alias("RSA"))
+    df = S.read_with_aliases(raw, {"seq": ["aa", "residue"], "rsa": ["rel_acc", "rsa"]}, ignore_case=True)
+    area = df.select(F.col("seq").alias("aa"), S.absolute_area("rsa", "seq", field("max_area")).alias("asa"))
+    return area.groupBy("aa").agg(F.count("*").alias("n"), R(F.avg("asa")).alias("asa"))
+
+
+@query("s12_read_vectors", """
+SELECT CAST(floor(vec_id / 100) AS BIGINT) AS complex, count(*) AS n, round(sum(round(CAST(embedding[1] AS DOUBLE), 6)), 4) + 0.0 AS first_sum, round(sum(round(CAST(embedding[64] AS DOUBLE), 6)), 4) + 0.0 AS last_sum FROM embeddings GROUP BY 1""")
+def _(spark, sf):
+    pts = fx.placed_points(spark, sf).select("pid", "complex", "pos", "aa")
+    vec = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("pid"), F.array_join(F.transform("embedding", lambda v: F.format_string("%.6f", v.cast("double"))), " ").alias("v"))
+    rows = pts.join(vec, "pid").select("complex", "pos", F.concat("aa", F.lit(": "), "v").alias("value"))
+    path = folder(spark, "vectors")
+    rows.repartition("complex").sortWithinPartitions("complex", "pos").select("complex", "value").write.partitionBy("complex").text(path)
+    files = spark.read.text(f"{path}/*").select(F.col("_metadata.file_name").alias("file"), F.regexp_extract("_metadata.file_path", r"complex=(\d+)", 1).cast("long").alias("complex")).distinct()
+    seqs = pts.groupBy("complex").agg(F.sort_array(F.collect_list(F.struct("pos", "aa"))).alias("c")).select("complex", F.array_join(F.transform("c", lambda s: s["aa"]), "").alias("seq"))
+    back = S.read_vectors(spark, f"{path}/*", 64, files.join(seqs, "complex").select("file", "seq"))
+    return back.join(files, "file").groupBy("complex").agg(F.count("*").alias("n"), R(F.sum(F.col("vector")[0]), 4).alias("first_sum"), R(F.sum(F.col("vector")[63]), 4).alias("last_sum"))
+
+
+def packed(spark, sf):
+    return K.pack(fx.scored(spark, sf).select("chain", "position", "label", F.col("s2").alias("score")), block=256)
+
+
+@query("s13_pack", f"""
+WITH {fx.SCORED_SQL}, b AS (SELECT chain, CAST(floor((position - 1) / 256) AS BIGINT) AS block, count(*) AS length, sum(label)::BIGINT AS positives, round(sum(s2), 4) AS total FROM scored GROUP BY ALL)
+SELECT *, coalesce(sum(length) OVER (ORDER BY chain, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM b""")
+def _(spark, sf):
+    p = packed(spark, sf)
+    total = F.aggregate("scores", F.lit(0.0), lambda a, v: a + v)
+    ones = F.aggregate("labels", F.lit(0).cast("long"), lambda a, v: a + v)
+    return p.select("chain", "block", F.col("length").cast("long").alias("length"), ones.alias("positives"), R(total, 4).alias("total"), "offset")
+
+
+@query("s13_unpack", f"WITH {fx.SCORED_SQL} SELECT chain, position, label, s2 AS score FROM scored")
+def _(spark, sf):
+    return K.unpack(packed(spark, sf), block=256)
+
+
+@query("s14_read_run_log", "SELECT user_id AS run, count(*) AS n_epochs, round(max(value), 6) AS best FROM events WHERE event_type <> 'error' GROUP BY user_id")
+def _(spark, sf):
+    ev = fx.table(spark, sf, "events").select(
+        F.when(F.col("event_type") == "error", "done").otherwise("epoch").alias("event"), F.col("user_id").alias("run"), F.struct(F.col("value").alias("ap")).alias("val"))
+    path = folder(spark, "log")
+    ev.write.json(path)
+    epochs, _ = S.read_run_log(spark, path, "event string, run long, val struct<ap: double>")
+    return epochs.groupBy("run").agg(F.count("*").alias("n_epochs"), R(F.max("val.ap")).alias("best"))
+
+
+@query("s15_write_manifest", f"""
+WITH {COVERAGE_SQL}, m AS (SELECT complex, CASE WHEN coverage = 0 THEN 'ERROR' WHEN coverage < 0.5 THEN 'SKIP' ELSE 'OK' END AS status FROM cov)
+SELECT status, count(*) AS n, array_to_string(list_sort(list(complex) FILTER (rn <= 20)), ';') AS examples FROM (SELECT *, row_number() OVER (PARTITION BY status ORDER BY complex) AS rn FROM m) GROUP BY status""")
+def _(spark, sf):
+    status = F.when(F.col("coverage") == 0, "ERROR").when(F.col("coverage") < 0.5, "SKIP").otherwise("OK")
+    path = folder(spark, "manifest")
+    K.write_manifest(complex_labels(spark, sf).select("complex", status.alias("status")), path, "complex")
+    back = spark.read.option("header", True).schema("complex long, status string").csv(path)
+    return status_summary(back, "status", example="complex").withColumn("examples", F.array_join(F.col("examples").cast("array<string>"), ";"))
+
+
+@query("s16_metric_views", f"""WITH {QC_SQL}
+SELECT prot, chain, concat(prot, '_', chain) AS prot_mark, nchain FROM qc""")
+def _(spark, sf):
+    df = qc_table(spark, sf).withColumn("prot_mark", F.concat_ws("_", "prot", "chain"))
+    path = folder(spark, "metrics")
+    K.write_metric_views(df, path)
+    return K.read_metric_view(spark, path, "nchain", "prot long, chain long, prot_mark string, nchain long")
+
+
+@query("s17_file_checksums")
+def _(spark, sf):
+    return S.file_checksums(spark, sf)
+
+
+RESOLVE_SQL = """
+inv AS (SELECT DISTINCT concat('/a/', page_id, '.pt') AS path FROM pages WHERE contains(url, '/en/') UNION SELECT concat('/b/', page_id, '.pt') FROM pages WHERE contains(url, 'https')
+  UNION SELECT '/shared.pt' FROM pages WHERE page_id = 0),
+ids AS (SELECT doc_id AS id, CASE lang WHEN 'en' THEN 'train' ELSE 'test' END AS split FROM documents)"""
+
+
+def resolved(spark, sf):
+    pages = fx.table(spark, sf, "pages")
+    at = lambda d: F.concat(F.lit(f"/{d}/"), F.col("page_id").cast("string"), F.lit(".pt")).alias("path")
+    inv = pages.where(F.col("url").contains("/en/")).select(at("a")).unionByName(pages.where(F.col("url").contains("https")).select(at("b"))).unionByName(
+        pages.where("page_id = 0").select(F.lit("/shared.pt").alias("path")))
+    ids = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", "train").otherwise("test").alias("split"))
+    return S.resolve_resources(ids, inv, ["/a/{id}.pt", "/b/{id}.pt", "/shared.pt"])
+
+
+@query("s18_resolve_resources", f"""
+WITH {RESOLVE_SQL} SELECT id, split, CASE WHEN a.path IS NOT NULL THEN 0 WHEN b.path IS NOT NULL THEN 1 WHEN s.path IS NOT NULL THEN 2 END AS priority, coalesce(a.path, b.path, s.path) AS path
+FROM ids LEFT JOIN inv a ON a.path = concat('/a/', id, '.pt') LEFT JOIN inv b ON b.path = concat('/b/', id, '.pt') LEFT JOIN inv s ON s.path = '/shared.pt'""")
+def _(spark, sf):
+    return resolved(spark, sf)
+
+
+@query("s18_shared_paths", f"""
+WITH {RESOLVE_SQL}, r AS (SELECT id, split FROM ids LEFT JOIN inv a ON a.path = concat('/a/', id, '.pt') LEFT JOIN inv b ON b.path = concat('/b/', id, '.pt') WHERE a.path IS NULL AND b.path IS NULL)
+SELECT '/shared.pt' AS path, min(split) AS first_split, max(split) AS last_split, count(*) AS n FROM r HAVING min(split) <> max(split)""")
+def _(spark, sf):
+    return S.shared_paths(resolved(spark, sf))
+
 
