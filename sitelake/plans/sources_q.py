@@ -120,10 +120,16 @@ def _(spark, sf):
 @query("s07_xml_chains", f"WITH {fx.CHAINS_SQL} SELECT concat('C', chain) AS chain, chain % 9 AS num_tm, complex AS type, length(seq) AS n, sha1(seq) AS seq_sha1 FROM chains")
 def _(spark, sf):
     c = fx.chains(spark, sf)
-    text = F.concat(F.lit('<p:PDBTM xmlns:p="http://x.org"><p:CHAIN CHAINID="C'), F.col("chain").cast("string"), F.lit('" NUM_TM="'), (F.col("chain") % 9).cast("string"), F.lit('" TYPE="'), "complex",
-                    F.lit('"><p:SEQ> '), F.regexp_replace("seq", "(.{60})", "$1 "), F.lit("</p:SEQ></p:CHAIN></p:PDBTM>"))
-    plain = F.replace(text, F.lit("p:CHAIN"), F.lit("CHAIN"))
-    rows = S.read_xml_chains(spark, text_files(c.select(plain.alias("value")), "xml"))
+    text = F.concat(F.lit('<p:CHAIN CHAINID="C'), F.col("chain").cast("string"), F.lit('" NUM_TM="'), (F.col("chain") % 9).cast("string"), F.lit('" TYPE="'), "complex",
+                    F.lit('"><p:SEQ> '), F.regexp_replace("seq", "(.{60})", "$1 "), F.lit("</p:SEQ></p:CHAIN>"))
+    part = F.pmod(F.hash("chain"), F.lit(8)).alias("part")
+    body = c.select(part, F.lit(1).alias("o"), text.alias("value"))
+    parts = body.select("part").distinct()
+    lines = body.unionByName(parts.select("part", F.lit(0).alias("o"), F.lit('<p:PDBTM xmlns:p="http://x.org">').alias("value"))).unionByName(
+        parts.select("part", F.lit(2).alias("o"), F.lit("</p:PDBTM>").alias("value")))
+    path = folder(spark, "xml")
+    lines.repartition("part").sortWithinPartitions("part", "o").select("part", "value").write.partitionBy("part").text(path)
+    rows = S.read_xml_chains(spark, f"{path}/*")
     return rows.select("chain", F.col("num_tm").cast("long").alias("num_tm"), "type", F.length("seq").alias("n"), F.sha1("seq").alias("seq_sha1"))
 
 
@@ -165,15 +171,18 @@ def _(spark, sf):
     line = lambda r: F.concat(F.lit(f"{r + 1} A "), F.array_join(F.slice(ints, r * 20 + 1, 20), " "))
     block = F.concat(F.lit(S.PROFILE_MARK + " x\n  A C D\n"), line(0), F.lit("\n"), line(1), F.lit("\n"), line(2), F.lit("\n"))
     # one file per hundred vectors; a file's blocks follow its ids
-    grouped = vec.select(F.floor(F.col("vec_id") / 100).alias("g"), "vec_id", block.alias("b"))
-    out = None
-    for (g,) in grouped.select("g").distinct().orderBy("g").toLocalIterator():
-        mine = grouped.where(F.col("g") == g)
-        path = text_files(mine.orderBy("vec_id").coalesce(1).select(F.col("b").alias("value")), "profiles")
-        ids = mine.select(F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("seq_id"), (F.col("vec_id") - g * 100 + 1).alias("ordinal"))
-        rows = S.read_profile_blocks(spark, path, ids)
-        out = rows if out is None else out.unionByName(rows)
-    return out.select("seq_id", "position", F.col("profile")[0].alias("first_value"), F.col("profile")[19].alias("last_value"))
+    grouped = vec.select(F.floor(F.col("vec_id") / 100).alias("g"), "vec_id", block.alias("value"))
+    path = folder(spark, "profiles")
+    grouped.repartition("g").sortWithinPartitions("g", "vec_id").select("g", "value").write.partitionBy("g").text(path)
+    ids = grouped.select("g", F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("seq_id"), (F.col("vec_id") - F.col("g") * 100 + 1).cast("int").alias("ordinal"))
+    rows = S.read_profile_blocks(spark, f"{path}/*", ids.join(file_names(spark, path, "g"), "g").drop("g"))
+    return rows.select("seq_id", "position", F.col("profile")[0].alias("first_value"), F.col("profile")[19].alias("last_value"))
+
+
+def file_names(spark, path, part):
+    """The file of each partition folder."""
+    files = spark.read.format("binaryFile").load(f"{path}/*").select(F.col("path").alias("file"))
+    return files.withColumn(part, F.regexp_extract("file", rf"{part}=(\d+)", 1).cast("long"))
 
 
 @query("s11_aliases", f"""
@@ -194,7 +203,7 @@ def _(spark, sf):
     rows = pts.join(vec, "pid").select("complex", "pos", F.concat("aa", F.lit(": "), "v").alias("value"))
     path = folder(spark, "vectors")
     rows.repartition("complex").sortWithinPartitions("complex", "pos").select("complex", "value").write.partitionBy("complex").text(path)
-    files = spark.read.text(f"{path}/*").select(F.col("_metadata.file_name").alias("file"), F.regexp_extract("_metadata.file_path", r"complex=(\d+)", 1).cast("long").alias("complex")).distinct()
+    files = file_names(spark, path, "complex")
     seqs = pts.groupBy("complex").agg(F.sort_array(F.collect_list(F.struct("pos", "aa"))).alias("c")).select("complex", F.array_join(F.transform("c", lambda s: s["aa"]), "").alias("seq"))
     back = S.read_vectors(spark, f"{path}/*", 64, files.join(seqs, "complex").select("file", "seq"))
     return back.join(files, "file").groupBy("complex").agg(F.count("*").alias("n"), R(F.sum(F.col("vector")[0]), 4).alias("first_sum"), R(F.sum(F.col("vector")[63]), 4).alias("last_sum"))

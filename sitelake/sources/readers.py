@@ -50,7 +50,7 @@ def read_atoms(spark: SparkSession, path: str, name: str | None = None) -> DataF
 
     ``name`` keeps one atom name, and then the first record (lowest serial) per residue.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     alt = _field("value", 17, 17)
     num = lambda a, b, t: _field("value", a, b).try_cast(t)
     atoms = lines.where(F.substring("value", 1, 6) == "ATOM  ").where(alt.isin("", "A")).select(
@@ -67,7 +67,7 @@ def read_atoms(spark: SparkSession, path: str, name: str | None = None) -> DataF
 
 def read_structure_headers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(file, head, desc, met, rez)`` and ``(file, chain, molecule)``; one file is one record."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.split("value", r"\r?\n").alias("lines"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("lines"))
 
     def joined(tag: str, start: int, stop: int) -> Column:
         mine = F.filter("lines", lambda s: s.startswith(tag))
@@ -90,7 +90,7 @@ def read_structure_headers(spark: SparkSession, path: str) -> tuple[DataFrame, D
 def read_xml_chains(spark: SparkSession, path: str) -> DataFrame:
     """CHAIN elements: id, number of membrane segments, type, sequence without blanks. Namespaces are ignored."""
     schema = "_CHAINID string, _NUM_TM string, _TYPE string, SEQ string"
-    raw = spark.read.format("xml").option("rowTag", "CHAIN").option("ignoreNamespace", True).schema(schema).load(path).select("*", F.col("_metadata.file_name").alias("file"))
+    raw = spark.read.format("xml").option("rowTag", "CHAIN").option("ignoreNamespace", True).schema(schema).load(path).select("*", F.col("_metadata.file_path").alias("file"))
     return raw.select("file", norm_text("_CHAINID").alias("chain"), F.trim("_NUM_TM").try_cast("int").alias("num_tm"), norm_text("_TYPE").alias("type"),
                       F.upper(F.regexp_replace(F.coalesce("SEQ", F.lit("")), r"\s+", "")).alias("seq"))
 
@@ -122,13 +122,16 @@ PROFILE_MARK = "Query profile of sequence"
 def read_profile_blocks(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     """Profile rows per block, values squashed by a sigmoid and rounded to six digits.
 
-    Block i belongs to the i-th id: ``ids(seq_id, ordinal)`` counts from 1 and
-    must match the number of blocks of the file, which is read as one record.
+    Block i of a file belongs to its i-th id: ``ids(seq_id, ordinal[, file])``
+    counts from 1 and must match the blocks. A file is one record.
     """
-    whole = spark.read.option("wholetext", True).text(path)
-    blocks = whole.select(F.posexplode(F.split("value", PROFILE_MARK)).alias("ordinal", "block")).where("ordinal > 0")
-    require_empty(ids.join(blocks, "ordinal", "full_outer").where("seq_id is null or block is null").select("ordinal"), "profile blocks and ids differ")
-    rows = blocks.join(ids, "ordinal").select("seq_id", F.explode(F.split("block", r"\r?\n")).alias("line"))
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    key = ["file", "ordinal"] if "file" in ids.columns else ["ordinal"]
+    blocks = whole.select("file", F.posexplode(F.split("value", PROFILE_MARK)).alias("ordinal", "block")).where("ordinal > 0")
+    if "file" not in ids.columns:
+        blocks = blocks.drop("file")
+    require_empty(ids.join(blocks, key, "full_outer").where("seq_id is null or block is null").select("ordinal"), "profile blocks and ids differ")
+    rows = blocks.join(ids, key).select("seq_id", F.explode(F.split("block", r"\r?\n")).alias("line"))
     p = F.split(F.trim("line"), r"\s+")
     good = rows.where((F.size(p) >= 22) & F.get(p, F.lit(0)).try_cast("int").isNotNull())
     values = F.transform(F.slice(p, 3, 20), lambda v: F.round(1.0 / (1.0 + F.exp(-v.cast("double"))), 6))
@@ -160,7 +163,7 @@ def read_vectors(spark: SparkSession, path: str, dim: int, expected: DataFrame |
 
     ``expected(file, seq)`` must equal the letters of the file in order.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "")).alias("pos", "line"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "")).alias("pos", "line"))
     p = F.split(F.trim(F.substring_index("line", ":", -1)), r"[,\s]+")
     rows = whole.select("file", "pos", F.trim(F.substring_index("line", ":", 1)).alias("aa"), F.transform(p, lambda v: v.cast("double")).alias("vector"))
     require_empty(rows.where(F.size("vector") != dim).select("file", "pos"), f"vectors without {dim} numbers")
@@ -173,13 +176,13 @@ def read_vectors(spark: SparkSession, path: str, dim: int, expected: DataFrame |
 
 def read_run_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Epoch events of JSON-lines logs, and a ``done`` flag per file."""
-    raw = spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_name").alias("file"))
+    raw = spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_path").alias("file"))
     return raw.where("event = 'epoch'"), raw.groupBy("file").agg((F.max((F.col("event") == "done").cast("int")) == 1).alias("done"))
 
 
 def read_substitution_matrix(spark: SparkSession, path: str) -> DataFrame:
     """The usual text form: comment lines, a header of letters, one row per letter; columns are put in letter order."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = F.filter(F.split("value", r"\r?\n"), lambda s: (F.trim(s) != "") & ~s.startswith("#"))
     cells = lambda s: F.split(F.trim(s), r"\s+")
     rows = whole.select(lines.alias("l")).select(cells(F.element_at("l", 1)).alias("head"), F.explode(F.slice("l", 2, 1000)).alias("row")).select("head", cells(F.col("row")).alias("c"))
