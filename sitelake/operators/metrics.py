@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelake.core import DataContractError, ratio, running_totals
+from sitelake.core import DataContractError, durable, ratio, running_totals
 
 # ---------------------------------------------------------------- summaries
 
@@ -41,17 +41,24 @@ def value_counts(df: DataFrame, *cols: str) -> DataFrame:
 # ---------------------------------------------------------------- thresholds
 
 
-def confusion(scored: DataFrame, threshold: float | Column = 0.5, by: Sequence[str] = ("method",)) -> DataFrame:
-    """Counts for the rule ``score >= threshold``."""
-    hit = F.col("score") >= threshold
-    pos = F.col("label") == 1
+def score_counts(scored: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
+    """Positives ``tp`` and rows ``n`` per distinct score."""
+    return scored.groupBy(*by, "score").agg(F.sum("label").cast("long").alias("tp"), F.count("*").alias("n"))
 
-    def n(cond):
-        return F.sum(cond.cast("long"))
 
-    return scored.groupBy(*by).agg(
-        n(hit & pos).alias("tp"), n(hit & ~pos).alias("fp"), n(~hit & ~pos).alias("tn"), n(~hit & pos).alias("fn")
-    )
+def _as_counts(df: DataFrame) -> DataFrame:
+    """Rows of a score-count table as they are; a scored residue is a count of one."""
+    if {"tp", "n"} <= set(df.columns):
+        return df
+    return df.withColumns({"tp": F.col("label").cast("long"), "n": F.lit(1).cast("long")})
+
+
+def confusion(scored: DataFrame, threshold: float | Column = 0.5, by: Sequence[str] = ("method",)) -> DataFrame:
+    """Counts for the rule ``score >= threshold``, from scored rows or score counts."""
+    hit, tp, n = F.col("score") >= threshold, F.col("tp"), F.col("n")
+    total = lambda cond, v: F.sum(F.when(cond, v).otherwise(0))
+    return _as_counts(scored).groupBy(*by).agg(
+        total(hit, tp).alias("tp"), total(hit, n - tp).alias("fp"), total(~hit, n - tp).alias("tn"), total(~hit, tp).alias("fn"))
 
 
 def metrics_from_counts(df: DataFrame) -> DataFrame:
@@ -81,9 +88,7 @@ def threshold_sweep(scored: DataFrame, steps: int = 100, first: int = 1, last: i
     up = F.when((guess + 1) / F.lit(float(steps)) <= F.col("score"), 1).otherwise(0)
     down = F.when(guess / F.lit(float(steps)) > F.col("score"), 1).otherwise(0)
     bucket = F.least(F.greatest(guess + up - down, F.lit(first - 1)), F.lit(last))
-    counts = scored.groupBy(*by, bucket.alias("i")).agg(
-        F.sum("label").cast("long").alias("tp"), F.count("*").alias("n")
-    )
+    counts = _as_counts(scored).groupBy(*by, bucket.alias("i")).agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
     grid = counts.groupBy(*by).agg(F.sum("tp").alias("all_tp"), F.sum("n").alias("all_n")).withColumn(
         "i", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long")))
     )
@@ -128,7 +133,10 @@ def best_mcc(scored: DataFrame, steps: int = 1000, mode: str = "first", by: Sequ
 
 def ranking_curve(scored: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
     """Distinct scores, highest first, with counts and cumulative counts of positives and rows."""
-    counts = scored.groupBy(*by, "score").agg(F.sum("label").cast("long").alias("tp"), F.count("*").alias("n"))
+    return curve_of(score_counts(scored, by), by)
+
+
+def curve_of(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     return running_totals(counts, by=by, order=["-score"], sums={"cum_tp": "tp", "cum_n": "n"})
 
 
@@ -218,7 +226,8 @@ def chain_report(scored: DataFrame, by: Sequence[str] = ("method",)) -> tuple[Da
 def chain_ratios(scored: DataFrame, threshold: float | Column | None = None, by: Sequence[str] = ("method",)) -> DataFrame:
     """True share of positives and predicted share (mean score, or share at or above ``threshold``)."""
     predicted = F.col("score") if threshold is None else (F.col("score") >= threshold).cast("double")
-    return scored.groupBy(*by, "chain").agg(F.avg("label").alias("true_ratio"), F.avg(predicted).alias("predicted_ratio"))
+    return _as_counts(scored).groupBy(*by, "chain").agg(
+        (F.sum("tp") / F.sum("n")).alias("true_ratio"), (F.sum(predicted * F.col("n")) / F.sum("n")).alias("predicted_ratio"))
 
 
 def _average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
@@ -299,27 +308,29 @@ def top_frac(ranked: DataFrame, percents: Sequence[int] = (5, 10, 20), by: Seque
 def evaluate(scored: DataFrame, threshold: float = 0.5, by: Sequence[str] = ("method",)) -> DataFrame:
     """One evaluation record per method: ranking, threshold, chain-macro, top-L and ratio metrics.
 
-    One per-chain curve serves both levels: its chain metrics give the macro
-    mean, and its per-score counts, merged over chains, give the pooled curve.
+    The rows are reduced once to counts per (method, chain, score). That table
+    feeds the chain curves, the pooled curve (summed over chains), the sweeps and
+    the ratios; only top-L needs the residues themselves.
     """
     by = list(by)
     keys = [*by, "chain"]
-    per_chain = ranking_metrics(ranking_curve(scored, keys), keys)
-    curve = ranking_curve(scored, by)
-    counts = metrics_from_counts(confusion(scored, threshold, by))
-    raw = chain_ratios(scored, None, by).groupBy(*by).agg(
-        F.avg(F.abs(F.col("predicted_ratio") - F.col("true_ratio"))).alias("ratio_mae_raw"))
-    cut = chain_ratios(scored, threshold, by).groupBy(*by).agg(
-        F.avg(F.abs(F.col("predicted_ratio") - F.col("true_ratio"))).alias("ratio_mae_thresholded"))
+    counts = durable(score_counts(scored, keys), "score-counts")
+    per_chain = ranking_metrics(curve_of(counts, keys), keys)
+    pooled = counts.groupBy(*by, "score").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
+    curve = curve_of(pooled, by)
+
+    def ratio_mae(cut: float | None, name: str) -> DataFrame:
+        return chain_ratios(counts, cut, by).groupBy(*by).agg(F.avg(F.abs(F.col("predicted_ratio") - F.col("true_ratio"))).alias(name))
+
     parts = [
         ranking_metrics(curve, by),
         best_f1_of(curve, by),
-        best_mcc(scored, by=by),
+        best_mcc(counts, by=by),
         chain_macro_of(per_chain, by),
-        counts,
+        metrics_from_counts(confusion(counts, threshold, by)),
         top_l(chain_ranks(scored, by), by=by),
-        raw,
-        cut,
+        ratio_mae(None, "ratio_mae_raw"),
+        ratio_mae(threshold, "ratio_mae_thresholded"),
     ]
     record = parts[0]
     for part in parts[1:]:
