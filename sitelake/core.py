@@ -99,11 +99,34 @@ def running_totals(
     inside = (
         Window.partitionBy(*by, "__part").orderBy(*sort_keys(order)).rowsBetween(Window.unboundedPreceding, 0)
     )
-    return ranged.join(offsets, [*by, "__part"]).select(
+    # Null-safe keys: rows of a group without a key count as a group too.
+    offsets = offsets.withColumnsRenamed({c: f"__k_{c}" for c in [*by, "__part"]})
+    same = F.col("__part") == F.col("__k___part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    return ranged.join(offsets, same).select(
         *df.columns, *[(F.sum(m).over(inside) + F.col(f"__o_{o}")).alias(o) for o, m in measures.items()]
     )
 
 
+def exact_quantile(df: DataFrame, col: str, q: float, by: Sequence[str] = (), out: str = "quantile") -> DataFrame:
+    """Interpolated quantile per group, from counts of distinct values and their running sums.
+
+    The built-in percentile keeps every distinct value of a group in one buffer.
+    """
+    by = list(by)
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("__n"))
+    cum = running_totals(counts, by=by, order=[col], sums={"__cum": "__n"})
+    sizes = counts.groupBy(*by).agg(F.sum("__n").alias("__size"))
+    at = (F.col("__size") - 1) * F.lit(q)
+    both = cum.join(sizes, by) if by else cum.join(sizes, F.col("__cum") <= F.col("__size"))
+    ends = both.groupBy(*by).agg(
+        F.min(F.when(F.col("__cum") > F.floor(at), F.col(col))).cast("double").alias("__lo"),
+        F.min(F.when(F.col("__cum") > F.ceil(at), F.col(col))).cast("double").alias("__hi"),
+        F.first(at - F.floor(at)).alias("__f"))
+    return ends.select(*by, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__f")).alias(out))
+
+
 def with_halo(
     df: DataFrame,
     by: Sequence[str],

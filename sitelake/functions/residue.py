@@ -182,10 +182,11 @@ def subst_features(df: DataFrame, matrix: DataFrame, letter: str = "aa") -> Data
     """Substitution row / 11 and factor row / 5; zeros for unknown letters.
 
     ``matrix(aa, row ARRAY<DOUBLE>)`` is input data, read with
-    ``read_substitution_matrix``; it has one row per letter and is broadcast.
+    ``read_substitution_matrix``; one row per letter is kept, so at most twenty
+    rows are broadcast.
     """
     require_columns(matrix, ["aa", "row"], "substitution matrix")
-    side = matrix.select(F.col("aa").alias("__aa"), F.col("row").alias("__row"))
+    side = matrix.where(F.col("aa").isin(*LETTERS)).dropDuplicates(["aa"]).select(F.col("aa").alias("__aa"), F.col("row").alias("__row"))
     zeros = F.array(*[F.lit(0.0)] * len(LETTERS))
     pairs = [x for a, v in FACTORS.items() for x in (F.lit(a), F.array(*[F.lit(f / 5.0) for f in v]))]
     none = F.array(*[F.lit(0.0)] * 5)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelake.core import DataContractError, durable, ratio, running_totals
+from sitelake.core import DataContractError, durable, exact_quantile, ratio, running_totals
 
 # ---------------------------------------------------------------- summaries
 
@@ -409,15 +409,13 @@ def class_weight(manifest: DataFrame, ids: DataFrame, cap: float, key: str = "id
     return sums.withColumn("pos_weight", weight)
 
 
-def size_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
-    """Min, max, mean and median; zeros for an empty table."""
-    return df.groupBy(*by).agg(
-        F.count(col).alias("n"),
-        F.coalesce(F.min(col), F.lit(0)).alias("min"),
-        F.coalesce(F.max(col), F.lit(0)).alias("max"),
-        F.coalesce(F.avg(col), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.median(col), F.lit(0.0)).alias("median"),
-    )
+def size_stats(df: DataFrame, col: str) -> DataFrame:
+    """Rows, min, max, mean and median of a column; zeros for an empty table."""
+    stats = df.agg(
+        F.count(col).alias("n"), F.coalesce(F.min(col), F.lit(0)).alias("min"), F.coalesce(F.max(col), F.lit(0)).alias("max"),
+        F.coalesce(F.avg(col), F.lit(0.0)).alias("mean"))
+    middle = exact_quantile(df, col, 0.5, out="median").first()
+    return stats.withColumn("median", F.lit(float(middle["median"]) if middle and middle["median"] is not None else 0.0))
 
 
 def dup_histogram(df: DataFrame, key: str) -> DataFrame:
@@ -431,14 +429,14 @@ def min_mean_max(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
 
 def profile_log(df: DataFrame, run: str, util: str, memory: str) -> DataFrame:
     """Utilisation mean, median and share at or above 50, and peak and mean memory per run."""
-    return df.groupBy(run).agg(
+    stats = df.groupBy(run).agg(
         F.count("*").alias("samples"),
         F.avg(util).alias("util_mean"),
-        F.median(util).alias("util_median"),
         F.avg((F.col(util) >= 50).cast("double")).alias("util_ge50"),
         F.max(memory).alias("memory_max"),
         F.avg(memory).alias("memory_mean"),
     )
+    return stats.join(exact_quantile(df, util, 0.5, [run], "util_median"), run, "left")
 
 
 def coverage_bucket(c: Column | str) -> Column:

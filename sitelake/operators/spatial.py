@@ -163,6 +163,8 @@ def knn(points: DataFrame, k: int, by: Sequence[str] = ("complex",)) -> DataFram
         found.append(step.where("__done").select(*site, "near"))
         todo = step.where("not __done").select(*site, "__h0", "__extent")
         scale *= 2.0
+    if not found:
+        return _per_point(points, _lists(site_pairs(todo.select(*site), cands.select(*by, *XYZ, "__pid"), 1.0, by, strict=False), site, k + 1), k, by)
     lists = found[0]
     for f in found[1:]:
         lists = lists.unionByName(f)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sitelake.core import exact_quantile
 from sitelake.core import rounded as R
 from sitelake.functions.numeric import float_grid
 from sitelake.operators import ensemble as E
@@ -100,8 +101,10 @@ SELECT candidate, round(c.macro, 6) AS macro, round(c.ap, 6) AS ap, round(c.macr
   c.macro - b.macro >= 0.005 AND c.ap - b.ap >= -0.003 AS passes FROM c, b""")
 def _(spark, sf):
     ev = fx.table(spark, sf, "events")
-    both = [F.avg("value").alias("macro"), F.median("value").alias("ap")]
-    return round_all(E.screen(ev.agg(*both).first().asDict(), ev.groupBy(F.col("user_id").alias("candidate")).agg(*both)))
+    named = ev.select(F.col("user_id").alias("candidate"), "value")
+    base = {"macro": ev.agg(F.avg("value")).first()[0], "ap": exact_quantile(ev, "value", 0.5).first()[0]}
+    per = named.groupBy("candidate").agg(F.avg("value").alias("macro")).join(exact_quantile(named, "value", 0.5, ["candidate"], "ap"), "candidate")
+    return round_all(E.screen(base, per))
 
 
 @query("e08_confirm", f"""
