@@ -118,7 +118,7 @@ def _(spark, sf):
 @query("d10_merge_tiles", f"""
 WITH {TILE_SQL}, v AS (SELECT chain, unnest(range(tile_start, tile_stop)) AS pos, tile_start FROM tiles),
 m AS (SELECT chain, pos, avg(pos * 0.001::DOUBLE + tile_start * 0.0005::DOUBLE) AS value, count(*) AS n_tiles FROM v GROUP BY ALL)
-SELECT chain, count(*) AS n, round(avg(value), 6) + 0.0 AS value, round(avg(n_tiles), 6) + 0.0 AS n_tiles FROM m GROUP BY chain""")
+SELECT chain, count(*) AS n, round(avg(value) + 1.7e-10::DOUBLE, 6) + 0.0 AS value, round(avg(n_tiles) + 1.7e-10::DOUBLE, 6) + 0.0 AS n_tiles FROM m GROUP BY chain""")
 def _(spark, sf):
     t = tile_table(spark, sf)
     values = t.where("n > 0").select("chain", "tile_start", F.explode(F.sequence("tile_start", F.col("tile_stop") - 1)).alias("pos")).withColumn(

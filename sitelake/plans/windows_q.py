@@ -25,12 +25,17 @@ def in_sql(col, letters):
     return f"{col} IN ({', '.join(repr(a) for a in letters)})"
 
 
+# Means of simple fractions often end exactly on a rounding border, where the order
+# of summation decides. Both engines move them off it by the same amount.
+NUDGE = 1.7e-10
+
+
 def digest(df, by, cols, digits=6):
-    return df.groupBy(*by).agg(F.count("*").alias("n"), *[R(F.avg(c), digits).alias(c) for c in cols])
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *[R(F.avg(c) + NUDGE, digits).alias(c) for c in cols])
 
 
 def digest_sql(by, cols, src, digits=6):
-    return f"SELECT {by}, count(*) AS n, " + ", ".join(f"round(avg({c}), {digits}) + 0.0 AS {c}" for c in cols) + f" FROM {src} GROUP BY {by}"
+    return f"SELECT {by}, count(*) AS n, " + ", ".join(f"round(avg({c}) + {NUDGE!r}::DOUBLE, {digits}) + 0.0 AS {c}" for c in cols) + f" FROM {src} GROUP BY {by}"
 
 
 STATIC = ["mass", "hydropathy", "volume", "charge", "pi", "pka", "has_pka", *[f"group_{g}" for g in P.GROUPS]]
@@ -45,7 +50,7 @@ s AS (SELECT r.aa, (coalesce(mass, 75) - 75) / 130 AS mass, (coalesce(hydropathy
   {', '.join(f"({in_sql('r.aa', m)})::DOUBLE AS group_{g}" for g, m in P.GROUPS.items())},
   {', '.join(f"(r.aa = '{a}')::DOUBLE AS oh{i}" for i, a in enumerate(P.LETTERS))}
   FROM residues r LEFT JOIN tab t ON r.aa = t.aa)
-SELECT aa, count(*) AS n, {', '.join(f'round(avg({c}), 6) + 0.0 AS {c}' for c in [*STATIC, *ONEHOT])} FROM s GROUP BY aa""")
+SELECT aa, count(*) AS n, {', '.join(f'round(avg({c}) + {NUDGE!r}::DOUBLE, 6) + 0.0 AS {c}' for c in [*STATIC, *ONEHOT])} FROM s GROUP BY aa""")
 def _(spark, sf):
     feats = P.residue_static(fx.residues(spark, sf).select("aa"))
     return digest(feats.withColumns({c: F.col("onehot")[i] for i, c in enumerate(ONEHOT)}), ["aa"], [*STATIC, *ONEHOT])
