@@ -125,8 +125,8 @@ def _(spark, sf):
     part = F.pmod(F.hash("chain"), F.lit(8)).alias("part")
     body = c.select(part, F.lit(1).alias("o"), text.alias("value"))
     parts = body.select("part").distinct()
-    lines = body.unionByName(parts.select("part", F.lit(0).alias("o"), F.lit('<p:PDBTM xmlns:p="http://x.org">').alias("value"))).unionByName(
-        parts.select("part", F.lit(2).alias("o"), F.lit("</p:PDBTM>").alias("value")))
+    lines = body.unionByName(parts.select("part", F.lit(0).alias("o"), F.lit('<p:SET xmlns:p="http://x.org">').alias("value"))).unionByName(
+        parts.select("part", F.lit(2).alias("o"), F.lit("</p:SET>").alias("value")))
     path = folder(spark, "xml")
     lines.repartition("part").sortWithinPartitions("part", "o").select("part", "value").write.partitionBy("part").text(path)
     rows = S.read_xml_chains(spark, f"{path}/*")
