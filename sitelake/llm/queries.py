@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,15 +12,36 @@ from pyspark.sql import functions as F
 from sitelake.session import tune
 from sitelake.llm.exact_dedup import exact_dedup
 from sitelake.llm.frames import table
+from sitelake.llm.packing import pack_documents
 from sitelake.llm.url_filter import judge_urls, rule_table
 
+#: Rows of a batch that goes to Python at once; texts can be long.
+BATCH = "1000"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings of the queries; Python workers find this package where the driver has it."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    return tune(spark)
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = lambda spark, sf: fn(tune(spark), sf)
+        QUERIES[name] = lambda spark, sf: fn(prepare(spark), sf)
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -85,3 +108,8 @@ left join tainted t on p.url like '%://%' and t.node = p.host || p.path || regex
 @query("op10_url_filter", OP10)
 def op10_url_filter(spark, sf):
     return judge_urls(table(spark, sf, "pages"), rule_table(spark))
+
+
+@query("op9_packing")
+def op9_packing(spark, sf):
+    return pack_documents(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"))
