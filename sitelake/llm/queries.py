@@ -13,10 +13,12 @@ from sitelake.session import tune
 from sitelake.llm.exact_dedup import exact_dedup
 from sitelake.llm.frames import table
 from sitelake.llm.packing import pack_documents
+from sitelake.llm.sentencepiece import encode_digests
+from sitelake.llm.token_counts import count_tokens
 from sitelake.llm.url_filter import judge_urls, rule_table
 
 #: Rows of a batch that goes to Python at once; texts can be long.
-BATCH = "1000"
+BATCH = "4000"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +38,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if root not in known:
         env["PYTHONPATH"] = os.pathsep.join([root, *known])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
     return tune(spark)
 
 
@@ -113,3 +116,13 @@ def op10_url_filter(spark, sf):
 @query("op9_packing")
 def op9_packing(spark, sf):
     return pack_documents(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark, sf):
+    return count_tokens(table(spark, sf, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@query("op5_sentencepiece")
+def op5_sentencepiece(spark, sf):
+    return encode_digests(table(spark, sf, "documents"), tokenizer("piece_bpe_32k.model"))
