@@ -9,7 +9,7 @@ the last piece is taken back. Failed positions are never entered again, which
 bounds the work by the length of the text times the number of prefixes.
 
 Where no piece spans a border the two sides are independent: before white space,
-and between letters or digits and other characters. Texts are cut there and a
+and between Latin letters or digits and other characters. Texts are cut there and a
 stretch is encoded once for as long as it stays in the worker's cache; loading a
 model checks that none of its pieces spans such a border.
 """
@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-STRETCH = re.compile(rf"{SPACE}*[^\W_]+|{SPACE}*(?:[^\w{SPACE}]|_)+|{SPACE}+")
+PLAIN = "0-9A-Za-zÀ-ÖØ-öø-ɏ"
+STRETCH = re.compile(f"{SPACE}*[{PLAIN}]+|{SPACE}*[^{PLAIN}{SPACE}]+|{SPACE}+")
 #: Entries of each of the two halves of the stretch cache, and of the cache of pairs.
 CACHE = 300_000
 PAIRS = 1_000_000
