@@ -13,7 +13,7 @@ from sitelake.session import tune
 from sitelake.llm.exact_dedup import exact_dedup
 from sitelake.llm.frames import table
 from sitelake.llm.packing import pack_documents
-from sitelake.llm.sentencepiece import encode_digests
+from sitelake.llm.piece_encoding import encode_digests
 from sitelake.llm.token_counts import count_tokens
 from sitelake.llm.url_filter import judge_urls, rule_table
 
