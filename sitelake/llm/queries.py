@@ -14,6 +14,7 @@ from sitelake.llm.exact_dedup import exact_dedup
 from sitelake.llm.frames import table
 from sitelake.llm.packing import pack_documents
 from sitelake.llm.piece_encoding import encode_digests
+from sitelake.llm.simhash import fingerprint_documents
 from sitelake.llm.token_counts import count_tokens
 from sitelake.llm.url_filter import judge_urls, rule_table
 
@@ -126,3 +127,8 @@ def op7_token_counts(spark, sf):
 @query("op5_sentencepiece")
 def op5_sentencepiece(spark, sf):
     return encode_digests(table(spark, sf, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op8_simhash")
+def op8_simhash(spark, sf):
+    return fingerprint_documents(table(spark, sf, "documents"))
