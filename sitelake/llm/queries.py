@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from sitelake.session import tune
 from sitelake.llm.exact_dedup import exact_dedup
-from sitelake.llm.frames import table
+from sitelake.llm.frames import id_crc, table
+from sitelake.llm.langid import identify
+from sitelake.llm.langid import learn as learn_languages
 from sitelake.llm.packing import pack_documents
 from sitelake.llm.piece_encoding import encode_digests
 from sitelake.llm.simhash import fingerprint_documents
@@ -132,3 +134,12 @@ def op5_sentencepiece(spark, sf):
 @query("op8_simhash")
 def op8_simhash(spark, sf):
     return fingerprint_documents(table(spark, sf, "documents"))
+
+
+@query("op3_language_id")
+def op3_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    held_out = (id_crc(F.col("doc_id")) % 4 == 2).alias("held_out")
+    filters = learn_languages(docs.where(~held_out))
+    out = identify(docs, filters, keep=[F.col("doc_id"), held_out])
+    return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
