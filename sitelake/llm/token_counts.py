@@ -14,6 +14,7 @@ Only the lists move between machines, not the documents' frequencies.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -40,6 +41,17 @@ def _library(path: str):
     return _libraries[path]
 
 
+def _packed(arrays: list[np.ndarray]) -> bytes:
+    """Small numbers in as few bytes as a quick compression makes of their byte planes."""
+    flat = np.concatenate([np.zeros(0, "<u4"), *arrays]).astype("<u4")
+    return zlib.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def special_strings(library) -> list[str]:
     return [t.content for t in library.get_added_tokens_decoder().values()]
 
@@ -79,7 +91,7 @@ def to_blocks(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> DataFr
             return pd.DataFrame({
                 "block": [base + made], "doc_ids": [[0 if pd.isna(i) else int(i) for i in ids]], "null_ids": [[bool(pd.isna(i)) for i in ids]],
                 "n_bytes": [sizes], "fixed": [fixed], "ends": [ends],
-                "at": [np.concatenate(at or [np.zeros(0, "<u4")]).tobytes()], "freq": [np.concatenate(freq or [np.zeros(0, "<u4")]).tobytes()],
+                "at": [_packed(at)], "freq": [_packed(freq)],
                 "words": [list(words)],
             })
 
@@ -88,8 +100,10 @@ def to_blocks(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> DataFr
                 t = t or ""
                 found, extra = split_words(library, specials, t)
                 counts = Counter(found)
-                at.append(np.fromiter((words.setdefault(w, len(words)) for w in counts), "<u4", len(counts)))
-                freq.append(np.fromiter(counts.values(), "<u4", len(counts)))
+                places = np.fromiter((words.setdefault(w, len(words)) for w in counts), np.int64, len(counts))
+                order = places.argsort()
+                at.append(np.diff(places[order], prepend=0).astype("<u4"))
+                freq.append(np.fromiter(counts.values(), "<u4", len(counts))[order])
                 total += len(counts)
                 ids.append(i)
                 sizes.append(len(utf8(t)))
@@ -162,10 +176,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, doc_id: str
                 pos = np.frombuffer(b"".join(k["pos"] for k in known), "<u4")
                 pieces = np.zeros(len(pos), np.int64)
                 pieces[pos] = np.frombuffer(b"".join(k["pieces"] for k in known), "<u4")
-                each = pieces[np.frombuffer(row.at, "<u4")] * np.frombuffer(row.freq, "<u4")
-                upto = np.concatenate([[0], np.cumsum(each)])
                 ends = np.asarray(row.ends, np.int64)
-                n = upto[ends] - upto[np.concatenate([[0], ends[:-1]])] + np.asarray(row.fixed, np.int64)
+                starts = np.concatenate([[0], ends[:-1]])
+                # Places are differences within a document.
+                upto = np.concatenate([[0], np.cumsum(_unpacked(row.at))])
+                places = upto[1:] - np.repeat(upto[starts], ends - starts)
+                total = np.concatenate([[0], np.cumsum(pieces[places] * _unpacked(row.freq))])
+                n = total[ends] - total[starts] + np.asarray(row.fixed, np.int64)
                 ids = pd.array(np.asarray(row.doc_ids, np.int64), dtype="Int64")
                 ids[np.asarray(row.null_ids, bool)] = pd.NA
                 yield pd.DataFrame({"doc_id": ids, "n_bytes": np.asarray(row.n_bytes, np.int64), "n_tokens": n, "over_limit": n > limit})
