@@ -16,6 +16,8 @@ from sitelake.llm.langid import identify
 from sitelake.llm.langid import learn as learn_languages
 from sitelake.llm.packing import pack_documents
 from sitelake.llm.piece_encoding import encode_digests
+from sitelake.llm.quality import learn as learn_quality
+from sitelake.llm.quality import score_documents
 from sitelake.llm.simhash import fingerprint_documents
 from sitelake.llm.token_counts import count_tokens
 from sitelake.llm.url_filter import judge_urls, rule_table
@@ -143,3 +145,13 @@ def op3_language_id(spark, sf):
     filters = learn_languages(docs.where(~held_out))
     out = identify(docs, filters, keep=[F.col("doc_id"), held_out])
     return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query("op4_quality")
+def op4_quality(spark, sf):
+    docs = table(spark, sf, "documents")
+    held_out = (id_crc(F.col("doc_id")) % 3 == 1).alias("held_out")
+    labels = table(spark, sf, "labels").where(id_crc(F.col("doc_id")) % 3 != 1)
+    model = learn_quality(docs, labels)
+    out = score_documents(docs, model, keep=[F.col("doc_id"), held_out])
+    return out.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
