@@ -14,6 +14,7 @@ from sitelake.llm.exact_dedup import exact_dedup
 from sitelake.llm.frames import id_crc, table
 from sitelake.llm.langid import identify
 from sitelake.llm.langid import learn as learn_languages
+from sitelake.llm.ngram_join import similar_documents
 from sitelake.llm.packing import pack_documents
 from sitelake.llm.piece_encoding import encode_digests
 from sitelake.llm.quality import learn as learn_quality
@@ -155,3 +156,8 @@ def op4_quality(spark, sf):
     model = learn_quality(docs, labels)
     out = score_documents(docs, model, keep=[F.col("doc_id"), held_out])
     return out.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op1_ngram_join")
+def op1_ngram_join(spark, sf):
+    return similar_documents(table(spark, sf, "documents")).drop("digest")
