@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sitelake.session import tune
 from sitelake.llm.exact_dedup import exact_dedup
 from sitelake.llm.frames import id_crc, table
+from sitelake.llm.katz import score_documents as katz_scores
 from sitelake.llm.langid import identify
 from sitelake.llm.langid import learn as learn_languages
 from sitelake.llm.ngram_join import similar_documents
@@ -161,3 +162,8 @@ def op4_quality(spark, sf):
 @query("op1_ngram_join")
 def op1_ngram_join(spark, sf):
     return similar_documents(table(spark, sf, "documents")).drop("digest")
+
+
+@query("op2_katz_scores")
+def op2_katz_scores(spark, sf):
+    return katz_scores(table(spark, sf, "documents"), id_crc(F.col("doc_id")) % 7 != 2)
