@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelake.core import durable
-from sitelake.llm.frames import LOWER_TABLE, mix64, parts_for, utf8
+from sitelake.llm.frames import LOWER_TABLE, add_from_text, mix64, parts_for, utf8
 
 #: Digests in one part of the index; a part is a single row of about a megabyte.
 PART = 8192
@@ -33,16 +33,9 @@ def text_digest(text: str | None) -> bytes:
     return hashlib.sha256(utf8(text).translate(LOWER_TABLE)).digest()
 
 
-def with_digest(docs: DataFrame, text: str = "text", out: str = "__digest") -> DataFrame:
+def with_digest(docs: DataFrame, text: str = "text", out: str = "digest") -> DataFrame:
     """``docs`` with the digest of every row's whole text as a binary column."""
-    schema = docs.withColumn(out, F.lit(b"")).schema
-
-    def add(batches):
-        for pdf in batches:
-            pdf[out] = [text_digest(t) for t in pdf[text]]
-            yield pdf
-
-    return docs.mapInPandas(add, schema)
+    return add_from_text(docs, text, {out: "binary"}, lambda texts: [[text_digest(t) for t in texts]])
 
 
 def _places(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -168,7 +161,7 @@ def exact_dedup(docs: DataFrame, is_history, doc_id: str = "doc_id", text: str =
     Rows are combined by digest before every shuffle but the last join, whose hot
     digests AQE splits.
     """
-    tagged = with_digest(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), out="digest").drop("text")
+    tagged = with_digest(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).drop("text")
     rows = durable(tagged.withColumn("row", F.monotonically_increasing_id()), "digests")
     old = F.coalesce(is_history, F.lit(False))
     history = winners(rows.where(old))

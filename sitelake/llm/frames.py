@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import gc
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Ends words everywhere in this folder: the six ASCII white-space characters.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -35,6 +37,34 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def add_from_text(docs: DataFrame, text: str, fields: dict[str, str], make: Callable[[list], list]) -> DataFrame:
+    """``docs`` with new columns made from its texts; all other columns pass through as they are.
+
+    ``fields`` are names and Spark types; ``make`` gets the texts of a batch (null:
+    ``None``) and returns a list of values for each field. Names must be new.
+    """
+    import pyarrow as pa
+
+    schema = StructType(list(docs.schema.fields))
+    for name, kind in fields.items():
+        schema.add(name, kind)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            made = [pa.array(v) for v in make(batch.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *fields])
+
+    return docs.mapInArrow(run, schema)
+
+
 def parts_for(rows: int, each: int) -> int:
     """Number of hash parts so that one holds about ``each`` rows."""
     return max(1, -(-int(rows) // each))

@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelake.llm.frames import mix64
+from sitelake.llm.frames import add_from_text, mix64
 
 SIZES = (2, 3, 4)
 HASHES = 3
@@ -184,22 +184,17 @@ def learn(docs: DataFrame, positions: int = POSITIONS, per_language: int = PER_L
     return Filters(languages, table, fill**HASHES)
 
 
-def identify(docs: DataFrame, filters: Filters, keep: list[Column] | None = None, text: str = "text") -> DataFrame:
-    """``docs`` (or the columns ``keep``) with ``lang_pred`` and ``lang_score``; the text alone decides.
+def identify(docs: DataFrame, filters: Filters, text: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with the predicted language and its score; the text alone decides.
 
     Null texts and texts without a letter are ``und`` with score 0. The score is
     the best language's share of the two best counts. The filters have a fixed
     size and are sent to every executor once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    names = docs.columns if keep is None else None
-    base = docs.select(*(names or keep), F.col(text).alias("__text"))
-    schema = base.drop("__text").withColumn("lang_pred", F.lit("")).withColumn("lang_score", F.lit(0.0)).schema
 
-    def predict(batches):
-        f = shared.value
-        for pdf in batches:
-            got, scores = f.predict([t if isinstance(t, str) else None for t in pdf.pop("__text")])
-            yield pdf.assign(lang_pred=got, lang_score=scores)
+    def predict(texts: list) -> list:
+        langs, scores = shared.value.predict(texts)
+        return [langs, scores]
 
-    return base.mapInPandas(predict, schema)
+    return add_from_text(docs, text, dict(zip(names, ("string", "double"))), predict)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sitelake.core import durable
 from sitelake.llm.components import components
-from sitelake.llm.frames import mix64
+from sitelake.llm.frames import add_from_text, mix64
 from sitelake.llm.words import groups, shingles, words_of
 
 N = 5
@@ -146,6 +146,11 @@ def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def with_set_digest(docs: DataFrame, text: str = "text", out: str = "digest", n: int = N) -> DataFrame:
+    """``docs`` with the digest of every row's n-gram set."""
+    return add_from_text(docs, text, {out: "binary"}, lambda texts: [[set_digest(s) for s in gram_sets(texts, n)]])
+
+
 def _sketches(docs: DataFrame, n: int) -> DataFrame:
     def sketch(batches):
         for pdf in batches:

@@ -13,9 +13,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitelake.llm.frames import add_from_text
 from sitelake.llm.words import Words, groups, words_of
 
 #: Words of a passage; the last one of a text may be shorter.
@@ -212,20 +213,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_passages
     return fit(x, got["n"].to_numpy(), y)
 
 
-def score_documents(docs: DataFrame, model: AttentionModel, keep: list[Column] | None = None, text: str = "text") -> DataFrame:
-    """``docs`` (or the columns ``keep``) with ``quality_score``, the probability of label 1; the text alone decides.
+def score_documents(docs: DataFrame, model: AttentionModel, text: str = "text", name: str = "quality_score") -> DataFrame:
+    """``docs`` with the probability of label 1; the text alone decides.
 
     Null and empty texts are one passage without words and get the model's score
     for it. The model has a fixed size and is sent to every executor once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.select(*(docs.columns if keep is None else keep), F.col(text).alias("__text"))
-    schema = base.drop("__text").withColumn("quality_score", F.lit(0.0)).schema
-
-    def run(batches):
-        m = shared.value
-        for pdf in batches:
-            texts = pdf.pop("__text").tolist()
-            yield pdf.assign(quality_score=m.score(texts))
-
-    return base.mapInPandas(run, schema)
+    return add_from_text(docs, text, {name: "double"}, lambda texts: [shared.value.score(texts)])

@@ -145,7 +145,7 @@ def op3_language_id(spark, sf):
     docs = table(spark, sf, "documents")
     held_out = (id_crc(F.col("doc_id")) % 4 == 2).alias("held_out")
     filters = learn_languages(docs.where(~held_out))
-    out = identify(docs, filters, keep=[F.col("doc_id"), held_out])
+    out = identify(docs.select("doc_id", "text", held_out), filters)
     return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
@@ -155,7 +155,7 @@ def op4_quality(spark, sf):
     held_out = (id_crc(F.col("doc_id")) % 3 == 1).alias("held_out")
     labels = table(spark, sf, "labels").where(id_crc(F.col("doc_id")) % 3 != 1)
     model = learn_quality(docs, labels)
-    out = score_documents(docs, model, keep=[F.col("doc_id"), held_out])
+    out = score_documents(docs.select("doc_id", "text", held_out), model)
     return out.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
