@@ -18,8 +18,8 @@ from sitelake.core import durable
 #: Two hashes of 64 bits.
 HALVES = 2
 BITS = 64 * HALVES
-#: Terms counted together: a 16-bit counter holds them all.
-BLOCK = 32_768
+#: Terms counted together: few enough for a counter of 16 bits, of which the uppermost also carries the sign.
+BLOCK = 16_384
 LANES = 0x0001000100010001
 SPLIT = r"[ \t\n\x0B\f\r]+"
 #: Stands before the first word, so that a text without words has a term too.
@@ -80,7 +80,7 @@ def with_fingerprints(rows: DataFrame, keys: list[str], texts: list[str]) -> Dat
     terms = rows.select(*keys, F.explode(tagged).alias("x")).select(*keys, F.col("x.h").alias("__h"), F.col("x.t").alias("__t"), F.col("x.b").alias("__b"))
     counted = terms.groupBy(*keys, "__t", "__b").agg(*vote_columns(F.col("__h")), F.count("*").alias("__n"))
     votes = F.struct(F.array(*[f"v{i}" for i in range(16 * HALVES)]).alias("votes"), F.col("__n").alias("n"))
-    # One entry for every 32,768 terms of a text.
+    # One entry for every block of a text.
     listed = counted.groupBy(*keys).agg(*[
         F.collect_list(F.when(F.col("__t") == n, votes)).alias(f"__l{n}") for n in range(len(texts))
     ])
