@@ -89,9 +89,9 @@ def shingles(hashes: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray,
     # Rolling combination: position matters, and so does the number of words.
     out = hashes.copy()
     for i in range(1, k):
-        step = np.uint64(0xBF58476D1CE4E5B9)
-        out = out * step
-        out[: n - i] += np.where(text[i:] == text[: n - i], hashes[i:], np.uint64(0))
+        out = out * np.uint64(0xBF58476D1CE4E5B9)
+        if i < n:
+            out[: n - i] += np.where(text[i:] == text[: n - i], hashes[i:], np.uint64(0))
     last = np.zeros(n, bool)
     last[max(0, n - k + 1) :] = True
     if n >= k:
