@@ -137,35 +137,35 @@ def with_halo(
 ) -> DataFrame:
     """Evaluate window expressions that look at most ``reach`` rows away.
 
-    ``pos`` must count 0,1,2,... within ``by``. Rows are cut into blocks of
-    ``block`` positions; the ``reach`` rows on either side of a block are copied
-    into it, so a long sequence never needs one task and every frame is whole. A
-    block with its halo stays below 4096 rows, the size up to which Spark keeps a
-    window group in plain memory.
+    ``pos`` must count 0,1,2,... within ``by``. Rows are cut into blocks of at
+    least ``block`` positions, of twice the reach for wide frames; the ``reach``
+    rows on either side of a block are copied into every block that they touch, so
+    a long sequence never needs one task and every frame is whole. With the
+    default block and a small reach a block and its halo stay below 4096 rows, the
+    size up to which Spark keeps a window group in plain memory.
     """
+    block = max(block, 2 * reach)
     home = F.floor(F.col(pos) / block)
-    homes = F.array_distinct(
-        F.array(F.floor((F.col(pos) - reach) / block), home, F.floor((F.col(pos) + reach) / block))
-    )
+    homes = F.sequence(F.greatest(F.lit(0), F.floor((F.col(pos) - reach) / block)), F.floor((F.col(pos) + reach) / block))
     spread = df.withColumn("__block", F.explode(homes)).withColumn("__core", F.col("__block") == home)
     window = Window.partitionBy(*by, "__block").orderBy(pos)
     return build(spread, window).where("__core").drop("__block", "__core")
 
 
+def halo_rows(reach: int, block: int = 3968) -> int:
+    """The most rows that ``with_halo`` puts into one window group."""
+    return max(block, 2 * reach) + 2 * reach
+
+
 def frame_sum(prefix: str, total: str, radius: int, window: Window) -> Column:
     """Sum over rows ``-radius..radius`` from a running sum: two lookups instead of a sliding frame."""
     upper = F.coalesce(F.lead(prefix, radius).over(window), F.col(total))
     return upper - F.coalesce(F.lag(prefix, radius + 1).over(window), F.lit(0))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one task per core before it is expanded.
-
-    A few small files make few tasks however long the texts in them are. Scans
-    that already have enough tasks, as any large table has, are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows by ``key`` before they are expanded, so that few files do not make few tasks of long texts."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def rounded(c: Column | str, digits: int = 6) -> Column:

@@ -39,16 +39,16 @@ def average(tables: Sequence[DataFrame], space: str = "logit") -> DataFrame:
     return joined.withColumn("score", score).drop(*cols)
 
 
-def blended(pairs: DataFrame, alphas: Sequence[float], digits: int | None = None) -> DataFrame:
+def blended(pairs: DataFrame, alphas: Sequence[float]) -> DataFrame:
     """Every row once per alpha (a fixed grid of at most a few dozen); the metrics aggregate before anything is sorted."""
     each = pairs.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
     score = blend("left", "right", F.col("alpha"))
-    return each.select("chain", "label", "alpha", (F.round(score, digits) if digits else score).alias("score"))
+    return each.select("chain", "label", "alpha", score.alias("score"))
 
 
-def alpha_sweep(pairs: DataFrame, alphas: Sequence[float], digits: int | None = None) -> DataFrame:
+def alpha_sweep(pairs: DataFrame, alphas: Sequence[float]) -> DataFrame:
     """Chain-macro AP and pooled AP per alpha."""
-    rows = blended(pairs, alphas, digits)
+    rows = blended(pairs, alphas)
     pooled = M.average_precision(rows, ["alpha"])
     return pooled.join(M.chain_macro_ap(rows, ["alpha"]).select("alpha", "chain_ap_macro"), "alpha")
 
@@ -59,9 +59,9 @@ def best_alpha(sweep: DataFrame) -> DataFrame:
     return argmax_lex(sweep.withColumn("__all", F.lit(1)), ["__all"], key).drop("__all")
 
 
-def joint_sweep(pairs: DataFrame, alphas: Sequence[float], steps: int = 100, digits: int | None = None) -> DataFrame:
+def joint_sweep(pairs: DataFrame, alphas: Sequence[float], steps: int = 100) -> DataFrame:
     """Threshold sweep per alpha."""
-    return M.threshold_sweep(blended(pairs, alphas, digits), steps, by=["alpha"])
+    return M.threshold_sweep(blended(pairs, alphas), steps, by=["alpha"])
 
 
 def best_joint(sweep: DataFrame) -> DataFrame:
@@ -70,10 +70,10 @@ def best_joint(sweep: DataFrame) -> DataFrame:
     return argmax_lex(sweep.withColumn("__all", F.lit(1)), ["__all"], [F.col("f1"), F.col("mcc"), -a, -t, -F.col("alpha"), -F.col("threshold")]).drop("__all")
 
 
-def freeze_apply(val: DataFrame, test: DataFrame, alphas: Sequence[float], steps: int = 100, digits: int | None = None) -> DataFrame:
+def freeze_apply(val: DataFrame, test: DataFrame, alphas: Sequence[float], steps: int = 100) -> DataFrame:
     """Choose alpha and threshold on validation, then evaluate once on test."""
-    chosen = best_joint(joint_sweep(val, alphas, steps, digits).select("alpha", "threshold", "f1", "mcc")).first()
-    scored = blended(test, [chosen["alpha"]], digits)
+    chosen = best_joint(joint_sweep(val, alphas, steps).select("alpha", "threshold", "f1", "mcc")).first()
+    scored = blended(test, [chosen["alpha"]])
     counts = M.metrics_from_counts(M.confusion(scored, chosen["threshold"], ["alpha"]))
     return counts.join(M.average_precision(scored, ["alpha"]), "alpha").withColumns({
         "threshold": F.lit(chosen["threshold"]), "val_f1": F.lit(chosen["f1"])})

@@ -47,7 +47,7 @@ def connected_components(nodes: DataFrame, links: DataFrame, node: str = "comple
             break
         seen = tuple(mark)
     else:
-        raise DataContractError("components did not settle")
+        raise DataContractError(f"components did not settle in {max_rounds} rounds; the last one left {seen[0]} links")
     roots = e.select(F.col("u").alias(node), F.col("v").alias("component"))
     return nodes.select(node).distinct().join(roots, node, "left").withColumn("component", F.coalesce("component", node))
 

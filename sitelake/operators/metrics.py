@@ -484,7 +484,12 @@ def composition_levels(df: DataFrame, outer: str, inner: str, letter: str, lette
 
 
 def mixed_index(rep: Column, draw: Column, seed: int, n: int) -> Column:
-    """Index in ``0..n-1`` from integer mixing modulo 2^31-1; the same in any SQL engine."""
+    """Index in ``0..n-1`` from integer mixing modulo 2^31-1; the same in any SQL engine.
+
+    Fails for more units than the mixing can reach.
+    """
+    if n > 2147483647:
+        raise DataContractError(f"{n} units; at most 2147483647 can be drawn from")
     p = F.lit(2147483647).cast("long")
     a = (rep * 7919 + draw * 104729 + F.lit(seed * 15485863).cast("long")) % p
     b = (a * a + 12345) % p

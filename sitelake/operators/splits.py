@@ -226,11 +226,16 @@ def random_split(df: DataFrame, key: str, seed: int = 42, train: float = 0.8, va
 # ---------------------------------------------------------------- D04-D06, D12-D15
 
 
-def nonredundant(df: DataFrame, key: str, order: Sequence[Column], id_col: str = "id", split: str = "split") -> dict[str, DataFrame]:
-    """One sequence per key, the reverse map, keys found in several splits, and removed counts per split."""
+def nonredundant(df: DataFrame, key: str, order: Sequence[Column], id_col: str = "id", split: str = "split", crossing_ok: bool = False) -> dict[str, DataFrame]:
+    """One sequence per key, the reverse map, keys found in several splits, and removed counts per split.
+
+    A key that crosses splits is an error unless ``crossing_ok``.
+    """
     reps = S.representatives(df, [key], order, id_col)
     per_key = df.groupBy(key).agg(F.min(split).alias("__lo"), F.max(split).alias("__hi"), F.count("*").alias("n"))
     crossing = per_key.where("__lo <> __hi").select(key, "n")
+    if not crossing_ok:
+        require_empty(crossing, "keys in several splits")
     kept = reps.groupBy(split).agg(F.count("*").alias("n_kept"))
     removed = df.groupBy(split).agg(F.count("*").alias("n_in")).join(kept, split, "left").na.fill(0, ["n_kept"]).withColumn(
         "n_removed", F.col("n_in") - F.col("n_kept"))

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelake.core import frame_sum, ratio, require_empty, running_totals, with_halo
+from sitelake.core import DataContractError, frame_sum, halo_rows, ratio, require_empty, running_totals, with_halo
 from sitelake.functions.residue import GROUPS, LETTERS, field, is_in, lookup
 
 _WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
@@ -119,21 +119,26 @@ def rolling_mean_strict(df: DataFrame, cols: Sequence[str], sizes: Sequence[int]
     return with_halo(df, by, pos, max(sizes) // 2, build)
 
 
-# Letter counts of a block are packed four to a BIGINT, 14 bits each; a block
-# holds fewer than 2^14 rows, so a field cannot overflow.
-_BITS = 14
+def _field_bits(rows: int) -> int:
+    """Bits of a packed letter count: four counts to a BIGINT while a window group stays below 2^14 rows, else two."""
+    if rows >= 1 << 31:
+        raise DataContractError(f"windows over {rows} rows are too wide for packed counts")
+    return 14 if rows < 1 << 14 else 31
 
 
-def _packed(letter: str) -> dict[str, Column]:
-    out = {}
-    for g in range(0, len(LETTERS), 4):
-        out[f"__k{g // 4}"] = lookup(letter, {a: 1 << (_BITS * i) for i, a in enumerate(LETTERS[g:g + 4])}, 0).cast("long")
+def _packed(letter: str, bits: int) -> dict[str, Column]:
+    out, per = {}, 62 // bits
+    for g in range(0, len(LETTERS), per):
+        out[f"__k{g // per}"] = lookup(letter, {a: 1 << (bits * i) for i, a in enumerate(LETTERS[g:g + per])}, 0).cast("long")
     return out
 
 
 def _window_letter_counts(df: DataFrame, sizes: Sequence[int], by: Sequence[str], pos: str, letter: str, finish) -> DataFrame:
+    bits = _field_bits(halo_rows(max(sizes) // 2))
+    per = 62 // bits
+
     def build(spread: DataFrame, w) -> DataFrame:
-        packed = _packed(letter)
+        packed = _packed(letter, bits)
         so_far, whole = w.rowsBetween(*_SO_FAR), w.rowsBetween(*_WHOLE)
         run = spread.withColumns(packed).withColumns(
             {f"{k}_p": F.sum(k).over(so_far) for k in packed} | {f"{k}_t": F.sum(k).over(whole) for k in packed})
@@ -141,7 +146,7 @@ def _window_letter_counts(df: DataFrame, sizes: Sequence[int], by: Sequence[str]
         counts = {}
         for size in sizes:
             for i, a in enumerate(LETTERS):
-                counts[f"__c{size}_{a}"] = F.shiftright(F.col(f"__k{i // 4}_{size}"), _BITS * (i % 4)).bitwiseAND(F.lit((1 << _BITS) - 1).cast("long"))
+                counts[f"__c{size}_{a}"] = F.shiftright(F.col(f"__k{i // per}_{size}"), bits * (i % per)).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
         counted = framed.select(*spread.columns, *[v.alias(k) for k, v in counts.items()])
         return counted.select(*spread.columns, *[c for size in sizes for c in finish(size, {a: F.col(f"__c{size}_{a}") for a in LETTERS})])
 
@@ -149,7 +154,11 @@ def _window_letter_counts(df: DataFrame, sizes: Sequence[int], by: Sequence[str]
 
 
 def _entropy(counts: dict[str, Column], size: int) -> Column:
-    """Counts of a frame are at most ``size``, so every term ``p ln(p + 1e-12)`` comes from a small table."""
+    """Sum of ``p ln(p + 1e-12)``; counts of a small frame take their term from a table of all of them."""
+    if size > 64:
+        n = F.greatest(F.lit(1), sum(counts.values(), F.lit(0)))
+        each = (F.when(c > 0, c / n * F.log(c / n + F.lit(1e-12))).otherwise(F.lit(0.0)) for c in counts.values())
+        return -sum(each, F.lit(0.0)) / math.log(20.0)
     terms = [0.0] * (size + 1)
     for n in range(1, size + 1):
         terms += [c / n * math.log(c / n + 1e-12) if 0 < c <= n else 0.0 for c in range(size + 1)]

@@ -38,7 +38,7 @@ for _space, _expr in (("logit", BLEND.replace("alpha", "0.5::DOUBLE")), ("probab
 
 
 def blended_sql(split, name):
-    return f"""{name} AS (SELECT chain, label, alpha, round({BLEND}, 6) AS score FROM scored_base, (SELECT round(0.1::DOUBLE * i, 10) AS alpha FROM range(0, 11) r(i)) WHERE split = '{split}')"""
+    return f"""{name} AS (SELECT chain, label, alpha, {BLEND} AS score FROM scored_base, (SELECT round(0.1::DOUBLE * i, 10) AS alpha FROM range(0, 11) r(i)) WHERE split = '{split}')"""
 
 
 SWEEP_SQL = f"""WITH {fx.SCORED_BASE_SQL}, {blended_sql('val', 'vb')}, {curve_sql('alpha', 'vb')}, {curve_sql('alpha, chain', 'vb', '_c')},
@@ -48,12 +48,12 @@ sw AS (SELECT alpha, round(average_precision, 6) AS average_precision, round(cha
 
 @query("e03_alpha_sweep", f"{SWEEP_SQL} SELECT * FROM sw")
 def _(spark, sf):
-    return round_all(E.alpha_sweep(pairs(spark, sf, "val"), ALPHAS, digits=6), skip=("alpha",))
+    return round_all(E.alpha_sweep(pairs(spark, sf, "val"), ALPHAS), skip=("alpha",))
 
 
 @query("e03_best_alpha", f"{SWEEP_SQL} SELECT alpha, average_precision, chain_ap_macro FROM sw ORDER BY chain_ap_macro DESC, average_precision DESC, abs(alpha - 0.5), alpha LIMIT 1")
 def _(spark, sf):
-    return E.best_alpha(round_all(E.alpha_sweep(pairs(spark, sf, "val"), ALPHAS, digits=6), skip=("alpha",)))
+    return E.best_alpha(round_all(E.alpha_sweep(pairs(spark, sf, "val"), ALPHAS), skip=("alpha",)))
 
 
 JOINT_SQL = f"""WITH {fx.SCORED_BASE_SQL}, {blended_sql('val', 'vb')}, {sweep_sql(100, 1, 99, 'vb', 'alpha')}, js AS (SELECT *, {MCC} AS mcc, {F1} AS f1 FROM swept),
@@ -62,7 +62,7 @@ best AS (SELECT alpha, threshold, f1, mcc FROM js ORDER BY f1 DESC, mcc DESC, ab
 
 @query("e04_joint_sweep", f"{JOINT_SQL} SELECT alpha, threshold, round(f1, 6) AS f1, round(mcc, 6) + 0.0 AS mcc FROM best")
 def _(spark, sf):
-    best = E.best_joint(E.joint_sweep(pairs(spark, sf, "val"), ALPHAS, digits=6).select("alpha", "threshold", "f1", "mcc"))
+    best = E.best_joint(E.joint_sweep(pairs(spark, sf, "val"), ALPHAS).select("alpha", "threshold", "f1", "mcc"))
     return round_all(best, skip=("alpha", "threshold"))
 
 
@@ -73,7 +73,7 @@ c AS (SELECT tt.alpha, any_value(threshold) AS threshold, any_value(best.f1) AS
 SELECT c.alpha, threshold, round(val_f1, 6) AS val_f1, tp, fp, tn, fn, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall,
   round({F1}, 6) AS f1, round((tp + tn)::DOUBLE / (tp + fp + tn + fn), 6) AS accuracy, round({MCC}, 6) + 0.0 AS mcc, round(average_precision, 6) AS average_precision FROM c JOIN ranking_t USING (alpha)""")
 def _(spark, sf):
-    return round_all(E.freeze_apply(pairs(spark, sf, "val"), pairs(spark, sf, "test"), ALPHAS, digits=6), skip=("alpha", "threshold"))
+    return round_all(E.freeze_apply(pairs(spark, sf, "val"), pairs(spark, sf, "test"), ALPHAS), skip=("alpha", "threshold"))
 
 
 NAMES = {"click": "sel", "view": "unw", "error": "right", "purchase": "left"}

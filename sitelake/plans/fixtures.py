@@ -88,7 +88,7 @@ scored_base AS (
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 SCORED_SQL = SCORED_BASE_SQL + """,
-scored AS (
+scored AS MATERIALIZED (
   SELECT chain, split, label, s1, s2,
          CAST(row_number() OVER (PARTITION BY chain ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber,
               l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS INTEGER) AS position
@@ -139,7 +139,7 @@ def residue_text(text="text"):
 
 def chains(spark: SparkSession, sf: str) -> DataFrame:
     """One row per document: its text read as a sequence over the twenty letters and X."""
-    return spread(table(spark, sf, "documents")).select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         F.col("doc_id").alias("chain"), F.col("source").alias("complex"), residue_text().alias("seq")
     )
 

@@ -165,7 +165,7 @@ def cigars(spark, sf):
     """Texts as alignment strings, written once: the parsers read each several times."""
 
     def build():
-        docs = fx.spread(fx.table(spark, sf, "documents")).select(F.col("doc_id").alias("chain"), op_text().alias("t"))
+        docs = fx.spread(fx.table(spark, sf, "documents"), "doc_id").select(F.col("doc_id").alias("chain"), op_text().alias("t"))
         return docs.withColumn("cigar", T.collapse_ops("t"))
 
     return fx.kept(spark, sf, "cigars", build).withColumn("ops", T.parse_cigar("cigar"))
@@ -204,7 +204,7 @@ def placements(spark, sf):
     """Query: the middle word of a text, reversed in every third source; target: the whole text."""
     words = F.filter(F.split(F.translate("text", "\n", " "), " "), lambda w: w != "")
     word = F.element_at(words, (F.floor(F.size(words) / 2) + 1).cast("int"))
-    docs = fx.spread(fx.table(spark, sf, "documents")).where(F.length(F.trim(F.translate("text", "\n", " "))) > 0)
+    docs = fx.spread(fx.table(spark, sf, "documents"), "doc_id").where(F.length(F.trim(F.translate("text", "\n", " "))) > 0)
     return docs.select("doc_id", F.when(F.col("source").isin("src0", "src3", "src6", "src9"), F.reverse(word)).otherwise(word).alias("query"),
                        F.translate("text", "\n", " ").alias("target"), F.floor(F.col("n_chars") / 3).cast("int").alias("beg"), F.floor(F.col("n_chars") / 2).cast("int").alias("end"))
 

@@ -33,7 +33,7 @@ def _(spark, sf):
 
 
 def nonredundant(spark, sf):
-    return D.nonredundant(fx.dedup(spark, sf).select("seq_hash", "id", "source", "split", "n"), "seq_hash", [split_rank(), F.col("source")])
+    return D.nonredundant(fx.dedup(spark, sf).select("seq_hash", "id", "source", "split", "n"), "seq_hash", [split_rank(), F.col("source")], crossing_ok=True)
 
 
 @query("d04_nonredundant_removed", f"""
@@ -48,7 +48,7 @@ WITH {fx.DEDUP_SQL} SELECT seq_hash, count(*) AS n FROM dedup GROUP BY seq_hash
 def _(spark, sf):
     # documents copied across sources stand for sequences that occur in several splits
     d = fx.dedup(spark, sf).select("seq_hash", "id", F.col("source").alias("split"), "n")
-    return D.nonredundant(d, "seq_hash", [F.col("split")])["crossing"]
+    return D.nonredundant(d, "seq_hash", [F.col("split")], crossing_ok=True)["crossing"]
 
 
 @query("d05_audit_split", """

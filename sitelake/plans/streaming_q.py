@@ -11,10 +11,10 @@ from sitelake.plans.sources_q import folder
 from sitelake.streaming import metrics as T
 
 
-def arriving(spark, df, name, files=4):
-    """Written in several files and read one per micro-batch."""
+def arriving(spark, df, name):
+    """Written in the files that its tasks make and read two per micro-batch."""
     path = folder(spark, name)
-    df.repartition(files).write.parquet(path)
+    df.write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 

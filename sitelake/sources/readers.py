@@ -48,21 +48,30 @@ def _field(line: str, start: int, stop: int) -> Column:
 def read_atoms(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
     """ATOM records of structure files; alternate locations other than blank and A are dropped.
 
-    ``name`` keeps one atom name, and then the first record (lowest serial) per residue.
+    A blank chain is ``A``. ``name`` keeps one row per residue: the first record of
+    that atom name in the order of the file, or else the mean of the residue's
+    atoms with the fields of its first record. The order comes from the serial; a
+    record without a plain number there comes after those with one, and of such
+    records the one with the smallest coordinates counts as first.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     alt = _field("value", 17, 17)
     num = lambda a, b, t: _field("value", a, b).try_cast(t)
     atoms = lines.where(F.substring("value", 1, 6) == "ATOM  ").where(alt.isin("", "A")).select(
         "file", num(7, 11, "int").alias("serial"), _field("value", 13, 16).alias("atom"), _field("value", 18, 20).alias("resname"),
-        F.substring("value", 22, 1).alias("chain"), num(23, 26, "int").alias("resseq"), _field("value", 27, 27).alias("icode"),
+        F.when(F.trim(F.substring("value", 22, 1)) == "", "A").otherwise(F.substring("value", 22, 1)).alias("chain"), num(23, 26, "int").alias("resseq"), _field("value", 27, 27).alias("icode"),
         num(31, 38, "double").alias("x"), num(39, 46, "double").alias("y"), num(47, 54, "double").alias("z"), num(61, 66, "double").alias("b"))
     if name is None:
         return atoms
     key = ["file", "chain", "resseq", "icode"]
     rest = [c for c in atoms.columns if c not in key]
-    first = atoms.where(F.col("atom") == name).groupBy(*key).agg(F.min_by(F.struct(*rest), "serial").alias("r"))
-    return first.select(*key, *[F.col(f"r.{c}").alias(c) for c in rest])
+    place = F.struct(F.col("serial").isNull().alias("odd"), "serial", "x", "y", "z")
+    named = F.col("atom") == name
+    one = atoms.groupBy(*key).agg(
+        F.min_by(F.when(named, F.struct(*rest)), F.when(named, place)).alias("r"), F.min_by(F.struct(*rest), place).alias("any"),
+        *[F.avg(c).alias(f"mean_{c}") for c in ("x", "y", "z", "b")])
+    mean = lambda c: F.col(f"mean_{c}") if c in ("x", "y", "z", "b") else F.col(f"any.{c}")
+    return one.select(*key, *[F.when(F.col("r").isNotNull(), F.col(f"r.{c}")).otherwise(mean(c)).alias(c) for c in rest])
 
 
 def read_structure_headers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -123,7 +132,8 @@ def read_profile_blocks(spark: SparkSession, path: str, ids: DataFrame) -> DataF
     """Profile rows per block, values squashed by a sigmoid and rounded to six digits.
 
     Block i of a file belongs to its i-th id: ``ids(seq_id, ordinal[, file])``
-    counts from 1 and must match the blocks. A file is one record.
+    counts from 1 and must match the blocks. A file is one record. Numbered lines
+    must hold twenty numbers, of which the whole part counts.
     """
     whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     key = ["file", "ordinal"] if "file" in ids.columns else ["ordinal"]
@@ -133,8 +143,11 @@ def read_profile_blocks(spark: SparkSession, path: str, ids: DataFrame) -> DataF
     require_empty(ids.join(blocks, key, "full_outer").where("seq_id is null or block is null").select("ordinal"), "profile blocks and ids differ")
     rows = blocks.join(ids, key).select("seq_id", F.explode(F.split("block", r"\r?\n")).alias("line"))
     p = F.split(F.trim("line"), r"\s+")
-    good = rows.where((F.size(p) >= 22) & F.get(p, F.lit(0)).try_cast("int").isNotNull())
-    values = F.transform(F.slice(p, 3, 20), lambda v: F.round(1.0 / (1.0 + F.exp(-v.cast("double"))), 6))
+    good = rows.where(F.get(p, F.lit(0)).try_cast("int").isNotNull())
+    cells = F.transform(F.slice(p, 3, 20), lambda v: v.try_cast("double"))
+    require_empty(good.where((F.size(p) < 22) | F.exists(cells, lambda v: v.isNull())).select("seq_id", "line"), "profile rows without twenty values")
+    # Whole parts only, cut towards zero, as profiles are integers.
+    values = F.transform(cells, lambda v: F.round(1.0 / (1.0 + F.exp(-F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("double"))), 6))
     return good.select("seq_id", F.get(p, F.lit(0)).cast("int").alias("position"), F.get(p, F.lit(1)).alias("aa"), values.alias("profile"))
 
 
@@ -185,7 +198,7 @@ def read_substitution_matrix(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True)
     lines = F.filter(F.split("value", r"\r?\n"), lambda s: (F.trim(s) != "") & ~s.startswith("#"))
     cells = lambda s: F.split(F.trim(s), r"\s+")
-    rows = whole.select(lines.alias("l")).select(cells(F.element_at("l", 1)).alias("head"), F.explode(F.slice("l", 2, 1000)).alias("row")).select("head", cells(F.col("row")).alias("c"))
+    rows = whole.select(lines.alias("l")).select(cells(F.element_at("l", 1)).alias("head"), F.explode(F.slice("l", F.lit(2), F.size("l"))).alias("row")).select("head", cells(F.col("row")).alias("c"))
     value = lambda a: F.element_at("c", (F.array_position("head", a) + 1).cast("int")).cast("double")
     return rows.where(F.col("c")[0].isin(*LETTERS)).select(F.col("c")[0].alias("aa"), F.array(*[value(a) for a in LETTERS]).alias("row"))
 

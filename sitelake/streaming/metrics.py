@@ -38,15 +38,17 @@ def streaming_best_epoch(stream: DataFrame, metric: str, run: str = "run", epoch
 def drain(spark: SparkSession, result: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run a streaming aggregate over everything available now and return its final table.
 
-    Each micro-batch rewrites the complete result under its batch number in the
-    shared folder; the last one is read back.
+    Each micro-batch writes the complete result under its batch number in the
+    shared folder; the newest one is read back. A restart on the same checkpoint
+    without new input returns the table of the run before.
     """
-    seen: list[int] = []
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        seen.append(number)
 
     q = result.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{path}/batch={max(seen)}")
+    # Only the newest folder is read: the number is a partition column.
+    every = spark.read.parquet(path)
+    newest = every.agg(F.max("batch")).first()[0]
+    return every.where(F.col("batch") == newest).drop("batch")
