@@ -132,37 +132,55 @@ def contact_graph(points: DataFrame, cutoff: float, m: int, by: Sequence[str] =
     return _per_point(points, _lists(pairs, [*by, *XYZ], m + 1), m, by)
 
 
+#: Cell widths that kNN chooses from: the extent of the group halved up to this many times.
+LEVELS = 20
+
+
+def _levels(cands: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
+    """Per site the finest level whose own cell holds ``k + 1`` candidates, 0 if none does."""
+    cells = [f"__c{c}" for c in XYZ]
+    every = cands.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumns(_cells(_width()))
+    full = every.groupBy(*by, "__level", *cells).agg(F.count("*").alias("__n")).where(F.col("__n") > k).drop("__n")
+    held = every.select(*by, *XYZ, "__extent", "__level", *cells).distinct().join(full, [*by, "__level", *cells])
+    sites = cands.select(*by, *XYZ, "__extent").distinct()
+    best = held.groupBy(*by, *XYZ, "__extent").agg(F.max("__level").alias("__level"))
+    return sites.join(best, [*by, *XYZ, "__extent"], "left").na.fill(0, ["__level"])
+
+
+def _width() -> Column:
+    return F.col("__extent") / F.pow(F.lit(2.0), F.col("__level"))
+
+
 def knn(points: DataFrame, k: int, by: Sequence[str] = ("complex",)) -> DataFrame:
     """Exact ``k`` nearest neighbours within a group, the point itself excluded, ties by id.
 
-    Cells start at the size that holds about ``k + 1`` points at the mean density
-    of the group. A site is done when ``k + 1`` candidates lie within one cell
-    width, since nothing nearer can be outside the 27 cells; the others try again
-    with cells twice as wide, until a cell covers the group.
+    Cells follow the local density: a site starts with the finest dyadic cell that
+    holds ``k + 1`` candidates, so one far point does not widen the cells of the
+    others. A site is done when ``k + 1`` candidates lie within one cell width,
+    since nothing nearer can be outside the 27 cells; the others try again with
+    cells twice as wide, until a cell covers the group.
     """
     by = list(by)
     site = [*by, *XYZ]
-    cands = durable(_candidates(points, k, by), "knn-candidates")
     span = [F.max(c) - F.min(c) for c in XYZ]
-    volume = span[0] * span[1] * span[2]
-    boxes = cands.groupBy(*by).agg(
-        F.greatest(F.lit(1e-9), *span).alias("__extent"),
-        F.pow(F.greatest(volume, F.lit(1e-27)) * (k + 1) / F.count("*"), 1 / 3).alias("__h0"),
-    ).withColumn("__h0", F.least("__h0", "__extent"))
+    cands = durable(_candidates(points, k, by), "knn-candidates")
+    boxes = cands.groupBy(*by).agg(F.greatest(F.lit(1e-9), *span).alias("__extent"))
     cands = cands.join(boxes, by)
-    todo = durable(cands.select(*site, "__h0", "__extent").distinct(), "knn-sites")
+    todo = durable(_levels(cands, k, by), "knn-sites")
+    cells = [f"__c{c}" for c in XYZ]
     found = []
-    scale = 1.0
-    while not todo.isEmpty():
-        h = F.col("__h0") * scale
-        near = _spread_27(cands, h).select(*by, *[F.col(c).alias(f"__{c}") for c in XYZ], "__pid", *[f"__c{c}" for c in XYZ])
-        pairs = todo.withColumns(_cells(h)).join(near, [*by, *[f"__c{c}" for c in XYZ]]).withColumn("d", _distance()).where(F.col("d") <= h)
-        lists = _lists(pairs, [*site, "__h0", "__extent"], k + 1)
-        done = (F.size("near") > k) | (h > F.col("__extent") * math.sqrt(3.0))
-        step = durable(todo.join(lists, [*site, "__h0", "__extent"], "left").withColumn("__done", F.coalesce(done, F.lit(False))), "knn-round")
+    while used := [r[0] for r in todo.select("__level").distinct().collect()]:  # at most LEVELS + 1 numbers
+        # A site asks the 27 cells around it at its level; candidates lie in one cell per level in use.
+        near = cands.withColumn("__level", F.explode(F.array(*[F.lit(x) for x in used]))).withColumns(_cells(_width())).select(
+            *by, "__level", *cells, *[F.col(c).alias(f"__{c}") for c in XYZ], "__pid")
+        asked = _spread_27(todo, _width()).join(near, [*by, "__level", *cells])
+        pairs = asked.withColumn("d", _distance()).where(F.col("d") <= _width())
+        lists = _lists(pairs, [*site, "__extent", "__level"], k + 1)
+        done = (F.size("near") > k) | (F.col("__level") <= -1)
+        step = durable(todo.join(lists, [*site, "__extent", "__level"], "left").withColumn("__done", F.coalesce(done, F.lit(False))), "knn-round")
         found.append(step.where("__done").select(*site, "near"))
-        todo = step.where("not __done").select(*site, "__h0", "__extent")
-        scale *= 2.0
+        # Level -1 is twice the extent, which covers the diagonal of the group.
+        todo = step.where("not __done").select(*site, "__extent", (F.col("__level") - 1).alias("__level"))
     if not found:
         return _per_point(points, _lists(site_pairs(todo.select(*site), cands.select(*by, *XYZ, "__pid"), 1.0, by, strict=False), site, k + 1), k, by)
     lists = found[0]
