@@ -60,6 +60,18 @@ def _(spark, sf):
     return round_all(near(spark, sf))
 
 
+@query("j12_knn_large", f"""
+WITH {fx.POINTS_SQL},
+pr AS (SELECT a.pid, b.pid AS bpid, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d
+  FROM points a JOIN points b ON a.pid <> b.pid),
+kn AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, bpid) AS rk FROM pr)
+SELECT pid, bpid AS neighbor, round(d, 6) AS d, CAST(rk AS INTEGER) AS rank FROM kn WHERE rk <= 10""")
+def _(spark, sf):
+    """All points as one complex."""
+    one = fx.points(spark, sf).withColumn("complex", F.lit(0))
+    return round_all(X.knn(one, 10)).drop("complex")
+
+
 @query("g03_contact_graph", f"WITH {KNN_SQL} SELECT complex, pid, bpid AS neighbor, round(d, 6) AS d, CAST(rk AS INTEGER) AS rank FROM kn WHERE rk <= 4 AND d <= 12")
 def _(spark, sf):
     return round_all(X.contact_graph(fx.points(spark, sf), 12.0, 4))

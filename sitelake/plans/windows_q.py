@@ -145,12 +145,12 @@ PROPS = {"hydropathy": (4.5, 9.0), "charge": (1.0, 2.0), "mass": (-75.0, 130.0),
 ROLL = [f"win{w}_{p}_{s}" for w in (7, 15, 31) for p in PROPS for s in ("mean", "std")]
 
 
-def roll_sql():
+def roll_sql(sizes=(7, 15, 31)):
     cols = []
-    for w in (7, 15, 31):
+    for w in sizes:
         for p, (shift, scale) in PROPS.items():
             cols.append(f"(avg({p}) OVER w{w} + {shift}) / {scale} AS win{w}_{p}_mean, stddev_pop({p}) OVER w{w} / {scale} AS win{w}_{p}_std")
-    wins = ", ".join(f"w{w} AS (PARTITION BY complex ORDER BY ord ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING)" for w in (7, 15, 31))
+    wins = ", ".join(f"w{w} AS (PARTITION BY complex ORDER BY ord ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING)" for w in sizes)
     props = ", ".join(f"coalesce({p}, 0) AS {p}" for p in PROPS)
     return f"""v AS (SELECT o.complex, o.chain, o.ord, {props} FROM ordered o LEFT JOIN tab t ON o.aa = t.aa),
     e AS (SELECT chain, {', '.join(cols)} FROM v WINDOW {wins})"""
@@ -161,6 +161,15 @@ def _(spark, sf):
     return digest(W.rolling_stats(fx.ordered_residues(spark, sf)), ["chain"], ROLL)
 
 
+WIDE = [f"win9001_{p}_{s}" for p in PROPS for s in ("mean", "std")]
+
+
+@query("w03_wide_window", f"WITH {fx.ORDERED_SQL}, {TABLE_SQL}, {roll_sql((9001,))} {digest_sql('chain', WIDE, 'e')}")
+def _(spark, sf):
+    """Frames wider than two blocks."""
+    return digest(W.rolling_stats(fx.ordered_residues(spark, sf), sizes=(9001,)), ["chain"], WIDE)
+
+
 @query("w04_rolling_mean_strict", f"""
 WITH {fx.RESIDUES_SQL}, {TABLE_SQL}, v AS (SELECT r.chain, r.pos, coalesce(pi, 6.0) AS pi FROM residues r LEFT JOIN tab t ON r.aa = t.aa),
 e AS (SELECT chain, {', '.join(f'CASE WHEN count(*) OVER w{w} = {w} THEN avg(pi) OVER w{w} ELSE 0.11111111 END AS wm{w}' for w in (3, 5, 7, 9))} FROM v
