@@ -4,21 +4,21 @@ The balancing rules of the reference are sequential. They run without gathering
 the table: ``cluster_disjoint_split`` and ``pack_batches`` depend only on a
 histogram of sizes (its length grows at most with the square root of the total
 size, or with the largest length), so the rule is solved on the histogram and the
-rows look up their answer by rank. ``balanced_split`` really needs row order and
-folds over one sorted partition after the other with a small carried state.
+rows look up their answer by rank. ``balanced_split`` deals by running sums, and
+``pack_batches_shuffled`` packs one bucket of rows at a time.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelake.core import DataContractError, durable, require_empty, running_totals, sort_keys
+from sitelake.core import DataContractError, durable, ratio, require_empty, running_totals
 from sitelake.operators import joins as J
 from sitelake.operators import select as S
 from sitelake.operators.metrics import examples
@@ -121,97 +121,44 @@ def cluster_disjoint_split(components: DataFrame, weight: str = "n_complexes", t
     return hit.select("component", turn.alias("split"))
 
 
-# ---------------------------------------------------------------- ordered folds
+# ---------------------------------------------------------------- D02
 
 
-def ordered_fold(df: DataFrame, order: Sequence[str], step: Callable[[dict, dict], dict], state: dict, schema: str) -> DataFrame:
-    """Run ``step(state, row) -> extra columns`` over rows in a global order.
+def balanced_split(components: DataFrame, train: float = 0.8, val: float = 0.1, large: int = 30, seed: int = 42) -> DataFrame:
+    """Components of ``large`` complexes or more go to train, the others are dealt so that all splits are alike.
 
-    Rows are range-sorted and written; then one partition after the other is
-    folded by one task that streams it, starting from the state the previous one
-    left. Memory is bounded by a batch; the driver only carries the state, whose
-    keys must be among the columns ``step`` returns (the state after the row).
+    The shares of residues that are left after the large components are dealt out
+    in rounds along one order of the small ones: by size, positive share and
+    coverage, equal ones in seeded order. The first part of every round goes to
+    train, then val, then test, each as long as its share. So every split gets its
+    share of each kind of component, and no step depends on the choices before
+    it. A round is long enough for the largest component to fit into the smallest
+    share. Only sums and a maximum reach the driver.
     """
-    spark = df.sparkSession
-    ranged = durable(df.orderBy(*sort_keys(order)).withColumn("__part", F.spark_partition_id()), "fold-input")
-    parts = sorted(r[0] for r in ranged.select("__part").distinct().toLocalIterator())
-    out_schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", " + schema
-    done: list[DataFrame] = []
-    for part in parts:
-        start = dict(state)
-
-        def fold(batches: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
-            cur = dict(start)
-            for batch in batches:
-                rows = []
-                for row in batch.to_dict("records"):
-                    extra = step(cur, row)
-                    cur = {k: extra[k] for k in cur}
-                    rows.append({**row, **extra})
-                if rows:
-                    yield pd.DataFrame(rows)
-
-        rows = ranged.where(F.col("__part") == part).drop("__part").coalesce(1).sortWithinPartitions(*sort_keys(order))
-        folded = durable(rows.mapInPandas(fold, out_schema), "fold-output")
-        done.append(folded)
-        last = folded.agg(F.max_by(F.struct(*state), F.col("__seq")).alias("s")).first()["s"]
-        state = last.asDict()
-    if not done:
-        return spark.createDataFrame([], out_schema)
-    return reduce(DataFrame.unionByName, done)
-
-
-def balanced_split(components: DataFrame, train: float = 0.8, val: float = 0.1, large: int = 30, seed: int = 42,
-                   weights: dict[str, float] | None = None) -> DataFrame:
-    """Components of ``large`` complexes or more go to train, the rest to the split with the best overall balance.
-
-    The objective weighs residues, complexes, positive share, mean coverage and
-    empty splits. Large components only enter as sums.
-    """
-    w = {"residue": 1.0, "complex": 0.7, "positive": 2.0, "coverage": 0.5, "empty": 100.0} | (weights or {})
     frac = {"train": train, "val": val, "test": 1.0 - train - val}
     if min(frac.values()) <= 0:
         raise DataContractError("all three shares must be positive")
-    cov = F.col("coverage_mean") * F.col("n_complexes")
-    measures = {"c": F.col("n_complexes"), "r": F.col("n_residues"), "p": F.col("n_positive"), "n": F.col("n_negative"), "k": cov}
     is_large = F.col("n_complexes") >= large
-    sums = components.agg(
-        *[F.coalesce(F.sum(m).cast("double"), F.lit(0.0)).alias(k) for k, m in measures.items()],
-        *[F.coalesce(F.sum(F.when(is_large, m)).cast("double"), F.lit(0.0)).alias(f"l{k}") for k, m in measures.items()]).first()
-    whole = {k: sums[k] for k in measures}
-    want = {s: (whole["r"] * f, whole["c"] * f) for s, f in frac.items()}
-    pos_all = whole["p"] / max(1, whole["p"] + whole["n"])
-    cov_all = whole["k"] / max(1, whole["c"])
-    state = {f"{k}_{s}": (sums[f"l{k}"] if s == "train" else 0.0) for s in SPLITS for k in measures} | {"__seq": 0}
-
-    def cost(cur: dict, s: str) -> float:
-        c, r, p, n, k = (cur[f"{m}_{s}"] for m in ("c", "r", "p", "n", "k"))
-        out = w["residue"] * abs(r - want[s][0]) / max(1.0, want[s][0]) + w["complex"] * abs(c - want[s][1]) / max(1.0, want[s][1])
-        if c <= 0:
-            return out + w["empty"]
-        return out + w["positive"] * abs(p / max(1, p + n) - pos_all) + w["coverage"] * abs(k / max(1, c) - cov_all)
-
-    def step(cur: dict, row: dict) -> dict:
-        add = {"c": row["n_complexes"], "r": row["n_residues"], "p": row["n_positive"], "n": row["n_negative"],
-               "k": row["coverage_mean"] * row["n_complexes"]}
-        base = {s: cost(cur, s) for s in SPLITS}
-        best, best_cost, best_state = None, math.inf, None
-        for s in SPLITS:
-            trial = dict(cur)
-            for m, v in add.items():
-                trial[f"{m}_{s}"] += v
-            total = sum(cost(trial, s) if o == s else base[o] for o in SPLITS)
-            if total < best_cost:
-                best, best_cost, best_state = s, total, trial
-        best_state["__seq"] = cur["__seq"] + 1
-        return {**best_state, "split": best}
-
-    cols = ["component", "n_complexes", "n_residues", "n_positive", "n_negative", "coverage_mean"]
-    small = components.where(~is_large).select(*cols, seeded("component", seed).alias("o"))
-    schema = ", ".join(f"`{k}` {'long' if k == '__seq' else 'double'}" for k in state) + ", split string"
-    folded = ordered_fold(small, ["-n_complexes", "-n_residues", "o", "component"], step, state, schema)
     big = components.where(is_large).select("component", F.lit("train").alias("split"), F.lit("large_component").alias("reason"))
-    return folded.select("component", "split", F.lit("greedy_balance").alias("reason")).unionByName(big)
+    total, taken, top = components.agg(
+        F.coalesce(F.sum("n_residues"), F.lit(0)), F.coalesce(F.sum(F.when(is_large, F.col("n_residues"))), F.lit(0)),
+        F.coalesce(F.max(F.when(~is_large, F.col("n_residues"))), F.lit(0))).first()
+    left = {s: max(0.0, frac[s] * total - (taken if s == "train" else 0.0)) for s in SPLITS}
+    whole = sum(left.values()) or 1.0
+    edge = left["train"] / whole, (left["train"] + left["val"]) / whole
+    # One number of rounds that keeps a round at least as long as the largest component needs.
+    smallest = min((x / whole for x in left.values() if x > 0), default=1.0)
+    rounds = max(1, math.floor((total - taken) * smallest / max(1, top)))
+    length = max(1.0, (total - taken) / rounds)
+    positive = F.floor(ratio(F.col("n_positive"), F.col("n_positive") + F.col("n_negative")) * 10)
+    kinds = components.where(~is_large).select(
+        "component", "n_residues", F.length(F.bin("n_complexes")).alias("__size"), positive.alias("__positive"),
+        F.floor(F.round(F.coalesce("coverage_mean", F.lit(0.0)), 6) * 4).alias("__coverage"), seeded("component", seed).alias("__o"))
+    run = running_totals(kinds, order=["-__size", "__positive", "__coverage", "__o", "component"], sums={"__upto": "n_residues"})
+    at = (F.col("__upto") - F.col("n_residues") / F.lit(2.0)) / F.lit(length)
+    phase = at - F.floor(at)
+    split = F.when(phase < edge[0], "train").when(phase < edge[1], "val").otherwise("test")
+    return run.select("component", split.alias("split"), F.lit("balanced").alias("reason")).unionByName(big)
 
 
 def random_split(df: DataFrame, key: str, seed: int = 42, train: float = 0.8, val: float = 0.1) -> DataFrame:
@@ -358,21 +305,36 @@ def pack_batches(df: DataFrame, batch: int, tokens: int, length: str = "n", key:
 
 
 def pack_batches_shuffled(df: DataFrame, batch: int, tokens: int, bucket: int, seed: int, length: str = "n", key: str = "id") -> DataFrame:
-    """The shuffled form: seeded order, cut into buckets of ``bucket`` rows, sorted by length inside each, packed in that order."""
+    """The shuffled form: seeded order, cut into buckets of ``bucket`` rows, sorted by length inside each, packed in that order.
+
+    An open batch is closed at the end of its bucket, so buckets are packed
+    independently of each other; a task sees the rows of one bucket at a time.
+    Without buckets (0 or 1) pieces of 4096 rows of the order are packed unsorted.
+    """
     ranked = running_totals(df.withColumn("__o", seeded(key, seed)), order=["__o", key], rank="__rn")
-    per = bucket if bucket > 1 else 1
-    sized = ranked.select(*df.columns, F.floor((F.col("__rn") - 1) / per).alias("__bucket"), F.greatest(F.lit(1), F.col(length)).cast("long").alias("__len"), "__rn")
-
-    def step(cur: dict, row: dict) -> dict:
-        longest = max(cur["longest"], row["__len"])
-        over = cur["filled"] >= batch or (tokens > 0 and cur["filled"] > 0 and (cur["filled"] + 1) * longest > tokens)
-        if over:
-            return {"filled": 1, "longest": row["__len"], "batch": cur["batch"] + 1, "__seq": cur["__seq"] + 1}
-        return {"filled": cur["filled"] + 1, "longest": longest, "batch": cur["batch"], "__seq": cur["__seq"] + 1}
-
-    state = {"filled": 0, "longest": 0, "batch": 0, "__seq": 0}
-    out = ordered_fold(sized, ["__bucket", "__len", "__rn"], step, state, "filled long, longest long, batch long, `__seq` long")
-    return out.select(*df.columns, "batch")
+    per = bucket if bucket > 1 else 4096
+    sized = ranked.select(
+        *df.columns, F.floor((F.col("__rn") - 1) / per).alias("__bucket"), F.greatest(F.lit(1), F.col(length)).cast("long").alias("__len"), "__rn")
+    order = ["__len", "__rn"] if bucket > 1 else ["__rn"]
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        number = filled = longest = 0
+        out = []
+        for n in rows["__len"]:
+            top = max(longest, n)
+            if filled and (filled >= batch or (tokens > 0 and (filled + 1) * top > tokens)):
+                number, filled, top = number + 1, 0, n
+            filled, longest = filled + 1, top
+            out.append(number)
+        return pd.DataFrame({"__bucket": rows["__bucket"], "__rn": rows["__rn"], "__batch": out})
+
+    sized = durable(sized, "buckets")
+    packed = durable(sized.select("__bucket", "__len", "__rn").groupBy("__bucket").applyInPandas(pack, "__bucket long, __rn long, __batch long"), "packed")
+    sizes = packed.groupBy("__bucket").agg((F.max("__batch") + 1).alias("__n"))
+    first = running_totals(sizes, order=["__bucket"], sums={"__upto": "__n"}).select("__bucket", (F.col("__upto") - F.col("__n")).alias("__first"))
+    numbered = packed.join(first, "__bucket").select("__rn", (F.col("__first") + F.col("__batch")).alias("batch"))
+    return sized.join(numbered, "__rn").select(*df.columns, "batch")
 
 
 def crop(rows: DataFrame, size: int, mode: str, seed: int = 42, key: str = "chain", pos: str = "pos", label: str = "label",

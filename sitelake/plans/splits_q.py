@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sitelake.core import running_totals
 from sitelake.operators import splits as D
 from sitelake.plans import fixtures as fx
-from sitelake.plans.graph_q import component_table
+from sitelake.plans.graph_q import CC, COVERAGE_SQL, component_table
 from sitelake.plans.joins_q import HITS_SQL, hit_tables, letter
 from sitelake.plans.metrics_q import round_all
 from sitelake.plans.registry import query
@@ -20,7 +20,17 @@ def _(spark, sf):
     return D.cluster_disjoint_split(fx.kept(spark, sf, "component_table", lambda: component_table(spark, sf)))
 
 
-@query("d02_balanced_split")
+@query("d02_balanced_split", f"""
+{CC}, {COVERAGE_SQL},
+comp AS (SELECT component, count(*) AS n_complexes, sum(n_residues) AS r, sum(n_positive) AS p, sum(n_negative) AS n, avg(coverage) AS coverage FROM cc JOIN cov USING (complex) GROUP BY component),
+tot AS (SELECT sum(r)::DOUBLE AS total, coalesce(sum(r) FILTER (n_complexes >= 30), 0)::DOUBLE AS taken, coalesce(max(r) FILTER (n_complexes < 30), 0)::DOUBLE AS top FROM comp),
+lefts AS (SELECT *, greatest(0::DOUBLE, 0.8::DOUBLE * total - taken) AS a, 0.1::DOUBLE * total AS b, (1::DOUBLE - 0.8::DOUBLE - 0.1::DOUBLE) * total AS c FROM tot),
+edges2 AS (SELECT *, a / (a + b + c) AS e1, (a + b) / (a + b + c) AS e2, least(CASE WHEN a > 0 THEN a / (a + b + c) ELSE 1 END, b / (a + b + c), c / (a + b + c)) AS smallest FROM lefts),
+rounds AS (SELECT *, greatest(1::DOUBLE, (total - taken) / greatest(1::DOUBLE, floor((total - taken) * smallest / greatest(1::DOUBLE, top)))) AS len FROM edges2),
+run AS (SELECT component, (sum(r) OVER (ORDER BY length(bin(n_complexes)) DESC, floor(coalesce(p::DOUBLE / nullif(p + n, 0), 0) * 10), floor(round(coalesce(coverage, 0), 6) * 4),
+  sha1(concat(component, ':42')), component ROWS UNBOUNDED PRECEDING) - r / 2::DOUBLE) / len AS spot, e1, e2 FROM comp, rounds WHERE n_complexes < 30)
+SELECT component, CASE WHEN spot - floor(spot) < e1 THEN 'train' WHEN spot - floor(spot) < e2 THEN 'val' ELSE 'test' END AS split, 'balanced' AS reason FROM run
+UNION ALL SELECT component, 'train', 'large_component' FROM comp WHERE n_complexes >= 30""")
 def _(spark, sf):
     return D.balanced_split(fx.kept(spark, sf, "component_table", lambda: component_table(spark, sf)))
 
