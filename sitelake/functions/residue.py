@@ -131,6 +131,11 @@ def is_in(letter: str | Column, letters: str) -> Column:
     return c.isin(*letters)
 
 
+def class_onehot(letter: str | Column) -> Column:
+    """Nonpolar, polar and charged as a one-hot array; all zero for other letters."""
+    return F.array(*[is_in(letter, m).cast("double") for m in (NONPOLAR, POLAR, CHARGED)])
+
+
 def map_code(code: str | Column, extra: dict[str, str] | None = None, default: str = "X") -> Column:
     """Three-letter code to letter; unknown codes give ``default``."""
     table = {r[1]: r[0] for r in RESIDUES} | (extra or {})

@@ -246,8 +246,10 @@ SHORT_LABELS = {
 def run_label(df: DataFrame) -> DataFrame:
     """Label and short label of a run from its configuration columns.
 
-    Columns: ``run_name, d_esm, esm_root, scalar_root, use_scalar, use_context,
-    use_contact, weight_decay, label_smoothing``.
+    Columns: ``run_name, d_esm, esm_root, scalar_root, use_scalar,
+    use_chain_embedding, use_position_features, use_global_context, use_contact,
+    weight_decay, label_smoothing``; any of the three context settings makes a run
+    one with context.
     """
     root = F.coalesce("esm_root", F.lit(""))
     scalar = F.coalesce("scalar_root", F.lit(""))
@@ -257,7 +259,9 @@ def run_label(df: DataFrame) -> DataFrame:
         F.when(~F.coalesce("use_scalar", F.lit(True)), "No scalar").when(scalar.contains("pred_struct_sequence_scalar"), "PredStruct scalar")
         .when((scalar != "") & ~F.lower(scalar).isin("none", "null"), "Seq scalar").otherwise("AA scalar")
     )
-    ctx, graph = F.coalesce("use_context", F.lit(False)), F.coalesce("use_contact", F.lit(False))
+    on = lambda c: F.coalesce(c, F.lit(False))
+    ctx = on("use_chain_embedding") | on("use_position_features") | on("use_global_context")
+    graph = on("use_contact")
     payload = root.contains("_contact") | root.contains("_mlc")
     context = F.concat(
         F.when(ctx, "+context").otherwise("no-context"),

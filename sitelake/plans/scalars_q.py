@@ -307,7 +307,8 @@ def _(spark, sf):
         F.when(F.col("o_orderstatus") == "F", 3200).otherwise(1280).alias("d_esm"),
         F.when(k % 3 == 0, "esm_contact").when(k % 3 == 1, "esm_mlc").otherwise("esm").alias("esm_root"),
         F.when(k % 4 == 0, "x/pred_struct_sequence_scalar").when(k % 4 == 1, "None").when(k % 4 == 2, "seq_v1").alias("scalar_root"),
-        (k % 5 != 0).alias("use_scalar"), (F.col("o_orderkey") % 2 == 0).alias("use_context"), (F.col("o_orderkey") % 3 == 0).alias("use_contact"),
+        (k % 5 != 0).alias("use_scalar"), (F.col("o_orderkey") % 4 == 0).alias("use_chain_embedding"),
+        (F.col("o_orderkey") % 4 == 2).alias("use_position_features"), F.when(F.col("o_orderkey") % 8 == 2, True).alias("use_global_context"), (F.col("o_orderkey") % 3 == 0).alias("use_contact"),
         ((k % 7) / 100.0).alias("weight_decay"), F.lit(0.03).alias("label_smoothing"))
     return T.run_label(cfg).select("o_orderkey", "label", "short_label")
 
@@ -322,6 +323,14 @@ def _(spark, sf):
     return rows.select("vec_id", F.when(F.col("o")[0] == 1, "H").when(F.col("o")[1] == 1, "E").otherwise("C").alias("ss3"))
 
 
+@query("f31_class_onehot", f"""
+WITH {fx.RESIDUES_SQL} SELECT aa, count(*) AS n, (aa IN ('A', 'V', 'L', 'I', 'M', 'F', 'W', 'P', 'G'))::DOUBLE AS nonpolar, (aa IN ('S', 'T', 'C', 'Y', 'N', 'Q'))::DOUBLE AS polar,
+  (aa IN ('K', 'R', 'H', 'D', 'E'))::DOUBLE AS charged FROM residues GROUP BY aa""")
+def _(spark, sf):
+    o = P.class_onehot("aa")
+    return fx.residues(spark, sf).groupBy("aa").agg(F.count("*").alias("n")).select("aa", "n", o[0].alias("nonpolar"), o[1].alias("polar"), o[2].alias("charged"))
+
+
 @query("f32_combine_layers", """
 WITH l AS (SELECT vec_id, embedding[1:32] AS a, embedding[33:64] AS b FROM embeddings)
 SELECT vec_id, len(list_concat(a, b)) AS n_concat, round(list_sum(list_transform(list_zip(a, b), lambda p: (p[1]::DOUBLE + p[2]::DOUBLE) / 2)), 6) + 0.0 AS mean_sum,
