@@ -79,6 +79,54 @@ def freeze_apply(val: DataFrame, test: DataFrame, alphas: Sequence[float], steps
         "threshold": F.lit(chosen["threshold"]), "val_f1": F.lit(chosen["f1"])})
 
 
+CANDIDATES = ("left", "right", "unweighted", "selected")
+
+
+def candidates(pairs: DataFrame, alpha: float) -> DataFrame:
+    """Every row once per candidate: both models as they are, the even blend and the blend with the chosen weight."""
+    scores = [F.col("left"), F.col("right"), blend("left", "right", 0.5), blend("left", "right", alpha)]
+    each = F.array(*[F.struct(F.lit(n).alias("candidate"), s.alias("score")) for n, s in zip(CANDIDATES, scores)])
+    return pairs.select("chain", "label", F.inline(each))
+
+
+def freeze_candidates(val: DataFrame, test: DataFrame, alphas: Sequence[float], steps: int = 100) -> DataFrame:
+    """Weight and thresholds from validation, then one record per candidate on test.
+
+    The weight is that of ``best_alpha``. Every candidate gets its own threshold:
+    largest F1 on validation, then MCC, then the threshold nearest 0.5. Columns:
+    ``candidate, alpha, threshold``, the validation values ``val_macro, val_ap,
+    val_f1, val_mcc``, and on test macro AP, pooled AP and the confusion record at
+    the frozen threshold, at 0.5 and at 0.6 (``_05``, ``_06``).
+    """
+    alpha = best_alpha(alpha_sweep(val, alphas)).first()["alpha"]
+    by = ["candidate"]
+    on_val, on_test = candidates(val, alpha), candidates(test, alpha)
+    swept = M.threshold_sweep(on_val, steps, by=by)
+    near = -F.abs(F.col("threshold") - 0.5)
+    chosen = argmax_lex(swept, by, [F.col("f1"), F.col("mcc"), near, -F.col("threshold")]).select(
+        *by, "threshold", F.col("f1").alias("val_f1"), F.col("mcc").alias("val_mcc"))
+    # Four rows, fixed before any test row is read.
+    frozen = chosen.collect()
+    cut = F.lit(None).cast("double")
+    for r in frozen:
+        cut = F.when(F.col("candidate") == r["candidate"], F.lit(r["threshold"])).otherwise(cut)
+    ranked = lambda rows, p: M.average_precision(rows, by).select(*by, F.col("average_precision").alias(f"{p}ap")).join(
+        M.chain_macro_ap(rows, by).select(*by, F.col("chain_ap_macro").alias(f"{p}macro")), by)
+    out = test.sparkSession.createDataFrame(frozen, chosen.schema).withColumn("alpha", F.lit(float(alpha)))
+    out = out.join(ranked(on_val, "val_"), by).join(ranked(on_test, ""), by).join(M.metrics_from_counts(M.confusion(on_test, cut, by)), by)
+    for name, t in (("05", 0.5), ("06", 0.6)):
+        fixed = M.metrics_from_counts(M.confusion(on_test, t, by))
+        out = out.join(fixed.select(*by, F.col("f1").alias(f"f1_{name}"), F.col("mcc").alias(f"mcc_{name}")), by)
+    return out
+
+
+def promotion_row(frozen: DataFrame) -> DataFrame:
+    """The validation values of all candidates side by side, as ``promotion`` takes them."""
+    short = {"left": "left", "right": "right", "unweighted": "unw", "selected": "sel"}
+    value = lambda c, m: F.max(F.when(F.col("candidate") == c, F.col(f"val_{m}"))).alias(f"{short[c]}_{m}")
+    return frozen.groupBy("alpha").agg(*[value(c, m) for c in CANDIDATES for m in ("macro", "ap", "f1", "mcc")])
+
+
 def promotion(row: DataFrame) -> DataFrame:
     """Nine checks of a learned blend against the unweighted blend and the right model; all must hold.
 

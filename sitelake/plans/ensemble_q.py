@@ -76,6 +76,54 @@ def _(spark, sf):
     return round_all(E.freeze_apply(pairs(spark, sf, "val"), pairs(spark, sf, "test"), ALPHAS), skip=("alpha", "threshold"))
 
 
+def candidate_sql(split, name):
+    return f"""{name} AS (SELECT chain, label, u.candidate, u.score FROM (SELECT chain, label, [
+  {{'candidate': 'left', 'score': s1}}, {{'candidate': 'right', 'score': s2}},
+  {{'candidate': 'unweighted', 'score': (SELECT {BLEND} FROM (SELECT 0.5::DOUBLE AS alpha))}},
+  {{'candidate': 'selected', 'score': {BLEND}}}] AS l FROM scored_base, chosen WHERE split = '{split}'), unnest(l) t(u))"""
+
+
+def confusion_sql(name, src, threshold):
+    return f"""{name} AS (SELECT candidate, sum((score >= {threshold} AND label = 1)::INT)::BIGINT AS tp, sum((score >= {threshold} AND label = 0)::INT)::BIGINT AS fp,
+  sum((score < {threshold} AND label = 0)::INT)::BIGINT AS tn, sum((score < {threshold} AND label = 1)::INT)::BIGINT AS fn FROM {src} GROUP BY candidate)"""
+
+
+FROZEN_SQL = f"""{SWEEP_SQL}, chosen AS (SELECT alpha FROM ranking JOIN mac USING (alpha) ORDER BY chain_ap_macro DESC, average_precision DESC, abs(alpha - 0.5), alpha LIMIT 1),
+{candidate_sql('val', 'cv')}, {candidate_sql('test', 'ct')},
+{sweep_sql(100, 1, 99, 'cv', 'candidate')}, cs AS (SELECT *, {MCC} AS mcc, {F1} AS f1 FROM swept),
+frozen AS (SELECT candidate, threshold, f1 AS val_f1, mcc AS val_mcc FROM cs
+  QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY f1 DESC, mcc DESC, abs(threshold - 0.5), threshold) = 1),
+{curve_sql('candidate', 'cv', '_v')}, {curve_sql('candidate, chain', 'cv', '_vc')}, {curve_sql('candidate', 'ct', '_t')}, {curve_sql('candidate, chain', 'ct', '_tc')},
+macros AS (SELECT candidate, v AS val_macro, t AS macro FROM (SELECT candidate, avg(average_precision) AS v FROM ranking_vc GROUP BY 1) JOIN (SELECT candidate, avg(average_precision) AS t FROM ranking_tc GROUP BY 1) USING (candidate)),
+tf AS (SELECT ct.*, threshold FROM ct JOIN frozen USING (candidate)), {confusion_sql('c0', 'tf', 'threshold')}, {confusion_sql('c5', 'ct', '0.5')}, {confusion_sql('c6', 'ct', '0.6')},
+rec AS (SELECT candidate, chosen.alpha, threshold, val_f1, val_mcc, v.average_precision AS val_ap, val_macro, t.average_precision AS ap, macro,
+  c0.tp, c0.fp, c0.tn, c0.fn, m0.f1, m0.mcc, m5.f1 AS f1_05, m5.mcc AS mcc_05, m6.f1 AS f1_06, m6.mcc AS mcc_06
+  FROM frozen JOIN chosen ON true JOIN ranking_v v USING (candidate) JOIN ranking_t t USING (candidate) JOIN macros USING (candidate) JOIN c0 USING (candidate)
+  JOIN (SELECT candidate, {F1} AS f1, {MCC} AS mcc FROM c0) m0 USING (candidate) JOIN (SELECT candidate, {F1} AS f1, {MCC} AS mcc FROM c5) m5 USING (candidate)
+  JOIN (SELECT candidate, {F1} AS f1, {MCC} AS mcc FROM c6) m6 USING (candidate))"""
+RECORD = ["val_f1", "val_mcc", "val_ap", "val_macro", "ap", "macro", "f1", "mcc", "f1_05", "mcc_05", "f1_06", "mcc_06"]
+
+
+def frozen_candidates(spark, sf):
+    return E.freeze_candidates(pairs(spark, sf, "val"), pairs(spark, sf, "test"), ALPHAS)
+
+
+@query("e05_freeze_candidates", f"{FROZEN_SQL} SELECT candidate, alpha, threshold, tp, fp, tn, fn, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in RECORD)} FROM rec")
+def _(spark, sf):
+    out = frozen_candidates(spark, sf)
+    return out.select("candidate", "alpha", "threshold", "tp", "fp", "tn", "fn", *[R(c).alias(c) for c in RECORD])
+
+
+@query("e06_promotion_frozen", f"""
+{FROZEN_SQL}, s AS (SELECT * FROM rec WHERE candidate = 'selected'), o AS (SELECT * FROM rec WHERE candidate IN ('unweighted', 'right')),
+ok AS (SELECT any_value(s.alpha) AS alpha, bool_and(s.alpha > 0 AND s.alpha < 1 AND abs(s.alpha - 0.5) > 1e-9 * greatest(s.alpha, 0.5)
+  AND s.val_macro > o.val_macro AND s.val_ap > o.val_ap AND s.val_f1 >= o.val_f1 AND s.val_mcc >= o.val_mcc) AS promoted FROM s, o),
+best AS (SELECT candidate FROM rec WHERE candidate <> 'selected' ORDER BY val_macro DESC, val_ap DESC, val_f1 DESC, list_position(['left', 'right', 'unweighted'], candidate) LIMIT 1)
+SELECT alpha, promoted, CASE WHEN promoted THEN 'selected' ELSE candidate END AS selected_method FROM ok, best""")
+def _(spark, sf):
+    return E.promotion(E.promotion_row(frozen_candidates(spark, sf))).select("alpha", "promoted", "selected_method")
+
+
 NAMES = {"click": "sel", "view": "unw", "error": "right", "purchase": "left"}
 
 
