@@ -37,7 +37,7 @@ VALUES, ROWS = 128, 4
 STEP = 16
 TOLERANCE = 1e-5
 #: Members of a block; a unit of work has two blocks at most.
-BLOCK = 256
+BLOCK = 512
 _SEEDS = np.random.default_rng(97).integers(0, 2**63, (2, VALUES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -106,7 +106,8 @@ def prune(sigs: np.ndarray, block: np.ndarray, band: int, needs: tuple[int, ...]
             j = j[block[j] != block[i]]
         if not len(j):
             continue
-        j = j[(keys[j] == keys[i]).argmax(axis=1) == band]
+        if band:  # all members agree in ``band``; pairs that agree earlier are another unit's
+            j = j[~(keys[j, :band] == keys[i, :band]).any(axis=1)]
         matches = np.zeros(len(j), np.int64)
         for k, need in enumerate(needs):
             if not len(j):
@@ -186,7 +187,11 @@ def _units(reps: DataFrame) -> DataFrame:
 
 
 def _candidates(units: DataFrame, reps: DataFrame, needs: tuple[int, ...]) -> DataFrame:
-    """``(unit, rep, partners)``: survivors of the pruning, one row per member that has later partners in its unit."""
+    """``(unit, rep, partners)``: survivors of the pruning, one row per member of a surviving pair.
+
+    ``partners`` are those of its pairs in which it comes first; a row per member and
+    unit, however many pairs there are.
+    """
     members = units.select("unit", "band", F.explode("members").alias("m")).select("unit", "band", "m.block", "m.rep")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -194,10 +199,12 @@ def _candidates(units: DataFrame, reps: DataFrame, needs: tuple[int, ...]) -> Da
         sigs = np.frombuffer(b"".join(pdf["signature"]), "<u4").reshape(-1, VALUES)
         i, j = prune(sigs, pdf["block"].to_numpy(), int(pdf["band"].iloc[0]), needs)
         reps_ = pdf["rep"].to_numpy()
-        cut = np.flatnonzero(np.diff(i, prepend=-1))
-        parts = np.split(j, cut[1:]) if len(i) else []
+        involved = np.union1d(i, j)
+        # Pairs come in the order of their first members.
+        low, high = np.searchsorted(i, involved), np.searchsorted(i, involved, side="right")
         return pd.DataFrame({
-            "unit": np.full(len(parts), pdf["unit"].iloc[0]), "rep": reps_[i[cut]], "partners": pd.Series([reps_[p] for p in parts], dtype=object),
+            "unit": np.full(len(involved), pdf["unit"].iloc[0]), "rep": reps_[involved],
+            "partners": pd.Series([reps_[j[x:y]] for x, y in zip(low, high)], dtype=object),
         })
 
     return members.join(reps.select("rep", "signature"), "rep").groupBy("unit").applyInPandas(compare, "unit long, rep long, partners array<long>")
@@ -205,16 +212,11 @@ def _candidates(units: DataFrame, reps: DataFrame, needs: tuple[int, ...]) -> Da
 
 def _verify(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """``(rep, links, other)``: link counts (``other`` null) and forest links (``links`` null) of every unit."""
-    needed = candidates.select("unit", F.explode(F.array_union(F.array("rep"), "partners")).alias("rep"), F.lit(None).cast("array<long>").alias("partners"))
-    needed = needed.select("unit", "rep").distinct().join(sets, "rep").withColumn("partners", F.lit(None).cast("array<long>"))
-    work = needed.unionByName(candidates.withColumn("grams", F.lit(None).cast("binary")))
-
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = pdf[pdf["grams"].notna()]
-        sets_ = {r: np.frombuffer(g, "<u8") for r, g in zip(held["rep"], held["grams"])}
+        sets_ = {r: np.frombuffer(g, "<u8") for r, g in zip(pdf["rep"], pdf["grams"])}
         links = [
             (int(a), int(b))
-            for a, partners in zip(pdf["rep"], pdf["partners"]) if partners is not None
+            for a, partners in zip(pdf["rep"], pdf["partners"])
             for b in partners if jaccard(sets_[a], sets_[b]) >= threshold
         ]
         ends = pd.Series([x for p in links for x in p], dtype="int64").value_counts()
@@ -224,7 +226,7 @@ def _verify(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFra
             pd.DataFrame({"rep": [a for a, _ in forest], "links": None, "other": [b for _, b in forest]}),
         ], ignore_index=True).astype({"rep": "int64", "links": "Int64", "other": "Int64"})
 
-    return work.groupBy("unit").applyInPandas(check, "rep long, links long, other long")
+    return candidates.join(sets, "rep").groupBy("unit").applyInPandas(check, "rep long, links long, other long")
 
 
 def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, n: int = N, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -247,7 +249,7 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
     reps = durable(reps.select("digest", F.col("m.row").alias("rep"), F.col("m.doc_id").alias("copy_of"), "m.grams", "m.signature", "n_copies"), "classes")
     units = durable(_units(reps), "units")
     candidates = durable(_candidates(units, reps, least_matches(threshold, tolerance)), "candidates")
-    wanted = candidates.select(F.explode(F.array_union(F.array("rep"), "partners")).alias("rep")).distinct()
+    wanted = candidates.select("rep").distinct()
     wanted = durable(wanted.join(reps.select("rep", "copy_of", "digest"), "rep"), "wanted")
     texts = base.join(wanted.select(F.col("copy_of").alias("id")).distinct().hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
 
