@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelake.llm.frames import add_from_text, mix64
@@ -98,7 +98,8 @@ class Filters:
     masks: np.ndarray
     chance: np.ndarray
 
-    def predict(self, texts) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, share of the text's n-grams that are the language's (less chance hits), and number of n-grams."""
         n, langs = len(texts), len(self.languages)
         hits, total = np.zeros((n, langs)), np.zeros(n)
         for codes, owner in segments(texts):
@@ -111,7 +112,7 @@ class Filters:
             for l in range(langs):
                 hits[:, l] += np.bincount(of[(mask >> l) & 1 == 1], minlength=n)
         real = np.maximum(0.0, (hits - total[:, None] * self.chance) / (1.0 - self.chance)) if langs else hits
-        names, scores = [], np.zeros(n)
+        names, scores, shares = [], np.zeros(n), np.zeros(n)
         for i, t in enumerate(texts):
             if not langs or t is None or not any(map(str.isalpha, t)):
                 names.append(UNDETERMINED)
@@ -120,7 +121,8 @@ class Filters:
             rest = float(np.delete(real[i], best).max()) if langs > 1 else 0.0
             names.append(self.languages[best])
             scores[i] = real[i, best] / (real[i, best] + rest) if real[i, best] > 0 else 0.0
-        return names, scores
+            shares[i] = real[i, best] / total[i] if total[i] else 0.0
+        return names, scores, shares, total
 
 
 def learn(docs: DataFrame, positions: int = POSITIONS, per_language: int = PER_LANGUAGE, min_docs: int = 2, share: float = 0.4, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Filters:
@@ -184,17 +186,41 @@ def learn(docs: DataFrame, positions: int = POSITIONS, per_language: int = PER_L
     return Filters(languages, table, fill**HASHES)
 
 
-def identify(docs: DataFrame, filters: Filters, text: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+def identify(docs: DataFrame, filters: Filters, text: str = "text", names: tuple[str, ...] = ("lang_pred", "lang_score")) -> DataFrame:
     """``docs`` with the predicted language and its score; the text alone decides.
 
     Null texts and texts without a letter are ``und`` with score 0. The score is
-    the best language's share of the two best counts. The filters have a fixed
-    size and are sent to every executor once.
+    the best language's share of the two best counts. A third and a fourth name add
+    the share of the text's n-grams that are of the language and the number of all.
+    The filters have a fixed size and are sent to every executor once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def predict(texts: list) -> list:
-        langs, scores = shared.value.predict(texts)
-        return [langs, scores]
+        return list(shared.value.predict(texts)[: len(names)])
 
-    return add_from_text(docs, text, dict(zip(names, ("string", "double"))), predict)
+    return add_from_text(docs, text, dict(zip(names, ("string", "double", "double", "double"))), predict)
+
+
+def floors(docs: DataFrame, filters: Filters, per_language: int = PER_LANGUAGE, part: float = 0.5, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, float]:
+    """Per language the least share that a text of it should have: ``part`` of the median of labelled texts.
+
+    About ``per_language`` texts of each language are drawn by a hash of ``key``.
+    """
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h")).where("text is not null and lang is not null")
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().where(F.col("lang").isin(filters.languages)).collect()}
+    rate = F.lit(0)
+    for name, n in sorted(sizes.items()):
+        rate = F.when(F.col("lang") == name, F.lit(int(min(1.0, per_language / n) * 1_000_000))).otherwise(rate)
+    sample = rows.where(F.pmod("h", F.lit(1_000_000)) < rate).select("text", "lang")
+    judged = identify(sample, filters, names=("__pred", "__score", "__share", "__grams")).where("__grams > 0")
+    middle = judged.groupBy("lang").agg(F.percentile_approx("__share", 0.5).alias("m")).collect()
+    return {r["lang"]: part * r["m"] for r in middle}
+
+
+def covered(floor: dict[str, float], lang: str, share: str, grams: str) -> Column:
+    """Whether a text's share reaches the floor of its language, less two standard errors of as many n-grams; one hit at least."""
+    least = F.lit(0.0)
+    for name, f in sorted(floor.items()):
+        least = F.when(F.col(lang) == name, F.lit(f)).otherwise(least)
+    return (F.col(share) > 0) & (F.col(share) >= least - 2 * F.sqrt(least * (1 - least) / F.col(grams)))

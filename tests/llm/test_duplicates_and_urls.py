@@ -244,3 +244,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept["exact_dedup"] - kept["near_dedup"] == Counter([300 + i for i in range(5)])
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(r.doc_id for r in packed if r.start == 0) == kept["near_dedup"]
+
+
+def test_language_stage_rejects_texts_that_were_not_learned(spark):
+    """Long texts of another script, and such texts with a few known words or an address in them."""
+    prepare(spark)
+    rnd = random.Random(5)
+    words = {"en": "the of and that with for was his they this have from", "de": "der die und nicht mit sich auf werden eine aber nur"}
+    known = [(i, " ".join(rnd.choice(words[lang].split()) for _ in range(40)), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    script = lambda lo, n: "".join(chr(lo + rnd.randrange(30)) if rnd.random() > 0.15 else " " for _ in range(n))
+    foreign = [(1000 + i, script(lo, n), None) for i, (lo, n) in enumerate((lo, n) for lo in (0x430, 0x3B1, 0x4E00) for n in (300, 3000, 10000) for _ in range(5))]
+    mixed = [(2000 + i, f"{script(0x430, n)} {w} {script(0x430, n)}", None) for i, (n, w) in enumerate((n, w) for n in (150, 1500) for w in ("the", "und nicht", "https://the.org/with"))]
+    short = [(3000, "the", None), (3001, "und nicht", None), (3002, "they have \u0434\u0430", None)]
+    docs = spark.createDataFrame([*known, *foreign, *mixed, *short], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert kept == {i for i, _, _ in [*known, *short]}
