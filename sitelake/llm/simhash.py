@@ -20,6 +20,8 @@ HALVES = 2
 BITS = 64 * HALVES
 #: Terms counted together: few enough for a counter of 16 bits, of which the uppermost also carries the sign.
 BLOCK = 16_384
+#: Bits in which near copies (five-word Jaccard of 0.8) may differ.
+RADIUS = 17
 LANES = 0x0001000100010001
 SPLIT = r"[ \t\n\x0B\f\r]+"
 #: Stands before the first word, so that a text without words has a term too.
@@ -156,7 +158,47 @@ def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int = 4) -> Da
     return left.join(right, on).select("a0", "a1", "b0", "b1")
 
 
-def fingerprint_documents(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def close_fingerprints(prints: DataFrame, radius: int) -> DataFrame:
+    """The same pairs as ``near_fingerprints`` for a radius of many bits.
+
+    With ``radius // 2 + 1`` blocks two fingerprints within the radius differ in at
+    most one bit of some block. Every block is a table; a fingerprint is looked up
+    there by its own block and by the block with each of its zero bits set. All
+    pairs are found, each reported by the first table in which it meets.
+    """
+    spark, blocks = prints.sparkSession, radius // 2 + 1
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    halves = lambda x: (signed(x & (1 << 64) - 1), signed(x >> 64))
+    cuts = [BITS * t // blocks for t in range(blocks + 1)]
+    masks = [halves((1 << cuts[t + 1]) - (1 << cuts[t])) for t in range(blocks)]
+    tables = [(t, *m, 0, 0) for t, m in enumerate(masks)]
+    probes = [(t, *m, *halves(1 << i if i >= 0 else 0)) for t, m in enumerate(masks) for i in [-1, *range(cuts[t], cuts[t + 1])]]
+
+    def keyed(prefix: str, lookups: list) -> DataFrame:
+        own = prints.select(F.col("f0").alias(f"{prefix}0"), F.col("f1").alias(f"{prefix}1"))
+        fields = ["t", "m0", "m1", "s0", "s1"]
+        listed = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for v, c in zip(row, fields)]) for row in lookups])
+        # At most a few hundred rows, which depend on the radius alone.
+        fixed = F.broadcast(spark.range(1).select(F.inline(listed)))
+        zero = (F.col(f"{prefix}0").bitwiseAND(F.col("s0")) == 0) & (F.col(f"{prefix}1").bitwiseAND(F.col("s1")) == 0)
+        value = [F.col(f"{prefix}{h}").bitwiseOR(F.col(f"s{h}")).bitwiseAND(F.col(f"m{h}")) for h in range(HALVES)]
+        same = (F.col("s0") == 0) & (F.col("s1") == 0)
+        return own.join(fixed, zero).select(f"{prefix}0", f"{prefix}1", F.xxhash64("t", *value).alias(f"{prefix}k"), F.col("t").cast("byte").alias("t"), same.alias("same"))
+
+    left, right = keyed("a", probes), keyed("b", tables).drop("t", "same")
+    x = [F.col(f"a{h}").bitwiseXOR(F.col(f"b{h}")) for h in range(HALVES)]
+    apart = F.bit_count(x[0]) + F.bit_count(x[1])
+    first = F.lit(True)
+    for t, m in enumerate(masks[:-1]):
+        differ = F.bit_count(x[0].bitwiseAND(F.lit(m[0]))) + F.bit_count(x[1].bitwiseAND(F.lit(m[1])))
+        first = first & ~((F.lit(t) < F.col("t")) & (differ <= 1))
+    ordered = (F.col("a0") < F.col("b0")) | ((F.col("a0") == F.col("b0")) & (F.col("a1") < F.col("b1")))
+    # The tables have a row per block, the lookups one per bit: the short side is hashed.
+    on = (F.col("ak") == F.col("bk")) & (apart <= radius) & (~F.col("same") | ordered) & first
+    return left.join(right.hint("shuffle_hash"), on).select("a0", "a1", "b0", "b1")
+
+
+def fingerprint_documents(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited form, one row per row of ``docs``.
 
     Columns: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
@@ -180,7 +222,7 @@ def fingerprint_documents(docs: DataFrame, radius: int = 3, doc_id: str = "doc_i
     w = Window.partitionBy("bucket").orderBy("place")
     opening = marked.where("place = 1").select(F.col("bucket").alias("next_bucket"), F.col("f0_0").alias("o0"), F.col("f0_1").alias("o1"))
     prints = durable(marked.select(F.col("f0_0").alias("f0"), F.col("f0_1").alias("f1")).distinct(), "prints")
-    pairs = near_fingerprints(prints, radius)
+    pairs = near_fingerprints(prints, radius) if radius <= 3 else close_fingerprints(prints, radius)
     ends = pairs.select(F.explode(F.array(
         F.struct(F.col("a0").alias("f0_0"), F.col("a1").alias("f0_1")), F.struct(F.col("b0").alias("f0_0"), F.col("b1").alias("f0_1"))
     )).alias("x")).select("x.*")

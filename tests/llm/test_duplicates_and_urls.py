@@ -259,3 +259,28 @@ def test_language_stage_rejects_texts_that_were_not_learned(spark):
     docs = spark.createDataFrame([*known, *foreign, *mixed, *short], "doc_id long, text string, lang string")
     kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
     assert kept == {i for i, _, _ in [*known, *short]}
+
+
+@pytest.mark.parametrize("radius", [4, 11, 17, 20])
+def test_close_fingerprints_finds_all(spark, radius):
+    """Pairs at every distance around the radius, a group of many, and the borders of the halves."""
+    rnd, prints = random.Random(radius), {0, (1 << 128) - 1, 1 << 63, 1 << 64, 1 << 127}
+    for d in range(1, radius + 4):
+        for _ in range(6):
+            base = rnd.getrandbits(128)
+            prints |= {base, base ^ sum(1 << i for i in rnd.sample(range(128), d))}
+    base = rnd.getrandbits(128)
+    prints |= {base ^ sum(1 << i for i in rnd.sample(range(128), rnd.randrange(radius))) for _ in range(80)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    pair = lambda p: (signed(p & (1 << 64) - 1), signed(p >> 64))
+    frame = spark.createDataFrame([pair(p) for p in sorted(prints)], "f0 long, f1 long")
+    got = Counter(frozenset([(r.a0, r.a1), (r.b0, r.b1)]) for r in simhash.close_fingerprints(frame, radius).collect())
+    assert got == Counter(frozenset([pair(p), pair(q)]) for p in prints for q in prints if p < q and (p ^ q).bit_count() <= radius)
+
+
+def test_simhash_counts_near_copies(spark, docs_of):
+    """A text in which one word of a hundred is another has its near copy counted."""
+    rnd = random.Random(3)
+    text = [f"w{rnd.randrange(10**6)}" for _ in range(100)]
+    got = simhash.fingerprint_documents(docs_of([(1, " ".join(text)), (2, " ".join([*text[:50], "changed", *text[51:]])), (3, " ".join(f"v{rnd.randrange(10**6)}" for _ in range(100)))])).collect()
+    assert {r.doc_id: r.n_near for r in got} == {1: 1, 2: 1, 3: 0}
