@@ -87,18 +87,21 @@ def _(spark, sf):
     return ca.groupBy("chain", "resseq").agg(F.count("*").alias("n"), R(F.sum("x"), 2).alias("x"))
 
 
-def header_files(spark, sf):
-    c = fx.table(spark, sf, "customer")
+def header_text():
     kind = F.when(F.col("c_nationkey") < 8, "X-RAY DIFFRACTION").when(F.col("c_nationkey") < 16, "").otherwise("SOLUTION NMR")
     title = F.when(F.col("c_nationkey") < 12, "CRYO-EM STUDY").otherwise("CRYSTAL   STUDY")
-    text = F.concat(
+    return F.concat(
         F.rpad(F.concat(F.lit("HEADER    "), "c_mktsegment"), 50, " "), F.lit("01-JAN-00\n"), F.lit("TITLE     "), title, F.lit("\nTITLE    2 OF "), "c_name",
         F.lit("\nCOMPND    MOL_ID: 1;\nCOMPND   2 MOLECULE: KINASE;\nCOMPND   3 CHAIN: A, B;\nCOMPND   4 MOL_ID: 2;\nCOMPND   5 MOLECULE: PART "), F.col("c_nationkey").cast("string"),
         F.lit(";\nCOMPND   6 CHAIN: C\nEXPDTA    "), kind, F.lit("\nREMARK   2 RESOLUTION.    "), F.format_string("%.2f", F.col("c_nationkey") / 5 + 1), F.lit(" ANGSTROMS.\n"))
+
+
+def header_files(spark, sf):
+    c = fx.table(spark, sf, "customer")
     path = folder(spark, "headers")
     # one file per nation: headers of many structures, each file one record
     one = c.groupBy("c_nationkey").agg(F.min("c_mktsegment").alias("c_mktsegment"), F.min("c_name").alias("c_name"))
-    one.select("c_nationkey", text.alias("value")).repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    one.select("c_nationkey", header_text().alias("value")).repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
     return S.read_structure_headers(spark, f"{path}/*")
 
 
@@ -117,12 +120,33 @@ def _(spark, sf):
     return header_files(spark, sf)[1].groupBy("chain", "molecule").agg(F.count("*").alias("n"))
 
 
+def header_records(spark, sf):
+    """A record for every customer, many to a file."""
+    path = folder(spark, "records")
+    fx.table(spark, sf, "customer").repartition("c_custkey").select(F.concat(header_text(), F.lit("END")).alias("value")).write.text(path)
+    return S.read_structure_headers(spark, path, "END\n")
+
+
+@query("s06_all_headers", """
+SELECT lower(c_mktsegment) AS head, concat(CASE WHEN c_nationkey < 12 THEN 'cryo-em study' ELSE 'crystal study' END, ' of ', lower(c_name)) AS "desc",
+  CASE WHEN c_nationkey < 8 THEN 'x-ray diffraction' WHEN c_nationkey >= 16 THEN 'solution nmr' WHEN c_nationkey < 12 THEN 'electron microscopy' ELSE '' END AS met, c_nationkey / 5 + 1 AS rez FROM customer""")
+def _(spark, sf):
+    return header_records(spark, sf)[0].select("head", "desc", "met", R("rez", 2).alias("rez"))
+
+
+@query("s06_all_molecules", """
+SELECT chain, CASE WHEN chain = 'C' THEN concat('part ', c_nationkey) ELSE 'kinase' END AS molecule, count(*) AS n
+FROM customer, (VALUES ('A'), ('B'), ('C')) v(chain) GROUP BY ALL""")
+def _(spark, sf):
+    return header_records(spark, sf)[1].groupBy("chain", "molecule").agg(F.count("*").alias("n"))
+
+
 @query("s07_xml_chains", f"WITH {fx.CHAINS_SQL} SELECT concat('C', chain) AS chain, chain % 9 AS num_tm, complex AS type, length(seq) AS n, sha1(seq) AS seq_sha1 FROM chains")
 def _(spark, sf):
     c = fx.chains(spark, sf)
     text = F.concat(F.lit('<p:CHAIN CHAINID="C'), F.col("chain").cast("string"), F.lit('" NUM_TM="'), (F.col("chain") % 9).cast("string"), F.lit('" TYPE="'), "complex",
                     F.lit('"><p:SEQ> '), F.regexp_replace("seq", "(.{60})", "$1 "), F.lit("</p:SEQ></p:CHAIN>"))
-    part = F.pmod(F.hash("chain"), F.lit(8)).alias("part")
+    part = F.pmod(F.hash("chain"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions")))).alias("part")
     body = c.select(part, F.lit(1).alias("o"), text.alias("value"))
     parts = body.select("part").distinct()
     lines = body.unionByName(parts.select("part", F.lit(0).alias("o"), F.lit('<p:SET xmlns:p="http://x.org">').alias("value"))).unionByName(

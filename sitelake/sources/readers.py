@@ -74,9 +74,17 @@ def read_atoms(spark: SparkSession, path: str, name: str | None = None) -> DataF
     return one.select(*key, *[F.when(F.col("r").isNotNull(), F.col(f"r.{c}")).otherwise(mean(c)).alias(c) for c in rest])
 
 
-def read_structure_headers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(file, head, desc, met, rez)`` and ``(file, chain, molecule)``; one file is one record."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("lines"))
+def read_structure_headers(spark: SparkSession, path: str, end: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(file, head, desc, met, rez)`` and ``(file, chain, molecule)``; one file is one record.
+
+    With ``end`` a file holds many records, each closed by it; ``file`` then has the record's number behind a ``#``.
+    """
+    name = F.col("_metadata.file_path")
+    if end is None:
+        raw = spark.read.text(path, wholetext=True).select(name.alias("file"), "value")
+    else:
+        raw = spark.read.text(path, lineSep=end).select(F.concat(name, F.lit("#"), F.monotonically_increasing_id()).alias("file"), "value")
+    whole = raw.select("file", F.split("value", r"\r?\n").alias("lines"))
 
     def joined(tag: str, start: int, stop: int) -> Column:
         mine = F.filter("lines", lambda s: s.startswith(tag))

@@ -87,3 +87,26 @@ def test_knn_with_a_far_point_equals_brute_force(spark):
     for c, i, *p in points:
         near = sorted((math.dist(p, q), j) for d, j, *q in points if d == c and j != i)[:6]
         assert [j for _, j in sorted(got[c, i])] == [j for _, j in near]
+
+
+def test_structure_headers_of_all_customers_and_more_xml_files(spark):
+    """A header for every customer; as many XML parts as shuffle partitions ask for."""
+    import glob
+
+    from sitelake.core import shared_dir
+    from sitelake.plans import QUERIES, load_all
+
+    load_all()
+    sf, before = "/root/testdata/sf0.001", spark.conf.get("spark.sql.shuffle.partitions")
+    names = [r.c_name.lower() for r in spark.read.parquet(f"{sf}/customer.parquet").collect()]
+    got = QUERIES["s06_all_headers"](spark, sf).collect()
+    assert sorted(r["desc"].split(" of ")[1] for r in got) == sorted(names)
+    molecules = {(r.chain, r.molecule): r.n for r in QUERIES["s06_all_molecules"](spark, sf).collect()}
+    assert molecules[("A", "kinase")] == molecules[("B", "kinase")] == len(names) == sum(n for (c, _), n in molecules.items() if c == "C")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        QUERIES["s07_xml_chains"](spark, sf).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    root = shared_dir(spark).removeprefix("file:")
+    assert max(len(glob.glob(f"{p}/part=*")) for p in glob.glob(f"{root}/sitelake/*/xml-*")) > 8
