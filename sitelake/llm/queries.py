@@ -20,6 +20,7 @@ from sitelake.llm.packing import pack_documents
 from sitelake.llm.piece_encoding import encode_digests
 from sitelake.llm.quality import learn as learn_quality
 from sitelake.llm.quality import score_documents
+from sitelake.llm.sharding import shard_documents
 from sitelake.llm.simhash import fingerprint_documents
 from sitelake.llm.token_counts import count_tokens
 from sitelake.llm.url_filter import judge_urls, rule_table
@@ -167,3 +168,34 @@ def op1_ngram_join(spark, sf):
 @query("op2_katz_scores")
 def op2_katz_scores(spark, sf):
     return katz_scores(table(spark, sf, "documents"), id_crc(F.col("doc_id")) % 7 != 2)
+
+
+# The checksum table of CRC-32 comes from its polynomial, 0xEDB88320; the walk multiplies as 128-bit numbers.
+OP11 = r"""
+with recursive crc(i, c) as (
+  select i, i from range(256) r(i)),
+crc_table as (
+  select list(c order by i) as crc_of from (
+    select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as c from crc)),
+texts as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+bytes as (
+  select r, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: ('0x' || h)::bigint) as b from texts),
+sums as (
+  select r, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c // 256, crc_of[xor(c % 256, x) + 1])), 4294967295) as text_crc32 from bytes, crc_table),
+walk(r, shards, key, place, step) as (
+  select r, shards, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 16))::hugeint, 0::bigint, 0::bigint from texts, (values (16), (17)) n(shards)
+  union all
+  select r, shards, next, step, floor((step + 1) * (2147483648::double / ((next // 8589934592)::double + 1)))::bigint
+  from (select r, shards, step, (key * 2862933555777941757 + 1) % 18446744073709551616 as next from walk where step < shards)),
+places as (
+  select r, max(place) filter (shards = 16) as shard, max(place) filter (shards = 17) as grown_shard from walk group by r)
+select doc_id, octet_length(encode(t))::bigint + 1 as size, text_crc32, 'key' as law, shard::int as shard,
+  row_number() over (partition by shard order by doc_id nulls first, octet_length(encode(t)), text_crc32) - 1 as slot, grown_shard::int as grown_shard
+from texts join sums using (r) join places using (r)
+"""
+
+
+@query("op11_sharding", OP11)
+def op11_sharding(spark, sf):
+    return shard_documents(table(spark, sf, "documents"), 16)
