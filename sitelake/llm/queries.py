@@ -15,6 +15,7 @@ from sitelake.llm.frames import id_crc, table
 from sitelake.llm.katz import score_documents as katz_scores
 from sitelake.llm.langid import identify
 from sitelake.llm.langid import learn as learn_languages
+from sitelake.llm.lexical import rank_documents
 from sitelake.llm.ngram_join import similar_documents
 from sitelake.llm.packing import pack_documents
 from sitelake.llm.piece_encoding import encode_digests
@@ -27,6 +28,7 @@ from sitelake.llm.url_filter import judge_urls, rule_table
 
 #: Rows of a batch that goes to Python at once; texts can be long.
 BATCH = "4000"
+BATCH_BYTES = "32m"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +48,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if root not in known:
         env["PYTHONPATH"] = os.pathsep.join([root, *known])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
     return tune(spark)
 
@@ -199,3 +202,28 @@ from texts join sums using (r) join places using (r)
 @query("op11_sharding", OP11)
 def op11_sharding(spark, sf):
     return shard_documents(table(spark, sf, "documents"), 16)
+
+
+OP13 = r"""
+with terms as (
+  select doc_id, row_number() over () as r, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+counts as (select r, doc_id, term, count(*) as tf from terms group by all),
+sizes as (select r, sum(tf)::bigint as n from counts group by r),
+totals as (select count(*) as docs, sum(n)::bigint as total from sizes),
+norms as (select r, 75 + ((25 * n * docs) // total) as m from sizes, totals),
+weights as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w from counts, totals group by term, docs),
+wanted as (
+  select item_id, term, count(*) as times from (select item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all),
+scores as (
+  select item_id, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+  from wanted join counts using (term) join weights using (term) join norms using (r) group by item_id, doc_id, r),
+ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from scores where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 20
+"""
+
+
+@query("op13_lexical_search", OP13)
+def op13_lexical_search(spark, sf):
+    return rank_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 20)
