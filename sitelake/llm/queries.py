@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sitelake.session import tune
 from sitelake.llm.exact_dedup import exact_dedup
 from sitelake.llm.frames import id_crc, table
+from sitelake.llm.hard_negatives import mine
 from sitelake.llm.katz import score_documents as katz_scores
 from sitelake.llm.langid import identify
 from sitelake.llm.langid import learn as learn_languages
@@ -227,3 +228,25 @@ select item_id, rank::int as rank, doc_id, score from ranked where rank <= 20
 @query("op13_lexical_search", OP13)
 def op13_lexical_search(spark, sf):
     return rank_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 20)
+
+
+OP12 = r"""
+with vectors as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as x
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.r, a.vec_id as anchor_id, b.r as other, b.vec_id as other_id, a.label = b.label as same, list_inner_product(a.x, b.x)::bigint as score
+  from vectors a, vectors b where a.vec_id % 100 = 0),
+near as (
+  select r, anchor_id, other_id as positive_id, score as positive_score from scores where same and r <> other
+  qualify row_number() over (partition by r order by score desc, other_id, other) <= 5)
+select anchor_id, positive_id, (row_number() over w)::int as rank, other_id as negative_id, positive_score, score as negative_score
+from near join scores using (r, anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify row_number() over w <= 5 window w as (partition by r, positive_id, positive_score order by score desc, other_id, other)
+"""
+
+
+@query("op12_hard_negatives", OP12)
+def op12_hard_negatives(spark, sf):
+    return mine(table(spark, sf, "embeddings"))
