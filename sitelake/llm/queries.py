@@ -243,7 +243,7 @@ near as (
   qualify row_number() over (partition by r order by score desc, other_id, other) <= 5)
 select anchor_id, positive_id, (row_number() over w)::int as rank, other_id as negative_id, positive_score, score as negative_score
 from near join scores using (r, anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score
-qualify row_number() over w <= 5 window w as (partition by r, positive_id, positive_score order by score desc, other_id, other)
+window w as (partition by r, positive_id, positive_score order by score desc, other_id, other) qualify row_number() over w <= 5
 """
 
 
