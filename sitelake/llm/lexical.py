@@ -35,7 +35,7 @@ BLOCK_DOCS = 1 << 14
 WINDOW = 2048
 #: Queries are taken in groups of about so many bytes of text; each group has its own lists.
 QUERY_BYTES = 4 << 20
-#: At most so many blocks are searched beforehand for lower bounds of the best scores.
+#: About so many blocks at most are searched beforehand for lower bounds of the best scores.
 SEED_BLOCKS = 64
 
 BLOCK = "ids array<long>, sizes array<long>, terms array<int>, lengths array<int>, docs binary, tfs binary"
@@ -288,7 +288,7 @@ def rank_documents(
         stats = statistics(blocks, len(known))
         queries = [q for q in queries if len(q.terms)]
         # Any blocks give valid lower bounds; some of them, searched first, spare most rows of the others.
-        seeds = blocks.limit(min(SEED_BLOCKS, -(-blocks.count() // 16)))
+        seeds = blocks.where(F.pmod(F.xxhash64("ids"), F.lit(max(16, blocks.count() // SEED_BLOCKS))) == 0)
         lows = _best(search_blocks(seeds, queries, stats, k, {}, window), k).where(F.col("rank") == k)
         floors = {r.query: r.score for r in lows.collect()}
         best = _best(search_blocks(blocks, queries, stats, k, floors, window), k)
