@@ -484,39 +484,73 @@ def composition_levels(df: DataFrame, outer: str, inner: str, letter: str, lette
 
 
 def mixed_index(rep: Column, draw: Column, seed: int, n: int) -> Column:
-    """Index in ``0..n-1`` from integer mixing modulo 2^31-1; the same in any SQL engine.
-
-    Fails for more units than the mixing can reach.
-    """
-    if n > 2147483647:
-        raise DataContractError(f"{n} units; at most 2147483647 can be drawn from")
+    """The unit, ``0..n-1``, that a draw of ``bootstrap_ci`` hits, as a column: integer mixing modulo 2^31-1."""
+    _drawable(n)
     p = F.lit(2147483647).cast("long")
     a = (rep * 7919 + draw * 104729 + F.lit(seed * 15485863).cast("long")) % p
     b = (a * a + 12345) % p
     c = (b * 48271) % p
-    d = (c * c + a) % p
-    return d % n
+    return (c * c + a) % p % n
 
 
-def bootstrap_ci(df: DataFrame, unit: str, diff: str, replicates: int, seed: int) -> DataFrame:
+def _drawable(n: int) -> None:
+    """Fails for more units than the mixing can reach."""
+    if n > 2147483647:
+        raise DataContractError(f"{n} units; at most 2147483647 can be drawn from")
+
+
+def bootstrap_ci(df: DataFrame, unit: str, diff: str, replicates: int, seed: int, block: int = 1 << 18, slices: int = 32) -> DataFrame:
     """Paired cluster bootstrap of the mean of ``diff``: units are drawn with replacement.
 
-    Per-unit sums shrink the data first; the ``replicates * units`` draws are
-    generated in parallel, joined to the unit they hit and summed per replicate.
+    Per-unit sums shrink the data first. Units are then numbered and packed into
+    arrays of ``block`` units. Every array meets ``slices`` groups of replicates;
+    such a task makes the draws of its replicates, adds up those that hit its units
+    and emits two sums per replicate, so a draw is never a row and nothing is joined.
+    Draw ``d`` of replicate ``r`` hits the unit that integer mixing modulo 2^31-1
+    gives, the same in any SQL engine. Beyond ``block`` units the draws are made
+    once per array. A null unit is a unit, null differences do not count, and
+    without units the record has zero units and nulls.
     """
-    spark = df.sparkSession
+    import numpy as np
+    import pyarrow as pa
+
     units = running_totals(
-        df.groupBy(unit).agg(F.sum(diff).alias("s"), F.count("*").alias("c")), order=[unit], rank="number"
+        df.where(F.col(diff).isNotNull()).groupBy(unit).agg(F.sum(diff).cast("double").alias("s"), F.count("*").alias("c")), order=[unit], rank="number"
     ).select((F.col("number") - 1).alias("idx"), "s", "c")
-    n = units.count()
-    observed = units.agg(F.sum("s") / F.sum("c")).first()[0]
-    draws = spark.range(replicates * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("draw"))
-    draws = draws.withColumn("idx", mixed_index(F.col("rep"), F.col("draw"), seed, n))
-    deltas = draws.join(units, "idx").groupBy("rep").agg((F.sum("s") / F.sum("c")).alias("delta"))
+    units = durable(units, "units")
+    n, total, rows = units.agg(F.count("*"), F.sum("s"), F.sum("c")).first()
+    _drawable(n)
+    listed = units.groupBy(F.floor(F.col("idx") / block).alias("block")).agg(F.sort_array(F.collect_list(F.struct("idx", "s", "c"))).alias("u"))
+    arrays = listed.select("block", F.col("u.s").alias("s"), F.col("u.c").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    parts = slices * max(1, -(-n // block))
+
+    def draw(batches):
+        p, chunk = 2147483647, 1 << 18
+        for batch in batches:
+            for i in range(batch.num_rows):
+                first = batch.column(0)[i].as_py() * block
+                s, c = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (1, 2))
+                mine = np.arange(batch.column(3)[i].as_py(), replicates, slices)
+                sums, counts = np.zeros(len(mine)), np.zeros(len(mine), np.int64)
+                for k, rep in enumerate(mine.tolist()):
+                    for low in range(0, n, chunk):
+                        d = np.arange(low, min(n, low + chunk), dtype=np.int64)
+                        a = (rep * 7919 + d * 104729 + seed * 15485863) % p
+                        b = (a * a + 12345) % p
+                        m = (b * 48271) % p
+                        at = (m * m + a) % p % n - first
+                        if len(s) < n:
+                            at = at[(at >= 0) & (at < len(s))]
+                        sums[k] += s[at].sum()
+                        counts[k] += c[at].sum()
+                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(sums), pa.array(counts)], names=["rep", "s", "c"])
+
+    drawn = arrays.select("block", "s", "c", "slice").repartition(parts, "block", "slice").mapInArrow(draw, "rep long, s double, c long")
+    deltas = drawn.groupBy("rep").agg((F.sum("s") / F.sum("c")).alias("delta"))
     return deltas.agg(
         F.lit(n).alias("n_units"),
         F.count("*").alias("replicates"),
-        F.lit(observed).alias("difference"),
+        F.lit(total / rows if rows else None).cast("double").alias("difference"),
         F.avg("delta").alias("bootstrap_mean"),
         F.percentile("delta", 0.025).alias("ci_low"),
         F.percentile("delta", 0.975).alias("ci_high"),

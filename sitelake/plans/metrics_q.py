@@ -327,22 +327,23 @@ def mixed_sql(rep, draw, seed, n):
 
 
 @query("a26_bootstrap_ci", f"""
-WITH {fx.SCORED_BASE_SQL},
-e AS (SELECT chain, abs(avg(s1) - avg(label)) - abs(avg(s2) - avg(label)) AS diff FROM scored_base GROUP BY chain),
-u AS (SELECT s_nationkey AS unit, sum(diff) AS s, count(*) AS c, row_number() OVER (ORDER BY s_nationkey) - 1 AS idx
-      FROM e JOIN supplier ON chain = s_suppkey GROUP BY s_nationkey),
+WITH RECURSIVE {fx.COMPONENTS_SQL}, {fx.SCORED_BASE_SQL},
+e AS (SELECT l_orderkey AS complex, abs(avg(s1) - avg(label)) - abs(avg(s2) - avg(label)) AS diff FROM scored_base GROUP BY l_orderkey),
+u AS (SELECT component, sum(diff) AS s, count(*) AS c, row_number() OVER (ORDER BY component) - 1 AS idx FROM e JOIN cc USING (complex) GROUP BY component),
 k AS (SELECT count(*) AS n, sum(s) / sum(c) AS observed FROM u),
-draws AS (SELECT rep, {mixed_sql('rep', 'draw', 42, 'n')} AS idx FROM k, range(0, 500) r(rep), range(0, n) d(draw)),
-deltas AS (SELECT rep, sum(s) / sum(c) AS delta FROM draws JOIN u USING (idx) GROUP BY rep)
+draws AS (SELECT rep, {mixed_sql('rep', 'draw', 42, 'n')} AS idx FROM k, range(0, 10000) r(rep), range(0, n) d(draw)),
+packed AS (SELECT list(s ORDER BY idx) AS ls, list(c ORDER BY idx) AS lc FROM u),
+deltas AS (SELECT rep, sum(ls[idx + 1]) / sum(lc[idx + 1]) AS delta FROM draws, packed GROUP BY rep)
 SELECT any_value(n) AS n_units, count(*) AS replicates, round(any_value(observed), 6) AS difference,
   round(avg(delta), 6) AS bootstrap_mean, round(quantile_cont(delta, 0.025), 6) AS ci_low,
   round(quantile_cont(delta, 0.975), 6) AS ci_high,
   quantile_cont(delta, 0.975) < 0 OR quantile_cont(delta, 0.025) > 0 AS excludes_zero FROM deltas, k""")
 def _(spark, sf):
-    err = fx.scored_base(spark, sf).groupBy("chain").agg(
+    from sitelake.plans.graph_q import components
+
+    err = fx.scored_base(spark, sf).groupBy(F.col("l_orderkey").alias("complex")).agg(
         (F.abs(F.avg("s1") - F.avg("label")) - F.abs(F.avg("s2") - F.avg("label"))).alias("diff"))
-    sup = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("chain"), F.col("s_nationkey").alias("unit"))
-    return round_all(M.bootstrap_ci(err.join(sup, "chain"), "unit", "diff", 500, 42))
+    return round_all(M.bootstrap_ci(err.join(components(spark, sf), "complex"), "component", "diff", 10_000, 42))
 
 
 @query("a27_profile_log", """

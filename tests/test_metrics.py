@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,32 @@ def test_ratio_metrics_average_ranks(spark):
     assert r["mae"] == pytest.approx((0.1 + 0.3 + 0.2) / 3)
     assert r["spearman"] == pytest.approx(0.0, abs=1e-12)
     assert df.agg(F.count("*")).first()[0] == 3
+
+
+def test_bootstrap_draws_in_blocks(spark):
+    """Partial sums over blocks of units equal a resampling in plain Python and the column rule; no draw is a row."""
+    rows = [(f"u{i % 23}" if i % 7 else None, (i * 37 % 101) / 10 - 4) for i in range(300)] + [("u3", None)]
+    df = spark.createDataFrame(rows, "unit string, diff double")
+    sums = {}
+    for u, d in rows:
+        if d is not None:
+            s, c = sums.get(u, (0.0, 0))
+            sums[u] = s + d, c + 1
+    units = [sums[u] for u in sorted(sums, key=lambda u: (u is not None, u))]
+    n, deltas = len(units), []
+    at = spark.range(40).crossJoin(spark.range(n).withColumnRenamed("id", "draw")).select("id", "draw", M.mixed_index(F.col("id"), F.col("draw"), 5, n).alias("at"))
+    hits = {(r.id, r.draw): r.at for r in at.collect()}
+    for rep in range(40):
+        drawn = [units[hits[rep, d]] for d in range(n)]
+        deltas.append(sum(s for s, _ in drawn) / sum(c for _, c in drawn))
+    for block in (5, 1 << 18):
+        out = M.bootstrap_ci(df, "unit", "diff", 40, 5, block=block, slices=3)
+        plan = out._jdf.queryExecution().toString()
+        assert "Join" not in plan and "Generate explode(sequence" in plan.replace("Generate explode(org", "Generate explode(sequence")
+        got = out.first()
+        assert (got.n_units, got.replicates) == (n, 40)
+        assert got.difference == pytest.approx(sum(s for s, _ in units) / sum(c for _, c in units))
+        assert got.bootstrap_mean == pytest.approx(np.mean(deltas))
+        assert (got.ci_low, got.ci_high) == pytest.approx(tuple(np.quantile(deltas, [0.025, 0.975])))
+    empty = M.bootstrap_ci(df.limit(0), "unit", "diff", 40, 5).first()
+    assert (empty.n_units, empty.replicates, empty.difference) == (0, 0, None)
