@@ -62,12 +62,36 @@ def _(spark, sf):
     return lines.select(F.substring(F.col("l")[0], 2, 20).cast("long").alias("chain"), (F.size("l") - 1).cast("long").alias("n_lines"), F.length(F.col("l")[1]).alias("first_line"))
 
 
-def atom_line(alt, serial):
+def atom_line(alt, serial, shift=0.0, b=None):
     pad = lambda c, n: F.lpad(c.cast("string"), n, " ")
     num = lambda c: F.lpad(F.format_string("%.3f", c), 8, " ")
     return F.concat(
         F.lit("ATOM  "), pad(serial, 5), F.lit(" "), F.rpad("atom", 4, " "), alt, F.lit("ALA"), F.lit(" "), F.substring(F.lit("ABCDEFGHIJ"), F.col("chain") + 1, F.lit(1)),
-        pad(F.col("pos"), 4), F.lit("    "), num(F.col("x")), num(F.col("y")), num(F.col("z")), F.lit("  1.00"), F.lpad(F.format_string("%.2f", F.abs("x")), 6, " ")).alias("value")
+        pad(F.col("pos"), 4), F.lit("    "), num(F.col("x") + shift), num(F.col("y")), num(F.col("z")), F.lit("  1.00"), F.lpad(F.format_string("%.2f", F.abs("x") if b is None else b), 6, " ")).alias("value")
+
+
+def atom_files(spark, sf):
+    """CA rows read from a file per complex; copies behind the first and at location B must be ignored."""
+    atoms = fx.atoms(spark, sf)
+    serial = F.col("ordinal") * 10
+    row = lambda k, df: df.select("complex", "pos", "ordinal", F.lit(k).alias("k"), F.col("value"))
+    ca = atoms.where("atom = 'CA'")
+    # The order of the file decides: the copies behind the first CA have smaller serials, or none.
+    b = F.col("pos") % 50 + F.col("ordinal") * 0.25
+    lines = row(0, atoms.withColumn("value", atom_line(F.lit(" "), serial + 500, b=b))).unionByName(
+        row(1, ca.withColumn("value", atom_line(F.lit("A"), F.lit("*****"), 100.0, b + 7)))).unionByName(
+        row(2, ca.withColumn("value", atom_line(F.lit("B"), F.lit(1)))))
+    path = folder(spark, "atoms")
+    lines.repartition("complex").sortWithinPartitions("complex", "pos", "k", "ordinal").select("complex", "value").write.partitionBy("complex").text(path)
+    return S.read_atoms(spark, f"{path}/complex=*", "CA")
+
+
+@query("s05_first_atoms", f"""
+WITH {fx.ATOMS_SQL}, a AS (SELECT complex, chain, pos, atom, ordinal, x, unnest(CASE WHEN atom = 'CA' THEN [0, 7] ELSE [0] END) AS shift FROM atoms),
+r AS (SELECT complex, substr('ABCDEFGHIJ', CAST(chain + 1 AS INTEGER), 1) AS chain, pos, avg(pos % 50 + ordinal * 0.25::DOUBLE + shift) AS mean_b, any_value(round(x, 3)) FILTER (atom = 'CA' AND shift = 0) AS x FROM a GROUP BY ALL)
+SELECT chain, CAST(pos AS INTEGER) AS resseq, count(*) AS n, round(sum(x), 2) + 0.0 AS x, round(sum(mean_b), 4) AS mean_b FROM r GROUP BY ALL""")
+def _(spark, sf):
+    return atom_files(spark, sf).groupBy("chain", "resseq").agg(F.count("*").alias("n"), R(F.sum("x"), 2).alias("x"), R(F.sum("mean_b"), 4).alias("mean_b"))
 
 
 @query("s05_read_atoms", f"""
@@ -124,7 +148,7 @@ def header_records(spark, sf):
     """A record for every customer, many to a file."""
     path = folder(spark, "records")
     fx.table(spark, sf, "customer").repartition("c_custkey").select(F.concat(header_text(), F.lit("END")).alias("value")).write.text(path)
-    return S.read_structure_headers(spark, path, "END\n")
+    return S.read_structure_headers(spark, path, many=True)
 
 
 @query("s06_all_headers", """
@@ -185,11 +209,7 @@ def _(spark, sf):
     return S.read_pair_hits(spark, text_files(lines, "hits")).groupBy("query", "target", R("pident").alias("pident"), "alnlen").agg(F.count("*").alias("n"))
 
 
-@query("s10_profile_blocks", """
-WITH v AS (SELECT vec_id, unnest(range(0, 3)) AS r, embedding AS e FROM embeddings)
-SELECT concat('V', vec_id) AS seq_id, CAST(r + 1 AS INTEGER) AS position, round(1 / (1 + exp(-CAST(floor(CAST(e[r * 20 + 1] AS DOUBLE) * 10) AS DOUBLE))), 6) AS first_value,
-  round(1 / (1 + exp(-CAST(floor(CAST(e[r * 20 + 20] AS DOUBLE) * 10) AS DOUBLE))), 6) AS last_value FROM v""")
-def _(spark, sf):
+def profiles(spark, sf):
     vec = fx.table(spark, sf, "embeddings")
     ints = F.transform("embedding", lambda v: F.floor(v.cast("double") * 10).cast("string"))
     line = lambda r: F.concat(F.lit(f"{r + 1} A "), F.array_join(F.slice(ints, r * 20 + 1, 20), " "))
@@ -199,8 +219,23 @@ def _(spark, sf):
     path = folder(spark, "profiles")
     grouped.repartition("g").sortWithinPartitions("g", "vec_id").select("g", "value").write.partitionBy("g").text(path)
     ids = grouped.select("g", F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("seq_id"), (F.col("vec_id") - F.col("g") * 100 + 1).cast("int").alias("ordinal"))
-    rows = S.read_profile_blocks(spark, f"{path}/*", ids.join(file_names(spark, path, "g"), "g").drop("g"))
-    return rows.select("seq_id", "position", F.col("profile")[0].alias("first_value"), F.col("profile")[19].alias("last_value"))
+    return S.read_profile_blocks(spark, f"{path}/*", ids.join(file_names(spark, path, "g"), "g").drop("g"))
+
+
+@query("s10_profile_blocks", """
+WITH v AS (SELECT vec_id, unnest(range(0, 3)) AS r, embedding AS e FROM embeddings)
+SELECT concat('V', vec_id) AS seq_id, CAST(r + 1 AS INTEGER) AS position, round(1 / (1 + exp(-CAST(floor(CAST(e[r * 20 + 1] AS DOUBLE) * 10) AS DOUBLE))), 6) AS first_value,
+  round(1 / (1 + exp(-CAST(floor(CAST(e[r * 20 + 20] AS DOUBLE) * 10) AS DOUBLE))), 6) AS last_value FROM v""")
+def _(spark, sf):
+    return profiles(spark, sf).select("seq_id", "position", F.col("profile")[0].alias("first_value"), F.col("profile")[19].alias("last_value"))
+
+
+@query("s10_profile_values", """
+WITH v AS (SELECT vec_id, r, k, CAST(embedding[r * 20 + k + 1] AS DOUBLE) AS x FROM embeddings, range(0, 3) a(r), range(0, 20) b(k))
+SELECT concat('V', vec_id) AS seq_id, CAST(r + 1 AS INTEGER) AS position, 'A' AS aa, CAST(k AS INTEGER) AS k, round(1 / (1 + exp(-floor(x * 10))), 6) AS value FROM v""")
+def _(spark, sf):
+    """All twenty values of every row."""
+    return profiles(spark, sf).select("seq_id", "position", "aa", F.posexplode("profile").alias("k", "value"))
 
 
 def file_names(spark, path, part):
@@ -219,9 +254,8 @@ def _(spark, sf):
     return area.groupBy("aa").agg(F.count("*").alias("n"), R(F.avg("asa")).alias("asa"))
 
 
-@query("s12_read_vectors", """
-SELECT CAST(floor(vec_id / 100) AS BIGINT) AS complex, count(*) AS n, round(sum(round(CAST(embedding[1] AS DOUBLE), 6)), 4) + 0.0 AS first_sum, round(sum(round(CAST(embedding[64] AS DOUBLE), 6)), 4) + 0.0 AS last_sum FROM embeddings GROUP BY 1""")
-def _(spark, sf):
+def vectors(spark, sf):
+    """``(complex, pos, aa, vector)`` read back from a file of lines per complex."""
     pts = fx.placed_points(spark, sf).select("pid", "complex", "pos", "aa")
     vec = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("pid"), F.array_join(F.transform("embedding", lambda v: F.format_string("%.6f", v.cast("double"))), " ").alias("v"))
     rows = pts.join(vec, "pid").select("complex", "pos", F.concat("aa", F.lit(": "), "v").alias("value"))
@@ -229,8 +263,20 @@ def _(spark, sf):
     rows.repartition("complex").sortWithinPartitions("complex", "pos").select("complex", "value").write.partitionBy("complex").text(path)
     files = file_names(spark, path, "complex")
     seqs = pts.groupBy("complex").agg(F.sort_array(F.collect_list(F.struct("pos", "aa"))).alias("c")).select("complex", F.array_join(F.transform("c", lambda s: s["aa"]), "").alias("seq"))
-    back = S.read_vectors(spark, f"{path}/*", 64, files.join(seqs, "complex").select("file", "seq"))
-    return back.join(files, "file").groupBy("complex").agg(F.count("*").alias("n"), R(F.sum(F.col("vector")[0]), 4).alias("first_sum"), R(F.sum(F.col("vector")[63]), 4).alias("last_sum"))
+    return S.read_vectors(spark, f"{path}/*", 64, files.join(seqs, "complex").select("file", "seq")).join(files, "file")
+
+
+@query("s12_read_vectors", """
+SELECT CAST(floor(vec_id / 100) AS BIGINT) AS complex, count(*) AS n, round(sum(round(CAST(embedding[1] AS DOUBLE), 6)), 4) + 0.0 AS first_sum, round(sum(round(CAST(embedding[64] AS DOUBLE), 6)), 4) + 0.0 AS last_sum FROM embeddings GROUP BY 1""")
+def _(spark, sf):
+    return vectors(spark, sf).groupBy("complex").agg(F.count("*").alias("n"), R(F.sum(F.col("vector")[0]), 4).alias("first_sum"), R(F.sum(F.col("vector")[63]), 4).alias("last_sum"))
+
+
+@query("s12_vector_values", """
+SELECT CAST(floor(vec_id / 100) AS BIGINT) AS complex, CAST(vec_id % 100 AS INTEGER) AS pos, CAST(k AS INTEGER) AS k, round(CAST(embedding[k + 1] AS DOUBLE), 6) + 0.0 AS value FROM embeddings, range(0, 64) r(k)""")
+def _(spark, sf):
+    """All 64 values of every line, in the order of the file."""
+    return vectors(spark, sf).select("complex", "pos", F.posexplode("vector").alias("k", "v")).select("complex", "pos", "k", R("v", 6).alias("value"))
 
 
 def packed(spark, sf):
@@ -287,6 +333,19 @@ def _(spark, sf):
     return S.file_checksums(spark, sf)
 
 
+@query("s17_written_files", r"""
+WITH f AS (SELECT strftime(o_orderdate, '%Y-%m') AS part, string_agg(concat(o_orderkey, ' ', o_custkey, ' ', o_orderpriority), chr(10) ORDER BY o_orderkey) || chr(10) AS content FROM orders GROUP BY 1)
+SELECT concat('part=', part) AS folder, octet_length(encode(content))::BIGINT AS bytes, sha256(content) AS sha256 FROM f""")
+def _(spark, sf):
+    """A text file for every month of orders."""
+    o = fx.table(spark, sf, "orders")
+    lines = o.select(F.date_format("o_orderdate", "yyyy-MM").alias("part"), "o_orderkey", F.concat_ws(" ", "o_orderkey", "o_custkey", "o_orderpriority").alias("value"))
+    path = folder(spark, "hashed")
+    lines.repartition("part").sortWithinPartitions("part", "o_orderkey").select("part", "value").write.partitionBy("part").text(path)
+    sums = S.file_checksums(spark, path).where(F.col("path").startswith("part="))
+    return sums.select(F.substring_index("path", "/", 1).alias("folder"), "bytes", "sha256")
+
+
 RESOLVE_SQL = """
 inv AS (SELECT DISTINCT concat('/a/', page_id, '.pt') AS path FROM pages WHERE contains(url, '/en/') UNION SELECT concat('/b/', page_id, '.pt') FROM pages WHERE contains(url, 'https')
   UNION SELECT '/shared.pt' FROM pages WHERE page_id = 0),

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelake.core import DataContractError, require_columns, require_empty
+from sitelake.core import DataContractError, durable, require_columns, require_empty
 from sitelake.functions.residue import LETTERS
 from sitelake.functions.text import infer_method, norm_text
+from sitelake.sources.lines import PLACE, read_lines, with_running_counts
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
@@ -49,42 +50,50 @@ def read_atoms(spark: SparkSession, path: str, name: str | None = None) -> DataF
     """ATOM records of structure files; alternate locations other than blank and A are dropped.
 
     A blank chain is ``A``. ``name`` keeps one row per residue: the first record of
-    that atom name in the order of the file, or else the mean of the residue's
-    atoms with the fields of its first record. The order comes from the serial; a
-    record without a plain number there comes after those with one, and of such
-    records the one with the smallest coordinates counts as first.
+    that atom name in the order of the file's lines, whatever its serial says, or
+    else the mean of the residue's atoms with the fields of its first record.
+    ``mean_b`` is then the mean confidence over all atoms of the residue.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     alt = _field("value", 17, 17)
     num = lambda a, b, t: _field("value", a, b).try_cast(t)
-    atoms = lines.where(F.substring("value", 1, 6) == "ATOM  ").where(alt.isin("", "A")).select(
-        "file", num(7, 11, "int").alias("serial"), _field("value", 13, 16).alias("atom"), _field("value", 18, 20).alias("resname"),
+    atoms = read_lines(spark, path).where(F.substring("value", 1, 6) == "ATOM  ").where(alt.isin("", "A")).select(
+        *PLACE, num(7, 11, "int").alias("serial"), _field("value", 13, 16).alias("atom"), _field("value", 18, 20).alias("resname"),
         F.when(F.trim(F.substring("value", 22, 1)) == "", "A").otherwise(F.substring("value", 22, 1)).alias("chain"), num(23, 26, "int").alias("resseq"), _field("value", 27, 27).alias("icode"),
         num(31, 38, "double").alias("x"), num(39, 46, "double").alias("y"), num(47, 54, "double").alias("z"), num(61, 66, "double").alias("b"))
     if name is None:
-        return atoms
+        return atoms.drop("block", "line")
     key = ["file", "chain", "resseq", "icode"]
-    rest = [c for c in atoms.columns if c not in key]
-    place = F.struct(F.col("serial").isNull().alias("odd"), "serial", "x", "y", "z")
-    named = F.col("atom") == name
+    rest = [c for c in atoms.columns if c not in (*key, "block", "line")]
+    place, named = F.struct("block", "line"), F.col("atom") == name
     one = atoms.groupBy(*key).agg(
         F.min_by(F.when(named, F.struct(*rest)), F.when(named, place)).alias("r"), F.min_by(F.struct(*rest), place).alias("any"),
         *[F.avg(c).alias(f"mean_{c}") for c in ("x", "y", "z", "b")])
     mean = lambda c: F.col(f"mean_{c}") if c in ("x", "y", "z", "b") else F.col(f"any.{c}")
-    return one.select(*key, *[F.when(F.col("r").isNotNull(), F.col(f"r.{c}")).otherwise(mean(c)).alias(c) for c in rest])
+    return one.select(*key, *[F.when(F.col("r").isNotNull(), F.col(f"r.{c}")).otherwise(mean(c)).alias(c) for c in rest], "mean_b")
 
 
-def read_structure_headers(spark: SparkSession, path: str, end: str | None = None) -> tuple[DataFrame, DataFrame]:
+#: Lines of a structure file that describe it, and the one that ends a record.
+HEADER_LINE = r"^(HEADER|TITLE|COMPND|EXPDTA|REMARK   2 RESOLUTION\.)"
+END_LINE = r"^END\s*$"
+
+
+def read_structure_headers(spark: SparkSession, path: str, many: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(file, head, desc, met, rez)`` and ``(file, chain, molecule)``; one file is one record.
 
-    With ``end`` a file holds many records, each closed by it; ``file`` then has the record's number behind a ``#``.
+    With ``many`` a file holds many records, each closed by a line that is ``END``
+    and nothing else but blanks; ``file`` then has the record's number, from 0, behind a
+    ``#``. Only the describing lines of a record are brought together, in the order
+    of the file; a record without any has empty fields. An empty file gives no row.
     """
-    name = F.col("_metadata.file_path")
-    if end is None:
-        raw = spark.read.text(path, wholetext=True).select(name.alias("file"), "value")
-    else:
-        raw = spark.read.text(path, lineSep=end).select(F.concat(name, F.lit("#"), F.monotonically_increasing_id()).alias("file"), "value")
-    whole = raw.select("file", F.split("value", r"\r?\n").alias("lines"))
+    lines = read_lines(spark, path)
+    wanted = F.col("value").rlike(HEADER_LINE)
+    if many:
+        ends = F.col("value").rlike(END_LINE)
+        counted = with_running_counts(lines.where(wanted | ends), record=ends)
+        own = F.col("record") - ends.cast("long")  # the closing line belongs to the record before
+        lines = counted.select(F.concat("file", F.lit("#"), own).alias("file"), "block", "line", "value")
+    ordered = F.sort_array(F.collect_list(F.when(wanted, F.struct("block", "line", "value"))))
+    whole = lines.groupBy("file").agg(F.transform(ordered, lambda s: s["value"]).alias("lines"))
 
     def joined(tag: str, start: int, stop: int) -> Column:
         mine = F.filter("lines", lambda s: s.startswith(tag))
@@ -139,19 +148,19 @@ PROFILE_MARK = "Query profile of sequence"
 def read_profile_blocks(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     """Profile rows per block, values squashed by a sigmoid and rounded to six digits.
 
-    Block i of a file belongs to its i-th id: ``ids(seq_id, ordinal[, file])``
-    counts from 1 and must match the blocks. A file is one record. Numbered lines
-    must hold twenty numbers, of which the whole part counts.
+    A line with the mark opens a block. Block i of a file belongs to its i-th id:
+    ``ids(seq_id, ordinal[, file])`` counts from 1 and must match the blocks; lines
+    before the first mark count for none. Numbered lines must hold twenty numbers,
+    of which the whole part counts. A file is read by as many tasks as it has ranges.
     """
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    marked = F.col("value").contains(PROFILE_MARK)
+    numbered = F.get(F.split(F.trim("value"), r"\s+"), F.lit(0)).try_cast("int").isNotNull()
+    rows = durable(with_running_counts(read_lines(spark, path).where(marked | numbered), ordinal=marked).where("ordinal > 0"), "profile-rows")
     key = ["file", "ordinal"] if "file" in ids.columns else ["ordinal"]
-    blocks = whole.select("file", F.posexplode(F.split("value", PROFILE_MARK)).alias("ordinal", "block")).where("ordinal > 0")
-    if "file" not in ids.columns:
-        blocks = blocks.drop("file")
-    require_empty(ids.join(blocks, key, "full_outer").where("seq_id is null or block is null").select("ordinal"), "profile blocks and ids differ")
-    rows = blocks.join(ids, key).select("seq_id", F.explode(F.split("block", r"\r?\n")).alias("line"))
+    blocks = rows.where(marked).select(*key).distinct().withColumn("found", F.lit(True))
+    require_empty(ids.join(blocks, key, "full_outer").where("seq_id is null or found is null").select("ordinal"), "profile blocks and ids differ")
+    good = rows.where(~marked).join(ids, key).select("seq_id", F.col("value").alias("line"))
     p = F.split(F.trim("line"), r"\s+")
-    good = rows.where(F.get(p, F.lit(0)).try_cast("int").isNotNull())
     cells = F.transform(F.slice(p, 3, 20), lambda v: v.try_cast("double"))
     require_empty(good.where((F.size(p) < 22) | F.exists(cells, lambda v: v.isNull())).select("seq_id", "line"), "profile rows without twenty values")
     # Whole parts only, cut towards zero, as profiles are integers.
@@ -182,11 +191,16 @@ def absolute_area(rsa: Column | str, letter: Column | str, table: dict[str, floa
 def read_vectors(spark: SparkSession, path: str, dim: int, expected: DataFrame | None = None) -> DataFrame:
     """Lines ``aa: f1 ... fD`` of files named after their sequence; every line must hold ``dim`` numbers.
 
-    ``expected(file, seq)`` must equal the letters of the file in order.
+    ``pos`` counts the lines of a file from 0, blank ones left out. ``expected(file,
+    seq)`` must equal the letters of the file in order. A file is read by as many
+    tasks as it has ranges.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "")).alias("pos", "line"))
-    p = F.split(F.trim(F.substring_index("line", ":", -1)), r"[,\s]+")
-    rows = whole.select("file", "pos", F.trim(F.substring_index("line", ":", 1)).alias("aa"), F.transform(p, lambda v: v.cast("double")).alias("vector"))
+    filled = F.trim("value") != ""
+    lines = with_running_counts(read_lines(spark, path).where(filled), n=filled).withColumnRenamed("value", "text")
+    p = F.split(F.trim(F.substring_index("text", ":", -1)), r"[,\s]+")
+    rows = lines.select(
+        "file", (F.col("n") - 1).cast("int").alias("pos"), F.trim(F.substring_index("text", ":", 1)).alias("aa"), F.transform(p, lambda v: v.cast("double")).alias("vector"))
+    rows = durable(rows, "vectors")
     require_empty(rows.where(F.size("vector") != dim).select("file", "pos"), f"vectors without {dim} numbers")
     if expected is not None:
         letters = expected.select("file", F.posexplode(F.split("seq", "")).alias("pos", "want"))
@@ -211,11 +225,55 @@ def read_substitution_matrix(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("c")[0].isin(*LETTERS)).select(F.col("c")[0].alias("aa"), F.array(*[value(a) for a in LETTERS]).alias("row"))
 
 
-def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """Relative path, size and SHA-256 of every file below a folder; files are hashed where they are read."""
+#: Stores whose files are read piece by piece; files of all others are hashed by Spark's own reader, up to 2 GB each.
+STREAMED = ("file", "hdfs", "s3", "gs")
+
+
+def file_checksums(spark: SparkSession, path: str, chunk: int = 8 << 20) -> DataFrame:
+    """Relative path, size and SHA-256 of every file below a folder.
+
+    Sizes come from the listing alone. The files are dealt over the executors, and
+    each is hashed there from one piece of ``chunk`` bytes after the other, so its
+    size does not matter. Empty files, which no scan returns, are added from the
+    names of the listing. An empty folder gives an empty table.
+    """
+    from urllib.parse import unquote
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     base = path.rstrip("/").split(":")[-1].lstrip("/")
-    return files.select(F.regexp_replace(F.col("path"), F.lit(f"^.*?{base}/"), F.lit("")).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    relative = F.regexp_replace(F.col("path"), F.lit(f"^.*?{base}/"), F.lit(""))
+    names = files.inputFiles()
+    named = spark.createDataFrame([(unquote(n),) for n in names], "path string").select(relative.alias("path"))
+    empty = named.join(files.select(relative.alias("path")), "path", "left_anti").select(
+        "path", F.lit(0).cast("long").alias("bytes"), F.sha2(F.lit("").cast("binary"), 256).alias("sha256"))
+    if not names or names[0].split(":")[0] not in STREAMED:
+        return files.select(relative.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).unionByName(empty)
+
+    def hashed(batches):
+        import hashlib
+        import re
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            sums = []
+            for uri in batch.column(0).to_pylist():
+                if uri.startswith("file:"):  # this one writes a path as it is, without escapes
+                    store, name = fs.LocalFileSystem(), re.sub("^file:/+", "/", uri)
+                else:
+                    store, name = fs.FileSystem.from_uri(uri)
+                total = hashlib.sha256()
+                with store.open_input_stream(name, compression=None) as stream:
+                    while piece := stream.read(chunk):
+                        total.update(piece)
+                sums.append(total.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], names=["path", "bytes", "sha256"])
+
+    listed = files.select("path", F.col("length").alias("bytes"))
+    # Listing puts many files into one task; hashing should not.
+    dealt = listed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return dealt.mapInArrow(hashed, "path string, bytes long, sha256 string").withColumn("path", relative).unionByName(empty)
 
 
 def resolve_resources(ids: DataFrame, inventory: DataFrame, templates: Sequence[str], key: str = "id") -> DataFrame:
