@@ -198,6 +198,59 @@ def close_fingerprints(prints: DataFrame, radius: int) -> DataFrame:
     return left.join(right.hint("shuffle_hash"), on).select("a0", "a1", "b0", "b1")
 
 
+def near_counts(prints: DataFrame, radius: int, members: int = 512) -> DataFrame:
+    """``(f0, f1, n_near)``: for each of ``prints(f0, f1)``, all distinct, how many others are at most ``radius`` bits apart.
+
+    Fingerprints are cut into blocks of bits, at least ``radius // 2 + 1`` of them, so
+    two within the radius differ in at most one bit of some block. Every block is a
+    table of buckets; a fingerprint looks up its own bucket and those one bit away,
+    and a pair counts in the first table in which it meets. A bucket is a list of
+    ``members`` fingerprints or several such lists, and a lookup gives a number per
+    list: no pair is ever a row, however large a group of near copies is.
+    """
+    blocks = max(9, radius // 2 + 1)
+    cuts = [BITS * t // blocks for t in range(blocks + 1)]
+    widths = [b - a for a, b in zip(cuts, cuts[1:])]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    masks = [tuple(signed(((1 << b) - (1 << a)) >> (64 * h) & (1 << 64) - 1) for h in range(HALVES)) for a, b in zip(cuts, cuts[1:])]
+
+    def bucket(t: int) -> Column:
+        """Number of the table and the bits of the block, in one."""
+        low, width = cuts[t], widths[t]
+        if low >= 64 or low + width <= 64:
+            bits = F.shiftrightunsigned(F.col(f"f{low // 64}"), low % 64)
+        else:
+            bits = F.shiftrightunsigned(F.col("f0"), low).bitwiseOR(F.shiftleft(F.col("f1"), 64 - low))
+        return bits.bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(t << 32))
+
+    own = prints.select("f0", "f1", F.explode(F.array(*[bucket(t) for t in range(blocks)])).alias("k"))
+    # At most as many rows as there are values of a block: 2 ** 15 for each of nine tables.
+    sizes = durable(own.groupBy("k").agg(F.ceil(F.count("*") / members).cast("int").alias("lists")), "sizes")
+    listed = own.join(F.broadcast(sizes), "k").select("k", F.pmod(F.xxhash64("f0", "f1"), F.col("lists")).cast("int").alias("part"), "f0", "f1")
+    listed = listed.groupBy("k", "part").agg(F.collect_list(F.struct("f0", "f1")).alias("members"))
+    changes = [F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(w)]) for w in widths]
+
+    def around(t: int) -> Column:
+        return F.transform(changes[t], lambda change: bucket(t).bitwiseXOR(change))
+
+    keys = F.concat(*[around(t) for t in range(blocks)])
+    asked = prints.select("f0", "f1", F.explode(keys).alias("k")).join(F.broadcast(sizes), "k")
+    asked = asked.select("f0", "f1", "k", F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("part"))
+    table = F.shiftrightunsigned("k", 32)
+
+    def meets(y: Column) -> Column:
+        x = [F.col(f"f{h}").bitwiseXOR(y[f"f{h}"]) for h in range(HALVES)]
+        apart = F.bit_count(x[0]) + F.bit_count(x[1])
+        found = (apart <= radius) & (apart > 0)
+        for t, m in enumerate(masks[:-1]):
+            differ = sum((F.bit_count(x[h].bitwiseAND(F.lit(m[h]))) for h in range(HALVES) if m[h]), F.lit(0))
+            found = found & ((F.lit(t) >= table) | (differ > 1))
+        return found
+
+    hits = asked.join(listed.hint("shuffle_hash"), ["k", "part"]).select("f0", "f1", F.size(F.filter("members", meets)).alias("n"))
+    return hits.where("n > 0").groupBy("f0", "f1").agg(F.sum("n").alias("n_near"))
+
+
 def fingerprint_documents(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited form, one row per row of ``docs``.
 
@@ -222,11 +275,7 @@ def fingerprint_documents(docs: DataFrame, radius: int = RADIUS, doc_id: str = "
     w = Window.partitionBy("bucket").orderBy("place")
     opening = marked.where("place = 1").select(F.col("bucket").alias("next_bucket"), F.col("f0_0").alias("o0"), F.col("f0_1").alias("o1"))
     prints = durable(marked.select(F.col("f0_0").alias("f0"), F.col("f0_1").alias("f1")).distinct(), "prints")
-    pairs = near_fingerprints(prints, radius) if radius <= 3 else close_fingerprints(prints, radius)
-    ends = pairs.select(F.explode(F.array(
-        F.struct(F.col("a0").alias("f0_0"), F.col("a1").alias("f0_1")), F.struct(F.col("b0").alias("f0_0"), F.col("b1").alias("f0_1"))
-    )).alias("x")).select("x.*")
-    near = ends.groupBy("f0_0", "f0_1").agg(F.count("*").alias("n_near"))
+    near = near_counts(prints, radius).withColumnsRenamed({"f0": "f0_0", "f1": "f0_1"})
     own, changed = [F.col("f0_0"), F.col("f0_1")], [F.col("f1_0"), F.col("f1_1")]
     following = [F.coalesce("n0", "o0"), F.coalesce("n1", "o1")]
     return (

@@ -284,3 +284,38 @@ def test_simhash_counts_near_copies(spark, docs_of):
     text = [f"w{rnd.randrange(10**6)}" for _ in range(100)]
     got = simhash.fingerprint_documents(docs_of([(1, " ".join(text)), (2, " ".join([*text[:50], "changed", *text[51:]])), (3, " ".join(f"v{rnd.randrange(10**6)}" for _ in range(100)))])).collect()
     assert {r.doc_id: r.n_near for r in got} == {1: 1, 2: 1, 3: 0}
+
+
+@pytest.mark.parametrize("members", [512, 4])
+def test_near_counts_equal_brute_force(spark, members):
+    """Counts per fingerprint for several radii, buckets of one list and of many; a group far from all others has none."""
+    prepare(spark)
+    rnd = random.Random(1)
+    values = {rnd.getrandbits(128) for _ in range(30)}
+    for b in sorted(values):
+        for _ in range(20):
+            values.add(b ^ sum(1 << i for i in rnd.sample(range(128), rnd.randrange(1, 20))))
+    values |= {0, 1, 1 << 63, 1 << 64, (1 << 128) - 1}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    halves = lambda v: (signed(v & (1 << 64) - 1), signed(v >> 64))
+    frame = spark.createDataFrame([halves(v) for v in sorted(values)], "f0 long, f1 long")
+    for radius in (0, 3, 17):
+        want = {halves(v): n for v in values if (n := sum((u ^ v).bit_count() <= radius for u in values) - 1)}
+        assert {(r.f0, r.f1): r.n_near for r in simhash.near_counts(frame, radius, members).collect()} == want
+
+
+def test_fingerprint_bits_equal_a_plain_vote(spark, docs_of):
+    """Every bit is the majority of the term hashes, counted one by one in Python."""
+    prepare(spark)
+    texts = ["one two  three\tone two", "", "A b A b A b c", "é " * 50 + "x", " ".join(f"w{i % 37}" for i in range(3000))]
+    got = {r.doc_id: r.fingerprint for r in simhash.fingerprint_documents(docs_of(list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        words = ["\u0002", *[w for w in re.split("[ \t\n\x0b\f\r]+", text) if w], None]
+        pairs = Counter(zip(words, words[1:]))
+        rows = spark.createDataFrame([(a, b, n) for (a, b), n in pairs.items()], "a string, b string, n long")
+        term = F.xxhash64("a", "b")
+        hashes = rows.select("n", *[F.xxhash64(term, F.lit(h)).alias(f"h{h}") for h in (0, 1)]).collect()
+        total, bits = sum(pairs.values()), []
+        for h in ("h0", "h1"):
+            bits.append(sum(1 << k for k in range(64) if 2 * sum(r.n for r in hashes if r[h] >> k & 1) > total))
+        assert got[i] == "".join(f"{b:016x}" for b in bits)
