@@ -305,37 +305,119 @@ def top_frac(ranked: DataFrame, percents: Sequence[int] = (5, 10, 20), by: Seque
     return hits.groupBy(*by).agg(*aggs)
 
 
-def evaluate(scored: DataFrame, threshold: float = 0.5, by: Sequence[str] = ("method",)) -> DataFrame:
-    """One evaluation record per method: ranking, threshold, chain-macro, top-L and ratio metrics.
+#: Names of the cut-offs of A13 (a share 1/d of the chain, rounded down) and A14 (percent, rounded up).
+TOP_L = (20, 10, 5)
+TOP_PERCENT = (5, 10, 20)
 
-    The rows are reduced once to counts per (method, chain, score). That table
-    feeds the chain curves, the pooled curve (summed over chains), the sweeps and
-    the ratios; only top-L needs the residues themselves.
+
+def _cut_offs(length: Column) -> dict[str, Column]:
+    one = F.lit(1).cast("long")
+    return {
+        **{f"l{d}": F.greatest(one, F.floor(length / d)) for d in TOP_L},
+        **{f"top{p}": F.greatest(one, F.ceil(length * (p / 100.0))) for p in TOP_PERCENT},
+    }
+
+
+def _chain_records(scored: DataFrame, chains: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
+    """One row per chain from its curve: size, AP sum, predicted sums, and hits at every cut-off.
+
+    A cut-off takes whole scores from the curve. Only where it falls inside a score
+    that has positives and negatives are the residues of that score ranked.
+    """
+    sizes = chains.groupBy(*keys).agg(F.sum("n").alias("length"), F.sum("tp").alias("positives"))
+    tp, n, ctp, cn = F.col("tp"), F.col("n"), F.col("cum_tp"), F.col("cum_n")
+    aggs = []
+    for name, k in _cut_offs(F.col("length")).items():
+        room = k - (cn - n)  # residues of this score that the cut-off still takes
+        even = F.when(tp == 0, F.lit(0).cast("long")).when(tp == n, room)
+        aggs += [
+            F.max(F.when(cn <= k, ctp).when(room > 0, ctp - tp + F.coalesce(even, F.lit(0).cast("long")))).alias(f"hits_{name}"),
+            F.max(F.when((room > 0) & (cn > k) & even.isNull(), F.struct("score", room.alias("room")))).alias(f"cut_{name}"),
+        ]
+    rows = durable(chains.join(sizes, keys).groupBy(*keys, "length", "positives").agg(
+        F.sum(tp * ctp / cn).alias("ap"), F.sum(F.col("score") * n).alias("raw"), F.sum(F.when(F.col("score") >= threshold, n).otherwise(0)).alias("above"), *aggs), "chains")
+    names = [a.removeprefix("cut_") for a in rows.columns if a.startswith("cut_")]
+    cuts = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("cut"), F.col(f"cut_{c}.score").alias("score"), F.col(f"cut_{c}.room").alias("room")) for c in names])).alias("c"))
+    cuts = durable(cuts.select(*keys, "c.*").where("score is not null"), "cuts")
+    tied = scored.select(*keys, "position", "label", "score").join(cuts.select(*keys, "score").distinct(), [*keys, "score"], "left_semi")
+    ranked = running_totals(tied, by=[*keys, "score"], order=["position"], rank="rank")
+    inside = ranked.join(cuts, [*keys, "score"]).where("rank <= room").groupBy(*keys).agg(
+        *[F.sum(F.when(F.col("cut") == c, F.col("label"))).alias(f"more_{c}") for c in names])
+    return rows.join(inside, keys, "left").select(
+        *keys, "length", "positives", "ap", "raw", "above",
+        *[(F.col(f"hits_{c}") + F.coalesce(f"more_{c}", F.lit(0))).cast("long").alias(f"hits_{c}") for c in names])
+
+
+def _ratio_record(rows: DataFrame, by: list[str]) -> DataFrame:
+    """A12 for the mean score and for the share above the threshold; all average ranks come from one range sort.
+
+    Ratios that agree to twelve digits are equal: sums depend on their order beyond that.
+    """
+    shares = {"true": F.col("positives"), "raw": F.col("raw"), "thresholded": F.col("above")}
+    long = durable(rows.select(*by, "chain", *[F.round(c / F.col("length"), 12).alias(n) for n, c in shares.items()]).unpivot([*by, "chain"], list(shares), "kind", "value"), "ratios")
+    ranked = _average_rank(long, [*by, "kind"], "value", "rank")
+    pick = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    wide = ranked.groupBy(*by, "chain").agg(*[pick(k, c).alias(f"{c}_{k}") for k in shares for c in ("value", "rank")])
+    aggs = []
+    for k in ("raw", "thresholded"):
+        err = F.col(f"value_{k}") - F.col("value_true")
+        aggs += [
+            F.avg(F.abs(err)).alias(f"ratio_mae_{k}"), F.sqrt(F.avg(err * err)).alias(f"ratio_rmse_{k}"), F.avg(err).alias(f"ratio_bias_{k}"),
+            F.corr("value_true", f"value_{k}").alias(f"ratio_pearson_{k}"), F.corr("rank_true", f"rank_{k}").alias(f"ratio_spearman_{k}"),
+        ]
+    return wide.groupBy(*by).agg(*aggs)
+
+
+def evaluate(scored: DataFrame, threshold: float = 0.5, second: float = 0.6, by: Sequence[str] = ("method",)) -> DataFrame:
+    """One evaluation record per method: A02-A14.
+
+    Ranking metrics (A05-A07), best F1 and MCC (A08, A09), chain macros (A10), top-L
+    and top-percent shares (A13, A14), ratio metrics for mean scores and for shares
+    above ``threshold`` (A12), and counts with their metrics (A02, A03) at three
+    thresholds: ``threshold``, ``second`` (suffix ``_second``) and the method's
+    best-MCC threshold (suffix ``_selected``).
+
+    The rows are reduced once to counts per (method, chain, score). Chains and whole
+    methods share one range sort, whose curves give everything but the order of
+    residues within a score.
     """
     by = list(by)
     keys = [*by, "chain"]
     counts = durable(score_counts(scored, keys), "score-counts")
-    per_chain = ranking_metrics(curve_of(counts, keys), keys)
     pooled = counts.groupBy(*by, "score").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
-    curve = curve_of(pooled, by)
-
-    def ratio_mae(cut: float | None, name: str) -> DataFrame:
-        return chain_ratios(counts, cut, by).groupBy(*by).agg(F.avg(F.abs(F.col("predicted_ratio") - F.col("true_ratio"))).alias(name))
-
-    parts = [
-        ranking_metrics(curve, by),
-        best_f1_of(curve, by),
-        best_mcc(counts, by=by),
-        chain_macro_of(per_chain, by),
-        metrics_from_counts(confusion(counts, threshold, by)),
-        top_l(chain_ranks(scored, by), by=by),
-        ratio_mae(None, "ratio_mae_raw"),
-        ratio_mae(threshold, "ratio_mae_thresholded"),
+    none = F.lit(None).cast(counts.schema["chain"].dataType).alias("chain")
+    both = counts.select(F.lit(1).alias("level"), *keys, "score", "tp", "n").unionByName(
+        pooled.select(F.lit(0).alias("level"), *by, none, "score", "tp", "n"))
+    curves = durable(curve_of(both, ["level", *keys]), "curves")
+    whole, chains = curves.where("level = 0").drop("level", "chain"), curves.where("level = 1").drop("level")
+    rows = durable(_chain_records(scored, chains, threshold, keys), "chain-records")
+
+    base = ratio(F.col("positives"), F.col("length"))
+    aggs = [
+        F.avg(ratio(F.col("ap"), F.col("positives"))).alias("chain_ap_macro"), F.count("*").alias("n_chains"),
+        F.sum((F.col("positives") == 0).cast("long")).alias("all_negative"), F.sum((F.col("positives") == F.col("length")).cast("long")).alias("all_positive"),
     ]
-    record = parts[0]
-    for part in parts[1:]:
-        record = record.join(part, by)
-    return record
+    for name, k in _cut_offs(F.col("length")).items():
+        h = F.col(f"hits_{name}")
+        micro = ratio(F.sum(h), F.sum(k))
+        if name.startswith("l"):
+            aggs += [F.avg(h / k).alias(f"{name}_acc_macro"), micro.alias(f"{name}_acc_micro"), F.sum(h).alias(f"{name}_hits"), F.sum(k).alias(f"{name}_k")]
+        else:
+            aggs += [
+                micro.alias(f"{name}_precision_micro"), ratio(F.sum(h), F.sum("positives")).alias(f"{name}_recall_micro"),
+                ratio(micro, ratio(F.sum("positives"), F.sum("length"))).alias(f"{name}_enrichment_micro"),
+                F.avg(h / k).alias(f"{name}_precision_macro"), F.avg(ratio(h, F.col("positives"))).alias(f"{name}_recall_macro"),
+                F.avg(ratio(h / k, base)).alias(f"{name}_enrichment_macro"),
+            ]
+    selected = durable(best_mcc(whole, by=by), "selected")
+    record = ranking_metrics(whole, by).join(best_f1_of(whole, by), by).join(selected, by)
+    # The threshold of each method is a row of a table as small as the record.
+    cuts = {"": F.lit(threshold), "_second": F.lit(second), "_selected": F.col("best_mcc_threshold")}
+    chosen = whole.join(F.broadcast(selected.select(*by, "best_mcc_threshold")), by)
+    for suffix, cut in cuts.items():
+        block = metrics_from_counts(confusion(chosen, cut, by))
+        record = record.join(block.withColumnsRenamed({c: f"{c}{suffix}" for c in block.columns if c not in by}), by)
+    return record.join(rows.groupBy(*by).agg(*aggs), by).join(_ratio_record(rows, by), by)
 
 
 # ---------------------------------------------------------------- statistics

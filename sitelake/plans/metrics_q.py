@@ -365,8 +365,27 @@ def _(spark, sf):
 
 
 def evaluate_sql():
-    ks = ", ".join(f"greatest(1, floor(length / {d}::DOUBLE)) AS k{d}, sum(CASE WHEN rk <= greatest(1, floor(length / {d}::DOUBLE)) THEN label ELSE 0 END) AS h{d}" for d in (20, 10, 5))
-    top = ", ".join(f"round(avg(h{d} / k{d}), 6) AS l{d}_acc_macro, round(sum(h{d}) / sum(k{d}), 6) AS l{d}_acc_micro, sum(h{d})::BIGINT AS l{d}_hits, sum(k{d})::BIGINT AS l{d}_k" for d in (20, 10, 5))
+    one_of = {f"l{d}": f"greatest(1, floor(length / {d}::DOUBLE))" for d in (20, 10, 5)} | {f"top{p}": f"greatest(1, ceil(length * ({p} / 100.0::DOUBLE)))" for p in (5, 10, 20)}
+    ks = ", ".join(f"{k} AS k_{n}, sum(CASE WHEN rk <= {k} THEN label ELSE 0 END) AS h_{n}" for n, k in one_of.items())
+    tops = [f"round(avg(h_{n} / k_{n}), 6) AS {n}_acc_macro, round(sum(h_{n}) / sum(k_{n}), 6) AS {n}_acc_micro, sum(h_{n})::BIGINT AS {n}_hits, sum(k_{n})::BIGINT AS {n}_k" for n in ("l20", "l10", "l5")]
+    tops += [f"""round(sum(h_{n}) / sum(k_{n}), 6) AS {n}_precision_micro, round(coalesce(sum(h_{n}) / nullif(sum(positives), 0), 0), 6) AS {n}_recall_micro,
+  round(coalesce((sum(h_{n}) / sum(k_{n})) / nullif(sum(positives) / sum(length), 0), 0), 6) AS {n}_enrichment_micro, round(avg(h_{n} / k_{n}), 6) AS {n}_precision_macro,
+  round(avg(coalesce(h_{n} / nullif(positives, 0)::DOUBLE, 0)), 6) AS {n}_recall_macro, round(avg(coalesce((h_{n} / k_{n}) / nullif(positives / length::DOUBLE, 0), 0)), 6) AS {n}_enrichment_macro""" for n in ("top5", "top10", "top20")]
+
+    def block(cut, suffix):
+        return f"""SELECT method, tp AS tp{suffix}, fp AS fp{suffix}, tn AS tn{suffix}, fn AS fn{suffix},
+  round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 6) AS precision{suffix}, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall{suffix},
+  round({F1}, 6) AS f1{suffix}, round((tp + tn)::DOUBLE / (tp + fp + tn + fn), 6) AS accuracy{suffix}, round({MCC}, 6) + 0.0 AS mcc{suffix}
+  FROM (SELECT method, sum((score >= {cut} AND label = 1)::INT)::BIGINT AS tp, sum((score >= {cut} AND label = 0)::INT)::BIGINT AS fp,
+    sum((score < {cut} AND label = 0)::INT)::BIGINT AS tn, sum((score < {cut} AND label = 1)::INT)::BIGINT AS fn FROM long JOIN bm USING (method) GROUP BY method)"""
+
+    def ratios(v, suffix):
+        return f"""round(avg(abs({v} - t)), 6) AS ratio_mae_{suffix}, round(sqrt(avg(({v} - t) * ({v} - t))), 6) AS ratio_rmse_{suffix}, round(avg({v} - t), 6) + 0.0 AS ratio_bias_{suffix},
+  round(corr(t, {v}), 6) + 0.0 AS ratio_pearson_{suffix}, round(corr(rt, r{v}), 6) + 0.0 AS ratio_spearman_{suffix}"""
+
+    def place(v):
+        return f"rank() OVER (PARTITION BY method ORDER BY {v}) + (count(*) OVER (PARTITION BY method, {v}) - 1) / 2.0::DOUBLE AS r{v}"
+
     return f"""{TOP_SQL}, {curve_sql('method')}, {curve_sql('method, chain', tag='_c')}, {sweep_sql(1000, 0, 1000)},
 m AS (SELECT *, {MCC} AS mcc, {F1} AS f1 FROM swept),
 bm AS (SELECT method, round(mcc, 6) + 0.0 AS best_mcc, threshold AS best_mcc_threshold, round(f1, 6) AS f1_at_best_mcc FROM m
@@ -376,16 +395,17 @@ bf AS (SELECT method, round(f1, 6) AS best_f1, score AS best_f1_threshold FROM f
   QUALIFY row_number() OVER (PARTITION BY method ORDER BY f1 DESC, score) = 1),
 macro AS (SELECT method, round(avg(average_precision), 6) AS chain_ap_macro, count(*) AS n_chains,
   sum((n_positive = 0)::INT)::BIGINT AS all_negative, sum((n_positive = n_residues)::INT)::BIGINT AS all_positive FROM ranking_c GROUP BY method),
-cm AS ({COUNTS_05}),
-cmm AS (SELECT method, tp, fp, tn, fn, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 6) AS precision,
-  round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall, round({F1}, 6) AS f1,
-  round((tp + tn)::DOUBLE / (tp + fp + tn + fn), 6) AS accuracy, round({MCC}, 6) + 0.0 AS mcc FROM cm),
-tc AS (SELECT method, chain, {ks} FROM ranked GROUP BY method, chain, length), tl AS (SELECT method, {top} FROM tc GROUP BY method),
-ra AS (SELECT method, chain, avg(label) AS t, avg(score) AS p, avg((score >= 0.5)::DOUBLE) AS q FROM long GROUP BY method, chain),
-rr AS (SELECT method, round(avg(abs(p - t)), 6) AS ratio_mae_raw, round(avg(abs(q - t)), 6) AS ratio_mae_thresholded FROM ra GROUP BY method)
+c1 AS ({block('0.5', '')}),
+c2 AS ({block('0.6', '_second')}),
+c3 AS ({block('best_mcc_threshold', '_selected')}),
+tc AS (SELECT method, chain, length, positives, {ks} FROM ranked GROUP BY method, chain, length, positives),
+tl AS (SELECT method, {", ".join(tops)} FROM tc GROUP BY method),
+ra AS (SELECT method, chain, round(avg(label), 12) AS t, round(avg(score), 12) AS p, round(avg((score >= 0.5)::DOUBLE), 12) AS q FROM long GROUP BY method, chain),
+rk AS (SELECT *, {place('t')}, {place('p')}, {place('q')} FROM ra),
+rr AS (SELECT method, {ratios('p', 'raw')}, {ratios('q', 'thresholded')} FROM rk GROUP BY method)
 SELECT method, n_residues, n_positive, round(average_precision, 6) AS average_precision, round(auprc, 6) AS auprc, round(auroc, 6) AS auroc,
-  bf.* EXCLUDE (method), bm.* EXCLUDE (method), macro.* EXCLUDE (method), cmm.* EXCLUDE (method), tl.* EXCLUDE (method), rr.* EXCLUDE (method)
-FROM ranking JOIN bf USING (method) JOIN bm USING (method) JOIN macro USING (method) JOIN cmm USING (method) JOIN tl USING (method) JOIN rr USING (method)"""
+  bf.* EXCLUDE (method), bm.* EXCLUDE (method), macro.* EXCLUDE (method), c1.* EXCLUDE (method), c2.* EXCLUDE (method), c3.* EXCLUDE (method), tl.* EXCLUDE (method), rr.* EXCLUDE (method)
+FROM ranking JOIN bf USING (method) JOIN bm USING (method) JOIN macro USING (method) JOIN c1 USING (method) JOIN c2 USING (method) JOIN c3 USING (method) JOIN tl USING (method) JOIN rr USING (method)"""
 
 
 @query("a29_evaluate", evaluate_sql())

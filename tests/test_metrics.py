@@ -171,3 +171,29 @@ def test_bootstrap_draws_in_blocks(spark):
         assert (got.ci_low, got.ci_high) == pytest.approx(tuple(np.quantile(deltas, [0.025, 0.975])))
     empty = M.bootstrap_ci(df.limit(0), "unit", "diff", 40, 5).first()
     assert (empty.n_units, empty.replicates, empty.difference) == (0, 0, None)
+
+
+def test_evaluate_equals_its_parts(spark):
+    """The record from counts equals the metrics taken one by one, with ties at the cut-offs and chains of one class."""
+    rnd = random.Random(8)
+    rows = []
+    for m in ("a", "b"):
+        for c in range(25):
+            n = rnd.randint(1, 60)
+            labels = [int(rnd.random() < rnd.choice([0.0, 0.3, 1.0])) for _ in range(n)]
+            rows += chain(f"c{c}", labels, [rnd.choice([0.1, 0.5, 0.55, 0.6, 0.9]) if m == "a" else rnd.random() for _ in range(n)], m)
+    df = scored(spark, rows).repartition(3)
+    got = {r.method: r for r in M.evaluate(df).collect()}
+    ranked = M.chain_ranks(df)
+    for part in (M.top_l(ranked), M.top_frac(ranked), M.chain_macro_ap(df), M.best_mcc(df), M.best_f1(df), M.metrics_from_counts(M.confusion(df, 0.5)), M.ranking_metrics(M.ranking_curve(df))):
+        for r in part.collect():
+            assert {c: got[r.method][c] for c in r.asDict()} == pytest.approx(r.asDict()), r
+    for r in M.metrics_from_counts(M.confusion(df, 0.6)).collect():
+        assert {c: got[r.method][f"{c}_second"] for c in r.asDict() if c != "method"} == pytest.approx({c: v for c, v in r.asDict().items() if c != "method"})
+    for m, r in got.items():
+        want = M.confusion(df.where(F.col("method") == m), r.best_mcc_threshold).first()
+        assert (r.tp_selected, r.fp_selected, r.tn_selected, r.fn_selected) == (want.tp, want.fp, want.tn, want.fn)
+    for suffix, cut in (("raw", None), ("thresholded", 0.5)):
+        for r in M.ratio_metrics(M.chain_ratios(df, cut)).collect():
+            for c in ("mae", "rmse", "bias", "pearson", "spearman"):
+                assert got[r.method][f"ratio_{c}_{suffix}"] == pytest.approx(r[c])
