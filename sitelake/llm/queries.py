@@ -81,22 +81,64 @@ def op6_exact_dedup(spark, sf):
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-OP10 = r"""
+def _attribute_sql(tag: str, name: str) -> str:
+    pattern = rf"""(?is)[\s"''/]{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
+    return "(" + " || ".join(f"regexp_extract({tag}, '{pattern}', {g})" for g in (1, 2, 3)) + ")"
+
+
+def _value_sql(tag: str, name: str) -> str:
+    """An attribute with its character references read."""
+    code = lambda number: f"case when {number} between 1 and 1114111 and {number} not between 55296 and 57343 then chr(({number})::int) else p end"
+    return f"""trim(coalesce(array_to_string(list_transform(
+      regexp_extract_all({_attribute_sql(tag, name)}, '(?s)&#[0-9]{{1,7}};|&#[xX][0-9A-Fa-f]{{1,6}};|&[a-z]{{2,4}};|[^&]+|&'), lambda p:
+      case when regexp_matches(p, '^&#[0-9]') then {code("regexp_extract(p, '([0-9]+)', 1)::bigint")}
+        when regexp_matches(p, '^&#[xX]') then {code("('0x' || regexp_extract(p, '[xX]([0-9A-Fa-f]+)', 1))::bigint")}
+        when p = '&amp;' then '&' when p = '&quot;' then '"' when p = '&lt;' then '<' when p = '&gt;' then '>' else p end), ''), ''))"""
+
+
+def _resolved_sql(target: str, base: str, out: str, keep: str, source: str) -> str:
+    """Two steps of a statement: ``target`` seen from ``base``, then without dot segments, as ``out``."""
+    site, path = f"regexp_extract({base}, '(?s)^(.*?://[^/?#]*)', 1)", f"regexp_extract({base}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    own = "regexp_extract(whole, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    return rf"""
+{out}_whole as (
+  select {keep}, case when regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*://') then {target}
+    when starts_with({target}, '//') then regexp_extract({base}, '(?s)^(.*?)://', 1) || ':' || {target}
+    when starts_with({target}, '/') then {site} || {target}
+    when starts_with({target}, '?') then {site} || {path} || {target}
+    when starts_with({target}, '#') or regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*:') then null
+    else {site} || coalesce(nullif(regexp_extract({path}, '(?s)^(.*/)', 1), ''), '/') || {target} end as whole from {source}),
+{out}_parts as (
+  select {keep}, whole, {own} as own, string_split({own}, '/')[2:] as segments from {out}_whole),
+{out}_kept as (
+  select *, list_reduce(list_prepend([]::varchar[], list_transform(segments, lambda s: [s])), lambda held, s:
+    case when s[1] = '..' then held[1:greatest(len(held) - 1, 0)] when s[1] = '.' then held else list_concat(held, s) end) as held from {out}_parts),
+{out}_step as (
+  select {keep}, case when starts_with(own, '/') and regexp_matches(own, '/\.{{1,2}}(/|$)') then
+    regexp_extract(whole, '(?s)^(.*?://[^/?#]*)', 1) || '/' || coalesce(array_to_string(held, '/'), '') || case when segments[-1] in ('.', '..') and len(held) > 0 then '/' else '' end
+      || regexp_extract(whole, '(?s)^.*?://[^/?#]*[^?#]*(.*)$', 1) else whole end as {out} from {out}_kept),"""
+
+
+OP10 = rf"""
 with recursive parts as (
   select page_id, url, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from pages),
+tagged as (
+  select url, regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta|base)\b[^>]*>') as tags from pages where url is not null),
+based as (
+  select url, tags, list_filter(list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<base')), lambda t: {_value_sql("t", "href")}), lambda h: h <> '')[1] as base_href
+  from tagged where len(tags) > 0),
+{_resolved_sql("base_href", "url", "base_url", "url, tags", "based")}
 tags as (
-  select url, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link\b[^>]*\brel\s*=\s*["'']?\s*canonical\b[^>]*|meta\b[^>]*\bhttp-equiv\s*=\s*["'']?\s*refresh\b[^>]*)>')) as tag from pages),
+  select url, coalesce(base_url, url) as base, unnest(tags) as tag from base_url_step),
 targets as (
-  select url, replace(case when regexp_matches(tag, '(?i)^<link') then regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''>\s]*)', 1)
-    else regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''>\s]*)', 1) end, '&amp;', '&') as t from tags),
-absolute as (
-  select url, case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t
-    when starts_with(t, '//') then regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || t
-    when starts_with(t, '/') then regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t
-    when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') then null
-    else regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '(?s)^(.*/)', 1), ''), '/') || t end as to_url
-  from targets where t <> ''),
+  select url, base, case
+    when regexp_matches(tag, '(?i)^<link') and list_contains(regexp_split_to_array(lower({_attribute_sql("tag", "rel")}), '\s+'), 'canonical') then {_value_sql("tag", "href")}
+    when regexp_matches(tag, '(?i)^<meta') and lower(trim({_attribute_sql("tag", "http-equiv")})) = 'refresh' then
+      regexp_extract({_value_sql("tag", "content")}, '(?is)\burl\s*=\s*["'']?([^"''\s]*)', 1) end as t from tags),
+stated as (select * from targets where t <> ''),
+{_resolved_sql("t", "base", "to_url", "url", "stated")}
+absolute as (select * from to_url_step),
 named as (
   select u, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path, regexp_extract(u, '(?s)^.*?://[^/?#]*[^?#]*(\??[^#]*)', 1) as query

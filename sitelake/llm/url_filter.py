@@ -15,7 +15,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelake.core import durable
+from sitelake.core import DataContractError, durable
 from sitelake.llm.components import components
 from sitelake.llm.frames import lower_az
 
@@ -50,39 +50,84 @@ def node_of(url: Column) -> Column:
     return F.when(F.instr(u, "://") > 0, F.concat(host_of(u), path_of(u), F.regexp_extract(u, PARTS, 3)))
 
 
-def _absolute(target: Column, url: Column) -> Column:
-    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    base = F.concat(scheme, F.lit("://"), F.regexp_extract(url, PARTS, 1))
-    folder = F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
-    return (
-        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(base, target))
-        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
-        .otherwise(F.concat(base, F.when(folder == "", F.lit("/")).otherwise(folder), target))
-    )
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute, in either kind of quotes or in none; empty if it is not there."""
+    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*[F.regexp_extract(tag, pattern, g) for g in (1, 2, 3)])
+
+
+def unescape(text: Column) -> Column:
+    """Numeric character references, ``&amp;``, ``&quot;``, ``&lt;`` and ``&gt;`` as their characters; all others stay."""
+    pieces = F.regexp_extract_all(text, F.lit("(?s)&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[a-z]{2,4};|[^&]+|&"), F.lit(0))
+
+    def character(code: Column, piece: Column) -> Column:
+        real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(piece)
+
+    def plain(p: Column) -> Column:
+        return (
+            F.when(p.rlike("^&#[0-9]"), character(F.regexp_extract(p, "([0-9]+)", 1).cast("long"), p))
+            .when(p.rlike("^&#[xX]"), character(F.conv(F.regexp_extract(p, "[xX]([0-9A-Fa-f]+)", 1), 16, 10).cast("long"), p))
+            .when(p == "&amp;", "&").when(p == "&quot;", '"').when(p == "&lt;", "<").when(p == "&gt;", ">").otherwise(p)
+        )
+
+    return F.array_join(F.transform(pieces, plain), "")
+
+
+def resolved(df: DataFrame, target: str, base: str, out: str) -> DataFrame:
+    """``df`` with ``target`` as a full address in ``out``, seen from ``base`` and without ``.`` and ``..`` segments.
+
+    Null for other schemes and for places within the page. Each step is a column
+    of its own: one nested expression would hold thousands of copies of its parts.
+    """
+    names = {n: f"__{n}_{out}" for n in ("scheme", "site", "path", "folder", "whole", "own", "parts", "held")}
+    c = {n: F.col(v) for n, v in names.items()}
+    t, b = F.col(target), F.col(base)
+    df = df.withColumns({names["scheme"]: F.regexp_extract(b, r"(?s)^(.*?)://", 1), names["site"]: F.regexp_extract(b, r"(?s)^(.*?://[^/?#]*)", 1), names["path"]: path_of(b)})
+    df = df.withColumn(names["folder"], F.regexp_extract(c["path"], r"(?s)^(.*/)", 1))
+    df = df.withColumn(names["whole"], (
+        F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t)
+        .when(t.startswith("//"), F.concat(c["scheme"], F.lit(":"), t))
+        .when(t.startswith("/"), F.concat(c["site"], t))
+        .when(t.startswith("?"), F.concat(c["site"], c["path"], t))
+        .when(t.startswith("#") | t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .otherwise(F.concat(c["site"], F.when(c["folder"] == "", F.lit("/")).otherwise(c["folder"]), t))
+    ))
+    df = df.withColumn(names["own"], path_of(c["whole"])).withColumn(names["parts"], F.split(c["own"], "/"))
+    df = df.withColumn(names["held"], F.aggregate(
+        F.slice(c["parts"], F.lit(2), F.size(c["parts"])), F.array().cast("array<string>"),
+        lambda held, s: F.when(s == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).when(s == ".", held).otherwise(F.concat(held, F.array(s)))))
+    folder = F.when(F.element_at(c["parts"], -1).isin(".", "..") & (F.size(c["held"]) > 0), F.lit("/")).otherwise(F.lit(""))
+    head, tail = F.regexp_extract(c["whole"], r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(c["whole"], r"(?s)^.*?://[^/?#]*[^?#]*(.*)$", 1)
+    plain = F.concat(head, F.lit("/"), F.array_join(c["held"], "/"), folder, tail)
+    dotted = c["own"].startswith("/") & c["own"].rlike(r"/\.{1,2}(/|$)")
+    return df.withColumn(out, F.when(dotted, plain).otherwise(c["whole"])).drop(*names.values())
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(from_url, to_url)`` of canonical links and refresh redirects that the pages state; duplicates included."""
-    tags = F.regexp_extract_all(
-        F.coalesce(F.col(html), F.lit("")),
-        F.lit(r"""(?is)<(?:link\b[^>]*\brel\s*=\s*["']?\s*canonical\b[^>]*|meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b[^>]*)>"""),
-        F.lit(0),
-    )
-    tag = F.col("__tag")
-    target = F.trim(
-        F.when(
-            tag.rlike("(?i)^<link"),
-            F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?([^"'>\s]*)""", 1),
-        ).otherwise(F.regexp_extract(tag, r"""(?is)\burl\s*=\s*["']?([^"'>\s]*)""", 1))
-    )
-    return (
-        pages.select(F.col(url).alias("from_url"), F.explode(tags).alias("__tag"))
-        .select("from_url", F.regexp_replace(target, "&amp;", "&").alias("__t"))
-        .where("__t <> ''")
-        .select("from_url", _absolute(F.col("__t"), F.col("from_url")).alias("to_url"))
-    )
+    """``(from_url, to_url)`` of canonical links and refresh redirects that the pages state; duplicates included.
+
+    Counted are ``<link>`` tags with ``canonical`` among the words of ``rel``, and
+    ``<meta http-equiv=refresh>`` with a ``url=`` in ``content``. Attributes may be
+    quoted or not; character references are read. Targets are resolved against the
+    page's ``<base href>`` (itself against the page) or else the page: absolute ones,
+    ``//host``, ``/path``, ``?query`` and relative ones, without ``.`` and ``..``.
+    """
+    tags = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?is)<(?:link|meta|base)\b[^>]*>"""), F.lit(0))
+    found = pages.select(F.col(url).alias("from_url"), tags.alias("tags")).where("from_url is not null and size(tags) > 0")
+    bases = F.transform(F.filter("tags", lambda t: t.rlike("(?i)^<base")), lambda t: F.trim(unescape(_attribute(t, "href"))))
+    found = found.withColumn("bases", F.filter(bases, lambda h: h != "")).withColumn("base_href", F.try_element_at("bases", F.lit(1)))
+    found = resolved(found, "base_href", "from_url", "base_url").select("from_url", F.coalesce("base_url", "from_url").alias("base"), F.explode("tags").alias("tag"))
+    words = F.split(F.lower(_attribute(F.col("tag"), "rel")), r"\s+")
+    canonical = F.col("tag").rlike("(?i)^<link") & F.array_contains(words, "canonical")
+    refresh = F.col("tag").rlike("(?i)^<meta") & (F.lower(F.trim(_attribute(F.col("tag"), "http-equiv"))) == "refresh")
+    value = F.when(canonical, _attribute(F.col("tag"), "href")).when(refresh, _attribute(F.col("tag"), "content"))
+    # A row per stated link; written, as few of many tags are left.
+    found = durable(found.select("from_url", "base", canonical.alias("canonical"), value.alias("value")).where("value <> ''"), "links")
+    found = found.withColumn("v", F.trim(unescape(F.col("value"))))
+    stated = F.regexp_extract("v", r"""(?is)\burl\s*=\s*["']?([^"'\s]*)""", 1)
+    found = found.withColumn("t", F.when(F.col("canonical"), F.col("v")).otherwise(stated)).where("t <> ''")
+    return resolved(found, "t", "base", "to_url").select("from_url", "to_url")
 
 
 def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
@@ -93,7 +138,9 @@ def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
     prefixes of the lengths that occur in the rules, which makes the match an
     equi-join: a common host meets only the rules that fit it.
     """
-    sizes = [r[0] for r in rules.select(F.length("rule_path")).distinct().limit(SMALL_RULES).collect()]
+    sizes = [r[0] for r in rules.select(F.length("rule_path")).distinct().limit(SMALL_RULES + 1).collect()]
+    if len(sizes) > SMALL_RULES:
+        raise DataContractError(f"rule paths of more than {SMALL_RULES} lengths")
     labels = F.split("host", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
@@ -122,8 +169,8 @@ def judge_urls(
 ) -> DataFrame:
     """``(page_id, host, path, rule, verdict)``, one row per row of ``pages``.
 
-    ``redirects(from_url, to_url)`` adds known redirects to the links that the
-    pages state themselves. Link targets that are no pages still carry the
+    ``redirects(from_url, to_url)`` adds known redirects, in full, to the links that the
+    pages state themselves (see ``page_links`` for the forms that count). Link targets that are no pages still carry the
     verdict of their rule into the component. A URL without rule and without
     blocked alias gets ``default``. Null and malformed URLs have empty host and
     path, fit no rule and get ``default``; empty tables give empty results; rows
