@@ -83,24 +83,66 @@ def rolling_moments(df: DataFrame, cols: Sequence[str], sizes: Sequence[int], by
 _PROPERTY_UNITS = {"hydropathy": 10, "charge": 10, "mass": 100, "volume": 10}
 
 
+def _layout(largest: dict[str, int], rows: int) -> dict[str, tuple[int, int, int]]:
+    """Column, first bit and bits of each field, so that sums over ``rows`` rows fit next to each other in BIGINTs."""
+    used: list[int] = []
+    out = {}
+    for name, most in sorted(largest.items(), key=lambda x: -x[1]):
+        bits = max(1, (most * rows).bit_length())
+        if bits > 63:
+            raise DataContractError(f"windows over {rows} rows are too wide for packed sums")
+        k = next((i for i, u in enumerate(used) if u + bits <= 63), len(used))
+        if k == len(used):
+            used.append(0)
+        out[name] = (k, used[k], bits)
+        used[k] += bits
+    return out
+
+
 def rolling_stats(df: DataFrame, sizes: Sequence[int] = (7, 15, 31), by: Sequence[str] = ("complex",), pos: str = "ord",
                   letter: str = "aa") -> DataFrame:
     """Scaled window mean and deviation of hydropathy, charge, mass and volume.
 
     The frame runs over the whole complex by default and so crosses chains; pass
-    the chain in ``by`` to stop at its ends. Unknown letters count as 0.
+    the chain in ``by`` to stop at its ends. Unknown letters count as 0. A letter
+    stands for a few BIGINTs that hold all its values and squares; only those are
+    summed and looked up, and the frame's size follows from the positions.
     """
-    ints = {p: lookup(letter, {a: round(v * f) for a, v in field(p).items()}, 0) for p, f in _PROPERTY_UNITS.items()}
-    named = df.withColumns({f"__{p}": c for p, c in ints.items()})
-    rolled = rolling_moments(named, [f"__{p}" for p in ints], sizes, by, pos)
+    tables, low = {}, {}
+    for p, f in _PROPERTY_UNITS.items():
+        ints = {a: round(v * f) for a, v in field(p).items()}
+        low[p] = min(0, *ints.values())
+        tables[f"{p}_s"] = ({a: v - low[p] for a, v in ints.items()}, -low[p])  # from 0 up: fields must not borrow
+        tables[f"{p}_q"] = ({a: v * v for a, v in ints.items()}, 0)
+    layout = _layout({n: max(*t.values(), d) for n, (t, d) in tables.items()}, halo_rows(max(sizes) // 2))
+    longs = range(1 + max(k for k, _, _ in layout.values()))
+    at = lambda k, value: sum(value(*tables[n]) << first for n, (c, first, _) in layout.items() if c == k)
+    packed = {f"__k{k}": lookup(letter, {a: at(k, lambda t, d, a=a: t.get(a, d)) for a in LETTERS}, at(k, lambda t, d: d)).cast("long") for k in longs}
     shift_scale = {"hydropathy": (4.5, 9.0), "charge": (1.0, 2.0), "mass": (-75.0, 130.0), "volume": (-60.0, 168.0)}
-    out = []
-    for w in sizes:
-        for p, unit in _PROPERTY_UNITS.items():
-            shift, scale = shift_scale[p]
-            out.append(((F.col(f"win{w}___{p}_mean") / unit + shift) / scale).alias(f"win{w}_{p}_mean"))
-            out.append((F.col(f"win{w}___{p}_std") / unit / scale).alias(f"win{w}_{p}_std"))
-    return rolled.select(*df.columns, *out)
+
+    def build(spread: DataFrame, w) -> DataFrame:
+        so_far, whole = w.rowsBetween(*_SO_FAR), w.rowsBetween(*_WHOLE)
+        run = spread.withColumns(packed).withColumns(
+            {f"{k}_p": F.sum(k).over(so_far) for k in packed} | {f"{k}_t": F.sum(k).over(whole) for k in packed}
+            | {"__from": F.min(pos).over(whole), "__to": F.max(pos).over(whole)})
+        framed = run.withColumns({f"{k}_{size}": frame_sum(f"{k}_p", f"{k}_t", size // 2, w) for size in sizes for k in packed})
+        out = []
+        for size in sizes:
+            r = size // 2
+            n = F.least(F.col(pos) + r, F.col("__to")) - F.greatest(F.col(pos) - r, F.col("__from")) + 1
+
+            def total(name: str) -> Column:
+                k, first, bits = layout[name]
+                return F.shiftright(F.col(f"__k{k}_{size}"), first).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
+            for p, unit in _PROPERTY_UNITS.items():
+                shift, scale = shift_scale[p]
+                s, z = total(f"{p}_s") + n * low[p], total(f"{p}_q")
+                out.append(((s / n / unit + shift) / scale).alias(f"win{size}_{p}_mean"))
+                out.append((F.sqrt((n * z - s * s).cast("double")) / n / unit / scale).alias(f"win{size}_{p}_std"))
+        return framed.select(*spread.columns, *out)
+
+    return with_halo(df, by, pos, max(sizes) // 2, build)
 
 
 def rolling_mean_strict(df: DataFrame, cols: Sequence[str], sizes: Sequence[int] = (3, 5, 7, 9), sentinel: float = 0.11111111,
