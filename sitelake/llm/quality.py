@@ -9,13 +9,15 @@ much each passage counts, and the weighted sum of the passages is scored:
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelake.core import DataContractError
 from sitelake.llm.frames import add_from_text
 from sitelake.llm.words import Words, groups, words_of
 
@@ -60,6 +62,7 @@ def encode_passages(w: Words) -> tuple[np.ndarray, np.ndarray]:
     mark[w.starts] = 1
     word_at = np.cumsum(mark) - 1
     inside = word_at >= 0
+    inside[w.offsets[1:] - 1] = False  # what joins two texts is part of neither
     of_byte = passage[np.maximum(word_at, 0)]
     kinds = _KIND[w.data]
     size = np.bincount(of_byte[inside], minlength=n).astype(np.float64)
@@ -177,16 +180,22 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_passages
 
     Labels other than 0 and 1 and labels of one id that differ are left out. The
     sampled ids (a bounded number) are sent to the scan of ``docs``, the passages
-    are encoded there, and at most ``max_passages`` of them reach the driver:
-    beyond it documents are left out of the sample in the order of the hash.
-    Without labels, or with one class only, every text scores that class's share.
+    are encoded there, and about ``max_passages`` of them reach the driver: a
+    document gives at most its share, ``max_passages // sample``, drawn from all of
+    its passages by a hash of its id, so no text pushes out another. Of an id's rows
+    the one with the smallest hash of its text is taken. Without labels, or with one
+    class only, every text scores that class's share; labelled documents of which
+    none is in the sample raise.
     """
     known = labels.select(F.col(doc_id).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)")
     known = known.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("k", "y", F.pmod(F.xxhash64("k"), F.lit(1_000_000)).alias("h"))
-    rate = min(1.0, sample / max(1, known.count()))
+    n_known = known.count()
+    rate = min(1.0, sample / max(1, n_known))
     # About ``sample`` rows by the rate above.
-    drawn = known.where(F.col("h") < int(rate * 1_000_000))
-    rows = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("text")).join(F.broadcast(drawn), "k")
+    drawn = known.where(F.col("h") < math.ceil(rate * 1_000_000))
+    named = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("text"))
+    rows = named.join(F.broadcast(drawn), "k").groupBy("k", "h", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    share = max(1, max_passages // max(1, sample))
 
     def encode(batches):
         for pdf in batches:
@@ -195,14 +204,18 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_passages
                 x, owner = encode_passages(words_of(part))
                 ends = np.cumsum(np.bincount(owner, minlength=len(part)))
                 rows = pdf.iloc[first : first + len(part)]
+                taken = []
+                for h, a, b in zip(rows["h"], np.append(0, ends[:-1]), ends):
+                    mine = np.arange(a, b)
+                    taken.append(mine if len(mine) <= share else np.sort(np.random.default_rng(h).choice(mine, share, replace=False)))
                 yield pd.DataFrame({
-                    "k": rows["k"], "h": rows["h"], "y": rows["y"], "n": np.diff(ends, prepend=0),
-                    "x": [x[a:b].astype("<f4").tobytes() for a, b in zip(np.append(0, ends[:-1]), ends)],
+                    "k": rows["k"], "h": rows["h"], "y": rows["y"], "n": [len(t) for t in taken], "x": [x[t].astype("<f4").tobytes() for t in taken],
                 })
 
-    upto = F.sum("n").over(Window.orderBy("h", "k").rowsBetween(Window.unboundedPreceding, 0))
-    got = rows.mapInPandas(encode, "k long, h long, y int, n long, x binary").withColumn("upto", upto).where(F.col("upto") <= max_passages).orderBy("h", "k").toPandas()
+    got = rows.select("k", "h", "y", "text").mapInPandas(encode, "k long, h long, y int, n long, x binary").orderBy("h", "k").toPandas()
     y = got["y"].to_numpy(float)
+    if not len(y) and n_known and not named.join(known, "k", "left_semi").isEmpty():
+        raise DataContractError("labelled documents, but none in the sample; enlarge it")
     if not len(y) or y.min() == y.max():
         m = AttentionModel.start(np.zeros((1, WIDTH)), 24, 12, 7)
         m.weights = {k: np.zeros_like(v) for k, v in m.weights.items()}
