@@ -160,6 +160,13 @@ def to_blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(build, BLOCKS)
 
 
+def _by_part(of: np.ndarray) -> dict[int, np.ndarray]:
+    """Places of each value that occurs, in order: the work is that of the block, however many parts there are."""
+    order = of.argsort(kind="stable")
+    first = np.flatnonzero(np.diff(of[order], prepend=-1))
+    return dict(zip(of[order[first]].tolist(), np.split(order, first[1:])))
+
+
 class Block:
     """A block's arrays; ``count`` are the training counts of its words once they are known."""
 
@@ -172,11 +179,9 @@ class Block:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.in_train = np.repeat(self.train, self.lengths)
 
-    def word_parts(self, parts: int) -> list[np.ndarray]:
-        """Word numbers that go to each part, in the order in which they are asked and answered."""
-        of = (mix64(self.words) % np.uint64(parts)).astype(np.int64)
-        order = of.argsort(kind="stable")
-        return np.split(order, np.searchsorted(of[order], np.arange(1, parts)))
+    def word_parts(self, parts: int) -> dict[int, np.ndarray]:
+        """Word numbers that go to each part that has any, in the order in which they are asked and answered."""
+        return _by_part((mix64(self.words) % np.uint64(parts)).astype(np.int64))
 
     def take_counts(self, answers, parts: int) -> None:
         self.count = np.zeros(len(self.words), np.int64)
@@ -199,8 +204,7 @@ class Block:
         self.second = names[self.right] >> np.uint64(16)
         salt = self.second % self.splits[self.left].astype(np.uint64)
         of = (mix64(self.context + salt * np.uint64(0xD1342543DE82EF95)) % np.uint64(parts)).astype(np.int64)
-        order = of.argsort(kind="stable")
-        self.by_part = np.split(order, np.searchsorted(of[order], np.arange(1, parts)))
+        self.by_part = _by_part(of)
 
     def heads(self, sel: np.ndarray) -> np.ndarray:
         """Where a new context begins among the bigrams ``sel``."""
@@ -213,7 +217,7 @@ def ask_words(blocks: DataFrame, parts: int) -> DataFrame:
             for row in pdf.itertuples():
                 b = Block(row)
                 seen = np.bincount(b.tokens[b.in_train], minlength=len(b.words))
-                rows = [(p, row.block, join([b.words[s].tobytes(), pack(seen[s])])) for p, s in enumerate(b.word_parts(parts)) if len(s)]
+                rows = [(p, row.block, join([b.words[s].tobytes(), pack(seen[s])])) for p, s in b.word_parts(parts).items()]
                 yield pd.DataFrame(rows, columns=["part", "block", "data"])
 
     return blocks.mapInPandas(ask, "part int, block long, data binary")
@@ -252,14 +256,13 @@ def ask_bigrams(parts: int, begin_count: int, hot_count: int):
         b.bigrams(parts, begin_count, hot_count)
         seen = np.bincount(b.pair_of[b.in_train], minlength=len(b.left))
         rows = []
-        for p, sel in enumerate(b.by_part):
-            if len(sel):
-                at = b.heads(sel)
-                split_ = b.splits[b.left[sel[at]]] > 1
-                rows.append((p, row.block, join([
-                    b.context[sel[at]].tobytes(), pack(np.diff(np.append(at, len(sel)))), split_.tobytes(),
-                    pack48(b.second[sel]), pack(seen[sel]), pack(b.count[b.right[sel]]),
-                ])))
+        for p, sel in b.by_part.items():
+            at = b.heads(sel)
+            split_ = b.splits[b.left[sel[at]]] > 1
+            rows.append((p, row.block, join([
+                b.context[sel[at]].tobytes(), pack(np.diff(np.append(at, len(sel)))), split_.tobytes(),
+                pack48(b.second[sel]), pack(seen[sel]), pack(b.count[b.right[sel]]),
+            ])))
         return pd.DataFrame(rows, columns=["part", "block", "data"])
 
     return ask
