@@ -160,14 +160,32 @@ def occurrences(text: Column | str, query: Column | str) -> Column:
     return F.filter(F.transform(ends, lambda e: e + 1), lambda s: F.substr(t, s, F.length(q)) == q)
 
 
+def nearest_occurrence(text: Column | str, query: Column | str, want: Column) -> Column:
+    """1-based start of the exact occurrence nearest the 0-based ``want``, the earlier of two; null without any.
+
+    One fold over the pieces between occurrences that holds a place and the best so far.
+    """
+    t, q = _col(text), _col(query)
+    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(q, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("at"), none.alias("d"), none.alias("s"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        at = acc["at"]  # letters before this piece
+        away = F.abs(at - want).cast("int")
+        better = (F.substr(t, at + 1, F.length(q)) == q) & (acc["d"].isNull() | (away < acc["d"]))
+        return F.struct((at + F.length(piece)).alias("at"), F.when(better, away).otherwise(acc["d"]).alias("d"), F.when(better, at + 1).otherwise(acc["s"]).alias("s"))
+
+    return F.aggregate(F.split(t, quoted, -1), start, step)["s"]
+
+
 def place_query(df: DataFrame, query: str = "query", target: str = "target", beg: str = "beg", end: str = "end") -> DataFrame:
     """Part of the target to align: the exact occurrence nearest the expected start, else the stated range, else everything."""
     q, t = F.col(query), F.col(target)
     first = F.position(q, t)
     want = F.greatest(F.lit(0), F.col(beg) - 1)
-    # occurrences are listed only where there is one
-    starts = F.when((F.length(q) > 0) & (first > 0), occurrences(t, q))
-    near = F.array_min(F.transform(starts, lambda s: F.struct(F.abs(s - 1 - want).alias("d"), s.alias("s"))))["s"]
+    # searched only where there is one
+    near = F.when((F.length(q) > 0) & (first > 0), nearest_occurrence(t, q, want))
     stated = (F.col(beg) > 0) & (F.col(end) >= F.col(beg))
     return df.withColumn("__near", near).withColumns({
         "method": F.when(F.col("__near").isNotNull(), "exact_substring").when(stated, "stated_range").otherwise("full"),

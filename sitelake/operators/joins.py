@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelake.core import DataContractError, require_columns, require_empty
+from sitelake.core import DataContractError, durable, require_columns, require_empty
 
 
 def label_score_join(labels: DataFrame, scores: DataFrame, on: Sequence[str] = ("seq_id", "position"),
@@ -163,13 +163,20 @@ def alignment_violations(tables: Sequence[DataFrame], on: Sequence[str] = ("chai
 
 
 def align_scores(tables: Sequence[DataFrame], on: Sequence[str] = ("chain", "position"), label: str = "label") -> DataFrame:
-    """Join N score sets on position after checking that they cover the same residues with the same labels."""
+    """Join N score sets on position; all must cover the same residues with the same labels.
+
+    One outer join is written; it shows what is amiss and holds the result.
+    """
     on = list(on)
-    require_empty(alignment_violations(tables, on, label), "score sets are not aligned")
-    out = tables[0].withColumnRenamed("score", "score_0")
-    for i, t in enumerate(tables[1:], 1):
-        out = out.join(t.select(*on, F.col("score").alias(f"score_{i}")), on)
-    return out
+    first, others = tables[0], tables[1:]
+    out = first.withColumnRenamed("score", "score_0").withColumn("__in0", F.lit(True))
+    for i, t in enumerate(others, 1):
+        out = out.join(t.select(*on, F.col("score").alias(f"score_{i}"), F.col(label).alias(f"__l{i}"), F.lit(True).alias(f"__in{i}")), on, "full_outer")
+    absent = reduce(lambda a, b: a | b, [F.col(f"__in{i}").isNull() for i in range(len(tables))])
+    unequal = reduce(lambda a, b: a | b, [~F.col(label).eqNullSafe(F.col(f"__l{i}")) for i in range(1, len(tables))], F.lit(False))
+    aligned = durable(out.withColumn("__violation", F.when(absent, "missing").when(unequal, "label")), "aligned")
+    require_empty(aligned.where("__violation is not null").select(*on, "__violation"), "score sets are not aligned")
+    return aligned.select(*on, *[c for c in first.columns if c not in (*on, "score")], *[f"score_{i}" for i in range(len(tables))])
 
 
 def first_difference(left: DataFrame, right: DataFrame, fields: Sequence[str], key: str = "chain", pos: str = "position") -> DataFrame:
@@ -191,21 +198,33 @@ def fan_out(features: DataFrame, members: DataFrame, key: str) -> DataFrame:
     return members.join(features, key)
 
 
-def release_table(split: DataFrame, labels: DataFrame, features: DataFrame, bridge: DataFrame, key: str = "complex") -> DataFrame:
-    """One row per complex: split, label and feature columns, bridge counts, sorted-unique accession list, usability flag.
+def release_accessions(bridge: DataFrame, key: str = "complex") -> DataFrame:
+    """Distinct ``(complex, accession)`` of OK rows: the whole lists of ``release_table``, as rows."""
+    return bridge.where("status = 'OK' and accession <> ''").select(key, "accession").distinct()
+
+
+def release_table(split: DataFrame, labels: DataFrame, features: DataFrame, bridge: DataFrame, key: str = "complex", listed: int = 20) -> DataFrame:
+    """One row per complex: split, label and feature columns, bridge counts, accessions, usability flag.
 
-    The list cell is built from distinct (complex, accession) pairs, so repeated
-    accessions never pile up in one group.
+    ``accessions`` are the first ``listed`` distinct ones in order; ``n_accessions``
+    counts all, and ``accession_sum`` adds up the first 32 bits of their MD5, the
+    same for the same set. ``release_accessions`` has them all as rows, so no list
+    grows with a complex.
     """
     counts = bridge.groupBy(key).agg(
         F.count("*").alias("bridge_n_chains"),
         F.sum((F.col("status") == "OK").cast("long")).alias("bridge_n_ok"),
         F.sum(F.col("strict").cast("long")).alias("bridge_n_strict"),
     )
-    accs = bridge.where("status = 'OK' and accession <> ''").select(key, "accession").distinct().groupBy(key).agg(
+    pairs = release_accessions(bridge, key)
+    bits = F.conv(F.substring(F.md5(F.col("accession").cast("binary")), 1, 8), 16, 10).cast("long")
+    whole = pairs.groupBy(key).agg(F.count("*").alias("n_accessions"), F.sum(bits).alias("accession_sum"))
+    # The filter keeps ``listed`` rows per complex and task before the shuffle.
+    place = F.row_number().over(Window.partitionBy(key).orderBy("accession"))
+    head = pairs.withColumn("__rn", place).where(F.col("__rn") <= listed).groupBy(key).agg(
         F.array_join(F.sort_array(F.collect_list("accession")), ";").alias("accessions"))
-    wide = split.join(labels, key, "left").join(features, key, "left").join(counts, key, "left").join(accs, key, "left")
-    return wide.na.fill(0, ["bridge_n_chains", "bridge_n_ok", "bridge_n_strict"]).na.fill("", ["accessions"]).withColumn(
+    wide = split.join(labels, key, "left").join(features, key, "left").join(counts, key, "left").join(head, key, "left").join(whole, key, "left")
+    return wide.na.fill(0, ["bridge_n_chains", "bridge_n_ok", "bridge_n_strict", "n_accessions", "accession_sum"]).na.fill("", ["accessions"]).withColumn(
         "usable", F.coalesce((F.col("feature_status") == "OK") & F.col("n_positive").isNotNull(), F.lit(False)))
 
 

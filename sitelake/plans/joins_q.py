@@ -284,11 +284,12 @@ WITH {COVERAGE_SQL},
 bridge AS (SELECT l_orderkey AS complex, CASE WHEN l_returnflag = 'N' THEN 'FAIL' ELSE 'OK' END AS status, l_discount >= 0.05 AS strict,
   CAST(l_suppkey AS VARCHAR) AS accession FROM lineitem),
 b AS (SELECT complex, count(*) AS n, sum((status = 'OK')::INT)::BIGINT AS ok, sum(strict::INT)::BIGINT AS st,
-  array_to_string(list_sort(list_distinct(list(accession) FILTER (status = 'OK'))), ';') AS accs FROM bridge GROUP BY complex)
+  array_to_string(list_sort(list_distinct(list(accession) FILTER (status = 'OK'))), ';') AS accs FROM bridge GROUP BY complex),
+s AS (SELECT complex, count(*) AS n_acc, sum(('0x' || substr(md5(accession), 1, 8))::BIGINT)::BIGINT AS acc_sum FROM (SELECT DISTINCT complex, accession FROM bridge WHERE status = 'OK') GROUP BY complex)
 SELECT o_orderkey AS complex, o_orderstatus AS split, n_residues, n_positive::BIGINT AS n_positive,
   CASE WHEN o_totalprice > 100000 THEN 'OK' ELSE 'SKIP' END AS feature_status, coalesce(n, 0) AS bridge_n_chains, coalesce(ok, 0) AS bridge_n_ok,
-  coalesce(st, 0) AS bridge_n_strict, coalesce(accs, '') AS accessions, o_totalprice > 100000 AND n_positive IS NOT NULL AS usable
-FROM orders LEFT JOIN cov ON cov.complex = o_orderkey LEFT JOIN b ON b.complex = o_orderkey""")
+  coalesce(st, 0) AS bridge_n_strict, coalesce(accs, '') AS accessions, coalesce(n_acc, 0) AS n_accessions, coalesce(acc_sum, 0) AS accession_sum, o_totalprice > 100000 AND n_positive IS NOT NULL AS usable
+FROM orders LEFT JOIN cov ON cov.complex = o_orderkey LEFT JOIN b ON b.complex = o_orderkey LEFT JOIN s ON s.complex = o_orderkey""")
 def _(spark, sf):
     orders = fx.table(spark, sf, "orders")
     split = orders.select(F.col("o_orderkey").alias("complex"), F.col("o_orderstatus").alias("split"))

@@ -319,6 +319,22 @@ def _(spark, sf):
     return status_summary(back, "status", example="complex").withColumn("examples", F.array_join(F.col("examples").cast("array<string>"), ";"))
 
 
+@query("s15_manifest_errors", f"""
+WITH {COVERAGE_SQL}, m AS (SELECT complex, CASE WHEN coverage = 0 THEN 'ERROR' WHEN coverage < 0.5 THEN 'SKIP' ELSE 'OK' END AS status,
+  CASE WHEN coverage = 0 THEN concat('no residue of ', complex) WHEN coverage < 0.5 AND complex % 7 = 0 THEN 'low' END AS error FROM cov),
+e AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY complex) AS rn FROM m WHERE error IS NOT NULL)
+SELECT status, count(*) AS n, count(error) AS n_errors, any_value(examples) AS examples, any_value(errors) AS errors
+FROM m LEFT JOIN (SELECT status, string_agg(complex, ';' ORDER BY complex) AS examples, string_agg(error, ';' ORDER BY complex) AS errors FROM e WHERE rn <= 20 GROUP BY status) USING (status) GROUP BY status""")
+def _(spark, sf):
+    status = F.when(F.col("coverage") == 0, "ERROR").when(F.col("coverage") < 0.5, "SKIP").otherwise("OK")
+    error = F.when(F.col("coverage") == 0, F.concat(F.lit("no residue of "), "complex")).when((F.col("coverage") < 0.5) & (F.col("complex") % 7 == 0), "low")
+    path = folder(spark, "manifest")
+    rows = complex_labels(spark, sf).select("complex", status.alias("status"), error.alias("error"))
+    K.write_manifest(rows.where("complex % 2 = 0"), path, "complex")
+    out = K.write_manifest(rows, path, "complex")  # takes the place of the first
+    return out.withColumns({"examples": F.array_join(F.col("examples").cast("array<string>"), ";"), "errors": F.array_join("errors", ";")})
+
+
 @query("s16_metric_views", f"""WITH {QC_SQL}
 SELECT prot, chain, concat(prot, '_', chain) AS prot_mark, nchain FROM qc""")
 def _(spark, sf):

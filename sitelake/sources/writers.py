@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitelake.core import require_empty, running_totals
+from sitelake.core import DataContractError, durable, require_empty, running_totals
 from sitelake.operators.metrics import status_summary
 
 
@@ -49,10 +51,46 @@ def check_packed(packed: DataFrame) -> None:
     require_empty(loose, "packed offsets are not a running sum")
 
 
-def write_manifest(df: DataFrame, path: str, key: str, status: str = "status", error: str = "error") -> DataFrame:
-    """Write rows sorted by key (the committer makes it atomic) and return counts per status with the first 20 erring keys."""
-    df.orderBy(key).write.option("header", True).csv(path)
-    return status_summary(df, status, example=key)
+def write_manifest(df: DataFrame, path: str, key: str, status: str = "status", error: str = "error", n_examples: int = 20) -> DataFrame:
+    """Publish rows sorted by key and return counts per status, with examples.
+
+    The rows are written next to ``path`` and read back; only when all of them are
+    there does the folder take its name. A failing write leaves an older manifest
+    as it was. With a column ``error``, the examples are the first ``n_examples``
+    keys whose ``error`` is given, with its text (``errors``); else the first keys.
+    """
+    spark = df.sparkSession
+    # The store's own client renames; both names are in one folder, so it is one step there.
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    tag = uuid.uuid4().hex
+    staged, old = (jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{target.getName()}-{kind}-{tag}") for kind in ("staged", "old"))
+    fixed = durable(df, "manifest")
+    try:
+        fixed.orderBy(key).write.option("header", True).csv(staged.toString())
+        wanted, there = fixed.count(), spark.read.schema(fixed.schema).option("header", True).csv(staged.toString()).count()
+        if wanted != there:
+            raise DataContractError(f"{there} of {wanted} manifest rows were written")
+        had = store.exists(target)
+        if had and not store.rename(target, old):
+            raise DataContractError(f"{path} could not be moved aside")
+        if not store.rename(staged, target):
+            if had:
+                store.rename(old, target)
+            raise DataContractError(f"{path} could not be published")
+        if had:
+            store.delete(old, True)
+    finally:
+        store.delete(staged, True)
+    if error not in df.columns:
+        return status_summary(fixed, status, example=key, n_examples=n_examples)
+    erring = fixed.where(F.col(error).isNotNull() & (F.col(error) != ""))
+    first = Window.partitionBy(status).orderBy(key)
+    top = erring.select(status, key, error).withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= n_examples)
+    shown = F.sort_array(F.collect_list(F.struct("__rn", F.col(key).alias("k"), F.col(error).alias("e"))))
+    found = top.groupBy(status).agg(F.count("*").alias("n_shown"), shown.alias("s")).select(status, F.col("s.k").alias("examples"), F.col("s.e").alias("errors"))
+    return fixed.groupBy(status).agg(F.count("*").alias("n"), F.count_if(F.col(error).isNotNull() & (F.col(error) != "")).alias("n_errors")).join(found, status, "left")
 
 
 # Columns of the eight per-metric tables.

@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitelake.core import DataContractError
+from sitelake.functions import text as T
+from sitelake.operators import joins as J
 from sitelake.sources import readers as S
+from sitelake.sources import writers as K
 from sitelake.sources.lines import read_lines, with_running_counts
 
 
@@ -116,3 +119,50 @@ def test_checksums_in_pieces(spark, tmp_path):
     assert [tuple(r) for r in S.file_checksums(spark, str(big)).collect()] == [("sparse", size, total.hexdigest())]
     (tmp_path / "none").mkdir()
     assert S.file_checksums(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_manifest_is_published_whole_or_not_at_all(spark, tmp_path):
+    """A failing write leaves the older manifest; examples are those of rows with an error."""
+    path = f"{tmp_path}/manifest"
+    rows = [(i, "BAD" if i % 3 == 0 else "OK", f"e{i}" if i % 6 == 0 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, status string, error string")
+    K.write_manifest(df.where("id < 10"), path, "id")
+    failing = df.withColumn("id", F.when(F.col("id") == 150, F.raise_error("stop")).otherwise(F.col("id")).cast("int"))
+    with pytest.raises(Exception, match="stop"):
+        K.write_manifest(failing, path, "id")
+    read = lambda: [r.id for r in spark.read.option("header", True).schema(df.schema).csv(path).collect()]
+    assert sorted(read()) == list(range(10))
+    got = {r.status: r for r in K.write_manifest(df, path, "id").collect()}
+    assert read() == list(range(200)) and [f.name for f in tmp_path.iterdir() if not f.name.startswith(".")] == ["manifest"]
+    assert (got["BAD"].n, got["BAD"].n_errors, got["BAD"].examples, got["BAD"].errors) == (67, 34, list(range(0, 120, 6)), [f"e{i}" for i in range(0, 120, 6)])
+    assert (got["OK"].n, got["OK"].n_errors, got["OK"].examples) == (133, 0, None)
+
+
+def test_nearest_occurrence_is_that_of_all_occurrences(spark):
+    rows = [("aa", "aaaa", w) for w in range(5)] + [("a.b", "xa.ba.b", w) for w in range(7)] + [("z", "abc", 1), ("ab", "ab" * 20_000, 20_001), (r"\E", r"x\Ey\E", 3)]
+    df = spark.createDataFrame(rows, "q string, t string, w int")
+    for r in df.withColumn("got", T.nearest_occurrence("t", "q", F.col("w"))).collect():
+        starts = [i + 1 for i in range(len(r.t)) if r.t.startswith(r.q, i)]
+        assert r.got == min(starts, key=lambda s: (abs(s - 1 - r.w), s), default=None), (r.q, r.w)
+
+
+def test_aligned_scores_come_from_one_join(spark):
+    a = spark.createDataFrame([("c", i, i % 2, i / 10) for i in range(10)], "chain string, position int, label int, score double")
+    out = J.align_scores([a, a.withColumn("score", F.col("score") * 2), a])
+    assert out.columns == ["chain", "position", "label", "score_0", "score_1", "score_2"]
+    assert "Join" not in out._jdf.queryExecution().toString()
+    assert sorted((r.position, r.score_0, r.score_1) for r in out.collect()) == [(i, i / 10, i / 5) for i in range(10)]
+    for wrong in (a.where("position <> 3"), a.withColumn("label", F.when(F.col("position") == 2, 5).otherwise(F.col("label")))):
+        with pytest.raises(DataContractError, match="not aligned"):
+            J.align_scores([a, wrong])
+
+
+def test_release_lists_are_bounded(spark):
+    bridge = spark.createDataFrame([("c", "OK", True, f"P{i:03}") for i in range(300)] * 2 + [("d", "FAIL", False, "X")], "complex string, status string, strict boolean, accession string")
+    keys = spark.createDataFrame([("c", "train"), ("d", "val")], "complex string, split string")
+    labels = keys.select("complex", F.lit(3).alias("n_positive"))
+    rows = {r.complex: r for r in J.release_table(keys, labels, keys.select("complex", F.lit("OK").alias("feature_status")), bridge, listed=5).collect()}
+    assert (rows["c"].accessions, rows["c"].n_accessions, rows["c"].bridge_n_chains) == ("P000;P001;P002;P003;P004", 300, 600)
+    assert rows["c"].accession_sum == sum(int(hashlib.md5(f"P{i:03}".encode()).hexdigest()[:8], 16) for i in range(300))
+    assert (rows["d"].accessions, rows["d"].n_accessions, rows["d"].usable) == ("", 0, True)
+    assert J.release_accessions(bridge).count() == 300
