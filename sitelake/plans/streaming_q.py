@@ -21,14 +21,14 @@ def arriving(spark, df, name):
 @query("t01_streaming_confusion", f"WITH {fx.LONG_BASE_SQL} {COUNTS_05}")
 def _(spark, sf):
     stream = arriving(spark, long_base(spark, sf).select("method", "label", "score"), "stream-scores")
-    return T.drain(spark, T.streaming_confusion(stream), folder(spark, "stream-out"), folder(spark, "stream-state"))
+    return T.drain(spark, T.streaming_confusion(stream), folder(spark, "stream-out"), folder(spark, "stream-state"), ["method"])
 
 
 @query("t02_streaming_stats", """
 SELECT event_type, count(value) AS value_n, round(avg(value), 6) AS value_mean, round(coalesce(var_samp(value), 0), 4) AS value_var, min(value) AS value_min, max(value) AS value_max FROM events GROUP BY event_type""")
 def _(spark, sf):
     stream = arriving(spark, fx.table(spark, sf, "events").select("event_type", "value"), "stream-events")
-    out = T.drain(spark, T.streaming_stats(stream, ["value"], ["event_type"]), folder(spark, "stream-out"), folder(spark, "stream-state"))
+    out = T.drain(spark, T.streaming_stats(stream, ["value"], ["event_type"]), folder(spark, "stream-out"), folder(spark, "stream-state"), ["event_type"])
     return round_all(out.withColumn("value_var", F.round("value_var", 4)))
 
 
@@ -36,4 +36,4 @@ def _(spark, sf):
 WITH {fx.RUNS_SQL} SELECT run, min(epoch) FILTER (metric = top) AS best_epoch, max(metric) AS best_value, max(epoch) AS last_epoch FROM (SELECT *, max(metric) OVER (PARTITION BY run) AS top FROM runs) GROUP BY run""")
 def _(spark, sf):
     stream = arriving(spark, fx.runs(spark, sf).select("run", "epoch", "metric"), "stream-runs")
-    return T.drain(spark, T.streaming_best_epoch(stream, "metric"), folder(spark, "stream-out"), folder(spark, "stream-state"))
+    return T.drain(spark, T.streaming_best_epoch(stream, "metric"), folder(spark, "stream-out"), folder(spark, "stream-state"), ["run"])

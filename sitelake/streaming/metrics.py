@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sitelake.operators.metrics import confusion, finite
 
@@ -35,20 +36,34 @@ def streaming_best_epoch(stream: DataFrame, metric: str, run: str = "run", epoch
         run, (-F.col("b.e")).alias("best_epoch"), F.col("b.m").alias("best_value"), "last_epoch")
 
 
-def drain(spark: SparkSession, result: DataFrame, path: str, checkpoint: str) -> DataFrame:
+def late_tolerant(stream: DataFrame, time: str, delay: str, keys: Sequence[str]) -> DataFrame:
+    """Rows of a log that come at most ``delay`` behind the newest event time, each key once.
+
+    A run that is started again writes its epochs again; within the delay only the
+    first row of a key counts. State for older keys is dropped, so it stays bounded
+    however long the log grows. A batch table is deduplicated as a whole.
+    """
+    if not stream.isStreaming:
+        return stream.dropDuplicates(list(keys))
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def drain(spark: SparkSession, result: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ("method",)) -> DataFrame:
     """Run a streaming aggregate over everything available now and return its final table.
 
-    Each micro-batch writes the complete result under its batch number in the
-    shared folder; the newest one is read back. A restart on the same checkpoint
-    without new input returns the table of the run before.
+    Each micro-batch writes the rows of the ``keys`` that it has changed under its
+    batch number in the shared folder; the newest row of each key is read back. A
+    batch that runs again after a failure writes its own folder again. A restart on
+    the same checkpoint without new input returns the table of the run before.
     """
+    keys = list(keys)
+    rest = [c for c in result.columns if c not in keys]
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    q = result.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = result.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    # Only the newest folder is read: the number is a partition column.
-    every = spark.read.parquet(path)
-    newest = every.agg(F.max("batch")).first()[0]
-    return every.where(F.col("batch") == newest).drop("batch")
+    changes = spark.read.schema(StructType([*result.schema.fields, StructField("batch", LongType())])).parquet(path)
+    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return newest.select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in result.columns])
