@@ -344,6 +344,29 @@ def _(spark, sf):
     return K.read_metric_view(spark, path, "nchain", "prot long, chain long, prot_mark string, nchain long")
 
 
+@query("s16_all_views", f"""WITH {QC_SQL}, v AS (SELECT *, concat(prot, '_', chain) AS prot_mark FROM qc)
+SELECT 'nchain' AS view, prot_mark, CAST(nchain AS VARCHAR) AS value FROM v UNION ALL SELECT 'head', prot_mark, head FROM v
+UNION ALL SELECT 'mthm', prot_mark, CAST(mthm AS VARCHAR) FROM v UNION ALL SELECT 'seq', prot_mark, concat(seq, '/', length(seq)) FROM v
+UNION ALL SELECT 'desc', prot_mark, concat('d', chain) FROM v UNION ALL SELECT 'met', prot_mark, CASE WHEN chain % 2 = 0 THEN 'em' ELSE 'xray' END FROM v
+UNION ALL SELECT 'bio_name', prot_mark, concat('b', prot) FROM v UNION ALL SELECT 'rez', prot_mark, CAST(round(rez * 1000) AS BIGINT)::VARCHAR FROM v""")
+def _(spark, sf):
+    """All eight tables read back."""
+    df = qc_table(spark, sf).withColumns({
+        "prot_mark": F.concat_ws("_", "prot", "chain"), "len_seq": F.length("seq"), "desc": F.concat(F.lit("d"), "chain"),
+        "met": F.when(F.col("chain") % 2 == 0, "em").otherwise("xray"), "bio_name": F.concat(F.lit("b"), "prot")})
+    path = folder(spark, "metrics")
+    names = K.write_metric_views(df, path)
+    out = None
+    for name in names:
+        values = K.METRIC_VIEWS[name][3:]
+        kinds = {"rez": "double", "nchain": "long", "mthm": "long", "len_seq": "int"}
+        back = K.read_metric_view(spark, path, name, ", ".join(f"{c} {kinds.get(c, 'string')}" for c in ["prot", "chain", "prot_mark", *values]))
+        value = F.round(F.col("rez") * 1000).cast("long").cast("string") if name == "rez" else F.col(values[0]).cast("string") if len(values) == 1 else F.concat_ws("/", *values)
+        part = back.select(F.lit(name).alias("view"), "prot_mark", value.alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("s17_file_checksums")
 def _(spark, sf):
     return S.file_checksums(spark, sf)

@@ -249,20 +249,34 @@ def role_sql(table, backbone, p):
 BONDS = ["donors", "acceptors", "mean_dist", "std_dist", "strong", "weak", "partners", "connectivity"]
 
 
-@query("x18_bond_features", f"""
+def bond_sql(pairs):
+    return f"""
 WITH {fx.ATOMS_SQL}, s AS (SELECT complex, pid, atom, aa, x / 4 AS x, y / 4 AS y, z / 4 AS z FROM atoms),
-q AS (SELECT a.pid, {role_sql(X.BOND_DONORS, 'N', 'a.')} AS adon, {role_sql(X.BOND_ACCEPTORS, 'O', 'a.')} AS aacc,
+q AS (SELECT a.pid, b.pid AS other, {role_sql(X.BOND_DONORS, 'N', 'a.')} AS adon, {role_sql(X.BOND_ACCEPTORS, 'O', 'a.')} AS aacc,
   {role_sql(X.BOND_DONORS, 'N', 'b.')} AS bdon, {role_sql(X.BOND_ACCEPTORS, 'O', 'b.')} AS bacc,
   sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM s a JOIN s b ON a.complex = b.complex),
 g AS (SELECT pid, count(*) FILTER (adon AND bacc) AS nd, count(*) FILTER (aacc AND bdon) AS na, avg(d) FILTER (adon AND bacc) AS m,
   stddev_pop(d) FILTER (adon AND bacc) AS sd, count(*) FILTER (adon AND bacc AND d < 3) AS st, count(*) FILTER (adon AND bacc AND d > 3.5) AS wk
-  FROM q WHERE d > 2.5 AND d < 4 GROUP BY pid)
+  FROM q WHERE d > 2.5 AND d < 4 AND {pairs} GROUP BY pid)
 SELECT p.complex, p.pid, least(1, coalesce(nd, 0) / 4.0::DOUBLE) AS donors, least(1, coalesce(na, 0) / 4.0::DOUBLE) AS acceptors, round(coalesce(m, 0) / 4, 6) AS mean_dist,
   round(coalesce(sd, 0) / 4, 6) AS std_dist, (coalesce(st, 0) > 0)::DOUBLE AS strong, (coalesce(wk, 0) > 0)::DOUBLE AS weak, least(1, coalesce(nd, 0) / 4.0::DOUBLE) AS partners,
-  least(1, (coalesce(nd, 0) + coalesce(na, 0)) / 8.0::DOUBLE) AS connectivity FROM (SELECT DISTINCT complex, pid FROM atoms) p LEFT JOIN g USING (pid)""")
-def _(spark, sf):
+  least(1, (coalesce(nd, 0) + coalesce(na, 0)) / 8.0::DOUBLE) AS connectivity FROM (SELECT DISTINCT complex, pid FROM atoms) p LEFT JOIN g USING (pid)"""
+
+
+def bonds(spark, sf, exclude_self):
     atoms = fx.atoms(spark, sf).withColumns({c: F.col(c) / 4 for c in "xyz"})
-    return per_point(spark, sf, X.bond_features(atoms, ["complex", "pid"]), BONDS)
+    return per_point(spark, sf, X.bond_features(atoms, ["complex", "pid"], exclude_self=exclude_self), BONDS)
+
+
+@query("x18_bond_features", bond_sql("true"))
+def _(spark, sf):
+    return bonds(spark, sf, False)
+
+
+@query("x18_without_self", bond_sql("pid <> other"))
+def _(spark, sf):
+    """Pairs inside a residue taken off."""
+    return bonds(spark, sf, True)
 
 
 @query("x19_anisotropy")

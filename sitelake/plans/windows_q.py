@@ -73,22 +73,46 @@ def _(spark, sf):
 FACTOR_SQL = "fac(aa, f1, f2, f3, f4, f5) AS (VALUES " + ", ".join(f"('{a}', {', '.join(f'{x!r}::DOUBLE' for x in v)})" for a, v in P.FACTORS.items()) + ")"
 
 
-@query("f15_subst_features", f"""
+SUBST_SQL = f"""
 WITH {fx.RESIDUES_SQL}, {TABLE_SQL}, {FACTOR_SQL},
 m AS (SELECT a.aa, {', '.join(f"max(CASE WHEN b.aa = '{l}' THEN 11.0::DOUBLE - abs(a.hydropathy - b.hydropathy) END) AS s{i}" for i, l in enumerate(P.LETTERS))}
   FROM tab a, tab b GROUP BY a.aa)
 SELECT r.aa, count(*) AS n, {', '.join(f'round(avg(coalesce(s{i}, 0) / 11), 6) + 0.0 AS s{i}' for i in range(20))},
   {', '.join(f'round(avg(coalesce(f{i}, 0) / 5), 6) + 0.0 AS f{i}' for i in range(1, 6))}
-FROM residues r LEFT JOIN m ON r.aa = m.aa LEFT JOIN fac ON r.aa = fac.aa GROUP BY r.aa""")
-def _(spark, sf):
-    rows = [(a, [11.0 - abs(P.field("hydropathy")[a] - P.field("hydropathy")[b]) for b in P.LETTERS]) for a in P.LETTERS]
-    matrix = spark.createDataFrame(rows, "aa string, row array<double>")
+FROM residues r LEFT JOIN m ON r.aa = m.aa LEFT JOIN fac ON r.aa = fac.aa GROUP BY r.aa"""
+
+
+def subst_means(spark, sf, matrix):
     feats = P.subst_features(fx.residues(spark, sf).select("aa"), matrix)
     return feats.groupBy("aa").agg(
         F.count("*").alias("n"), *[R(F.avg(F.col("substitution")[i])).alias(f"s{i}") for i in range(20)],
         *[R(F.avg(F.col("factors")[i])).alias(f"f{i + 1}") for i in range(5)])
 
 
+def likeness_rows():
+    h = P.field("hydropathy")
+    return [(a, [11.0 - abs(h[a] - h[b]) for b in P.LETTERS]) for a in P.LETTERS]
+
+
+@query("f15_subst_features", SUBST_SQL)
+def _(spark, sf):
+    return subst_means(spark, sf, spark.createDataFrame(likeness_rows(), "aa string, row array<double>"))
+
+
+@query("f15_matrix_from_text", SUBST_SQL)
+def _(spark, sf):
+    """The same matrix read from its text form, with comments and its letters in another order."""
+    from sitelake.plans.sources_q import folder
+    from sitelake.sources.readers import read_substitution_matrix
+
+    order = P.LETTERS[::-1] + "X"
+    line = lambda a, row: " ".join([a, *[f"{dict(zip(P.LETTERS, row)).get(b, -4):.1f}" for b in order]])
+    text = "\n".join(["# made for this query", "  " + " ".join(order), *[line(a, row) for a, row in likeness_rows()], "X " + "-4 " * len(order)])
+    path = folder(spark, "matrix")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return subst_means(spark, sf, read_substitution_matrix(spark, path))
+
+
 ENC = [f"{s}_pos_{t}{f}" for s in ("protein", "chain") for f in (1, 2, 4, 8) for t in ("sin", "cos")]
 
 
