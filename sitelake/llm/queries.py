@@ -86,11 +86,11 @@ def _attribute_sql(tag: str, name: str) -> str:
     return "(" + " || ".join(f"regexp_extract({tag}, '{pattern}', {g})" for g in (1, 2, 3)) + ")"
 
 
-def _value_sql(tag: str, name: str) -> str:
-    """An attribute with its character references read."""
+def _value_sql(value: str) -> str:
+    """An attribute's value with its character references read."""
     code = lambda number: f"case when {number} between 1 and 1114111 and {number} not between 55296 and 57343 then chr(({number})::int) else p end"
     return f"""trim(coalesce(array_to_string(list_transform(
-      regexp_extract_all({_attribute_sql(tag, name)}, '(?s)&#[0-9]{{1,7}};|&#[xX][0-9A-Fa-f]{{1,6}};|&[a-z]{{2,4}};|[^&]+|&'), lambda p:
+      regexp_extract_all({value}, '(?s)&#[0-9]{{1,7}};|&#[xX][0-9A-Fa-f]{{1,6}};|&[a-z]{{2,4}};|[^&]+|&'), lambda p:
       case when regexp_matches(p, '^&#[0-9]') then {code("regexp_extract(p, '([0-9]+)', 1)::bigint")}
         when regexp_matches(p, '^&#[xX]') then {code("('0x' || regexp_extract(p, '[xX]([0-9A-Fa-f]+)', 1))::bigint")}
         when p = '&amp;' then '&' when p = '&quot;' then '"' when p = '&lt;' then '<' when p = '&gt;' then '>' else p end), ''), ''))"""
@@ -126,16 +126,17 @@ with recursive parts as (
 tagged as (
   select url, regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta|base)\b[^>]*>') as tags from pages where url is not null),
 based as (
-  select url, tags, list_filter(list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<base')), lambda t: {_value_sql("t", "href")}), lambda h: h <> '')[1] as base_href
+  select url, tags, list_filter(list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<base')), lambda t: {_attribute_sql("t", "href")}), lambda h: trim(h) <> '')[1] as base_value
   from tagged where len(tags) > 0),
-{_resolved_sql("base_href", "url", "base_url", "url, tags", "based")}
+read as (select url, tags, case when base_value is not null then {_value_sql("base_value")} end as base_href from based),
+{_resolved_sql("base_href", "url", "base_url", "url, tags", "read")}
 tags as (
   select url, coalesce(base_url, url) as base, unnest(tags) as tag from base_url_step),
 targets as (
   select url, base, case
-    when regexp_matches(tag, '(?i)^<link') and list_contains(regexp_split_to_array(lower({_attribute_sql("tag", "rel")}), '\s+'), 'canonical') then {_value_sql("tag", "href")}
+    when regexp_matches(tag, '(?i)^<link') and list_contains(regexp_split_to_array(lower({_attribute_sql("tag", "rel")}), '\s+'), 'canonical') then {_value_sql(_attribute_sql("tag", "href"))}
     when regexp_matches(tag, '(?i)^<meta') and lower(trim({_attribute_sql("tag", "http-equiv")})) = 'refresh' then
-      regexp_extract({_value_sql("tag", "content")}, '(?is)\burl\s*=\s*["'']?([^"''\s]*)', 1) end as t from tags),
+      regexp_extract({_value_sql(_attribute_sql("tag", "content"))}, '(?is)\burl\s*=\s*["'']?([^"''\s]*)', 1) end as t from tags),
 stated as (select * from targets where t <> ''),
 {_resolved_sql("t", "base", "to_url", "url", "stated")}
 absolute as (select * from to_url_step),

@@ -114,20 +114,20 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     ``//host``, ``/path``, ``?query`` and relative ones, without ``.`` and ``..``.
     """
     tags = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?is)<(?:link|meta|base)\b[^>]*>"""), F.lit(0))
+    bases = F.filter(F.transform(F.filter("tags", lambda t: t.rlike("(?i)^<base")), lambda t: _attribute(t, "href")), lambda h: F.trim(h) != "")
     found = pages.select(F.col(url).alias("from_url"), tags.alias("tags")).where("from_url is not null and size(tags) > 0")
-    bases = F.transform(F.filter("tags", lambda t: t.rlike("(?i)^<base")), lambda t: F.trim(unescape(_attribute(t, "href"))))
-    found = found.withColumn("bases", F.filter(bases, lambda h: h != "")).withColumn("base_href", F.try_element_at("bases", F.lit(1)))
-    found = resolved(found, "base_href", "from_url", "base_url").select("from_url", F.coalesce("base_url", "from_url").alias("base"), F.explode("tags").alias("tag"))
+    found = found.select("from_url", F.try_element_at(bases, F.lit(1)).alias("base"), F.explode("tags").alias("tag"))
     words = F.split(F.lower(_attribute(F.col("tag"), "rel")), r"\s+")
     canonical = F.col("tag").rlike("(?i)^<link") & F.array_contains(words, "canonical")
     refresh = F.col("tag").rlike("(?i)^<meta") & (F.lower(F.trim(_attribute(F.col("tag"), "http-equiv"))) == "refresh")
     value = F.when(canonical, _attribute(F.col("tag"), "href")).when(refresh, _attribute(F.col("tag"), "content"))
-    # A row per stated link; written, as few of many tags are left.
-    found = durable(found.select("from_url", "base", canonical.alias("canonical"), value.alias("value")).where("value <> ''"), "links")
-    found = found.withColumn("v", F.trim(unescape(F.col("value"))))
-    stated = F.regexp_extract("v", r"""(?is)\burl\s*=\s*["']?([^"'\s]*)""", 1)
-    found = found.withColumn("t", F.when(F.col("canonical"), F.col("v")).otherwise(stated)).where("t <> ''")
-    return resolved(found, "t", "base", "to_url").select("from_url", "to_url")
+    # A row per stated link, written after every step: in one plan the steps would multiply each other's expressions.
+    found = durable(found.select("from_url", "base", canonical.alias("canonical"), value.alias("value")).where("value <> ''"), "stated")
+    found = durable(found.select("from_url", "canonical", *[F.trim(unescape(F.col(c))).alias(c) for c in ("base", "value")]), "read")
+    found = durable(resolved(found, "base", "from_url", "base_url").select("from_url", "canonical", "value", F.coalesce("base_url", "from_url").alias("base")), "based")
+    stated = F.regexp_extract("value", r"""(?is)\burl\s*=\s*["']?([^"'\s]*)""", 1)
+    found = found.select("from_url", "base", F.when(F.col("canonical"), F.col("value")).otherwise(stated).alias("t")).where("t <> ''")
+    return durable(resolved(found, "t", "base", "to_url").select("from_url", "to_url"), "links")
 
 
 def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
