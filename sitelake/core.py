@@ -119,7 +119,9 @@ def exact_quantile(df: DataFrame, col: str, q: float, by: Sequence[str] = (), ou
     cum = running_totals(counts, by=by, order=[col], sums={"__cum": "__n"})
     sizes = counts.groupBy(*by).agg(F.sum("__n").alias("__size"))
     at = (F.col("__size") - 1) * F.lit(q)
-    both = cum.join(sizes, by) if by else cum.join(sizes, F.col("__cum") <= F.col("__size"))
+    # Without groups the one size is joined on a constant.
+    keys = by or ["__one"]
+    both = cum.join(sizes, by) if by else cum.withColumn("__one", F.lit(1)).join(sizes.withColumn("__one", F.lit(1)), keys)
     ends = both.groupBy(*by).agg(
         F.min(F.when(F.col("__cum") > F.floor(at), F.col(col))).cast("double").alias("__lo"),
         F.min(F.when(F.col("__cum") > F.ceil(at), F.col(col))).cast("double").alias("__hi"),

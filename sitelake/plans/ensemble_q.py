@@ -186,3 +186,10 @@ def _(spark, sf):
 def _(spark, sf):
     manifest = fx.table(spark, sf, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("run"))
     return E.curated(fx.runs(spark, sf).withColumn("scope", F.lit("all")), manifest, guards=["scope"]).select("run", "epoch", "metric")
+
+
+@query("e10_curated_guarded", f"WITH {fx.RUNS_SQL} SELECT run, epoch, metric FROM runs WHERE event = 'purchase' AND run IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def _(spark, sf):
+    """The guard is the event of the rows themselves."""
+    manifest = fx.table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("run"))
+    return E.curated(fx.runs(spark, sf).where("event = 'purchase'"), manifest, guards=["event"]).select("run", "epoch", "metric")

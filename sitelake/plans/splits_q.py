@@ -79,6 +79,19 @@ def _(spark, sf):
     return D.audit_split(m, ["o_custkey", "o_orderpriority"], man).withColumn("examples", F.array_join("examples", ";"))
 
 
+@query("d05_shared_resources", """
+WITH m AS (SELECT o_orderkey AS id, o_orderstatus AS split FROM orders), r AS (SELECT DISTINCT l_orderkey AS id, concat('/part/', l_partkey) AS path FROM lineitem),
+bad AS (SELECT path AS k FROM r JOIN m USING (id) GROUP BY path HAVING min(split) <> max(split)),
+c AS (SELECT count(*) AS n, (SELECT string_agg(k, ';' ORDER BY k) FROM (SELECT k FROM bad ORDER BY k LIMIT 20)) AS examples FROM bad)
+SELECT 'shared_resource' AS "check", n, examples, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM c
+UNION ALL SELECT d, 0, NULL, 'PASS' FROM (VALUES ('duplicate_ids'), ('missing_in_manifest'), ('split_disagreement')) v(d)""")
+def _(spark, sf):
+    """Parts that orders of several splits use."""
+    m = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("split"))
+    files = fx.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("/part/"), F.col("l_partkey").cast("string")).alias("path")).distinct()
+    return D.audit_split(m, [], m, files).withColumn("examples", F.array_join("examples", ";"))
+
+
 @query("d06_audit_pairs", f"""
 WITH {HITS_SQL}, t AS (SELECT hits.*, q.split AS qs, t.split AS ts FROM hits LEFT JOIN member q ON query = q.id LEFT JOIN member t ON target = t.id WHERE pident >= 0.3),
 o AS (SELECT CASE WHEN qs IS NULL OR ts IS NULL THEN 'missing' WHEN qs = ts THEN 'same' ELSE concat(least(qs, ts), '__', greatest(qs, ts)) END AS outcome, pident FROM t)

@@ -310,6 +310,15 @@ def _(spark, sf):
     return W.best_epoch(fx.runs(spark, sf), "metric", event="event")
 
 
+@query("w12_finished_runs", f"""
+WITH {fx.RUNS_SQL}, r AS (SELECT run, epoch, metric, event = 'error' AS ended, max(metric) OVER (PARTITION BY run) AS top FROM runs)
+SELECT run, min(epoch) FILTER (metric = top) AS best_epoch, max(metric) AS best_value, max(epoch) AS last_epoch, bool_or(ended) AS done FROM r GROUP BY run""")
+def _(spark, sf):
+    """Runs with an error event count as done."""
+    runs = fx.runs(spark, sf).withColumn("event", F.when(F.col("event") == "error", "done").otherwise(F.col("event")))
+    return W.best_epoch(runs, "metric", event="event")
+
+
 FRENET = ["tx", "ty", "tz", "nx", "ny", "nz", "bx", "by", "bz", "curvature", "torsion"]
 FRENET_SQL = f"""
 p AS (SELECT complex, pos, x, y, z, count(*) OVER (PARTITION BY complex) AS n FROM placed QUALIFY n >= 4),
