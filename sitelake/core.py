@@ -46,7 +46,23 @@ def durable(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sitelake/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``durable`` wrote for ``df``, once nothing will read it again.
+
+    Loops use it for the round before, when the next one has been written: from then
+    on a lost executor is answered by the newer table.
+    """
+    path = getattr(df, "_written_to", None)
+    if path is None:
+        raise DataContractError("only the result of durable can be discarded")
+    jvm = df.sparkSession.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def require_columns(df: DataFrame, names: Iterable[str], what: str = "table") -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelake.core import DataContractError, durable, ratio, running_totals
+from sitelake.core import DataContractError, discard, durable, ratio, running_totals
 
 
 def shared_cluster_links(members: DataFrame, item: str = "complex", cluster: str = "cluster") -> DataFrame:
@@ -35,13 +35,15 @@ def connected_components(nodes: DataFrame, links: DataFrame, node: str = "comple
 
     Alternates large-star and small-star contraction, which needs a logarithmic
     number of rounds whatever the diameter. Each round is written to the shared
-    folder, so plans stay short and a lost executor costs one round at most.
+    folder, so plans stay short and a lost executor costs one round at most; the
+    round before is deleted then, so two tables are there at a time.
     Minima are combined map-side; AQE splits the joins on hot nodes.
     """
     e = durable(links.select(F.col("u"), F.col("v")).where("u <> v").distinct(), "links")
     seen = None
     for _ in range(max_rounds):
-        e = durable(_small_star(_large_star(e)), "links")
+        before, e = e, durable(_small_star(_large_star(e)), "links")
+        discard(before)
         mark = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if tuple(mark) == seen:
             break

@@ -110,3 +110,23 @@ def test_structure_headers_of_all_customers_and_more_xml_files(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     root = shared_dir(spark).removeprefix("file:")
     assert max(len(glob.glob(f"{p}/part=*")) for p in glob.glob(f"{root}/sitelake/*/xml-*")) > 8
+
+
+def test_rounds_of_components_are_deleted(spark):
+    """A long chain takes many rounds; only the last table is left, and the result can still be read."""
+    import glob
+
+    from sitelake.core import discard, durable, shared_dir
+    from sitelake.operators import graph as G
+
+    root = shared_dir(spark).removeprefix("file:")
+    tables = lambda: set(glob.glob(f"{root}/sitelake/{spark.sparkContext.applicationId}/links-*"))
+    before = tables()
+    links = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    out = G.connected_components(spark.range(301).withColumnRenamed("id", "complex"), links)
+    assert len(tables() - before) == 1
+    assert {r.component for r in out.collect()} == {0}
+    kept = durable(links, "links")
+    discard(kept)
+    with pytest.raises(DataContractError):
+        discard(links)
