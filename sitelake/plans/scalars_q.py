@@ -43,8 +43,7 @@ def _(spark, sf):
 
 
 @query("f03_safe_token", """
-SELECT page_id, array_to_string(list_transform(string_split(url, ''), lambda c: CASE WHEN regexp_matches(c, '^[A-Za-z0-9_.\\-]$') THEN c ELSE concat('_', lower(hex(ord(c)))) END), '') AS token FROM pages""".replace(
-    "lower(hex(ord(c)))", "printf('%x', ord(c))"))
+SELECT page_id, array_to_string(list_transform(string_split(url, ''), lambda c: CASE WHEN regexp_matches(c, '^[A-Za-z0-9_.\\-]$') THEN c ELSE concat('_', printf('%x', ord(c))) END), '') AS token FROM pages""")
 def _(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", T.safe_token("url").alias("token"))
 
@@ -271,8 +270,7 @@ def _(spark, sf):
 
 
 @query("f28_infer_method", """
-SELECT doc_id, CASE WHEN lang <> 'en' THEN lang WHEN contains(lower(text), 'ent') THEN 'solution nmr' WHEN contains(lower(text), 'cryo-em') THEN 'electron microscopy' ELSE '' END AS method FROM documents""".replace(
-    "contains(lower(text), 'ent')", "contains(replace(lower(text), 'ing', 'nmr'), 'nmr')"))
+SELECT doc_id, CASE WHEN lang <> 'en' THEN lang WHEN contains(replace(lower(text), 'ing', 'nmr'), 'nmr') THEN 'solution nmr' WHEN contains(lower(text), 'cryo-em') THEN 'electron microscopy' ELSE '' END AS method FROM documents""")
 def _(spark, sf):
     docs = fx.table(spark, sf, "documents")
     title = F.replace(F.lower("text"), F.lit("ing"), F.lit("nmr"))

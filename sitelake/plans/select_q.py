@@ -65,8 +65,8 @@ def _(spark, sf):
 
 @query("k05_examples", """
 SELECT l_returnflag, array_to_string(list_sort(list(l_orderkey)), ';') AS examples FROM
- (SELECT DISTINCT l_returnflag, l_orderkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey) <= 50)
-GROUP BY l_returnflag""".replace("SELECT DISTINCT l_returnflag, l_orderkey FROM lineitem", "SELECT * FROM (SELECT DISTINCT l_returnflag, l_orderkey FROM lineitem)"))
+ (SELECT * FROM (SELECT DISTINCT l_returnflag, l_orderkey FROM lineitem) QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey) <= 50)
+GROUP BY l_returnflag""")
 def _(spark, sf):
     keys = fx.table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey").distinct()
     ex = M.examples(keys, ["l_returnflag"], "l_orderkey", 50)
@@ -114,10 +114,8 @@ def _(spark, sf):
 
 
 @query("u02_key_diff", """
-SELECT doc_id, 'missing' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-UNION ALL SELECT DISTINCT conv_id + 500, 'extra' FROM conversations WHERE conv_id + 500 NOT IN (SELECT doc_id FROM documents)""".replace(
-    "SELECT doc_id, 'missing' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "SELECT doc_id, 'missing' AS side FROM documents WHERE doc_id NOT IN (SELECT conv_id + 500 FROM conversations)"))
+SELECT doc_id, 'missing' AS side FROM documents WHERE doc_id NOT IN (SELECT conv_id + 500 FROM conversations)
+UNION ALL SELECT DISTINCT conv_id + 500, 'extra' FROM conversations WHERE conv_id + 500 NOT IN (SELECT doc_id FROM documents)""")
 def _(spark, sf):
     right = fx.table(spark, sf, "conversations").select((F.col("conv_id") + 500).alias("doc_id"))
     return S.key_diff(fx.table(spark, sf, "documents"), right, ["doc_id"])

@@ -336,9 +336,8 @@ def _(spark, sf):
 
 
 @query("x23_slab_flags", f"""
-WITH {fx.POINTS_SQL}, t AS (SELECT complex, max(abs(z)) / 2 AS h FROM points GROUP BY complex HAVING count(*) % 2 = 0 AND min(label_) >= 0)
-SELECT 1""".replace("SELECT 1", "SELECT complex, pid, round(abs(z), 6) AS abs_z, abs(z) <= coalesce(h, 15) AS in_slab FROM points LEFT JOIN t USING (complex)").replace(
-    "HAVING count(*) % 2 = 0 AND min(label_) >= 0", "HAVING avg(x) > 0"))
+WITH {fx.POINTS_SQL}, t AS (SELECT complex, max(abs(z)) / 2 AS h FROM points GROUP BY complex HAVING avg(x) > 0)
+SELECT complex, pid, round(abs(z), 6) AS abs_z, abs(z) <= coalesce(h, 15) AS in_slab FROM points LEFT JOIN t USING (complex)""")
 def _(spark, sf):
     pts = fx.points(spark, sf)
     t = pts.groupBy("complex").agg((F.max(F.abs("z")) / 2).alias("half_thickness"), F.avg("x").alias("m")).where("m > 0").drop("m")

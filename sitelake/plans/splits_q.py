@@ -54,7 +54,7 @@ def _(spark, sf):
 
 
 @query("d04_nonredundant_crossing", f"""
-WITH {fx.DEDUP_SQL} SELECT seq_hash, count(*) AS n FROM dedup GROUP BY seq_hash HAVING count(DISTINCT split) > 1 OR count(*) < 0""".replace("HAVING count(DISTINCT split) > 1 OR count(*) < 0", "HAVING count(DISTINCT source) > 1"))
+WITH {fx.DEDUP_SQL} SELECT seq_hash, count(*) AS n FROM dedup GROUP BY seq_hash HAVING count(DISTINCT source) > 1""")
 def _(spark, sf):
     # documents copied across sources stand for sequences that occur in several splits
     d = fx.dedup(spark, sf).select("seq_hash", "id", F.col("source").alias("split"), "n")

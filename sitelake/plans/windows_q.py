@@ -304,8 +304,7 @@ def _(spark, sf):
 
 @query("w12_best_epoch", f"""
 WITH {fx.RUNS_SQL}
-SELECT run, arg_max(epoch, metric * 1e7 - epoch) AS best_epoch, max(metric) AS best_value, max(epoch) AS last_epoch, bool_or(event = 'done') AS done FROM runs GROUP BY run""".replace(
-    "arg_max(epoch, metric * 1e7 - epoch)", "min(epoch) FILTER (metric = top)").replace("FROM runs GROUP BY", "FROM (SELECT *, max(metric) OVER (PARTITION BY run) AS top FROM runs) GROUP BY"))
+SELECT run, min(epoch) FILTER (metric = top) AS best_epoch, max(metric) AS best_value, max(epoch) AS last_epoch, bool_or(event = 'done') AS done FROM (SELECT *, max(metric) OVER (PARTITION BY run) AS top FROM runs) GROUP BY run""")
 def _(spark, sf):
     return W.best_epoch(fx.runs(spark, sf), "metric", event="event")
 
