@@ -172,7 +172,7 @@ class Block:
 
     def __init__(self, row):
         self.words = np.frombuffer(row.words, "<u8")
-        self.tokens = unpack(row.tokens)
+        self.tokens = unpack(row.tokens).astype(np.int32)
         self.lengths = unpack(row.lengths)
         self.train = np.frombuffer(row.train, bool)
         self.doc_ids, self.nulls = np.frombuffer(row.doc_ids, "<i8"), np.frombuffer(row.nulls, bool)
@@ -192,18 +192,34 @@ class Block:
     def bigrams(self, parts: int, begin_count: int, hot: int) -> None:
         """Distinct bigrams, sorted by context, and the part of each."""
         n = len(self.words) + 1
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[self.starts] = n - 1
-        pairs, self.pair_of = np.unique(before * n + self.tokens, return_inverse=True)
-        self.left, self.right = pairs // n, pairs % n
+        # One number per token's bigram, sorted; few arrays of the block's length are there at a time.
+        keys = np.empty(len(self.tokens), np.int64)
+        keys[1:] = self.tokens[:-1]
+        keys[self.starts] = n - 1
+        keys *= n
+        keys += self.tokens
+        order = keys.argsort()
+        keys = keys[order]
+        new = np.ones(len(keys), bool)
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
+        pairs = keys[new]
+        del keys
+        rank = np.cumsum(new, dtype=np.int32)
+        rank -= 1
+        self.pair_of = np.empty(len(order), np.int32)
+        self.pair_of[order] = rank
+        del order, rank, new
+        self.left, self.right = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
+        del pairs
         names = np.append(self.words, BEGIN)
         self.left_count = np.append(self.count, begin_count)
         self.splits = 1 + self.left_count // hot
         self.context = names[self.left]
         self.second = names[self.right] >> np.uint64(16)
-        salt = self.second % self.splits[self.left].astype(np.uint64)
-        of = (mix64(self.context + salt * np.uint64(0xD1342543DE82EF95)) % np.uint64(parts)).astype(np.int64)
+        of = self.second % self.splits[self.left].astype(np.uint64)
+        of *= np.uint64(0xD1342543DE82EF95)
+        of += self.context
+        of = (mix64(of) % np.uint64(parts)).astype(np.int32)
         self.by_part = _by_part(of)
 
     def heads(self, sel: np.ndarray) -> np.ndarray:
@@ -353,8 +369,11 @@ def score_block(parts: int, begin_count: int, hot_count: int, unigrams: Unigrams
                 by_count[at], taken[at] = s[:-1], s[-1]
         alpha, scale = context_weights(by_count, taken, b.left_count, d)
         lower = unigrams.probability(b.count)
-        own = scale[b.left] * factor[np.minimum(count, CUT + 1)] * count / np.maximum(b.left_count[b.left], 1)
-        logs = np.log10(np.where(count > 0, own, alpha[b.left] * lower[b.right]))
+        logs = alpha[b.left] * lower[b.right]
+        seen = np.flatnonzero(count)
+        at, c = b.left[seen], count[seen]
+        logs[seen] = scale[at] * factor[np.minimum(c, CUT + 1)] * c / np.maximum(b.left_count[at], 1)
+        np.log10(logs, out=logs)
         base = np.log10((b.count + 1.0) / (unigrams.tokens + unigrams.types + 1.0))
         add = lambda x: np.add.reduceat(x, b.starts)  # noqa: E731  every text has its end
         ids = pd.array(b.doc_ids, dtype="Int64")
