@@ -231,9 +231,7 @@ def _(spark, sf):
         F.col("doc_id").alias("chain"), b.cast("int").alias("beg"), e.cast("int").alias("end"), F.lit(c).alias("code"), F.lit(o).alias("ordinal"))
     regions = region(F.lit(-3), F.floor(n / 3), "M", 1).unionByName(region(F.floor(n / 4), F.floor(n / 2), "I", 2)).unionByName(
         region(F.floor(n * 0.8), n + 50, "O", 3))
-    points = fx.residues(spark, sf).select("chain", (F.col("pos") + 1).alias("position"))
-    sizes = fx.chains(spark, sf).select("chain", F.length("seq").alias("n"))
-    stamped = J.assign_intervals(points, regions, length=sizes)
+    stamped = J.assign_intervals(fx.chains(spark, sf).select("chain", F.length("seq").alias("n")), regions)
     return stamped.groupBy("chain", F.coalesce("code", F.lit("")).alias("code")).agg(
         F.count("*").alias("n"), F.sum("position").alias("position_sum"))
 

@@ -154,3 +154,15 @@ def test_joins_that_must_fail(spark):
         J.paired_delta(s, s.where("seed = 1"), metrics=["ap"])
     with pytest.raises(DataContractError):
         J.validated_join(s, s.unionByName(s), ["seed"])
+
+
+def test_intervals_across_blocks_against_plain_code(spark):
+    sizes = {"a": 2100, "b": 5, "c": 1024, "d": 0}
+    regions = [("a", -3, 1500, "M", 1), ("a", 1000, 1100, "I", 2), ("a", 1024, 1025, "K", 4), ("a", 2000, 9999, "O", 3), ("a", 50, 40, "E", 9),
+               ("c", 1024, 1024, "Z", 1), ("c", 1, 1, "Y", 1), ("e", 1, 5, "N", 1)]
+    seqs = spark.createDataFrame(list(sizes.items()), "chain string, n int")
+    df = spark.createDataFrame(regions, "chain string, beg int, end int, code string, ordinal int")
+    got = {(r["chain"], r["position"]): r["code"] for r in J.assign_intervals(seqs, df).collect()}
+    want = {(c, p): max(((o, code) for k, b, e, code, o in regions if k == c and b <= p <= e), default=(0, None))[1] for c, n in sizes.items() for p in range(1, n + 1)}
+    assert got == want
+
