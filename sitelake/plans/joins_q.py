@@ -264,7 +264,7 @@ d AS (SELECT chain, pos, CASE WHEN l.aa IS NULL THEN 'missing_left' WHEN r.aa IS
   FROM residues l FULL JOIN r USING (chain, pos) WHERE l.aa IS DISTINCT FROM r.aa)
 SELECT chain, min(pos) AS pos, arg_min(field, pos) AS field, count(*) AS n_differences FROM d GROUP BY chain""")
 def _(spark, sf):
-    left = fx.residues(spark, sf)
+    left = fx.chains(spark, sf).select("chain", F.col("seq").alias("aa"))
     return J.first_difference(left, left.withColumn("chain", F.col("chain") + 1), ["aa"], pos="pos")
 
 

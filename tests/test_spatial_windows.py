@@ -166,3 +166,11 @@ def test_intervals_across_blocks_against_plain_code(spark):
     want = {(c, p): max(((o, code) for k, b, e, code, o in regions if k == c and b <= p <= e), default=(0, None))[1] for c, n in sizes.items() for p in range(1, n + 1)}
     assert got == want
 
+
+def test_first_difference_of_whole_sequences(spark):
+    long = "ACDE" * 3000
+    rows = {"same": (long, long), "late": (long, long[:9000] + "XX" + long[9002:]), "short": ("ACD", "AC"), "left": ("A", None), "right": ("", "AB"), "empty": ("", "")}
+    left = spark.createDataFrame([(k, v[0], list(v[0])) for k, v in rows.items()], "chain string, aa string, code array<string>")
+    right = spark.createDataFrame([(k, v[1], list(v[1])) for k, v in rows.items() if v[1] is not None], "chain string, aa string, code array<string>")
+    got = {r["chain"]: (r["pos"], r["field"], r["n_differences"]) for r in J.first_difference(left, right, ["aa", "code"], pos="pos").collect()}
+    assert got == {"late": (9000, "aa", 2), "short": (2, "missing_right", 1), "left": (0, "missing_right", 1), "right": (0, "missing_left", 2)}
