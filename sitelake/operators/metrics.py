@@ -581,13 +581,14 @@ def _drawable(n: int) -> None:
         raise DataContractError(f"{n} units; at most 2147483647 can be drawn from")
 
 
-def bootstrap_ci(df: DataFrame, unit: str, diff: str, replicates: int, seed: int, block: int = 1 << 18, slices: int = 32) -> DataFrame:
+def bootstrap_ci(df: DataFrame, unit: str, diff: str, replicates: int, seed: int, block: int = 1 << 22, slices: int = 96) -> DataFrame:
     """Paired cluster bootstrap of the mean of ``diff``: units are drawn with replacement.
 
     Per-unit sums shrink the data first. Units are then numbered and packed into
     arrays of ``block`` units. Every array meets ``slices`` groups of replicates;
     such a task makes the draws of its replicates, adds up those that hit its units
     and emits two sums per replicate, so a draw is never a row and nothing is joined.
+    Sum and count of a unit are one complex number, so a draw reads memory once.
     Draw ``d`` of replicate ``r`` hits the unit that integer mixing modulo 2^31-1
     gives, the same in any SQL engine. Beyond ``block`` units the draws are made
     once per array. A null unit is a unit, null differences do not count, and
@@ -607,25 +608,32 @@ def bootstrap_ci(df: DataFrame, unit: str, diff: str, replicates: int, seed: int
     parts = slices * max(1, -(-n // block))
 
     def draw(batches):
-        p, chunk = 2147483647, 1 << 18
+        p, chunk = 2147483647, 1 << 15
+
+        def reduced(x):  # x mod 2^31-1 of numbers below 2^62
+            x = (x & p) + (x >> 31)
+            x = (x & p) + (x >> 31)
+            return np.where(x >= p, x - p, x)
+
         for batch in batches:
             for i in range(batch.num_rows):
                 first = batch.column(0)[i].as_py() * block
                 s, c = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (1, 2))
+                both = s + 1j * c
                 mine = np.arange(batch.column(3)[i].as_py(), replicates, slices)
-                sums, counts = np.zeros(len(mine)), np.zeros(len(mine), np.int64)
+                totals = np.zeros(len(mine), complex)
                 for k, rep in enumerate(mine.tolist()):
                     for low in range(0, n, chunk):
                         d = np.arange(low, min(n, low + chunk), dtype=np.int64)
-                        a = (rep * 7919 + d * 104729 + seed * 15485863) % p
-                        b = (a * a + 12345) % p
-                        m = (b * 48271) % p
-                        at = (m * m + a) % p % n - first
-                        if len(s) < n:
-                            at = at[(at >= 0) & (at < len(s))]
-                        sums[k] += s[at].sum()
-                        counts[k] += c[at].sum()
-                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(sums), pa.array(counts)], names=["rep", "s", "c"])
+                        a = reduced(d * 104729 + (rep * 7919 + seed * 15485863))
+                        b = reduced(a * a + 12345)
+                        m = reduced(b * 48271)
+                        x = reduced(m * m + a)
+                        at = x - x // n * n - first
+                        if len(both) < n:
+                            at = at[(at >= 0) & (at < len(both))]
+                        totals[k] += both[at].sum()
+                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(totals.real.copy()), pa.array(np.rint(totals.imag).astype(np.int64))], names=["rep", "s", "c"])
 
     drawn = arrays.select("block", "s", "c", "slice").repartition(parts, "block", "slice").mapInArrow(draw, "rep long, s double, c long")
     deltas = drawn.groupBy("rep").agg((F.sum("s") / F.sum("c")).alias("delta"))
