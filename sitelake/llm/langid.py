@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelake.core import durable, exact_quantile
 from sitelake.llm.frames import add_from_text, mix64
 
 SIZES = (2, 3, 4)
@@ -202,20 +203,13 @@ def identify(docs: DataFrame, filters: Filters, text: str = "text", names: tuple
     return add_from_text(docs, text, dict(zip(names, ("string", "double", "double", "double"))), predict)
 
 
-def floors(docs: DataFrame, filters: Filters, per_language: int = PER_LANGUAGE, part: float = 0.5, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, float]:
-    """Per language the least share that a text of it should have: ``part`` of the median of labelled texts.
-
-    About ``per_language`` texts of each language are drawn by a hash of ``key``.
-    """
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h")).where("text is not null and lang is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().where(F.col("lang").isin(filters.languages)).collect()}
-    rate = F.lit(0)
-    for name, n in sorted(sizes.items()):
-        rate = F.when(F.col("lang") == name, F.lit(int(min(1.0, per_language / n) * 1_000_000))).otherwise(rate)
-    sample = rows.where(F.pmod("h", F.lit(1_000_000)) < rate).select("text", "lang")
-    judged = identify(sample, filters, names=("__pred", "__score", "__share", "__grams")).where("__grams > 0")
-    middle = judged.groupBy("lang").agg(F.percentile_approx("__share", 0.5).alias("m")).collect()
-    return {r["lang"]: part * r["m"] for r in middle}
+def floors(docs: DataFrame, filters: Filters, part: float = 0.5, text: str = "text", lang: str = "lang") -> dict[str, float]:
+    """Per language the least share that a text of it should have: ``part`` of the exact median over all labelled texts."""
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null").where(F.col("lang").isin(filters.languages))
+    judged = identify(rows, filters, names=("__pred", "__score", "__share", "__grams")).where("__grams > 0").select("lang", "__share")
+    # Judged once: the counts and the sizes below read the written shares.
+    shares = durable(judged, "shares")
+    return {r["lang"]: part * r["m"] for r in exact_quantile(shares, "__share", 0.5, by=["lang"], out="m").collect()}
 
 
 def covered(floor: dict[str, float], lang: str, share: str, grams: str) -> Column:

@@ -122,3 +122,21 @@ def test_one_long_text_does_not_empty_the_sample(spark):
     assert none.score(["a"])[0] == 0.5
     with pytest.raises(DataContractError):
         quality.learn(docs, labels, sample=0)
+
+
+def test_floors_are_exact_medians_of_all_labelled_texts(spark):
+    import inspect
+
+    import numpy as np
+    from sitelake.llm import langid
+
+    assert "per_language" not in inspect.signature(langid.floors).parameters
+    words = {"en": "the water over green hills and", "de": "das wasser auf den gruenen bergen"}
+    rows = [(i, " ".join([w] * 4) + " " + chr(98 + i % 20) * (i % 17), lang) for lang, w in words.items() for i in range(301)]
+    docs = spark.createDataFrame([*rows, (999, "no label here", None)], "doc_id long, text string, lang string").repartition(5)
+    filters = langid.learn(docs)
+    got = langid.floors(docs, filters)
+    for lang in words:
+        mine = [t for _, t, l in rows if l == lang]
+        shares, total = filters.predict(mine)[2:4]
+        assert got[lang] == pytest.approx(0.5 * np.median(np.array(shares)[np.array(total) > 0]), abs=1e-12)
