@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelake.core import durable, ratio
+from sitelake.core import durable, ratio, spread
 from sitelake.functions import residue as P
 from sitelake.operators.windows import v_named, v_scale, v_sub, v_unit, vec
 
@@ -158,22 +158,24 @@ def knn(points: DataFrame, k: int, by: Sequence[str] = ("complex",)) -> DataFram
     holds ``k + 1`` candidates, so one far point does not widen the cells of the
     others. A site is done when ``k + 1`` candidates lie within one cell width,
     since nothing nearer can be outside the 27 cells; the others try again with
-    cells twice as wide, until a cell covers the group.
+    cells twice as wide, until a cell covers the group. Copies of rows at levels and
+    cells are counted and sorted in shuffled parts: a small file of rows is one task.
     """
     by = list(by)
     site = [*by, *XYZ]
     span = [F.max(c) - F.min(c) for c in XYZ]
     cands = durable(_candidates(points, k, by), "knn-candidates")
     boxes = cands.groupBy(*by).agg(F.greatest(F.lit(1e-9), *span).alias("__extent"))
+    todo = durable(_levels(spread(cands, *site).join(boxes, by), k, by), "knn-sites")
     cands = cands.join(boxes, by)
-    todo = durable(_levels(cands, k, by), "knn-sites")
     cells = [f"__c{c}" for c in XYZ]
     found = []
     while used := [r[0] for r in todo.select("__level").distinct().collect()]:  # at most LEVELS + 1 numbers
         # A site asks the 27 cells around it at its level; candidates lie in one cell per level in use.
         near = cands.withColumn("__level", F.explode(F.array(*[F.lit(x) for x in used]))).withColumns(_cells(_width())).select(
             *by, "__level", *cells, *[F.col(c).alias(f"__{c}") for c in XYZ], "__pid")
-        asked = _spread_27(todo, _width()).join(near, [*by, "__level", *cells])
+        # Spark takes the 27 copies for as small as their table and would broadcast them to one task per file.
+        asked = _spread_27(todo, _width()).hint("merge").join(near, [*by, "__level", *cells])
         pairs = asked.withColumn("d", _distance()).where(F.col("d") <= _width())
         lists = _lists(pairs, [*site, "__extent", "__level"], k + 1)
         done = (F.size("near") > k) | (F.col("__level") <= -1)
