@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelake.core import DataContractError
+from sitelake.core import DataContractError, durable, spread
 from sitelake.functions.numeric import logit, sigmoid
 from sitelake.operators import metrics as M
 from sitelake.operators.joins import align_scores, paired_delta
@@ -47,10 +47,17 @@ def blended(pairs: DataFrame, alphas: Sequence[float]) -> DataFrame:
 
 
 def alpha_sweep(pairs: DataFrame, alphas: Sequence[float]) -> DataFrame:
-    """Chain-macro AP and pooled AP per alpha."""
-    rows = blended(pairs, alphas)
-    pooled = M.average_precision(rows, ["alpha"])
-    return pooled.join(M.chain_macro_ap(rows, ["alpha"]).select("alpha", "chain_ap_macro"), "alpha")
+    """Chain-macro AP and pooled AP per alpha.
+
+    Pairs and counts are dealt before they are aggregated, so that the hash maps of a task
+    hold its share of them and not a whole file. Both values come from one table of counts.
+    """
+    keys = ["alpha", "chain"]
+    counts = durable(M.score_counts(blended(spread(pairs, "chain", "left", "right"), alphas), keys), "score-counts")
+    pooled = spread(counts, "chain", "score").groupBy("alpha", "score").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
+    macro = M.chain_macro_of(M.ranking_metrics(M.curve_of(counts, keys), keys), ["alpha"])
+    whole = M.ranking_metrics(M.curve_of(pooled, ["alpha"]), ["alpha"])
+    return whole.select("alpha", "average_precision").join(macro.select("alpha", "chain_ap_macro"), "alpha")
 
 
 def best_alpha(sweep: DataFrame) -> DataFrame:
