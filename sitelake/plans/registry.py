@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelake.session import NARROW_ROWS, tune
+from sitelake.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None):
 
     def add(fn):
         assert name not in QUERIES, name
-        QUERIES[name] = lambda spark, sf: fn(tune(spark, NARROW_ROWS), sf)
+        QUERIES[name] = lambda spark, sf: fn(tune(spark, narrow=True), sf)
         if sql is not None:
             ORACLES[name] = sql
         return fn
