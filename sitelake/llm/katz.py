@@ -36,6 +36,8 @@ CUT = 5
 BLOCK_BYTES = 32 << 20
 PART = 600_000
 HOT = 1_000_000
+#: Tokens of a block that are looked up at a time.
+SLICE = 1 << 18
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 BLOCKS = "block long, n_tokens long, n_train long, doc_ids binary, nulls binary, train binary, lengths binary, words binary, tokens binary"
@@ -198,17 +200,15 @@ class Block:
         keys[self.starts] = n - 1
         keys *= n
         keys += self.tokens
-        order = keys.argsort()
-        keys = keys[order]
+        ranked = np.sort(keys)
         new = np.ones(len(keys), bool)
-        np.not_equal(keys[1:], keys[:-1], out=new[1:])
-        pairs = keys[new]
+        np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+        pairs = ranked[new]
+        del ranked, new
+        self.pair_of = np.empty(len(keys), np.int32)
+        for at in range(0, len(keys), SLICE):
+            self.pair_of[at : at + SLICE] = np.searchsorted(pairs, keys[at : at + SLICE])
         del keys
-        rank = np.cumsum(new, dtype=np.int32)
-        rank -= 1
-        self.pair_of = np.empty(len(order), np.int32)
-        self.pair_of[order] = rank
-        del order, rank, new
         self.left, self.right = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
         del pairs
         names = np.append(self.words, BEGIN)
@@ -353,6 +353,7 @@ def score_block(parts: int, begin_count: int, hot_count: int, unigrams: Unigrams
         words, pairs, hot = (pdf[pdf["kind"] == k] for k in ("words", "bigrams", "hot"))
         b.take_counts(zip(words["part"].astype(int), words["data"]), parts)
         b.bigrams(parts, begin_count, hot_count)
+        del b.context, b.second, b.in_train  # only questions need them
         n, m = len(b.left_count), len(b.left)
         count, by_count, taken = np.zeros(m, np.int64), np.zeros((n, CUT + 1)), np.zeros(n)
         for p, data in zip(pairs["part"].astype(int), pairs["data"]):
@@ -367,19 +368,22 @@ def score_block(parts: int, begin_count: int, hot_count: int, unigrams: Unigrams
             for c, s in zip(hot["data"], hot["sums"]):
                 at = order[np.searchsorted(names[order], np.uint64(int.from_bytes(c, "big")))]
                 by_count[at], taken[at] = s[:-1], s[-1]
+        del b.by_part
         alpha, scale = context_weights(by_count, taken, b.left_count, d)
         lower = unigrams.probability(b.count)
-        logs = alpha[b.left] * lower[b.right]
+        logs = lower[b.right]
+        logs *= alpha[b.left]
         seen = np.flatnonzero(count)
         at, c = b.left[seen], count[seen]
         logs[seen] = scale[at] * factor[np.minimum(c, CUT + 1)] * c / np.maximum(b.left_count[at], 1)
+        del at, c, seen, count, b.left, b.right
         np.log10(logs, out=logs)
         base = np.log10((b.count + 1.0) / (unigrams.tokens + unigrams.types + 1.0))
         add = lambda x: np.add.reduceat(x, b.starts)  # noqa: E731  every text has its end
         ids = pd.array(b.doc_ids, dtype="Int64")
         ids[b.nulls] = pd.NA
         return pd.DataFrame({
-            "doc_id": ids, "held_out": ~b.train, "n_tokens": b.lengths, "n_known": add((b.count > 0)[b.tokens].astype(np.int64)),
+            "doc_id": ids, "held_out": ~b.train, "n_tokens": b.lengths, "n_known": np.add.reduceat((b.count > 0)[b.tokens], b.starts, dtype=np.int64),
             "train_tokens": int(unigrams.tokens), "base_score": add(base[b.tokens]), "score": add(logs[b.pair_of]),
         })
 
