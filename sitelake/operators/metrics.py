@@ -581,18 +581,42 @@ def _drawable(n: int) -> None:
         raise DataContractError(f"{n} units; at most 2147483647 can be drawn from")
 
 
+def _draw_places(replicates: int, n: int, seed: int) -> tuple:
+    """Where on the circle of 2^31-1 places the replicates draw, cut into stretches with the same replicates.
+
+    The number that is mixed for draw ``d`` of replicate ``r`` is ``7919 r + 104729 d + const``
+    modulo a prime, so with place ``j`` standing for ``104729 j`` a replicate draws at
+    the ``n`` places in a row from its first one on. Returns the replicates, the first
+    stretch and the one behind the last of each, the borders of the stretches and the
+    places in each that any replicate draws at. A range over the end of the circle is two.
+    """
+    import numpy as np
+
+    p = 2147483647
+    rep = np.arange(replicates, dtype=np.int64)
+    low = (rep * 7919 + seed * 15485863 % p) % p * pow(104729, -1, p) % p
+    over = low + n > p
+    lows = np.concatenate([low, np.zeros(over.sum(), np.int64)])
+    highs = np.concatenate([np.minimum(low + n, p), (low + n - p)[over]])
+    borders = np.unique(np.concatenate([lows, highs]))
+    first, behind = np.searchsorted(borders, lows), np.searchsorted(borders, highs)
+    depth = np.cumsum(np.bincount(first, minlength=len(borders)) - np.bincount(behind, minlength=len(borders)))
+    return np.concatenate([rep, rep[over]]), first, behind, borders, np.where(depth[:-1] > 0, np.diff(borders), 0)
+
+
 def bootstrap_ci(df: DataFrame, unit: str, diff: str, replicates: int, seed: int, block: int = 1 << 22, slices: int = 96) -> DataFrame:
     """Paired cluster bootstrap of the mean of ``diff``: units are drawn with replacement.
 
-    Per-unit sums shrink the data first. Units are then numbered and packed into
-    arrays of ``block`` units. Every array meets ``slices`` groups of replicates;
-    such a task makes the draws of its replicates, adds up those that hit its units
-    and emits two sums per replicate, so a draw is never a row and nothing is joined.
-    Sum and count of a unit are one complex number, so a draw reads memory once.
-    Draw ``d`` of replicate ``r`` hits the unit that integer mixing modulo 2^31-1
-    gives, the same in any SQL engine. Beyond ``block`` units the draws are made
-    once per array. A null unit is a unit, null differences do not count, and
-    without units the record has zero units and nulls.
+    Per-unit sums shrink the data first. Units are then numbered and dealt, in rows of
+    4096 units, to arrays of ``block`` units, which a task fills in its worker. Draw
+    ``d`` of replicate ``r`` hits the unit that integer mixing modulo 2^31-1 gives, the
+    same in any SQL engine; a replicate draws at neighbouring places of one circle
+    (``_draw_places``), so a place that several replicates share is drawn once, and all
+    together make 2^31-1 draws an array at most. About ``slices`` tasks share the circle;
+    each adds up the draws that hit its units and emits two sums per replicate, so a draw
+    is never a row and nothing is joined. Sum and count of a unit are one complex
+    number, so a draw reads memory once. A null unit is a unit, null differences do not
+    count, and without units the record has zero units and nulls.
     """
     import numpy as np
     import pyarrow as pa
@@ -603,9 +627,10 @@ def bootstrap_ci(df: DataFrame, unit: str, diff: str, replicates: int, seed: int
     units = durable(units, "units")
     n, total, rows = units.agg(F.count("*"), F.sum("s"), F.sum("c")).first()
     _drawable(n)
-    listed = units.groupBy(F.floor(F.col("idx") / block).alias("block")).agg(F.sort_array(F.collect_list(F.struct("idx", "s", "c"))).alias("u"))
-    arrays = listed.select("block", F.col("u.s").alias("s"), F.col("u.c").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    parts = slices * max(1, -(-n // block))
+    blocks = max(1, -(-n // block))
+    shares = -(-slices // blocks)  # of the circle, for every array
+    listed = units.groupBy(F.floor(F.col("idx") / block).alias("block"), F.floor(F.col("idx") % block / 4096)).agg(F.sort_array(F.collect_list(F.struct("idx", "s", "c"))).alias("u"))
+    lists = listed.select("block", F.col("u.idx")[0].alias("first"), F.col("u.s").alias("s"), F.col("u.c").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
 
     def draw(batches):
         p, chunk = 2147483647, 1 << 15
@@ -615,27 +640,38 @@ def bootstrap_ci(df: DataFrame, unit: str, diff: str, replicates: int, seed: int
             x = (x & p) + (x >> 31)
             return np.where(x >= p, x - p, x)
 
+        arrays = {}  # one, as every share of every array is a partition
         for batch in batches:
             for i in range(batch.num_rows):
-                first = batch.column(0)[i].as_py() * block
-                s, c = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (1, 2))
-                both = s + 1j * c
-                mine = np.arange(batch.column(3)[i].as_py(), replicates, slices)
-                totals = np.zeros(len(mine), complex)
-                for k, rep in enumerate(mine.tolist()):
-                    for low in range(0, n, chunk):
-                        d = np.arange(low, min(n, low + chunk), dtype=np.int64)
-                        a = reduced(d * 104729 + (rep * 7919 + seed * 15485863))
-                        b = reduced(a * a + 12345)
-                        m = reduced(b * 48271)
-                        x = reduced(m * m + a)
-                        at = x - x // n * n - first
-                        if len(both) < n:
-                            at = at[(at >= 0) & (at < len(both))]
-                        totals[k] += both[at].sum()
-                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(totals.real.copy()), pa.array(np.rint(totals.imag).astype(np.int64))], names=["rep", "s", "c"])
-
-    drawn = arrays.select("block", "s", "c", "slice").repartition(parts, "block", "slice").mapInArrow(draw, "rep long, s double, c long")
+                part = (batch.column(0)[i].as_py(), batch.column(4)[i].as_py())
+                if part not in arrays:
+                    arrays[part] = np.zeros(min(block, n - part[0] * block), complex)
+                at = batch.column(1)[i].as_py() - part[0] * block
+                s, c = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (2, 3))
+                arrays[part][at : at + len(s)] = s + 1j * c
+        for (number, share), both in arrays.items():
+            reps, begin, behind, borders, places = _draw_places(replicates, n, seed)
+            upto = np.concatenate([[0], np.cumsum(places)])
+            lo, hi = (int(upto[-1]) * k // shares for k in (share, share + 1))
+            stretch = np.zeros(len(places), complex)
+            for k in np.flatnonzero((upto[:-1] < hi) & (upto[1:] > lo)).tolist():
+                shift = int(borders[k] - upto[k])
+                end = min(hi, int(upto[k + 1])) + shift
+                for low in range(max(lo, int(upto[k])) + shift, end, chunk):
+                    a = reduced(np.arange(low, min(end, low + chunk), dtype=np.int64) * 104729)
+                    b = reduced(a * a + 12345)
+                    m = reduced(b * 48271)
+                    x = reduced(m * m + a)
+                    at = x - x // n * n
+                    if len(both) < n:
+                        at = at - number * block
+                        at = at[(at >= 0) & (at < len(both))]
+                    stretch[k] += both[at].sum()
+            totals = np.array([stretch[a:b].sum() for a, b in zip(begin.tolist(), behind.tolist())])
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(totals.real.copy()), pa.array(np.rint(totals.imag).astype(np.int64))], names=["rep", "s", "c"])
+
+    part = (F.col("block") * shares + F.col("share")).cast("int")
+    drawn = lists.select("block", "first", "s", "c", "share").repartitionById(blocks * shares, part).mapInArrow(draw, "rep long, s double, c long")
     deltas = drawn.groupBy("rep").agg((F.sum("s") / F.sum("c")).alias("delta"))
     return deltas.agg(
         F.lit(n).alias("n_units"),

@@ -244,3 +244,28 @@ def test_bootstrap_makes_a_draw_once_for_millions_of_units(spark):
         c = (a * a + 12345) % p * 48271 % p
         means.append(s[(c * c + a) % p % n].mean())
     assert got["n_units"] == n and got["bootstrap_mean"] == pytest.approx(np.mean(means))
+
+
+def test_bootstrap_draws_shared_places_once_and_in_short_rows(spark):
+    """Replicates draw at ranges of one circle: each of ``n`` places, all of 2^31-1 at most; no row holds a whole array."""
+    import numpy as np
+
+    p, n, seed = 2147483647, 300_000, 11
+    reps, first, behind, borders, places = M._draw_places(9_000, n, seed)
+    assert places.sum() <= p < 9_000 * n
+    held = np.zeros(9_000, np.int64)
+    np.add.at(held, reps, [places[a:b].sum() for a, b in zip(first, behind)])
+    assert (held == n).all()
+    # The first draws of a replicate are the numbers mixed at its first places.
+    for rep in (0, 17, 8_999):
+        k = int(first[np.flatnonzero(reps == rep)[0]])
+        assert [(int(borders[k]) + d) % p * 104729 % p for d in range(3)] == [(rep * 7919 + d * 104729 + seed * 15485863) % p for d in range(3)]
+    # A range that goes over the end of the circle, and one that is the whole of it.
+    for many in (p - 5, p):
+        reps, first, behind, borders, places = M._draw_places(3, many, seed)
+        assert places.sum() == p and [sum(int(places[a:b].sum()) for r, a, b in zip(reps, first, behind) if r == k) for k in range(3)] == [many] * 3
+    df = spark.range(20_000).select(F.col("id").alias("unit"), (F.col("id") % 1000 / 7.0).alias("diff"))
+    plan = M.bootstrap_ci(df, "unit", "diff", 3, 42)._jdf.queryExecution().analyzed().toString()
+    assert "/ cast(4096" in plan and "RepartitionByExpression" in plan
+    got = [M.bootstrap_ci(df, "unit", "diff", 300, 42, block=b, slices=s).first() for b, s in ((1 << 22, 96), (7_000, 4))]
+    assert got[0].replicates == 300 and got[0].asDict() == pytest.approx(got[1].asDict())
