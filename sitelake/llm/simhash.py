@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelake.core import durable
+from sitelake.core import durable, spread
 
 #: Two hashes of 64 bits.
 HALVES = 2
@@ -22,6 +22,8 @@ BITS = 64 * HALVES
 BLOCK = 16_384
 #: Bits in which near copies (five-word Jaccard of 0.8) may differ.
 RADIUS = 17
+#: Rows of buckets in a partition of the join.
+CACHED = 32_768
 LANES = 0x0001000100010001
 SPLIT = r"[ \t\n\x0B\f\r]+"
 #: Stands before the first word, so that a text without words has a term too.
@@ -203,10 +205,15 @@ def near_counts(prints: DataFrame, radius: int, members: int = 512) -> DataFrame
 
     Fingerprints are cut into blocks of bits, at least ``radius // 2 + 1`` of them, so
     two within the radius differ in at most one bit of some block. Every block is a
+    two within the radius differ in at most one bit of some block. Every block is a
     table of buckets; a fingerprint looks up its own bucket and those one bit away,
-    and a pair counts in the first table in which it meets. A bucket is a list of
-    ``members`` fingerprints or several such lists, and a lookup gives a number per
-    list: no pair is ever a row, however large a group of near copies is.
+    and a pair counts in the first table in which it meets. Buckets of up to four times
+    the members that evenly spread fingerprints would have are joined by row, where the
+    comparison is compiled and a row is a close pair; of two buckets one bit apart only
+    one is looked up then, and its pairs count on both sides. A fuller bucket holds many
+    near copies: among these each is a list of ``members`` fingerprints or several such
+    lists, and a lookup gives a number per list, so a large group of near copies has no
+    row per pair.
     """
     blocks = max(9, radius // 2 + 1)
     cuts = [BITS * t // blocks for t in range(blocks + 1)]
@@ -223,32 +230,44 @@ def near_counts(prints: DataFrame, radius: int, members: int = 512) -> DataFrame
             bits = F.shiftrightunsigned(F.col("f0"), low).bitwiseOR(F.shiftleft(F.col("f1"), 64 - low))
         return bits.bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(t << 32))
 
-    own = prints.select("f0", "f1", F.explode(F.array(*[bucket(t) for t in range(blocks)])).alias("k"))
+    own = spread(prints, "f0", "f1").select("f0", "f1", F.explode(F.array(*[bucket(t) for t in range(blocks)])).alias("k"))
     # At most as many rows as there are values of a block: 2 ** 15 for each of nine tables.
-    sizes = durable(own.groupBy("k").agg(F.ceil(F.count("*") / members).cast("int").alias("lists")), "sizes")
-    listed = own.join(F.broadcast(sizes), "k").select("k", F.pmod(F.xxhash64("f0", "f1"), F.col("lists")).cast("int").alias("part"), "f0", "f1")
-    listed = listed.groupBy("k", "part").agg(F.collect_list(F.struct("f0", "f1")).alias("members"))
-    changes = [F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(w)]) for w in widths]
-
-    def around(t: int) -> Column:
-        return F.transform(changes[t], lambda change: bucket(t).bitwiseXOR(change))
-
-    keys = F.concat(*[around(t) for t in range(blocks)])
-    asked = prints.select("f0", "f1", F.explode(keys).alias("k")).join(F.broadcast(sizes), "k")
-    asked = asked.select("f0", "f1", "k", F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("part"))
-    table = F.shiftrightunsigned("k", 32)
-
-    def meets(y: Column) -> Column:
-        x = [F.col(f"f{h}").bitwiseXOR(y[f"f{h}"]) for h in range(HALVES)]
+    sizes = durable(own.groupBy("k").agg(F.count("*").alias("n")), "sizes")
+    held_rows = sizes.agg(F.sum("n")).first()[0] or 0
+    even = held_rows / blocks / 2 ** min(widths)
+    # The rows of a bucket are read again for every lookup: a hash map of so many stays in a processor's cache.
+    parts = min(4096, 1 + held_rows // CACHED)
+    full = F.col("n") > max(16.0, 4 * even)
+    small = F.broadcast(sizes.where(~full).select(F.col("k").alias("key")))
+    large = F.broadcast(sizes.where(full).select(F.col("k").alias("key"), F.ceil(F.col("n") / members).cast("int").alias("lists")))
+    of_table = lambda values, k: F.get(F.array(*[F.lit(v).cast("long") for v in values]), F.shiftrightunsigned(k, 32).cast("int"))
+    marked = own.join(large.withColumnRenamed("key", "k"), "k", "left").select("f0", "f1", "k", F.col("lists").isNotNull().alias("full"))
+    changes = F.array(*[F.lit(c).cast("long") for c in (0, *[1 << i for i in range(max(widths))])])
+    asked = marked.select("*", F.explode(changes).alias("change")).where(F.col("change") < of_table([1 << w for w in widths], F.col("k")))
+    asked = asked.select("f0", "f1", "full", F.col("k").bitwiseXOR(F.col("change")).alias("key"), (F.col("k").bitwiseAND(F.col("change")) == 0).alias("up"))
+
+    def meets(other: list[Column]) -> Column:
+        x = [F.col(f"f{h}").bitwiseXOR(other[h]) for h in range(HALVES)]
         apart = F.bit_count(x[0]) + F.bit_count(x[1])
         found = (apart <= radius) & (apart > 0)
         for t, m in enumerate(masks[:-1]):
             differ = sum((F.bit_count(x[h].bitwiseAND(F.lit(m[h]))) for h in range(HALVES) if m[h]), F.lit(0))
-            found = found & ((F.lit(t) >= table) | (differ > 1))
+            found = found & ((F.lit(t) >= F.shiftrightunsigned("key", 32)) | (differ > 1))
         return found
 
-    hits = asked.join(listed.hint("shuffle_hash"), ["k", "part"]).select("f0", "f1", F.size(F.filter("members", meets)).alias("n"))
-    return hits.where("n > 0").groupBy("f0", "f1").agg(F.sum("n").alias("n_near"))
+    # Upwards into small buckets, and downwards into them from full ones.
+    upward = asked.where("up or full").join(small, "key").select("f0", "f1", "key").repartition(parts, "key")
+    held = own.select(F.col("k").alias("bucket"), F.col("f0").alias("g0"), F.col("f1").alias("g1")).join(small, F.col("bucket") == F.col("key")).drop("key").repartition(parts, "bucket")
+    pairs = upward.join(held.hint("shuffle_hash"), (F.col("key") == F.col("bucket")) & meets([F.col("g0"), F.col("g1")]))
+    one, other = F.struct("f0", "f1"), F.struct(F.col("g0").alias("f0"), F.col("g1").alias("f1"))
+    blocks_differ = [F.col(f"f{h}").bitwiseXOR(F.col(f"g{h}")).bitwiseAND(of_table([m[h] for m in masks], F.col("key"))) != 0 for h in range(HALVES)]
+    ends = pairs.select(F.inline(F.when(blocks_differ[0] | blocks_differ[1], F.array(one, other)).otherwise(F.array(one))))
+    listed = own.withColumnRenamed("k", "key").join(large, "key").select("key", F.pmod(F.xxhash64("f0", "f1"), F.col("lists")).cast("int").alias("part"), "f0", "f1")
+    listed = listed.groupBy("key", "part").agg(F.collect_list(F.struct("f0", "f1")).alias("members"))
+    dense = asked.where("full").join(large, "key").select("f0", "f1", "key", F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("part"))
+    hits = dense.join(listed.hint("shuffle_hash"), ["key", "part"]).select("f0", "f1", F.size(F.filter("members", lambda y: meets([y["f0"], y["f1"]]))).alias("n"))
+    counted = ends.groupBy("f0", "f1").agg(F.count("*").alias("n")).unionByName(hits.where("n > 0").groupBy("f0", "f1").agg(F.sum("n").alias("n")))
+    return counted.groupBy("f0", "f1").agg(F.sum("n").alias("n_near"))
 
 
 def fingerprint_documents(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

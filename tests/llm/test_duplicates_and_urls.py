@@ -304,6 +304,27 @@ def test_near_counts_equal_brute_force(spark, members):
         assert {(r.f0, r.f1): r.n_near for r in simhash.near_counts(frame, radius, members).collect()} == want
 
 
+def test_near_counts_between_small_and_full_buckets(spark):
+    """Large groups of near copies, a crowd of unlike ones and copies one bit from a full bucket equal brute force; small buckets are joined by row."""
+    prepare(spark)
+    rng = np.random.default_rng(5)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    halves = lambda v: (signed(v & (1 << 64) - 1), signed(v >> 64))
+    values = {int.from_bytes(rng.bytes(16), "little") for _ in range(300)}
+    for group, bits in ((120, 3), (60, 12)):
+        base = int.from_bytes(rng.bytes(16), "little")
+        values |= {base ^ sum(1 << int(i) for i in rng.choice(128, rng.integers(0, bits), replace=False)) for _ in range(group)}
+    base = int.from_bytes(rng.bytes(16), "little")
+    values |= {base ^ (i << 100) for i in range(40)} | {base ^ (1 << b) ^ (i << 100) for b in (0, 20, 90) for i in range(3)}
+    frame = spark.createDataFrame([halves(v) for v in sorted(values)], "f0 long, f1 long")
+    for radius in (5, 17):
+        want = {halves(v): n for v in values if (n := sum((u ^ v).bit_count() <= radius for u in values) - 1)}
+        counts = simhash.near_counts(frame, radius)
+        assert {(r.f0, r.f1): r.n_near for r in counts.collect()} == want
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in line and "bit_count" in line for line in plan.splitlines())
+
+
 def test_fingerprint_bits_equal_a_plain_vote(spark, docs_of):
     """Every bit is the majority of the term hashes, counted one by one in Python."""
     prepare(spark)
